@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts, token_store
+from . import gif, language, packing, token_counts, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_gif_media": gif.op1_gif_media,
+        "op3_language_id": language.op3_language_id,
         "op4_token_store": token_store.op4_token_store,
         "op5_packing": packing.op5_packing,
         "op9_token_counts": token_counts.op9_token_counts,
