@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, language, packing, token_counts, token_store
+from . import gif, language, ngram_join, packing, token_counts, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": language.op3_language_id,
         "op4_token_store": token_store.op4_token_store,
         "op5_packing": packing.op5_packing,
+        "op7_ngram_join": ngram_join.op7_ngram_join,
         "op9_token_counts": token_counts.op9_token_counts,
     }
 
