@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, language, ngram_join, packing, token_counts, token_store
+from . import chat, gif, language, line_dedup, mixing, ngram_join, packing, token_counts, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_gif_media": gif.op1_gif_media,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_language_id": language.op3_language_id,
         "op4_token_store": token_store.op4_token_store,
         "op5_packing": packing.op5_packing,
+        "op6_chat_format": chat.op6_chat_format,
         "op7_ngram_join": ngram_join.op7_ngram_join,
+        "op8_mixing": mixing.op8_mixing,
         "op9_token_counts": token_counts.op9_token_counts,
     }
 

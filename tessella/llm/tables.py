@@ -58,6 +58,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The columns with exactly these names; others may differ from them in case only."""
+    renamed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return renamed.select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
+
+
 def doc_columns(docs: DataFrame) -> DataFrame:
     """doc_id as long and text as string."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
