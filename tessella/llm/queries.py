@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, gif, language, line_dedup, mixing, ngram_join, packing, token_counts, token_store
+from . import chat, gif, language, line_dedup, mixing, neighbours, ngram_join, packing, token_counts, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_mixing": mixing.op8_mixing,
         "op9_token_counts": token_counts.op9_token_counts,
+        "op10_nn_descent": neighbours.op10_nn_descent,
     }
 
 
