@@ -12,11 +12,12 @@ documents that merely share something.
    each class the n-grams that another class has too; the counts are summed. A class
    with fewer than a partner must share is done.
 2. ``token_sets``: the whole sets of the remaining classes, from one document of each.
-3. ``links``: each class is compared with the smallest class of its min-hash groups, a
+3. Leaders: each class is compared with the most typical class of its min-hash groups, a
    linear number of pairs that joins large groups of near copies. Components follow.
 4. Prefix filtering finds every remaining pair of classes in different components: a
    class's rarest n-grams (by a fixed-size frequency sketch; any order is right) must
-   meet. Groups within one component drop out, so a group of near copies costs no pairs.
+   meet. Groups within one component drop out, so a group of near copies costs no pairs,
+   and the classes of an n-gram with many pairs left are compared in blocks.
 5. Pairs are verified exactly: partial overlaps in each range of the order, summed.
 
 Defined cases: a null text is empty; texts without words have an empty set and no links;
@@ -46,6 +47,8 @@ DEPTH = 10
 FRAGMENTS = 8
 HASHES = 4
 CELLS = 1 << 18
+#: Pairs of an n-gram that are joined as rows; beyond it, classes are compared in blocks of about so many.
+PAIRS, BLOCK = 10_000, 400
 #: Classes whose names may be broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
 
@@ -203,22 +206,27 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def _leaders(sets: DataFrame) -> DataFrame:
-    """Pairs of a class and the smallest class with the same min-hash, for HASHES min-hashes."""
+def _leaders(sets: DataFrame, cells: np.ndarray) -> DataFrame:
+    """Pairs of a class and the leader of one of its HASHES min-hash groups: the class whose n-grams are most frequent.
+
+    Of a group of near copies that is the one with the fewest changes, to which most others are near.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = np.log2(cells + 1.0).astype(np.float32)
         for batch in batches:
-            names = batch.column("class").to_pylist()
             rows = []
-            for name, t in zip(names, batch.column("tokens").to_pylist()):
+            for name, t in zip(batch.column("class").to_pylist(), batch.column("tokens").to_pylist()):
                 t = np.frombuffer(t, np.uint64)
-                rows += [(int(shingles.mix(t ^ np.uint64(7919 * (k + 1))).min().view(np.int64)), name) for k in range(HASHES)]
+                central = float(logs[_cell(t)].mean())
+                rows += [(int(shingles.mix(t ^ np.uint64(7919 * (k + 1))).min().view(np.int64)), name, central) for k in range(HASHES)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["sign", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["sign", "class", "central"])
 
-    signs = sets.select("class", "tokens").mapInArrow(run, "sign long, class long")
-    first = signs.groupBy("sign").agg(F.min("class").alias("a"), F.count("*").alias("m")).where("m > 1").select("sign", "a")
-    return signs.join(first, "sign").where("a <> class").select("a", F.col("class").alias("b")).distinct()
+    signs = sets.select("class", "tokens").mapInArrow(run, "sign long, class long, central double")
+    first = signs.groupBy("sign").agg(F.max(F.struct("central", "class")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("sign", F.col("lead.class").alias("a"))
+    met = signs.join(first, "sign").where("a <> class")
+    return met.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -259,9 +267,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return summed.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * PERCENT).select("a", "b")
 
 
-def _across(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every pair of classes of different components that can link, by prefix filtering with the rarest n-grams first."""
-    cells = frequencies(sets)
+def _across(sets: DataFrame, cells: np.ndarray, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, links): all that can link classes of different components, by prefix filtering with the rarest n-grams first.
+
+    An n-gram whose classes would make more than PAIRS pairs isn't joined: its classes are dealt out in blocks,
+    two blocks to a task, and compared there; only links come out of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,17 +289,71 @@ def _across(sets: DataFrame, labels: DataFrame) -> DataFrame:
     mixed = tables.store(rows.join(several, "token", "left_semi"), "mixed")
     tables.drop(rows)
     sizes = mixed.groupBy("token", "component").count()
-    main = sizes.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    main = sizes.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("m"), F.max("count").alias("k"))
+    main = tables.store(main, "main")
+    heavy = F.col("m") * (F.col("m") - F.col("k")) > PAIRS
+    light = main.where(~heavy).select("token", "main")
     # at least one of a pair is outside the largest component of the n-gram
-    rest = mixed.join(main, "token").where("component <> main").select("token", "main", F.col("class").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("component").alias("ca"))
+    rest = mixed.join(light, "token").where("component <> main").select("token", "main", F.col("class").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("component").alias("ca"))
     every = mixed.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("component").alias("cb"))
-    bound = F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    bound = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     met = rest.join(every, "token").where(
         (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
         & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
         & (bound * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT)
     )
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    blocks = main.where(heavy).select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = mixed.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "class", "component")
+    full = dealt.join(sets.select("class", "tokens"), "class")
+    links = full.groupBy("token", "lo", "hi").applyInArrow(_compare_blocks, "a long, b long")
+    return pairs, links.distinct()
+
+
+def _compare_blocks(table: pa.Table) -> pa.Table:
+    """Links of classes in two blocks, of different components, as many as join the components (a forest)."""
+    names, parts, own, lo = (table[c].to_numpy() for c in ("class", "component", "own", "lo"))
+    # a fixed order, so that a task that runs again finds the same forest
+    order = np.lexsort((names, own))
+    names, parts, own, lo = names[order], parts[order], own[order], lo[order]
+    raw = table["tokens"].to_pylist()
+    sets = [np.frombuffer(raw[i], np.uint64) for i in order]
+    n = np.array([len(t) for t in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    _, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+    kept = often[code] > 1
+    number = np.cumsum(often > 1) - 1
+    code, row = number[code[kept]], row[kept]
+    # partial overlaps in one range of n-grams after the other
+    overlap = np.zeros((len(sets), len(sets)), np.float32)
+    by_code = np.argsort(code, kind="stable")
+    code, row = code[by_code], row[by_code]
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+        a, b = np.searchsorted(code, (first, first + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[a:b], code[a:b] - first] = 1
+        overlap += part @ part.T
+    link = overlap * 100 >= (n[:, None] + n[None, :] - overlap) * PERCENT
+    link &= (parts[:, None] != parts[None, :]) & (names[:, None] < names[None, :])
+    if (lo != own).any() and (lo == own).any():
+        link &= own[:, None] != own[None, :]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(link)):
+        x, y = find(int(parts[i])), find(int(parts[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(names[i]), int(names[j])))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
 def _joined(run):
@@ -315,12 +380,16 @@ def join(docs: DataFrame) -> DataFrame:
     sketched = sketch(docs)
     tables.release(spark)
     sets = token_sets(docs, sketched)
-    near = tables.store(verified(_leaders(sets), sets), "links")
+    cells = frequencies(sets)
+    near = tables.store(verified(_leaders(sets, cells), sets), "links")
     tables.release(spark)
     labels = components.connected_components(near)
-    more = tables.store(verified(_across(sets, labels), sets), "links")
+    pairs, links = _across(sets, cells, labels)
+    more = tables.store(verified(pairs, sets), "links")
+    links = tables.store(links, "links")
     tables.release(spark)
-    labels = components.connected_components(near.union(more))
+    labels = components.connected_components(near.union(more).union(links))
+    tables.drop(sets)
     about = sketched.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), F.col("c").alias("n_shingles"), F.col("d").alias("key"))
     rows = about.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     # what a component's name needs is summed in each task first
