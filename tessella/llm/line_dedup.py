@@ -35,10 +35,11 @@ BROADCAST_ROWS = 1_000_000
 WILD = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """The line with tokens that hold a digit as wildcards; tokens are separated by blanks."""
-    flat = F.trim(F.translate(line, "\t\r", "  "))
-    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, "[^ ]*[0-9][^ ]*", WILD)).otherwise(flat)
+def masked(text: Column) -> Column:
+    """A text whose tokens with a digit are wildcards; tokens are separated by single blanks, lines by line feeds."""
+    flat = F.when(F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")), F.translate(text, "\t\r", "  ")).otherwise(text)
+    # looks only at the starts of tokens and never goes back
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(flat, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", WILD)).otherwise(flat)
 
 
 def _count(text: Column, what: str) -> Column:
@@ -46,17 +47,21 @@ def _count(text: Column, what: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line_no, masked, n_tokens, leaf, own) of each line that isn't blank."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    rows = rows.select("doc_id", "th", "line_no", masked(F.col("line")).alias("masked")).where("masked <> ''")
+    """(doc_id, th, line_no, masked, n_tokens, leaf, own, enough) of each line that isn't blank.
+
+    What concerns a text is worked out before its lines are laid out, so it is done once a text.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.split(masked(F.col("text")), "\n", -1).alias("all"))
+    # the outer form, as for the other one Spark splits each text once more to see whether it has lines
+    rows = rows.select("doc_id", "th", F.posexplode_outer("all").alias("line_no", "masked")).where(F.length(F.trim(F.col("masked"))) > 0)
     n = _count(F.col("masked"), " ") + 1
-    rows = rows.withColumn("n_tokens", n).where(F.col("n_tokens") - _count(F.col("masked"), WILD) >= LEAST_CONSTANT)
-    leaf = F.xxhash64("n_tokens", F.substring_index("masked", " ", LEADING))
-    return rows.select("doc_id", "th", "line_no", "masked", "n_tokens", leaf.alias("leaf"), F.xxhash64("masked", F.lit("line")).alias("own"))
+    leaf = F.xxhash64(n, F.substring_index("masked", " ", LEADING))
+    enough = n - _count(F.col("masked"), WILD) >= LEAST_CONSTANT
+    return rows.select("doc_id", "th", "line_no", "masked", n.alias("n_tokens"), leaf.alias("leaf"), F.xxhash64("masked", F.lit("line")).alias("own"), enough.alias("enough"))
 
 
-def leaf_templates(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """(leaf, template) of the leaves whose differing lines of several documents generalise to one template."""
+def leaf_lines(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """(leaf, own, masked, n) of the different lines, with their numbers, in leaves that hold differing lines of several documents."""
     mixed = (
         index.groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.min(F.struct("doc_id", "th")).alias("c"), F.max(F.struct("doc_id", "th")).alias("d"))
         .where("a <> b and not (c <=> d)").select("leaf")
@@ -64,38 +69,41 @@ def leaf_templates(docs: DataFrame, index: DataFrame) -> DataFrame:
     mixed = tables.store(mixed, "leaves")
     if mixed.count() <= BROADCAST_ROWS:
         mixed = F.broadcast(mixed)
-    lines = _lines(docs).select("leaf", "masked").join(mixed, "leaf", "left_semi")
-    # equal lines are counted before their tokens are laid out
-    lines = lines.groupBy("leaf", "masked").agg(F.count("*").alias("n"))
-    tokens = lines.select("leaf", "n", F.posexplode(F.split("masked", " ", -1)).alias("at", "token"))
+    lines = _lines(docs).select("leaf", "own", "masked", "enough").join(mixed, "leaf", "left_semi").where("enough")
+    return tables.store(lines.groupBy("leaf", "own").agg(F.count("*").alias("n"), F.min("masked").alias("masked")), "leaf_lines")
+
+
+def leaf_templates(lines: DataFrame) -> DataFrame:
+    """(leaf, template) of the leaves whose lines generalise to one template."""
+    tokens = lines.select("leaf", "n", F.split("masked", " ", -1).alias("all")).select("leaf", "n", F.posexplode_outer("all").alias("at", "token"))
     votes = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"))
-    best = votes.groupBy("leaf", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("top"), F.sum("n").alias("n"))
+    best = votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("n"))
     # as many rows for a leaf as a line has tokens
-    by_place = best.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", F.when(F.col("top") > AGREE * F.col("n"), F.col("token")).otherwise(WILD).alias("token")))).alias("t"))
+    token = F.when(F.col("top.n") > AGREE * F.col("n"), F.col("top.token")).otherwise(WILD)
+    by_place = best.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", token.alias("token")))).alias("t"))
     template = by_place.select("leaf", F.transform("t", lambda x: x["token"]).alias("template"))
     constant = F.size(F.filter("template", lambda x: x != WILD))
     return template.where((constant >= LEAST_CONSTANT) & (constant >= CLOSE * F.size("template")))
 
 
-def assigned(docs: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(index with its template's id, leaf templates)."""
-    leaves = tables.store(leaf_templates(docs, index), "templates")
-    few = leaves.count() <= BROADCAST_ROWS // 16
-    known = F.broadcast(leaves) if few else leaves
-    split = F.split("masked", " ", -1)
+def assigned(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """index with the id of each line's template: its leaf's, if it is close to that, else its own."""
+    lines = leaf_lines(docs, index)
+    template = tables.store(leaf_templates(lines), "templates")
     # a wildcard of the template agrees with anything
+    split = F.split("masked", " ", -1)
     agree = F.size(F.filter(F.zip_with(split, F.col("template"), lambda a, b: (a == b) | (b == WILD)), lambda x: x))
-    near = _lines(docs).join(known, "leaf").where(agree >= CLOSE * F.col("n_tokens")).select("leaf", "own").distinct()
-    near = tables.store(near, "near")
+    near = tables.store(lines.join(template, "leaf").where(agree >= CLOSE * F.size("template")).select("leaf", "own"), "near")
+    if near.count() <= BROADCAST_ROWS:
+        near = F.broadcast(near)
     generalised = index.join(near.withColumn("in_leaf", F.lit(True)), ["leaf", "own"], "left")
-    return generalised.select("doc_id", "th", "line_no", F.when(F.col("in_leaf"), F.col("leaf")).otherwise(F.col("own")).alias("template_id")), leaves
+    return generalised.select("doc_id", "th", "line_no", F.when(F.col("in_leaf"), F.col("leaf")).otherwise(F.col("own")).alias("template_id"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, th, line_no) of the lines to drop."""
-    index = tables.store(_lines(docs).select("doc_id", "th", "line_no", "leaf", "own"), "lines")
-    lines, _ = assigned(docs, index)
-    lines = tables.store(lines, "assigned")
+    index = tables.store(_lines(docs).select("doc_id", "th", "line_no", "leaf", "own", "enough"), "lines").where("enough")
+    lines = tables.store(assigned(docs, index), "assigned")
     place = F.struct("doc_id", "th", "line_no")
     # one row for a document and template first, so that a frequent template is counted in parts
     each = lines.groupBy("template_id", "doc_id", "th").agg(F.min("line_no").alias("line_no"))
