@@ -169,8 +169,7 @@ def token_sets(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     bound = F.greatest(F.lit(1), F.floor(least / DEPTH))
     chosen = about.join(shared, "b").where(F.col("shared") >= bound).select("key", F.col("b").alias("class"))
     chosen = tables.store(chosen, "chosen")
-    if chosen.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
+    chosen = _small(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,6 +228,11 @@ def _leaders(sets: DataFrame, cells: np.ndarray) -> DataFrame:
     return met.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
 
 
+def _small(stored: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has at most BROADCAST_ROWS (narrow) rows."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link: partial overlaps are counted in each range of the order and summed."""
 
@@ -259,9 +263,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
         .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
     )
-    pieces = sets.mapInArrow(cut, "class long, n long, range int, tokens binary")
-    x = fits.join(pieces.select(F.col("class").alias("a"), "range", F.col("tokens").alias("x")), "a")
-    xy = x.join(pieces.select(F.col("class").alias("b"), "range", F.col("tokens").alias("y")), ["b", "range"])
+    fits = tables.store(fits, "fits")
+    ends = _small(tables.store(fits.select(F.col("b").alias("class")).distinct(), "ends"))
+    pieces = lambda some: some.mapInArrow(cut, "class long, n long, range int, tokens binary")
+    x = pieces(sets).select(F.col("class").alias("a"), "range", F.col("tokens").alias("x")).join(_small(fits), "a")
+    y = pieces(sets.join(ends, "class", "left_semi")).select(F.col("class").alias("b"), "range", F.col("tokens").alias("y"))
+    xy = x.join(y, ["b", "range"])
     partial = xy.select("a", "b", "na", "nb", "x", "y").mapInArrow(count, "a long, b long, na long, nb long, o long")
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return summed.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * PERCENT).select("a", "b")
@@ -282,7 +289,9 @@ def _across(sets: DataFrame, cells: np.ndarray, labels: DataFrame) -> tuple[Data
                 yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), name)), pa.array(np.full(len(first), n)), pa.array(np.arange(len(first)))], ["token", "class", "n", "at"])
 
     rows = sets.mapInArrow(_joined(run), "token long, class long, n long, at long")
-    rows = rows.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    known = labels.select(F.col("node").alias("class"), "component")
+    known = F.broadcast(known) if labels.count() <= BROADCAST_ROWS else known
+    rows = rows.join(known, "class", "left").withColumn("component", F.coalesce("component", "class"))
     rows = tables.store(rows, "prefixes")
     # n-grams that only one component has need no pairs
     several = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
