@@ -43,7 +43,7 @@ def length_histogram(docs: DataFrame, tokenizer: str | None = None, end_id: int
                     counts[a] = counts.get(a, 0) + b
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["length", "n"])
 
-    each = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "length long, n long")
+    each = tables.pick(docs, "text").select(F.col("text").cast("string").alias("text")).mapInArrow(run, "length long, n long")
     return each.groupBy("length").agg(F.sum("n").alias("n_docs"))
 
 
