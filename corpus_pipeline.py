@@ -19,14 +19,14 @@ def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (no text or no letter); lang becomes the predicted language."""
-    labelled = tables.pick(docs, "text", "lang")
-    samples = language.bounded_sample(labelled)
-    told = language.identify(docs, samples, docs.columns)
-    rejected = F.col("lang_pred") == language.UNKNOWN
+    samples = language.bounded_sample(tables.pick(docs, "text", "lang"))
+    # columns go by place, whatever their names
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text, lang = (f"c{docs.columns.index(c)}" for c in ("text", "lang"))
     if not samples:  # nothing to learn from: only texts without a letter go
-        rejected = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
-        return _columns(told.where(~rejected), docs)
-    return _columns(told.where(~rejected).withColumn("lang", F.col("lang_pred")), docs)
+        return rows.where(F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}")).toDF(*docs.columns)
+    told = language.identify(rows.withColumn("text", F.col(text)), samples, rows.columns).where(F.col("lang_pred") != language.UNKNOWN)
+    return told.withColumn(lang, F.col("lang_pred")).drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
