@@ -81,5 +81,5 @@ def test_streams_equal_batch(spark, sf, tmp_path):
     batch = history.current_state(events.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
     rows = lambda df: {(r.user_id, r.event_id, r.event_type) for r in df.collect()}
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(batch)
-    stream.drain(stream.throttled(stream.read_events(spark, f"{sf}/events.parquet", 9)), str(tmp_path / "t"), str(tmp_path / "tcp"))
+    stream.drain(stream.throttled(stream.read_events(spark, str(tmp_path / "in"), 9)), str(tmp_path / "t"), str(tmp_path / "tcp"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == history.throttled(events.select("user_id", "event_id", "ts")).count()
