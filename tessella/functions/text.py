@@ -88,7 +88,7 @@ def heuristic_class(text: Column) -> Column:
 
 def resolved_type(given: Column, best: Column) -> Column:
     """An explicit type wins; else the heuristic one if its confidence min(n / 3, 1) is at least 0.6; else CUSTOM."""
-    sure = F.least(best["n"] / 3.0, F.lit(1.0)) >= 0.6
+    sure = best.isNotNull() & (F.least(best["n"] / 3.0, F.lit(1.0)) >= 0.6)
     return F.when(given.isNotNull() & (given != "CUSTOM"), given).when(sure, best["data_type"]).otherwise(F.coalesce(given, F.lit("CUSTOM")))
 
 
