@@ -37,12 +37,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near duplicates: the one with the smallest doc_id."""
-    told = ngram_join.join(docs)
-    # rows that share the smallest doc_id are told apart by their class; of equal ones the first stays
-    kept = told.where("n_shingles = 0 or component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    """Keeps one document of each component of near duplicates: the one with the smallest doc_id.
+
+    Rows that share a doc_id are kept or dropped together, equal rows stay once; documents without words stay.
+    """
+    told = tables.store(ngram_join.join(docs).select("doc_id", "n_shingles", "component_id", "key"), "components")
+    kept = told.where("n_shingles = 0 or component_id is null or doc_id = component_id").select(F.col("key").alias("_key")).distinct()
+    kept = tables.store(kept, "kept")
+    if kept.count() <= ngram_join.BROADCAST_ROWS:
+        kept = F.broadcast(kept)
     named = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    return _columns(named.join(kept.select("_key"), "_key", "left_semi"), docs)
+    out = named.join(kept, "_key", "left_semi")
+    if not told.groupBy("key").count().where("count > 1").isEmpty():
+        out = out.withColumn("_text", F.xxhash64("text")).dropDuplicates(["_key", "_text"])
+    return _columns(out, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
