@@ -102,7 +102,7 @@ def dup_seed_neighbours(spark: SparkSession, d: str) -> DataFrame:
 @query("dup_groups")
 def dup_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = filters.status(records(spark, d), "active")
-    return G.greedy_groups(G.duplicate_edges(rows, COS).select("a", "b", "sim"), rows, "source")
+    return G.greedy_groups(G.duplicate_edges(rows, 0.2).select("a", "b", "sim"), rows, "source")
 
 
 @query("graph_health", f"""WITH r AS (SELECT * FROM mem WHERE {LIVE} AND embedding IS NOT NULL), n AS (SELECT a.uuid, max({_SIM}) AS sim FROM r a JOIN r b ON a.data_type = b.data_type AND a.uuid <> b.uuid GROUP BY 1)
