@@ -48,12 +48,50 @@ def nearest_in_block(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.select("uuid").join(both.groupBy("uuid").agg(F.max("sim").alias("sim")), "uuid", "left")
 
 
+def best_matches(incoming: DataFrame, store: DataFrame) -> DataFrame:
+    """(uuid, match, sim): each incoming row's most similar other row of its data_type in the store, ties to the smaller match.
+
+    Both sides are dealt out in parts within a type; a task compares one part of each as matrices and returns one row
+    for each incoming row, so what is shuffled grows with the rows and parts, not with the pairs.
+    """
+
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.where("embedding is not null").select("uuid", "data_type", "embedding")
+        sizes = rows.groupBy("data_type").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(f"{name}s"))
+        return rows.join(sizes, "data_type").withColumn(name, F.pmod(F.xxhash64("uuid"), F.col(f"{name}s")).cast("int"))
+
+    a, b = dealt(incoming, "x"), dealt(store, "y")
+    xs, ys = a.select("data_type", "xs").distinct(), b.select("data_type", "ys").distinct()
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = a.join(ys, "data_type").withColumn("y", every("ys")).select("data_type", "x", "y", "uuid", "embedding", F.lit(True).alias("new"))
+    right = b.join(xs, "data_type").withColumn("x", every("xs")).select("data_type", "x", "y", "uuid", "embedding", F.lit(False).alias("new"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        def unit(rows: pd.DataFrame) -> np.ndarray:
+            m = np.array(rows["embedding"].tolist(), float)
+            norm = np.sqrt((m * m).sum(1))
+            return np.divide(m, norm[:, None], out=np.zeros_like(m), where=norm[:, None] > 0)
+
+        new, old = pdf[pdf["new"]], pdf[~pdf["new"]].sort_values("uuid")
+        if not len(new) or not len(old):
+            return pd.DataFrame({"uuid": [], "match": [], "sim": []})
+        sim = np.round(np.clip(unit(new) @ unit(old).T, -1, 1), 6)
+        ids, others = new["uuid"].to_numpy(), old["uuid"].to_numpy()
+        sim[ids[:, None] == others[None, :]] = -2
+        at = sim.argmax(1)  # the first of equal ones, so the smaller uuid
+        out = pd.DataFrame({"uuid": ids, "match": others[at], "sim": sim[np.arange(len(ids)), at]})
+        return out[out["sim"] >= -1]
+
+    each = left.union(right).groupBy("data_type", "x", "y").applyInPandas(compare, "uuid long, match long, sim double")
+    best = each.groupBy("uuid").agg(F.max(F.struct("sim", (-F.col("match")).alias("m"))).alias("best"))
+    return best.select("uuid", (-F.col("best.m")).alias("match"), F.col("best.sim").alias("sim"))
+
+
 def dedup_verdict(incoming: DataFrame, store: DataFrame, duplicate: float, possible: float) -> DataFrame:
-    """(uuid, match, sim, verdict) of each incoming row: its best match of the same type in the store (a block join by type)."""
-    pairs = incoming.select("uuid", "data_type", "embedding").join(store.select(F.col("uuid").alias("match"), "data_type", F.col("embedding").alias("e")), "data_type")
-    scored = pairs.where("embedding is not null and e is not null and uuid <> match").withColumn("sim", F.round(cosine(F.col("embedding"), F.col("e")), 6))
-    best = scored.groupBy("uuid").agg(F.max(F.struct("sim", (-F.col("match")).alias("m"))).alias("best"))
-    out = incoming.select("uuid").join(best, "uuid", "left").select("uuid", (-F.col("best.m")).alias("match"), F.col("best.sim").alias("sim"))
+    """(uuid, match, sim, verdict) of each incoming row: its best match of the same type in the store."""
+    out = incoming.select("uuid").join(best_matches(incoming, store), "uuid", "left")
     return out.withColumn("verdict", F.when(F.col("sim") >= duplicate, "duplicate").when(F.col("sim") >= possible, "possible_duplicate").otherwise("new"))
 
 
