@@ -10,7 +10,6 @@ vectorised gather.
 
 from __future__ import annotations
 
-import functools
 import os
 from collections.abc import Iterator
 
@@ -18,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import workers
+
 #: Chunks longer than this are encoded each time and not kept.
 LONGEST_KEPT = 48
 #: Entries of the chunk dictionary; it is emptied when full, which bounds memory.
@@ -133,7 +134,6 @@ class Encoder:
         return ids, ends[rows - 1]
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process."""
-    return Encoder(path)
+    """One encoder for each worker process, as long as it is in use."""
+    return workers.only(("encoder", path), lambda: Encoder(path))

@@ -19,7 +19,6 @@ that repeat are predicted alike; a long text is parsed whole; other columns are
 
 from __future__ import annotations
 
-import functools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tables
+from . import tables, workers
 
 #: Characters of sample text for a language, and for all languages together.
 SAMPLE_CHARS = 48_000
@@ -194,22 +193,21 @@ class Model:
         return langs, scores
 
 
-@functools.lru_cache(maxsize=2)
 def _model(samples: tuple[tuple[str, str], ...]) -> Model:
-    """One model for each worker process."""
-    return Model(dict(samples))
+    """One model for each worker process, as long as it is in use."""
+    return workers.only(("language", samples), lambda: Model(dict(samples)))
 
 
-def identify(docs: DataFrame, samples: dict[str, str], keep: list[str]) -> DataFrame:
+def identify(docs: DataFrame, samples: dict[str, str], keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of docs with lang_pred and score."""
     key = tuple(sorted(samples.items()))
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*keep, *([] if text in keep else [text]))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(key)
         for batch in batches:
-            langs, scores = model.predict(batch.column("_text").to_pylist())
+            langs, scores = model.predict(batch.column(text).cast(pa.string()).to_pylist())
             held = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*held, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
