@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     text, lang = (f"c{docs.columns.index(c)}" for c in ("text", "lang"))
     if not samples:  # nothing to learn from: only texts without a letter go
         return rows.where(F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}")).toDF(*docs.columns)
-    told = language.identify(rows.withColumn("text", F.col(text)), samples, rows.columns).where(F.col("lang_pred") != language.UNKNOWN)
+    told = language.identify(rows, samples, rows.columns, text).where(F.col("lang_pred") != language.UNKNOWN)
     return told.withColumn(lang, F.col("lang_pred")).drop("lang_pred", "score").toDF(*docs.columns)
 
 
