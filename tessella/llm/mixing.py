@@ -36,19 +36,24 @@ DRIVER_CELLS = 200_000
 NONE = "(none)"
 
 
+def _without(text: Column, characters: str, pattern: str) -> Column:
+    """How many of the characters a text has; it is gone through only if there is one."""
+    return F.when(text.rlike(pattern), F.length(text) - F.length(F.translate(text, characters, ""))).otherwise(0)
+
+
 def n_tokens(text: Column) -> Column:
     """Words of a text, the token weight of its document."""
-    flat = F.trim(F.translate(text, "\n\t\r", "   "))
-    single = F.regexp_replace(flat, " {2,}", " ")
+    flat = F.trim(F.replace(F.when(text.rlike("[\t\r]"), F.translate(text, "\t\r", "  ")).otherwise(text), F.lit("\n"), F.lit(" ")))
+    single = F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat)
     return F.when(F.coalesce(single, F.lit("")) == "", F.lit(0)).otherwise(F.length(single) - F.length(F.replace(single, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 def topic(text: Column) -> Column:
     """A genre by counts over the whole text."""
     n = F.greatest(F.length(text), F.lit(1))
-    digits = F.length(text) - F.length(F.translate(text, "0123456789", ""))
-    marks = F.length(text) - F.length(F.translate(text, "#$%&*=<>{}[]|@_/", ""))
-    lines = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
+    digits = _without(text, "0123456789", "[0-9]")
+    marks = _without(text, "#$%&*=<>{}[]|@_/", r"[#$%&*=<>{}\[\]|@_/]")
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     return (
         F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit("empty"))
         .when(digits * 50 > n, "numeric").when(marks * 50 > n, "markup")
