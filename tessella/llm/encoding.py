@@ -24,7 +24,7 @@ LONGEST_KEPT = 48
 #: Entries of the chunk dictionary; it is emptied when full, which bounds memory.
 MOST_KEPT = 1_500_000
 #: Bytes of text encoded at a time (one longer text still goes at once).
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 
 _PROBES = (
     "Plain words, and 12 more.\nA second  line\twith blanks",
@@ -125,11 +125,15 @@ class Encoder:
         at = words.indices.to_numpy(zero_copy_only=False)
         each = self._ids_of(words.dictionary.to_pylist())
         table = np.frombuffer(b"".join(each), self.dtype)
-        size = np.array([len(x) for x in each], np.int64) // self.dtype.itemsize
-        start = np.cumsum(size) - size
+        # a slice has fewer ids than 2**31: half the memory of 64-bit places
+        kind = np.int32 if len(part) == 0 or pc.sum(pc.binary_length(part)).as_py() < 1 << 29 else np.int64
+        size = np.array([len(x) for x in each], kind) // self.dtype.itemsize
+        start = np.cumsum(size, dtype=kind) - size
         sizes = size[at]
-        ends = np.cumsum(sizes)
-        ids = table[np.repeat(start[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(sizes, dtype=kind)
+        places = np.repeat(start[at] - (ends - sizes), sizes)
+        places += np.arange(len(places), dtype=kind)
+        ids = table[places]
         rows = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         return ids, ends[rows - 1]
 
