@@ -298,6 +298,11 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(score)], ["query", "node", "score"])
 
 
+def _ways(graph: DataFrame, reverse: int) -> DataFrame:
+    """(node, others): each node's neighbours and some that have it as theirs, so that nobody is out of reach."""
+    return _meetings(graph, reverse).groupBy(F.col("centre").alias("node")).agg(F.collect_list("node").alias("others"))
+
+
 def search(graph: DataFrame, base: DataFrame, starts: DataFrame, n: int, ef: int = EF, hops: int = HOPS) -> DataFrame:
     """(query, node, score): the best ef nodes that a greedy walk from each start (query: a node) finds, itself included."""
     spark = base.sparkSession
@@ -331,7 +336,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF) -
     # an id that isn't among its node's smallest has the same neighbours as those
     asked = tables.store(queries.select(F.col("vec_id").alias("query_id")).distinct().join(ids_of, F.col("query_id") == F.col("vec_id")).select("query_id", "node"), "asked")
     graph = build_graph(base, n)
-    found = search(graph, base, asked.select(F.col("node").alias("query")).distinct(), n, ef)
+    found = search(tables.store(_ways(graph, REVERSE // 2), "ways"), base, asked.select(F.col("node").alias("query")).distinct(), n, ef)
     # the score proper: from the original vectors, added up from the first component on
     zero = F.lit(0.0)
     product = F.aggregate(F.zip_with("q", "v", lambda a, b: F.coalesce(a * b, zero)), zero, lambda a, x: a + x)
