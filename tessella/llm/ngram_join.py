@@ -28,6 +28,7 @@ all are); an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,19 +37,19 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import components, shingles, tables
+from . import components, shingles, tables, workers
 
 PERCENT = 75
 #: n-grams sent to a range, about, and those a task combines before it sends them.
-RANGE_TOKENS = 1_500_000
-TASK_TOKENS = 4_000_000
+RANGE_TOKENS = 400_000
+TASK_TOKENS = 500_000
 #: A partner must share a part of the first n-grams: 1 in DEPTH of the set.
 DEPTH = 10
 FRAGMENTS = 8
 HASHES = 4
-CELLS = 1 << 18
+CELLS, ADDED = 1 << 22, 64
 #: Pairs of an n-gram that are joined as rows; beyond it, classes are compared in blocks of about so many.
-PAIRS, BLOCK = 10_000, 400
+PAIRS, BLOCK = 2_000, 400
 #: Classes whose names may be broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
 
@@ -72,6 +73,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "text")
 
 
+def _tidy(run):
+    """A function of a task's batches that leaves no large memory behind in its worker."""
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.none()
+        try:
+            yield from run(batches)
+        finally:
+            workers.trim()
+
+    return call
+
+
 _SENT = "range int, tokens binary, classes binary, known binary, counted binary, counts binary, kind int, a long, b long, c long"
 _SENT_ARROW = [("range", pa.int32()), *((c, pa.binary()) for c in ("tokens", "classes", "known", "counted", "counts")), ("kind", pa.int32()), *((c, pa.int64()) for c in "abc"), ("d", pa.int64())]
 
@@ -144,6 +158,8 @@ def _count_range(table: pa.Table) -> pa.Table:
     many |= np.bincount(run[known], minlength=len(many)) > 0
     credit = own[many[run] & ~again & ~known] if len(run) else own
     who, often = np.unique(np.r_[credit, np.repeat(join("counted", np.int64), join("counts", np.int64))], return_counts=True)
+    del tokens, own, known, order, run, credit
+    workers.trim()
     made = pa.table({"kind": pa.array(np.zeros(len(who), np.int32)), "a": pa.nulls(len(who), pa.int64()), "b": pa.array(who), "c": pa.array(often.astype(np.int64)), "d": pa.nulls(len(who), pa.int64())})
     return pa.concat_tables([about.cast(made.schema), made])
 
@@ -151,13 +167,13 @@ def _count_range(table: pa.Table) -> pa.Table:
 def sketch(docs: DataFrame) -> DataFrame:
     """kind 1: a document (a doc_id, b class, c size of its set, d key); kind 0: class b shares c n-grams in one range."""
     # about 0.35 of the shingles, one for six characters
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    chars = tables.pick(docs, "text").agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, int(chars * 0.06 / RANGE_TOKENS) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _sketch_rows(parts, batches)
 
-    sent = _keyed(docs).mapInArrow(run, _SENT + ", d long")
+    sent = _keyed(docs).mapInArrow(_tidy(run), _SENT + ", d long")
     return tables.store(sent.groupBy("range").applyInArrow(_count_range, "kind int, a long, b long, c long, d long"), "sketch")
 
 
@@ -178,27 +194,36 @@ def token_sets(docs: DataFrame, sketched: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["class", "n", "tokens"])
 
-    sets = _keyed(docs).join(chosen, "key").select("class", "text").mapInArrow(run, "class long, n long, tokens binary")
+    sets = _keyed(docs).join(chosen, "key").select("class", "text").mapInArrow(_tidy(run), "class long, n long, tokens binary")
     return tables.store(sets, "sets", codec="uncompressed")
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:
-    """How often n-grams fall into each of CELLS cells: a table of fixed size, whatever the input."""
+    """How often n-grams fall into each of CELLS cells: a table of fixed size, whatever the input, added up ADDED tables at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+        from pyspark import TaskContext
+
+        cells = np.zeros(CELLS, np.int32)
         for batch in batches:
-            for t in batch.column("tokens").to_pylist():
-                cells += 0 if not t else np.bincount(_cell(np.frombuffer(t, np.uint64)), minlength=CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([cells.tobytes()], pa.binary())], ["group", "cells"])
+            if batch.num_rows:
+                cells += np.bincount(_cell(np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint64)), minlength=CELLS).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())], ["part", "cells"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, np.int64) for x in table["cells"].to_pylist()], axis=0)
-        return pa.table({"group": pa.array([0], pa.int32()), "cells": pa.array([total.astype(np.int64).tobytes()], pa.binary())})
+        total = np.zeros(CELLS, np.int64)
+        for x in table["cells"].to_pylist():
+            total += np.frombuffer(zlib.decompress(x), np.int32)
+        total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
+        return pa.table({"part": pa.array([table["grp"][0].as_py()], pa.int32()), "cells": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    each = sets.select("tokens").mapInArrow(run, "group int, cells binary")
-    rows = each.groupBy("group").applyInArrow(add, "group int, cells binary").collect()
-    return np.frombuffer(rows[0]["cells"], np.int64) if rows else np.zeros(CELLS, np.int64)
+    rows = tables.store(sets.select("tokens").mapInArrow(_tidy(run), "part int, cells binary"), "cells", codec="uncompressed")
+    parts = rows.agg(F.max("part")).first()[0] or 0
+    while parts > 0:
+        rows = tables.store(rows.withColumn("grp", F.floor(F.col("part") / ADDED).cast("int")).groupBy("grp").applyInArrow(add, "part int, cells binary"), "cells", codec="uncompressed")
+        parts //= ADDED
+    row = rows.first()
+    return np.frombuffer(zlib.decompress(row["cells"]), np.int32) if row else np.zeros(CELLS, np.int32)
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
@@ -222,7 +247,7 @@ def _leaders(sets: DataFrame, cells: np.ndarray) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["sign", "class", "central"])
 
-    signs = sets.select("class", "tokens").mapInArrow(run, "sign long, class long, central double")
+    signs = sets.select("class", "tokens").mapInArrow(_tidy(run), "sign long, class long, central double")
     first = signs.groupBy("sign").agg(F.max(F.struct("central", "class")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("sign", F.col("lead.class").alias("a"))
     met = signs.join(first, "sign").where("a <> class")
     return met.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
@@ -265,11 +290,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
     fits = tables.store(fits, "fits")
     ends = _small(tables.store(fits.select(F.col("b").alias("class")).distinct(), "ends"))
-    pieces = lambda some: some.mapInArrow(cut, "class long, n long, range int, tokens binary")
+    pieces = lambda some: some.mapInArrow(_tidy(cut), "class long, n long, range int, tokens binary")
     x = pieces(sets).select(F.col("class").alias("a"), "range", F.col("tokens").alias("x")).join(_small(fits), "a")
     y = pieces(sets.join(ends, "class", "left_semi")).select(F.col("class").alias("b"), "range", F.col("tokens").alias("y"))
     xy = x.join(y, ["b", "range"])
-    partial = xy.select("a", "b", "na", "nb", "x", "y").mapInArrow(count, "a long, b long, na long, nb long, o long")
+    partial = xy.select("a", "b", "na", "nb", "x", "y").mapInArrow(_tidy(count), "a long, b long, na long, nb long, o long")
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return summed.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * PERCENT).select("a", "b")
 
@@ -288,7 +313,7 @@ def _across(sets: DataFrame, cells: np.ndarray, labels: DataFrame) -> tuple[Data
                 first = t[np.lexsort((t, cells[_cell(t)]))[: n - needed(n) + 1]].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), name)), pa.array(np.full(len(first), n)), pa.array(np.arange(len(first)))], ["token", "class", "n", "at"])
 
-    rows = sets.mapInArrow(_joined(run), "token long, class long, n long, at long")
+    rows = sets.mapInArrow(_tidy(_joined(run)), "token long, class long, n long, at long")
     known = labels.select(F.col("node").alias("class"), "component")
     known = F.broadcast(known) if labels.count() <= BROADCAST_ROWS else known
     rows = rows.join(known, "class", "left").withColumn("component", F.coalesce("component", "class"))

@@ -90,9 +90,8 @@ def set_hash(tokens: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def of_column(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray]]:
+def of_column(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
     """(row, its shingle set) of a string column."""
-    workers.none()
     for at, part in encoding.slices(column, most):
         for k, tokens in enumerate(shingle_sets([t or b"" for t in part.cast(pa.binary()).to_pylist()])):
             yield at + k, tokens

@@ -23,3 +23,16 @@ def only(key: Hashable, make: Callable[[], Any]) -> Any:
 def none() -> None:
     """Lets go of whatever is held."""
     _held.clear()
+
+
+def trim() -> None:
+    """Gives memory that is no longer used back to the system; called when a task with large arrays ends."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
