@@ -178,14 +178,15 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """(class, n, tokens) of the classes that may have a partner."""
-    about = sketched.where("kind = 1 and c > 0").groupBy("b").agg(F.min("d").alias("key"), F.first("c").alias("n"))
+    """(class, n, tokens) of the classes that may have a partner, each once."""
+    # how many rows have a class's key: those that repeat (doc_id and text) all come out of the join below
+    about = sketched.where("kind = 1 and c > 0").groupBy("b", "d").agg(F.first("c").alias("n"), F.count("*").alias("m"))
+    about = about.groupBy("b").agg(F.min(F.struct("d", "n", "m")).alias("x")).select("b", F.col("x.d").alias("key"), F.col("x.n").alias("n"), F.col("x.m").alias("m"))
     shared = sketched.where("kind = 0").groupBy("b").agg(F.sum("c").alias("shared"))
     least = F.floor((F.col("n") * PERCENT + 99) / 100)
     bound = F.greatest(F.lit(1), F.floor(least / DEPTH))
-    chosen = about.join(shared, "b").where(F.col("shared") >= bound).select("key", F.col("b").alias("class"))
+    chosen = about.join(shared, "b").where(F.col("shared") >= bound).select("key", F.col("b").alias("class"), "m")
     chosen = tables.store(chosen, "chosen")
-    chosen = _small(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +195,15 @@ def token_sets(docs: DataFrame, sketched: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["class", "n", "tokens"])
 
-    sets = _keyed(docs).join(chosen, "key").select("class", "text").mapInArrow(_tidy(run), "class long, n long, tokens binary")
+    def of(some: DataFrame) -> DataFrame:
+        return _keyed(docs).join(some, "key").select("class", "text").mapInArrow(_tidy(run), "class long, n long, tokens binary")
+
+    repeated = chosen.where("m > 1")
+    if repeated.isEmpty():
+        sets = of(_small(chosen))
+    else:
+        # only sets of rows that repeat are shuffled, one for each task that has a copy
+        sets = of(_small(chosen.where("m = 1"))).union(of(_small(repeated)).dropDuplicates(["class"]))
     return tables.store(sets, "sets", codec="uncompressed")
 
 

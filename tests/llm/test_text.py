@@ -185,6 +185,17 @@ def test_ngram_join(spark, monkeypatch, pairs):
     assert key(got) == key(jaccard_components(rows))
 
 
+def test_ngram_join_counts_a_repeated_row_once(spark):
+    a, b, c = prose(60, 300).split(" "), prose(61, 300).split(" "), prose(62, 300).split(" ")
+    mixed = " ".join(a[:150] + b[:150])  # a third of the n-grams of both are shared: Jaccard 0.33
+    rows = [(1, " ".join(a)), (1, " ".join(a)), (1, " ".join(a)), (2, mixed), (None, " ".join(c)), (None, " ".join(c)), (3, " ".join(c[:160] + b[150:])), (4, " ".join(a[:299]) + " end")]
+    docs = frame(spark, [(i, t, "en", "s", 1, "c", "c", 1, "k", "x") for i, t in rows])
+    got = ngram_join.join(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert key(got) == key(jaccard_components(rows))
+    sets = ngram_join.token_sets(docs, ngram_join.sketch(docs))
+    assert sets.count() == sets.select("class").distinct().count() > 0
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.join(frame(spark, [])).count() == 0
 
