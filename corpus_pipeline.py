@@ -31,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines of recurring templates; a document of which no line is left goes, as all its lines are kept elsewhere."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, short=True)
     left = F.length(F.trim(F.col("text"))) > 0
     return _columns(out.where(left).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)), docs)
 

@@ -5,8 +5,10 @@ Each line walks a tree of fixed depth: its number of tokens, then its first
 with differing lines, the tokens that most of its lines share at a position make the
 leaf's template, other positions become wildcards; lines close enough to it belong to it.
 All other lines are templates of their own (with their digits generalised). A template
-recurs if it is in at least ``min_docs`` documents and has ``LEAST_CONSTANT`` constant
-tokens. Of a recurring template, the first line in order of (doc_id, text hash, line)
+recurs if it is in at least ``min_docs`` documents. A line with fewer than
+``LEAST_CONSTANT`` constant tokens (short ones, mostly numbers, scripts without blanks)
+isn't generalised: its template is its verbatim text, which counts as any other with
+``short``, as in the query and the pipeline, and never recurs without. Of a recurring template, the first line in order of (doc_id, text hash, line)
 stays, all others are dropped, so whatever was said is still said once.
 
 Only hashes and counts of lines are shuffled; token positions are looked at only for
@@ -47,23 +49,24 @@ def _count(text: Column, what: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line_no, masked, n_tokens, leaf, own, enough) of each line that isn't blank.
+    """(doc_id, th, line_no, masked, n_tokens, leaf, own, enough) of each line that isn't blank; own is by the verbatim text if not enough.
 
     What concerns a text is worked out before its lines are laid out, so it is done once a text.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.split(masked(F.col("text")), "\n", -1).alias("all"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.arrays_zip(F.split(masked(F.col("text")), "\n", -1).alias("masked"), F.split("text", "\n", -1).alias("line")).alias("all"))
     # the outer form, as for the other one Spark splits each text once more to see whether it has lines
-    rows = rows.select("doc_id", "th", F.posexplode_outer("all").alias("line_no", "masked")).where(F.length(F.trim(F.col("masked"))) > 0)
+    rows = rows.select("doc_id", "th", F.posexplode_outer("all").alias("line_no", "x")).select("doc_id", "th", "line_no", "x.masked", "x.line").where(F.length(F.trim(F.col("masked"))) > 0)
     n = _count(F.col("masked"), " ") + 1
     leaf = F.xxhash64(n, F.substring_index("masked", " ", LEADING))
     enough = n - _count(F.col("masked"), WILD) >= LEAST_CONSTANT
-    return rows.select("doc_id", "th", "line_no", "masked", n.alias("n_tokens"), leaf.alias("leaf"), F.xxhash64("masked", F.lit("line")).alias("own"), enough.alias("enough"))
+    own = F.when(enough, F.xxhash64("masked", F.lit("line"))).otherwise(F.xxhash64("line", F.lit("verbatim")))
+    return rows.select("doc_id", "th", "line_no", "masked", n.alias("n_tokens"), leaf.alias("leaf"), own.alias("own"), enough.alias("enough"))
 
 
 def leaf_lines(docs: DataFrame, index: DataFrame) -> DataFrame:
     """(leaf, own, masked, n) of the different lines, with their numbers, in leaves that hold differing lines of several documents."""
     mixed = (
-        index.groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.min(F.struct("doc_id", "th")).alias("c"), F.max(F.struct("doc_id", "th")).alias("d"))
+        index.where("enough").groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.min(F.struct("doc_id", "th")).alias("c"), F.max(F.struct("doc_id", "th")).alias("d"))
         .where("a <> b and not (c <=> d)").select("leaf")
     )
     mixed = tables.store(mixed, "leaves")
@@ -100,9 +103,10 @@ def assigned(docs: DataFrame, index: DataFrame) -> DataFrame:
     return generalised.select("doc_id", "th", "line_no", F.when(F.col("in_leaf"), F.col("leaf")).otherwise(F.col("own")).alias("template_id"))
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, short: bool = False) -> DataFrame:
     """(doc_id, th, line_no) of the lines to drop."""
-    index = tables.store(_lines(docs).select("doc_id", "th", "line_no", "leaf", "own", "enough"), "lines").where("enough")
+    index = tables.store(_lines(docs).select("doc_id", "th", "line_no", "leaf", "own", "enough"), "lines")
+    index = index if short else index.where("enough")
     lines = tables.store(assigned(docs, index), "assigned")
     place = F.struct("doc_id", "th", "line_no")
     # one row for a document and template first, so that a frequent template is counted in parts
@@ -112,10 +116,10 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return met.select("doc_id", "th", "line_no")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, short: bool = False) -> DataFrame:
     """docs with the recurring lines gone from text, and n_lines, n_dropped added (not where docs have such columns)."""
     plain = tables.doc_columns(docs)
-    out = dropped_lines(plain, min_docs).distinct().groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone"))
+    out = dropped_lines(plain, min_docs, short).distinct().groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone"))
     # columns go by place, whatever their names
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     name, text = F.col(f"c{docs.columns.index('doc_id')}").cast("long"), F.col(f"c{docs.columns.index('text')}").cast("string")
@@ -132,4 +136,4 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(tables.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(tables.read(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
