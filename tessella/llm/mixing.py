@@ -3,7 +3,9 @@
 Token counts are summed by cell (source, language, topic). Raking then scales the cells'
 weights until their sums match a target share for every source, language and topic, and
 each document is sampled with its cell's calibrated probability: the cell's target over
-its tokens, scaled so that the largest is 1 (or by ``scale``, never above 1).
+its tokens, by ``scale``, never above 1. Unless given, the scale is the largest at which,
+in each dimension, at most ``MARGIN`` of the kept tokens are in other categories than
+raked; so it follows from the mass of tokens, and cells of a few can't set it.
 
 A target is, unless given, the observed share to a power below 1: small sources,
 languages and topics are raised, the mix stays near what there is. The topic of a
@@ -33,6 +35,8 @@ POWERS = {"source": 0.8, "lang": 0.9, "topic": 0.9}
 ROUNDS = 60
 TOLERANCE = 1e-9
 DRIVER_CELLS = 200_000
+#: Share of the kept tokens that capped probabilities may move between categories; scales tried in a pass, and passes.
+MARGIN, STEPS, PASSES = 0.01, 24, 3
 NONE = "(none)"
 
 
@@ -140,13 +144,36 @@ def cell_weights(cells: DataFrame, targets: dict[str, DataFrame] | None = None,
     return spark.createDataFrame(made, "source string, lang string, topic string, tokens long, w double")
 
 
+def fitting_scale(ratio: DataFrame, margin: float = MARGIN) -> float:
+    """The largest scale of ratio's weights at which capped probabilities keep each dimension's shares within the margin."""
+    some = ratio.where("weight > 0").select(*DIMENSIONS, "tokens", "weight", "w")
+    most, least, whole = some.agg(F.max("weight"), F.min("weight"), F.sum("w")).first()
+    if most is None:
+        return 1.0
+    low, high = 1 / most, 1 / least
+    each = some.withColumn("x", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(d).alias("c")) for d in DIMENSIONS])))
+    for _ in range(PASSES):
+        if low >= high:
+            break
+        scales = [low * (high / low) ** (i / STEPS) for i in range(STEPS + 1)]
+        kept = [F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * s)).alias(f"k{i}") for i, s in enumerate(scales)]
+        total = some.agg(*kept).first()
+        sums = each.groupBy("x").agg(F.sum("w").alias("w"), *kept)
+        gaps = sums.groupBy("x.d").agg(*[(F.sum(F.abs(F.col(f"k{i}") / total[i] - F.col("w") / whole)) / 2).alias(f"g{i}") for i in range(STEPS + 1)])
+        gaps = gaps.agg(*[F.max(f"g{i}") for i in range(STEPS + 1)]).first()
+        # nothing is capped at the first
+        best = max(i for i, gap in enumerate(gaps) if i == 0 or gap <= margin)
+        low, high = scales[best], scales[min(best + 1, STEPS)]
+    return low
+
+
 def cell_probabilities(described_docs: DataFrame, targets: dict[str, DataFrame] | None = None, scale: float | None = None) -> tuple[DataFrame, bool]:
     """((source, lang, topic, weight, probability), whether they are few enough to broadcast)."""
     cells = tables.store(described_docs.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     weighed = cell_weights(cells, targets)
     total = float(weighed.agg(F.sum("tokens")).first()[0] or 1)
     ratio = weighed.withColumn("weight", F.col("w") * total / F.col("tokens"))
-    factor = scale if scale else 1 / float(ratio.agg(F.max("weight")).first()[0] or 1)
+    factor = scale if scale else fitting_scale(ratio)
     ratio = ratio.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") * factor).alias("probability"))
     return ratio, cells.count() <= DRIVER_CELLS
 

@@ -236,6 +236,22 @@ def test_mixing(spark, sf):
     assert {r.doc_id for r in mixing.mix(docs).collect()} == {r.doc_id for r in rows if r.selected}
 
 
+@pytest.mark.parametrize("driver_cells", [200_000, 0])
+def test_mixing_scale_follows_from_the_mass(spark, monkeypatch, driver_cells):
+    monkeypatch.setattr(mixing.cell_weights, "__defaults__", (None, 8, mixing.TOLERANCE, driver_cells))
+    rows = [(i, prose(i, 300), "en" if i % 5 else "de", "big" if i % 4 else "small", 1, "c", "c", 1, "k", "x") for i in range(200)]
+    kept = []
+    for more in ([], [(999, prose(999, 10), "en", "stray", 1, "c", "c", 1, "k", "x")]):
+        out = mixing.probabilities(frame(spark, rows + more)).collect()
+        expected = [r.n_tokens * r.probability for r in out]
+        kept.append(sum(expected) / sum(r.n_tokens for r in out))
+        raked = [r.n_tokens * r.weight for r in out]
+        for d in mixing.DIMENSIONS:
+            share = lambda x, c: sum(v for v, r in zip(x, out) if r[d] == c) / sum(x)
+            assert sum(abs(share(expected, c) - share(raked, c)) for c in {r[d] for r in out}) / 2 <= mixing.MARGIN + 1e-6
+    assert kept[1] > 0.95 * kept[0] > 0.5
+
+
 def test_mixing_cases(spark):
     out = mixing.probabilities(frame(spark)).collect()
     assert len(out) == len(base_rows()) and {r.probability for r in out if r.n_tokens == 0} == {1.0}
