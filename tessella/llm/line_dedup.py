@@ -4,7 +4,9 @@ Each line walks a tree of fixed depth: its number of tokens, then its first
 ``LEADING`` tokens, where a token with a digit counts as the wildcard ``<*>``. In a leaf
 with differing lines, the tokens that most of its lines share at a position make the
 leaf's template, other positions become wildcards; lines close enough to it belong to it.
-All other lines are templates of their own (with their digits generalised). A template
+What is left of a leaf is dealt out to several templates: a line's tokens that are rare at
+their positions, next to those that ``CLOSE`` of its tokens reach, become wildcards, and lines
+that are equal then have a template. All other lines are templates of their own (with their digits generalised). A template
 recurs if it is in at least ``min_docs`` documents. A line with fewer than
 ``LEAST_CONSTANT`` constant tokens (short ones, mostly numbers, scripts without blanks)
 isn't generalised: its template is its verbatim text, which counts as any other with
@@ -89,8 +91,29 @@ def leaf_templates(lines: DataFrame) -> DataFrame:
     return template.where((constant >= LEAST_CONSTANT) & (constant >= CLOSE * F.size("template")))
 
 
+def leaf_groups(lines: DataFrame) -> DataFrame:
+    """(leaf, own, template) of the lines that are equal to others of their leaf in all but tokens that are rare at their positions."""
+    tokens = lines.select("leaf", "own", "n", F.split("masked", " ", -1).alias("all")).select("leaf", "own", "n", F.posexplode_outer("all").alias("at", "token"))
+    tokens = tokens.withColumn("key", F.xxhash64("leaf", "at", "token"))
+    votes = tables.store(tokens.where(F.col("token") != WILD).groupBy("key").agg(F.sum("n").alias("v")).where("v > 1"), "votes")
+    if votes.count() <= BROADCAST_ROWS:
+        votes = F.broadcast(votes)
+    place = F.struct("at", F.coalesce("v", F.lit(0)).alias("v"), "token")
+    # as many rows for a line as it has tokens
+    each = tokens.join(votes, "key", "left").groupBy("leaf", "own").agg(F.sort_array(F.collect_list(place)).alias("t"))
+    # what so many of the line's tokens reach is at least the number of lines of a template that has them
+    reached = F.element_at(F.sort_array(F.transform("t", lambda x: x["v"]), asc=False), F.ceil(CLOSE * F.size("t")).cast("int"))
+    # through an array of one, so that it is worked out once a line
+    once = F.array(F.struct("t", reached.alias("q")))
+    kept = F.transform(once, lambda s: F.when(s["q"] > 1, F.transform(s["t"], lambda x: F.when(x["v"] > AGREE * s["q"], x["token"]).otherwise(WILD))))[0]
+    groups = each.select("leaf", "own", kept.alias("template")).where(F.size(F.filter("template", lambda x: x != WILD)) >= LEAST_CONSTANT)
+    groups = tables.store(groups.select("leaf", "own", F.xxhash64("leaf", "template").alias("template")), "groups")
+    several = groups.groupBy("template").count().where("count > 1").select("template")
+    return groups.join(several, "template", "left_semi").select("leaf", "own", "template")
+
+
 def assigned(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """index with the id of each line's template: its leaf's, if it is close to that, else its own."""
+    """index with the id of each line's template: its leaf's, if it is close to that, else its group's in the leaf, else its own."""
     lines = leaf_lines(docs, index)
     template = tables.store(leaf_templates(lines), "templates")
     # a wildcard of the template agrees with anything
@@ -99,8 +122,11 @@ def assigned(docs: DataFrame, index: DataFrame) -> DataFrame:
     near = tables.store(lines.join(template, "leaf").where(agree >= CLOSE * F.size("template")).select("leaf", "own"), "near")
     if near.count() <= BROADCAST_ROWS:
         near = F.broadcast(near)
-    generalised = index.join(near.withColumn("in_leaf", F.lit(True)), ["leaf", "own"], "left")
-    return generalised.select("doc_id", "th", "line_no", F.when(F.col("in_leaf"), F.col("leaf")).otherwise(F.col("own")).alias("template_id"))
+    groups = leaf_groups(lines.join(near, ["leaf", "own"], "left_anti"))
+    both = tables.store(near.select("leaf", "own", F.col("leaf").alias("template")).union(groups), "generalised")
+    if both.count() <= BROADCAST_ROWS:
+        both = F.broadcast(both)
+    return index.join(both, ["leaf", "own"], "left").select("doc_id", "th", "line_no", F.coalesce("template", "own").alias("template_id"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, short: bool = False) -> DataFrame:

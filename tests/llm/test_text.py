@@ -134,6 +134,16 @@ def test_line_dedup_counts_short_lines_verbatim(spark, tmp_path):
     assert {r.doc_id: r.text for r in stage.collect()} == {i: t for i, (t, _) in got.items()}
 
 
+@pytest.mark.parametrize("more", [0, 2])
+def test_line_dedup_several_templates_of_a_leaf(spark, more):
+    sent, printed = "This text was kindly sent to us by {} from the far north", "This text was printed for the schools of {} and other good towns"
+    texts = [sent.format(f"name{c}") for c in "abc" + "xy"[:more]] + [printed.format(f"town{c}") for c in "abc"]
+    others = ["This text was " + " ".join(f"{a}{b}" for b in "abcdefghij") for a in "pqr"]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(lines(spark, enumerate(texts + others)), short=True).collect()}
+    first = {0, 3 + more, *range(len(texts), len(texts + others))}
+    assert {i for i, t in got.items() if t} == first
+
+
 def test_line_dedup_keeps_columns_and_repeats(spark):
     docs = frame(spark, [(1, "words of a line that two have in common", "en", "s", 1, "c", "c", 1, "k", "x")] * 2 + [(2, "words of a line that two have in common", "en", "s", 1, "c", "c", 1, "k", "x")])
     got = line_dedup.dedup_lines(docs)
