@@ -18,6 +18,7 @@ empty table yields an empty store; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +30,17 @@ from pyspark.sql import functions as F
 from . import encoding, tables
 
 BLOCK_TOKENS = 1 << 20
-ROUNDS = 5
-LEAST_COUNT = 12
+LEAST_COUNT = 2
 STORE_SCHEMA = (
     "part int, block int, before long, n_tokens long, doc_id array<bigint>, doc_tokens array<int>, "
     "base int, rules binary, lengths binary, symbols binary"
 )
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, rounds: int | None = None, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, expansion lengths, symbols) of a Re-Pair grammar; ids are below ``base``.
 
+    Rounds go on (at most ``rounds``) until no pair is there ``least`` times or nonterminals run out.
     16-bit symbols are used as long as base leaves room for nonterminals, else 32-bit.
     """
     kind, half, top = (np.uint16, np.uint32(16), 1 << 16) if base < (1 << 16) - 1024 else (np.uint32, np.uint64(32), 1 << 32)
@@ -48,7 +49,7 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
     rules = np.zeros((0, 2), kind)
     lengths = np.zeros(0, np.uint32)
     width = 18
-    for turn in range(rounds):
+    for turn in itertools.count() if rounds is None else range(rounds):
         room = min(top - base - len(rules), 1 << 14)
         if len(seq) < 2 or room <= 0:
             break
@@ -58,7 +59,7 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
         counts = np.diff(np.r_[first, len(ordered)])
         often = np.flatnonzero(counts >= least)
         # later rounds need nonterminals too
-        most = max(1, room // 2 if turn < rounds - 1 else room)
+        most = max(1, room // 2 if rounds is None or turn < rounds - 1 else room)
         if len(often) > most:
             often = often[np.argpartition(-counts[often], most - 1)[:most]]
         often = often[np.argsort(-counts[often], kind="stable")]

@@ -43,6 +43,15 @@ def test_grammar_round_trip(ids, rounds):
         assert len(symbols) < len(ids)
 
 
+@pytest.mark.parametrize("base", [500, 90000])
+def test_grammar_is_complete(base):
+    ids = np.tile(np.arange(500, dtype=np.uint32), 4)
+    rules, lengths, symbols = token_store.compress(ids, base)
+    assert (token_store.Grammar(base, rules, lengths).expand(symbols) == ids).all() and lengths.max() > 400
+    pairs = list(zip(symbols[:-1].tolist(), symbols[1:].tolist()))
+    assert len(symbols) < 20 and len(set(pairs)) == len(pairs)
+
+
 def test_wide_symbols():
     ids = np.array([70000, 80000, 70000, 80000] * 50, np.uint32)
     rules, lengths, symbols = token_store.compress(ids, 90000)
