@@ -1,18 +1,24 @@
 """Approximate nearest neighbours (operator 10): NN-descent and greedy graph search.
 
 ``build_graph`` keeps for every distinct vector its K best neighbours so far. It starts
-from leaves of a few random-hyperplane trees (planes from a bounded sample of vectors,
-``SAMPLE``; every vector is placed), where neighbours are found by matrix products. Then
-NN-descent: in each round every vector's neighbours and a bounded number of reverse
-neighbours meet, and any two of them of which one is new are scored and offered to each
-other. ``search`` walks the graph from each query's own vector: the best EF nodes are
-kept, the unvisited ones among them expanded, until none is left.
-
-Nearness is the inner product. Vectors get one more component, so that all have the same
-norm while the graph is built (largest inner product then means nearest); scores of
-queries don't use it. Final scores are computed from the original vectors in double
-precision. Equal vectors are one node; a node lists its smallest ids, as many as a
-result can hold.
+from groups of about ``LEAF`` vectors, dealt by a hash and by the leaves of ``TREES``
+random-hyperplane trees, which give each vector a rough first list. Then NN-descent: in each round every vector's neighbours
+and at most ``REVERSE`` of those that have it as one meet, and any two of them of which one
+is new are scored and offered to each other; rounds go on until one improves fewer than
+``DELTA`` of the lists' entries. ``search`` walks the graph from each query's own vector and
+the ``ENTRIES`` longest ones: the best EF nodes are kept and the best unvisited ones among
+them expanded, until none is left.
+
+Nearness is the inner product. While the graph is built, vectors have one more component, so
+that all have the same norm and the largest inner product means nearest; that distance is
+worked out from unit vectors, norms and differences of the last components, so that neither
+the scale of the vectors nor a few very long ones cost precision. Final scores are computed
+from the original vectors in double precision. Equal vectors are one node; a node lists its
+smallest ids, as many as a result can hold.
+
+The tree's upper levels use planes through a bounded sample (``SAMPLE``), the lower ones, as
+many as the number of vectors asks for, seeded directions; leaves that stay large are dealt out
+in parts. Every vector is placed; the trees are only a start, and recall comes from the rounds.
 
 Defined cases: null and zero vectors and those with null or non-finite components take
 no part, nor do null ids; rows that repeat a vec_id count once (the smallest vector);
@@ -23,7 +29,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,53 +39,69 @@ from pyspark.sql import functions as F
 
 from . import tables
 
-K = 32
-REVERSE = 32
-TREES = 16
-LEAF = 2048
+K = 40
+REVERSE = 40
+TREES = 2
+LEAF = 64
 SAMPLE = 8192
-ROUNDS = 2
+#: Levels of a tree whose planes go through the sample; its leaves then hold about 16 sampled vectors.
+SAMPLED_LEVELS = 9
 #: A round that improves fewer than this share of all neighbour lists' entries is the last.
-DELTA = 0.01
-EF = 112
-HOPS = 12
+DELTA = 0.002
+EF = 192
+#: Nodes of a query that are expanded in a step, and the longest vectors that every query starts from.
+EXPANDED, ENTRIES = 32, 16
 #: Bytes of vectors that may be broadcast; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 48 << 20
+#: Rows that the local join takes together, and scores it has at a time.
+TOGETHER, SCORES = 60_000, 2_000_000
 
 
-def nodes(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """((node, vec, pad), (node, vec_id), (node, vec_id), (node, v)): distinct vectors as float32 bytes, the k smallest
-    ids of each, all ids, and the vectors as they are."""
+def _kind(size: int, bits: str) -> np.dtype:
+    """A vector as stored: its norm (of the largest), the component that makes all norms equal, and its direction."""
+    return np.dtype([("norm", "<f8"), ("pad", "<f8"), ("unit", bits, (size,))])
+
+
+def nodes(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """((node, norm, vec), (node, vec_id), (node, vec_id), (node, v), size): distinct vectors in stored form, the k
+    smallest ids of each, all ids, the vectors as they are, and the most components of one."""
     usable = F.size("v") > 0
     usable &= ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     rows = rows.where(usable).groupBy("vec_id").agg(F.min("v").alias("v"))
     rows = tables.store(rows, "vectors")
     named = tables.store(rows.groupBy("v").agg(F.min("vec_id").alias("node")), "nodes")
-    size, norm = named.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    # the norm in two factors, as squares of very large or small components are out of range
+    parts = named.select("node", "v", largest.alias("a")).withColumn("b", F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + (x / F.col("a")) * (x / F.col("a")))))
+    size, most = (x or 1 for x in named.agg(F.max(F.size("v")), F.max(largest)).first())
+    longest = parts.agg(F.max(F.col("a") / F.lit(most) * F.col("b"))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = _kind(size, "<f4")
         for batch in batches:
-            out, pads = [], []
-            for v in batch.column("v").to_pylist():
-                x = np.zeros(size, np.float32)
-                x[: len(v)] = v
-                out.append(x.tobytes())
-                pads.append(math.sqrt(max(0.0, norm - float(np.dot(x.astype(float), x.astype(float))))))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary()), pa.array(pads, pa.float64())], ["node", "vec", "pad"])
-
-    base = tables.store(named.select("node", "v").mapInArrow(run, "node long, vec binary, pad double"), "base")
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            out = np.zeros(batch.num_rows, kind)
+            for i, v in enumerate(batch.column("v").to_pylist()):
+                out["unit"][i, : len(v)] = np.array(v) / a[i] / b[i]
+            norm = np.minimum(a / most * b / longest, 1.0)
+            out["norm"], out["pad"] = norm, np.sqrt((1 - norm) * (1 + norm))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(norm), pa.array([r.tobytes() for r in out], pa.binary())], ["node", "norm", "vec"])
+
+    base = tables.store(parts.select("node", "v", "a", "b").mapInArrow(run, "node long, norm double, vec binary"), "base")
     several = tables.store(named.join(rows, "v").select("node", "vec_id"), "ids")
+    tables.drop(rows)
     members = several.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= k).drop("r")
-    return base, tables.store(members, "members"), several, named
+    return base, tables.store(members, "members"), several, named, int(size)
+
 
+def _rows(column: pa.Array, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
-def _matrix(column: pa.Array, kind: str = "<f4") -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    flat = np.frombuffer(b"".join(column.to_pylist()), kind)
-    return flat.reshape(n, -1) if n else flat.reshape(0, 1)
+
+def _placed(rows: np.ndarray) -> np.ndarray:
+    """Vectors with their last component, all of norm 1: what planes cut."""
+    return np.concatenate([rows["unit"].astype(np.float32) * rows["norm"].astype(np.float32)[:, None], rows["pad"].astype(np.float32)[:, None]], 1)
 
 
 def _planes(sample: np.ndarray, trees: int, depth: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
@@ -109,54 +131,50 @@ def _leaves(x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> np.nd
     return at
 
 
-def _with_pad(x: np.ndarray, pad: np.ndarray) -> np.ndarray:
-    return np.concatenate([x, pad[:, None].astype(np.float32)], 1)
-
-
 _OFFER = "node long, other long, score float, fresh boolean"
 _LISTS = "node long, others array<bigint>, scores array<float>, fresh array<boolean>"
 
 
-def _offers(node: np.ndarray, other: np.ndarray, score: np.ndarray, fresh: bool = True) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array(score, pa.float32()), pa.array(np.full(len(node), fresh))], ["node", "other", "score", "fresh"])
+def _offers(node: np.ndarray, other: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array(score, pa.float32()), pa.array(np.ones(len(node), bool))], ["node", "other", "score", "fresh"])
 
 
-def _first_offers(base: DataFrame, n: int, k: int, trees: int, leaf: int) -> DataFrame:
+def first_meetings(base: DataFrame, n: int, size: int, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+    """(centre, node, fresh): the leaves of the trees, and groups by a hash that connect them, are the first centres."""
+    kind = _kind(size, "<f4")
     sample = base.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
-    x = _with_pad(_matrix(pa.array([r["vec"] for r in sample])), np.array([r["pad"] for r in sample]))
-    depth = max(0, min(10, math.ceil(math.log2(max(1, n / leaf)))))
-    planes = _planes(x, trees, depth)
-    # leaves that can't be split (many near vectors) are dealt out in parts of about a leaf
-    parts = [np.maximum(1, np.ceil(np.bincount(_leaves(x, levels), minlength=1 << depth) * n / len(x) / (2 * leaf))).astype(np.int64) for levels in planes]
+    x = _placed(np.frombuffer(b"".join(r["vec"] for r in sample), kind))
+    depth = max(0, math.ceil(math.log2(max(1, n / leaf))))
+    planes = _planes(x, trees, min(depth, SAMPLED_LEVELS))
+    # below them, the same directions for all leaves, through the middle of what the sample has of each
+    deeper = np.random.default_rng(34).normal(size=(trees, max(0, depth - SAMPLED_LEVELS), size + 1)).astype(np.float32)
+    middles = []
+    for levels in planes:
+        at = _leaves(x, levels)
+        sums = np.zeros((1 << len(levels), size + 1), np.float32)
+        np.add.at(sums, at, x)
+        middles.append(sums / np.maximum(1, np.bincount(at, minlength=len(sums)))[:, None])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = _with_pad(_matrix(batch.column("vec")), batch.column("pad").to_numpy())
-            names = batch.column("node").to_numpy()
+            own = _placed(_rows(batch.column("vec"), kind))
             for t, levels in enumerate(planes):
                 at = _leaves(own, levels)
-                part = (names * 2654435761 % 1000003) % parts[t][at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), t), pa.int32()), pa.array(at), pa.array(part), batch.column("node"), pa.array([r.tobytes() for r in own], pa.binary())], ["tree", "leaf", "part", "node", "vec"]
-                )
-
-    def near(table: pa.Table) -> pa.Table:
-        names, own = table["node"].to_numpy(), _matrix(table["vec"])
-        m = min(k, len(own) - 1)
-        out = []
-        for first in range(0, len(own), 512):
-            rows = own[first : first + 512] @ own.T
-            rows[np.arange(len(rows)), np.arange(first, first + len(rows))] = -np.inf
-            if m > 0:
-                best = np.argpartition(-rows, m - 1, axis=1)[:, :m]
-                score = np.take_along_axis(rows, best, 1)
-                out.append(_offers(np.repeat(names[first : first + len(rows)], m), names[best].reshape(-1), score.reshape(-1)))
-        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_offers(names[:0], names[:0], np.zeros(0, np.float32))])
-
-    placed = base.mapInArrow(place, "tree int, leaf long, part long, node long, vec binary")
-    return placed.groupBy("tree", "leaf", "part").applyInArrow(near, _OFFER)
+                if len(deeper[t]):
+                    sides = (own - middles[t][at]) @ deeper[t].T > 0
+                    for level in range(sides.shape[1]):
+                        at = at * 2 + sides[:, level]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t), pa.int32()), pa.array(at), batch.column("node")], ["tree", "leaf", "node"])
+
+    chance = base.select(F.lit(-1).alias("tree"), F.pmod(F.xxhash64("node", F.lit("group")), F.lit(math.ceil(n / leaf))).alias("leaf"), "node")
+    placed = tables.store(base.select("node", "vec").mapInArrow(place, "tree int, leaf long, node long").union(chance), "placed")
+    # leaves that couldn't be split (many near vectors) are dealt out in parts of about a leaf
+    large = placed.groupBy("tree", "leaf").agg(F.count("*").alias("m")).where(F.col("m") > 2 * leaf)
+    part = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.coalesce("m", F.lit(1)) / leaf).cast("long"))
+    dealt = placed.join(large, ["tree", "leaf"], "left").withColumn("part", part)
+    return dealt.select(F.xxhash64("tree", "leaf", "part").alias("centre"), "node", F.lit(True).alias("fresh"))
 
 
 def _merge(k: int):
@@ -217,72 +235,123 @@ def _meetings(graph: DataFrame, reverse: int) -> DataFrame:
     return forward.union(back).groupBy("centre", "node").agg(F.max("fresh").alias("fresh"))
 
 
-def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (centre, node, fresh, vec, worst), sorted by centre: offers between any two nodes of a centre of which one is new."""
-    rest: pa.Table | None = None
+def _new_meetings(graph: DataFrame, reverse: int) -> DataFrame:
+    """Those meetings where somebody is new."""
+    new = F.col("fresh")
+    mine = graph.where(F.exists(new, lambda f: f)).select(F.col("node").alias("centre"))
+    theirs = graph.select(F.explode(F.arrays_zip("others", "fresh")).alias("e")).where("e.fresh").select(F.col("e.others").alias("centre"))
+    return _meetings(graph, reverse).join(mine.union(theirs).distinct(), "centre", "left_semi")
+
+
+def _local_join(size: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (centre, node, fresh, vec, worst), sorted by centre: offers between any two nodes of a centre of which one is new."""
+    kind = _kind(size, "<f2")
+
+    def scored(x: np.ndarray, at: np.ndarray, there: np.ndarray, fresh: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows at[g, i] of x meet in group g, where there[g, i]: (row, other row, score)."""
+        unit, norm, pad = x["unit"][at].astype(np.float32), x["norm"][at], x["pad"][at]
+        square = norm * norm
+        s = (unit @ unit.transpose(0, 2, 1)) * norm[:, :, None] * norm[:, None, :]
+        s -= (square[:, :, None] + square[:, None, :]) / 2 + (pad[:, :, None] - pad[:, None, :]) ** 2 / 2
+        s = s.astype(np.float32)
+        ok = s > worst[at][:, :, None]
+        ok &= (fresh[at][:, :, None] | fresh[at][:, None, :]) & there[:, :, None] & there[:, None, :]
+        ok &= ~np.eye(at.shape[1], dtype=bool)[None]
+        g, i, j = np.nonzero(ok)
+        return at[g, i], at[g, j], s[g, i, j]
 
     def offers(table: pa.Table) -> Iterator[pa.RecordBatch]:
         centre, node = table["centre"].to_numpy(), table["node"].to_numpy()
         fresh, worst = table["fresh"].to_numpy(), table["worst"].to_numpy()
-        x = _matrix(table["vec"], "<f2").astype(np.float32)
+        x = _rows(table["vec"], kind)
         heads = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1]])
-        to, other, score = [], [], []
-        for a, b in zip(heads, np.r_[heads[1:], len(centre)]):
-            own = x[a:b]
-            s = own @ own.T
-            ok = s > worst[a:b, None]
-            ok &= fresh[a:b, None] | fresh[None, a:b]
-            np.fill_diagonal(ok, False)
-            i, j = np.nonzero(ok)
-            to.append(node[a + i])
-            other.append(node[a + j])
-            score.append(s[i, j])
-        to, other, score = np.concatenate(to), np.concatenate(other), np.concatenate(score)
-        # the same pair meets at several centres
-        order = np.lexsort((other, to))
-        once = order[np.r_[True, (to[order][1:] != to[order][:-1]) | (other[order][1:] != other[order][:-1])]] if len(order) else order
-        yield _offers(to[once], other[once], score[once])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        rest = table if rest is None else pa.concat_tables([rest, table])
-        if rest.num_rows > 60_000:
-            centre = rest["centre"].to_numpy()
-            cut = int(np.searchsorted(centre, centre[-1]))
-            if cut:
-                yield from offers(rest.slice(0, cut))
-                rest = rest.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield from offers(rest)
-
-
-def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors with their last component, as 16-bit floats: enough to find candidates."""
-    for batch in batches:
-        if batch.num_rows:
-            x = _with_pad(_matrix(batch.column("vec")), batch.column("pad").to_numpy()).astype("<f2")
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], ["node", "vec"])
-
-
-def build_graph(base: DataFrame, n: int, k: int = K, reverse: int = REVERSE, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
-    """(node, others, scores, fresh): up to k near nodes of each node, best first."""
+        sizes = np.diff(np.r_[heads, len(centre)])
+        # groups of about the same size together
+        order = np.argsort(sizes, kind="stable")
+        found = []
+        first = 0
+        while first < len(order):
+            last = first + 1
+            while last < len(order) and (last + 1 - first) * int(sizes[order[last]]) ** 2 <= SCORES:
+                last += 1
+            some = order[first:last]
+            steps = np.arange(int(sizes[some[-1]]))
+            there = steps[None, :] < sizes[some][:, None]
+            found.append(scored(x, np.where(there, heads[some][:, None] + steps[None, :], heads[some][:, None]), there, fresh, worst))
+            first = last
+        a, b, score = (np.concatenate(c) for c in zip(*found))
+        to, other = node[a], node[b]
+        # the same pair meets at several centres; of what is offered to a node only the best k matter
+        order = np.lexsort((other, -score, to))
+        to, other, score = to[order], other[order], score[order]
+        once = np.r_[True, (to[1:] != to[:-1]) | (other[1:] != other[:-1])] if len(to) else np.zeros(0, bool)
+        to, other, score = to[once], other[once], score[once]
+        heads = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, int)
+        kept = np.arange(len(to)) - np.repeat(heads, np.diff(np.r_[heads, len(to)])) < k
+        yield _offers(to[kept], other[kept], score[kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            count += batch.num_rows
+            if count >= TOGETHER:
+                table = pa.Table.from_batches(held)
+                centre = table["centre"].to_numpy()
+                # the last centre may go on
+                cut = int(np.searchsorted(centre, centre[-1]))
+                if cut:
+                    yield from offers(table.slice(0, cut))
+                rest = table.slice(cut)
+                held, count = rest.to_batches(), rest.num_rows
+        if held:
+            yield from offers(pa.Table.from_batches(held))
+
+    return run
+
+
+def _halves(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Directions as 16-bit floats: enough to find candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _rows(batch.column("vec"), _kind(size, "<f4")).astype(_kind(size, "<f2"))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], ["node", "vec"])
+
+    return run
+
+
+def build_graph(base: DataFrame, n: int, size: int, k: int = K, reverse: int = REVERSE, trees: int = TREES, leaf: int = LEAF, rounds: int | None = None) -> DataFrame:
+    """(node, others, scores, fresh): up to k near nodes of each node, best first; ``rounds`` is for comparisons only."""
     spark = base.sparkSession
-    merged = lambda offers: tables.store(offers.repartition("node").sortWithinPartitions("node").mapInArrow(_merge(k), _LISTS), "graph")
-    graph = merged(_first_offers(base, n, k, trees, leaf))
-    small = tables.store(base.mapInArrow(_halves, "node long, vec binary"), "halves")
-    few = n * 200 <= BROADCAST_BYTES
-    for _ in range(rounds):
-        worst = F.when(F.size("scores") >= k, F.element_at("scores", -1)).otherwise(F.lit(float("-inf")).cast("float"))
-        known = small.join(graph.select("node", worst.alias("worst")), "node", "left").select("node", "vec", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
-        rows = _meetings(graph, reverse).join(F.broadcast(known) if few else known, "node")
-        offers = rows.select("centre", "node", "fresh", "vec", "worst").repartition("centre").sortWithinPartitions("centre", "node").mapInArrow(_local_join, _OFFER)
+    small = tables.store(base.select("node", "vec").mapInArrow(_halves(size), "node long, vec binary"), "halves")
+    few = n * (2 * size + 64) <= BROADCAST_BYTES
+    none = F.lit(float("-inf")).cast("float")
+
+    def joined(meetings: DataFrame, graph: DataFrame | None) -> DataFrame:
+        known = small.withColumn("worst", none)
+        if graph is not None:
+            worst = F.when(F.size("scores") >= k, F.element_at("scores", -1)).otherwise(none)
+            known = small.join(graph.select("node", worst.alias("worst")), "node", "left").select("node", "vec", F.coalesce("worst", none).alias("worst"))
+        rows = meetings.join(F.broadcast(known) if few else known, "node").select("centre", "node", "fresh", "vec", "worst")
+        return rows.repartition("centre").sortWithinPartitions("centre").mapInArrow(_local_join(size, k), _OFFER)
+
+    def merged(offers: DataFrame) -> DataFrame:
+        return tables.store(offers.repartition("node").sortWithinPartitions("node").mapInArrow(_merge(k), _LISTS), "graph")
+
+    graph = merged(joined(first_meetings(base, n, size, trees, leaf), None))
+    done = 0
+    while rounds is None or done < rounds:
         old = graph.select("node", F.explode(F.arrays_zip("others", "scores")).alias("e")).select("node", F.col("e.others").alias("other"), F.col("e.scores").alias("score"), F.lit(False).alias("fresh"))
-        new = merged(old.union(offers))
+        new = merged(old.union(joined(_new_meetings(graph, reverse), graph)))
         changed = new.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0
         tables.drop(graph)
         graph = new
+        done += 1
         tables.release(spark)
         if changed < DELTA * n * k:
             break
@@ -290,12 +359,18 @@ def build_graph(base: DataFrame, n: int, k: int = K, reverse: int = REVERSE, tre
     return graph
 
 
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scores(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(query, node, score) of rows (query, node, qvec, vec)."""
-    for batch in batches:
-        if batch.num_rows:
-            score = (_matrix(batch.column("qvec")).astype(float) * _matrix(batch.column("vec")).astype(float)).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(score)], ["query", "node", "score"])
+    kind = _kind(size, "<f4")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                q, x = _rows(batch.column("qvec"), kind), _rows(batch.column("vec"), kind)
+                score = np.einsum("ij,ij->i", q["unit"], x["unit"], dtype=np.float64) * q["norm"] * x["norm"]
+                yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(score)], ["query", "node", "score"])
+
+    return run
 
 
 def _ways(graph: DataFrame, reverse: int) -> DataFrame:
@@ -303,40 +378,50 @@ def _ways(graph: DataFrame, reverse: int) -> DataFrame:
     return _meetings(graph, reverse).groupBy(F.col("centre").alias("node")).agg(F.collect_list("node").alias("others"))
 
 
-def search(graph: DataFrame, base: DataFrame, starts: DataFrame, n: int, ef: int = EF, hops: int = HOPS) -> DataFrame:
+def search(graph: DataFrame, base: DataFrame, starts: DataFrame, n: int, size: int, ef: int = EF) -> DataFrame:
     """(query, node, score): the best ef nodes that a greedy walk from each start (query: a node) finds, itself included."""
     spark = base.sparkSession
     vec = base.select("node", "vec")
     qvec = tables.store(starts.join(vec.withColumnRenamed("node", "query"), "query").select("query", F.col("vec").alias("qvec")), "queries")
-    few = n * 300 <= BROADCAST_BYTES
+    few = n * (4 * size + 64) <= BROADCAST_BYTES
     wrap = (lambda d: F.broadcast(d)) if few else (lambda d: d)
-    scored = lambda rows: rows.join(wrap(vec), "node").join(wrap(qvec), "query").select("query", "node", "qvec", "vec").mapInArrow(_scores, "query long, node long, score double")
-    beam = tables.store(scored(qvec.select("query", F.col("query").alias("node"))).withColumn("seen", F.lit(False)), "beam")
-    best = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "node"))
-    for _ in range(hops):
-        todo = beam.where(~F.col("seen")).select("query", "node")
-        near = todo.join(graph.select("node", "others"), "node").select("query", F.explode("others").alias("node")).distinct()
-        found = scored(near.join(beam.select("query", "node"), ["query", "node"], "left_anti")).withColumn("seen", F.lit(False))
-        both = beam.select("query", "node", "score", F.lit(True).alias("seen")).union(found)
-        new = tables.store(both.withColumn("r", best).where(F.col("r") <= ef).drop("r"), "beam")
-        tables.drop(beam)
+    schema = "query long, node long, score double"
+    scored = lambda rows: rows.join(wrap(vec), "node").join(wrap(qvec), "query").select("query", "node", "qvec", "vec").mapInArrow(_scores(size), schema)
+    entries = base.select(F.col("node").alias("entry"), "norm").orderBy(F.desc("norm"), F.xxhash64("node"), "node").limit(ENTRIES).agg(F.collect_list("entry").alias("entries"))
+    # the entries are one row of a fixed size
+    from_all = qvec.select("query").join(F.broadcast(entries), F.size("entries") > 0).select("query", F.explode(F.array_union("entries", F.array("query"))).alias("node"))
+    beam = tables.store(scored(from_all).withColumn("seen", F.lit(False)), "beam")
+    order = (F.desc("score"), F.col("node"))
+    best = F.row_number().over(W.partitionBy("query").orderBy(*order))
+    turn = F.row_number().over(W.partitionBy("query").orderBy("seen", *order))
+    while not beam.where(~F.col("seen")).isEmpty():
+        # the unvisited ones come first
+        chosen = beam.withColumn("r", turn).withColumn("now", ~F.col("seen") & (F.col("r") <= EXPANDED))
+        chosen = tables.store(chosen.select("query", "node", "score", (F.col("seen") | F.col("now")).alias("seen"), "now"), "chosen")
+        near = chosen.where("now").select("query", "node").join(graph.select("node", "others"), "node").select("query", F.explode("others").alias("node")).distinct()
+        found = scored(near.join(chosen.select("query", "node"), ["query", "node"], "left_anti")).withColumn("seen", F.lit(False))
+        new = tables.store(chosen.select("query", "node", "score", "seen").union(found).withColumn("r", best).where(F.col("r") <= ef).drop("r"), "beam")
+        for t in (beam, chosen):
+            tables.drop(t)
         beam = new
         tables.release(spark)
-        if beam.where(~F.col("seen")).isEmpty():
-            break
+    tables.drop(qvec)
     return beam.select("query", "node", "score")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query (vec_id, one of vectors), its own row excepted."""
-    base, members, ids_of, named = nodes(vectors, k + 1)
+    base, members, ids_of, named, size = nodes(vectors, k + 1)
     n = base.count()
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # an id that isn't among its node's smallest has the same neighbours as those
     asked = tables.store(queries.select(F.col("vec_id").alias("query_id")).distinct().join(ids_of, F.col("query_id") == F.col("vec_id")).select("query_id", "node"), "asked")
-    graph = build_graph(base, n)
-    found = search(tables.store(_ways(graph, REVERSE // 2), "ways"), base, asked.select(F.col("node").alias("query")).distinct(), n, ef)
+    graph = build_graph(base, n, size)
+    ways = tables.store(_ways(graph, REVERSE // 2), "ways")
+    tables.drop(graph)
+    found = search(ways, base, asked.select(F.col("node").alias("query")).distinct(), n, size, ef)
+    tables.drop(ways)
     # the score proper: from the original vectors, added up from the first component on
     zero = F.lit(0.0)
     product = F.aggregate(F.zip_with("q", "v", lambda a, b: F.coalesce(a * b, zero)), zero, lambda a, x: a + x)

@@ -1,6 +1,7 @@
 """Nearest neighbours and the pipeline."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tessella.llm import neighbours, tables
@@ -45,6 +46,46 @@ def test_recall(spark, sf):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def found(spark, tmp_path, x, rounds=None):
+    """Share of the true 20 neighbours that are found."""
+    ids = range(len(x))
+    spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, v array<double>").write.mode("overwrite").parquet(str(tmp_path / "v"))
+    docs = spark.read.parquet(str(tmp_path / "v"))
+    want = brute(list(zip(ids, x)), [i for i in ids if i % 20 == 0], 20)
+    hits = sum(r.vec_id in want[r.query_id] for r in neighbours.nearest(docs, docs.where("vec_id % 20 = 0"), 20).collect())
+    return hits / sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("scale", ["tiny", "huge", "outliers and norms"])
+def test_recall_over_many_leaves(spark, tmp_path, scale):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 24)) + 2 * rng.normal(size=(25, 24))[np.arange(1500) % 25]
+    if scale == "outliers and norms":
+        x *= np.exp(rng.normal(size=len(x)))[:, None]
+        x[[3, 1234]] *= [[1e6], [1e3]]
+    assert found(spark, tmp_path, x * {"tiny": 1e-100, "huge": 1e150}.get(scale, 1)) >= 0.95
+
+
+def test_the_rounds_find_the_neighbours(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 32)))], "vec_id long, v array<double>")
+    base, _, _, named, size = neighbours.nodes(docs, 21)
+    x = {r.node: np.array(r.v) / np.linalg.norm(r.v) for r in named.collect()}
+    shares = []
+    for rounds in (0, None):
+        graph = neighbours.build_graph(base, len(x), size, k=16, reverse=16, rounds=rounds).collect()
+        assert all(r.node not in r.others and len(set(r.others)) == len(r.others) == len(r.scores) <= 16 and r.scores == sorted(r.scores, reverse=True) for r in graph)
+        shares.append(np.mean([r.scores[0] for r in graph]))
+    assert shares[1] > shares[0]
+
+
+def test_many_equal_vectors(spark):
+    docs = spark.createDataFrame([(i, [1.0, 0.5] if i % 3 else [float(i), 1.0]) for i in range(900)], "vec_id long, v array<double>")
+    rows = neighbours.nearest(docs, docs.where("vec_id % 20 = 0")).collect()
+    want = brute([(r.vec_id, r.v) for r in docs.collect()], range(0, 900, 20), 20)
+    assert sum(r.vec_id in want[r.query_id] for r in rows) >= 0.95 * 20 * 45 and len(rows) == 20 * 45
+
+
 def test_pipeline_stages(spark, sf):
     docs = tables.read(spark, sf, "documents")
     n, kept = docs.count(), docs
@@ -58,8 +99,11 @@ def test_pipeline_stages(spark, sf):
 
 
 def test_pipeline_on_nothing_and_odd_rows(spark, sf):
-    for docs in (frame(spark, []), frame(spark)):
-        docs = tables.pick(docs, "doc_id", "text", "lang", "source", "n_chars")
+    for rows in ([], None):
+        docs = tables.pick(frame(spark, rows), "doc_id", "text", "lang", "source", "n_chars")
+        before = {r.doc_id for r in docs.collect()}
         for _, stage in corpus_pipeline.STAGES:
             docs = tables.store(stage(spark, docs, sf), "t")
-        assert docs.count() >= 0
+        after = {r.doc_id for r in docs.collect()}
+        # texts without a letter and copies go; of the others mixing takes its share
+        assert after <= before and not after & {1, 2, 3, 8, 15} and bool(after) == (rows is None)
