@@ -1,7 +1,7 @@
 """Language identification (operator 3): cross-parsing entropy with suffix automata.
 
-Training takes a bounded sample of labelled texts for each language (``sample_chars``
-characters, chosen by the hash of the text), and builds a suffix automaton of it. A text
+Training takes a bounded sample of the different labelled texts of each language
+(``SAMPLE_CHARS`` characters, chosen by the hash of the text), and builds a suffix automaton of it. A text
 is cross-parsed against each automaton: from left to right, the longest piece that occurs
 in the sample is one phrase (an unknown symbol is a phrase of its own). The entropy
 estimate is phrases * log2(sample length) / text length; the lowest one wins, and ties go
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tables, workers
@@ -32,6 +33,8 @@ from . import tables, workers
 #: Characters of sample text for a language, and for all languages together.
 SAMPLE_CHARS = 48_000
 SAMPLE_CHARS_ALL = 1_000_000
+#: Labels that are learned, at most.
+MOST_LANGUAGES = 1000
 LETTERS = 61
 UNKNOWN = "und"
 #: Texts that advance together.
@@ -41,27 +44,32 @@ LANES = 2048
 def bounded_sample(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """Sample text for each language of labelled (text, lang).
 
-    The counts cover all rows; then texts whose hash is below a share set for each language
-    are taken, about twice ``chars`` characters of each, and cut to the bound in order of hash.
+    Texts that repeat count once. The counts cover all rows; then texts whose hash is below a
+    share set for each language are taken, about twice ``chars`` characters of each, and cut to
+    the bound in order of hash before they are collected. Of more labels than
+    ``MOST_LANGUAGES``, those with the most text are learned.
     """
-    rows = labelled.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect() if r["n"]}
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    # only hashes and lengths are shuffled
+    once = rows.select("lang", "h", F.length("text").cast("long").alias("n")).groupBy("lang", "h").agg(F.max("n").alias("n"))
+    sizes = once.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not sizes:
         return {}
     chars = max(500, min(chars, SAMPLE_CHARS_ALL // len(sizes)))
     spark = labelled.sparkSession
-    shares = spark.createDataFrame([(k, min(1.0, 2.0 * chars / n)) for k, n in sizes.items()], "lang string, share double")
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    shares = spark.createDataFrame([(r["lang"], min(1.0, 2.0 * chars / r["n"])) for r in sizes], "lang string, share double")
+    place = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
     # shares has one row for each language
-    picked = rows.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("lang", place.alias("place"), F.substring("text", 1, chars).alias("text"))
-    out: dict[str, list[str]] = {k: [] for k in sizes}
-    have: Counter = Counter()
-    for r in sorted(picked.collect(), key=lambda r: (r["place"], r["text"])):
-        take = r["text"][: max(0, chars - have[r["lang"]])]
-        if take:
-            out[r["lang"]].append(take)
-            have[r["lang"]] += len(take)
-    return {k: "\n".join(v) for k, v in sorted(out.items()) if v}
+    picked = rows.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("lang", "h", place.alias("place"), F.substring("text", 1, chars).alias("text"))
+    picked = picked.dropDuplicates(["lang", "h"]).withColumn("n", F.length("text"))
+    # what is left is about twice the bound for each language
+    before = F.sum("n").over(W.partitionBy("lang").orderBy("place", "h", "text")) - F.col("n")
+    kept = picked.withColumn("before", before).where(F.col("before") < chars).select("lang", "before", F.expr(f"substring(text, 1, cast({chars} - before as int))").alias("text"))
+    out: dict[str, list[str]] = {}
+    for r in sorted(kept.collect(), key=lambda r: (r["lang"], r["before"], r["text"])):
+        if r["text"]:
+            out.setdefault(r["lang"], []).append(r["text"])
+    return {k: "\n".join(v) for k, v in out.items()}
 
 
 def automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -187,7 +195,8 @@ class Model:
         others = entropy.copy()
         others[np.arange(len(known)), best] = np.inf
         second = others.min(1) if len(self.langs) > 1 else np.full(len(known), np.inf)
-        score = np.where(np.isinf(second), 1.0, second / (second + least))
+        alone = np.isinf(second)
+        score = np.where(alone, 1.0, np.where(alone, 0.0, second) / np.where(alone, 1.0, second + least))
         for (i, _), b, s in zip(known, best, score):
             langs[i], scores[i] = self.langs[b], float(s)
         return langs, scores
