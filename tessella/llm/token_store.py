@@ -9,7 +9,9 @@ adjacent pairs get nonterminals and all their non-overlapping occurrences are re
 File format: a Parquet data set with one row for each block. ``rules`` holds the two
 symbols of each nonterminal, ``lengths`` the number of ids each one expands to, and
 ``symbols`` the final sequence; ``doc_id`` and ``doc_tokens`` list the block's documents.
-``decode_range`` expands only the symbols that cover the ids asked for.
+Rounds go on until no pair repeats or the nonterminals of a block (what 16 or 32 bits leave)
+run out. ``read_store`` decodes all documents; ``read_documents`` finds the blocks of those
+asked for and expands only the symbols that cover them.
 
 Defined cases: a null text is empty and yields the end id alone; a null doc_id sorts
 first; rows that repeat a doc_id keep a row each, in order of their texts' hash; an
@@ -31,6 +33,8 @@ from . import encoding, tables
 
 BLOCK_TOKENS = 1 << 20
 LEAST_COUNT = 2
+#: A round takes half of the nonterminals that are left, or all if they are at most this many.
+LAST_ROOM = 1024
 STORE_SCHEMA = (
     "part int, block int, before long, n_tokens long, doc_id array<bigint>, doc_tokens array<int>, "
     "base int, rules binary, lengths binary, symbols binary"
@@ -58,8 +62,8 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = None, least: int =
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         counts = np.diff(np.r_[first, len(ordered)])
         often = np.flatnonzero(counts >= least)
-        # later rounds need nonterminals too
-        most = max(1, room // 2 if rounds is None or turn < rounds - 1 else room)
+        # later rounds need nonterminals too; when few are left they all go
+        most = room if room <= LAST_ROOM or rounds is not None and turn == rounds - 1 else room // 2
         if len(often) > most:
             often = often[np.argpartition(-counts[often], most - 1)[:most]]
         often = often[np.argsort(-counts[often], kind="stable")]
@@ -141,12 +145,19 @@ class Grammar:
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         return self._expand(symbols)[0]
 
-    def decode_range(self, symbols: np.ndarray, start: int, length: int) -> np.ndarray:
-        """``length`` ids from ``start`` on, touching only the symbols that cover them."""
-        ends = np.cumsum(self.sizes(symbols))
-        a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + length, "left") + 1
-        before = int(ends[a - 1]) if a else 0
-        return self.expand(symbols[a:b])[start - before : start - before + length]
+
+class Block:
+    """A block's grammar and symbols, with where each symbol's expansion ends: random access to its ids."""
+
+    def __init__(self, grammar: Grammar, symbols: np.ndarray):
+        self.grammar, self.symbols = grammar, symbols
+        self.ends = np.cumsum(grammar.sizes(symbols))
+
+    def decode_range(self, start: int, length: int) -> np.ndarray:
+        """``length`` ids from ``start`` on, expanding only the symbols that cover them."""
+        a, b = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, start + length, "left") + 1
+        before = int(self.ends[a - 1]) if a else 0
+        return self.grammar.expand(self.symbols[a:b])[start - before : start - before + length]
 
 
 def _blocks(part: int, path: str, end_id: int, block_tokens: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,13 +218,24 @@ def decode_block(row: dict) -> tuple[Grammar, np.ndarray]:
     return Grammar(row["base"], rules, np.frombuffer(row["lengths"], np.uint32)), np.frombuffer(row["symbols"], kind)
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of each document: ids as little-endian unsigned 32-bit integers, decoded from the store."""
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """The store's blocks; before is the number of ids ahead of a block in the whole store."""
     store = spark.read.schema(STORE_SCHEMA).parquet(path)
     # one row for each written part, so no more rows than tasks wrote the store
     parts = store.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     first = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("first"))
-    rows = store.join(F.broadcast(first), "part").withColumn("before", F.col("before") + F.col("first")).drop("part", "first", "block")
+    return store.join(F.broadcast(first), "part").withColumn("before", F.col("before") + F.col("first")).drop("first")
+
+
+_READ = "doc_id long, start long, n_tokens long, ids binary"
+
+
+def _read_batch(names: list, start: np.ndarray, sizes: np.ndarray, ids: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(start), pa.array(sizes), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of each document: ids as little-endian unsigned 32-bit integers, decoded from the store."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,12 +245,29 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 ids = grammar.expand(symbols).astype("<u4")
                 sizes = np.array(row["doc_tokens"], np.int64)
                 ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row["doc_id"], pa.int64()), pa.array(row["before"] + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()),
-                    pa.array([ids[a:b].tobytes() for a, b in zip(ends - sizes, ends)], pa.binary()),
-                ], ["doc_id", "start", "n_tokens", "ids"])
+                yield _read_batch(row["doc_id"], row["before"] + ends - sizes, sizes, [ids[a:b].tobytes() for a, b in zip(ends - sizes, ends)])
+
+    return _numbered(spark, path).drop("part", "block").mapInArrow(run, _READ)
+
+
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """read_store's rows of the documents in wanted (doc_id): only their blocks are read and only their symbols expanded."""
+    names = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    listed = spark.read.schema(STORE_SCHEMA).parquet(path).select("part", "block", F.posexplode("doc_id").alias("at", "doc_id"))
+    met = listed.join(names, listed["doc_id"].eqNullSafe(names["doc_id"]), "left_semi").groupBy("part", "block").agg(F.sort_array(F.collect_list("at")).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                block = Block(*decode_block(row))
+                at = np.array(row["at"], np.int64)
+                sizes = np.array(row["doc_tokens"], np.int64)
+                start = np.cumsum(sizes) - sizes
+                ids = [block.decode_range(int(start[k]), int(sizes[k])).astype("<u4").tobytes() for k in at]
+                yield _read_batch([row["doc_id"][k] for k in at], row["before"] + start[at], sizes[at], ids)
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return _numbered(spark, path).join(met, ["part", "block"]).drop("part", "block").mapInArrow(run, _READ)
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def test_grammar_round_trip(ids, rounds):
     g = token_store.Grammar(7, rules, lengths)
     assert (g.expand(symbols) == ids).all()
     for a, n in ((0, len(ids)), (len(ids) // 3, len(ids) // 2), (0, 0)):
-        assert (g.decode_range(symbols, a, n) == ids[a : a + n]).all()
+        assert (token_store.Block(g, symbols).decode_range(a, n) == ids[a : a + n]).all()
     if len(ids) > 200 and rounds:
         assert len(symbols) < len(ids)
 
@@ -71,6 +71,16 @@ def test_store(spark, enc):
     assert sorted((zlib.crc32(bytes(r.ids)), r.doc_id or -1) for r in got) == want
 
 
+def test_documents_are_read_alone(spark):
+    path = tables.new_path(spark, "t")
+    token_store.write_store(frame(spark), path, block_tokens=500)
+    key = lambda r: (r.start, r.doc_id, r.n_tokens, bytes(r.ids))
+    for some in ([7, 12, None], [99], []):
+        wanted = spark.createDataFrame([(i,) for i in some], "doc_id long")
+        want = sorted(key(r) for r in token_store.read_store(spark, path).collect() if r.doc_id in some)
+        assert sorted(key(r) for r in token_store.read_documents(spark, path, wanted).collect()) == want
+
+
 def test_store_of_nothing(spark):
     path = tables.new_path(spark, "t")
     token_store.write_store(frame(spark, []), path)
