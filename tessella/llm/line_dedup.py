@@ -36,6 +36,8 @@ LEAST_CONSTANT = 4
 #: Share of a leaf's lines that must agree on a token, and of a line's tokens that must agree with the template.
 AGREE, CLOSE = 0.5, 0.75
 BROADCAST_ROWS = 1_000_000
+#: A template in more documents than this, and than this share of what all recurring ones have, is hot.
+HOT_DOCS, HOT_SHARE = 500, 1e-4
 WILD = "<*>"
 
 
@@ -138,22 +140,31 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, short: bool = False
     # one row for a document and template first, so that a frequent template is counted in parts
     each = lines.groupBy("template_id", "doc_id", "th").agg(F.min("line_no").alias("line_no"))
     again = each.groupBy("template_id").agg(F.count("*").alias("n_docs"), F.min(place).alias("first")).where(F.col("n_docs") >= min_docs)
-    met = lines.join(again, "template_id").where(~F.col("first").eqNullSafe(place))
-    return met.select("doc_id", "th", "line_no")
+    again = tables.store(again, "again")
+    # a template with more than a share of all memberships needs no shuffle: there are at most 1 / HOT_SHARE of them
+    total = again.agg(F.sum("n_docs")).first()[0] or 0
+    hot = F.col("n_docs") > max(HOT_DOCS, total * HOT_SHARE)
+    told = lines.join(F.broadcast(again.where(hot).select("template_id", F.col("first").alias("hot"))), "template_id", "left")
+    frequent = told.where("hot is not null").where(~F.col("hot").eqNullSafe(place))
+    others = told.where("hot is null").drop("hot").join(again.where(~hot), "template_id").where(~F.col("first").eqNullSafe(place))
+    return frequent.select("doc_id", "th", "line_no").union(others.select("doc_id", "th", "line_no"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, short: bool = False) -> DataFrame:
     """docs with the recurring lines gone from text, and n_lines, n_dropped added (not where docs have such columns)."""
     plain = tables.doc_columns(docs)
-    out = dropped_lines(plain, min_docs, short).distinct().groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone"))
+    out = dropped_lines(plain, min_docs, short).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    # whether each line up to the last dropped one stays: runs of kept lines, each before a dropped one
+    run = lambda g, j: F.concat(F.array_repeat(F.lit(True), g - F.coalesce(F.get("gone", j - 1), F.lit(-1)) - 1), F.array(F.lit(False)))
+    out = out.select("doc_id", "th", F.size("gone").alias("n_gone"), F.flatten(F.transform("gone", run)).alias("stays"))
     # columns go by place, whatever their names
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     name, text = F.col(f"c{docs.columns.index('doc_id')}").cast("long"), F.col(f"c{docs.columns.index('text')}").cast("string")
     rows = rows.join(out, name.eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("th")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    new = F.when(F.col("gone").isNull(), text).otherwise(kept)
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: F.coalesce(F.get("stays", i), F.lit(True))), "\n")
+    new = F.when(F.col("n_gone").isNull(), text).otherwise(kept)
     n = F.when(text.isNull(), 0).otherwise(_count(text, "\n") + 1)
-    more = {"n_lines": n, "n_dropped": F.coalesce(F.size("gone"), F.lit(0))}
+    more = {"n_lines": n, "n_dropped": F.coalesce("n_gone", F.lit(0))}
     taken = {c.lower() for c in docs.columns}
     return rows.select(
         *[(new if c == "text" else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)],

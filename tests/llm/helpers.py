@@ -59,3 +59,69 @@ def jaccard_components(rows: list[tuple]) -> list[tuple]:
         ids = [sets[j][0] for j in range(len(sets)) if find(j) == find(k) and sets[j][0] is not None] if s else [i]
         out.append((i, len(s), min(ids) if ids and ids[0] is not None else None))
     return out
+
+
+def line_keys(text) -> list[tuple]:
+    """(line number, masked line, the line's own key) of each line that isn't blank, the key of the tree's way."""
+    out = []
+    plain = re.sub("[\t\r]", " ", text or "")
+    for i, (shown, line) in enumerate(zip(plain.split("\n"), (text or "").split("\n"))):
+        tokens = ["<*>" if re.search("[0-9]", t) else t for t in shown.split(" ")]
+        if any(tokens):
+            constant = len(tokens) - " ".join(tokens).count("<*>")
+            out.append((i, tuple(tokens), constant >= 4, ("masked", *tokens) if constant >= 4 else ("verbatim", line)))
+    return out
+
+
+def deduped(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, text) with the recurring lines gone, line by line from the definition; doc_ids are unique but for equal rows."""
+    every = [(d, t, i, tokens, enough, own) for d, t in rows for i, tokens, enough, own in line_keys(t)]
+    leaves: dict = {}
+    for d, t, _, tokens, enough, own in every:
+        if enough:
+            leaves.setdefault((len(tokens), tokens[:3]), []).append((tokens, (d, t)))
+    template: dict = {}
+    for leaf, members in leaves.items():
+        n: dict = {}
+        for tokens, _ in members:
+            n[tokens] = n.get(tokens, 0) + 1
+        if len(n) < 2 or len({doc for _, doc in members}) < 2:
+            continue
+        size, shape = leaf[0], []
+        for at in range(size):
+            votes: dict = {}
+            for tokens, m in n.items():
+                votes[tokens[at]] = votes.get(tokens[at], 0) + m
+            top = max(votes, key=lambda x: (votes[x], x.encode()))
+            shape.append(top if 2 * votes[top] > len(members) else "<*>")
+        constant = sum(x != "<*>" for x in shape)
+        left = []
+        for tokens in n:
+            if constant >= 4 and 4 * constant >= 3 * size and 4 * sum(b == "<*>" or a == b for a, b in zip(tokens, shape)) >= 3 * size:
+                template[tokens] = ("leaf", leaf)
+            else:
+                left.append(tokens)
+        seen: dict = {}
+        for tokens in left:
+            for place in enumerate(tokens):
+                seen[place] = seen.get(place, 0) + n[tokens]
+        groups: dict = {}
+        for tokens in left:
+            v = [seen[p] if p[1] != "<*>" and seen[p] > 1 else 0 for p in enumerate(tokens)]
+            q = sorted(v, reverse=True)[-(-3 * size // 4) - 1]
+            kept = tuple(x if 2 * c > q else "<*>" for x, c in zip(tokens, v))
+            if q > 1 and sum(x != "<*>" for x in kept) >= 4:
+                groups.setdefault(kept, []).append(tokens)
+        for kept, members in groups.items():
+            if len(members) > 1:
+                template.update({tokens: ("group", leaf, kept) for tokens in members})
+    order = lambda d: (d is not None, d or 0)
+    where: dict = {}
+    for d, t, i, tokens, enough, own in every:
+        where.setdefault(template.get(tokens, own) if enough else own, []).append((order(d), t, i))
+    gone = set()
+    for places in where.values():
+        if len({p[:2] for p in places}) > 1:
+            first = min(places)
+            gone.update(p for p in places if p != first)
+    return [(d, t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (order(d), t, i) not in gone)) for d, t in rows]

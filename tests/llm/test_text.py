@@ -11,9 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import chat, gif, language, line_dedup, mixing, ngram_join, tables
+from tessella.llm import chat, encoding, gif, language, line_dedup, mixing, ngram_join, tables
 
-from .helpers import base_rows, frame, jaccard_components, prose
+from .helpers import base_rows, deduped, frame, jaccard_components, prose
 
 
 @settings(max_examples=80, deadline=None)
@@ -97,6 +97,16 @@ def test_language_cases(spark):
     assert language.bounded_sample(tables.pick(frame(spark, []), "text", "lang")) == {}
 
 
+def test_language_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    page = "boiler plate " * 40
+    some = spark.range(100_000).selectExpr(f"case when id % 100 = 0 then concat(repeat('word', 3), cast(id as string)) else '{page}' end as text", "case when id % 7 = 0 then 'xx' else 'en' end as lang")
+    dirty = spark.range(5).selectExpr("'q' as text", "concat('dirty', id) as lang")
+    got = language.bounded_sample(some.union(dirty), 2000)
+    assert sorted(got) == ["en", "xx"] and all(v.count(page) <= 1 for v in got.values())
+    assert all(900 < len(v.replace("\n", "")) <= 2000 for v in got.values())
+
+
 def test_held_out_accuracy(spark, sf):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = [r for r in language.op3_language_id(spark, sf).collect() if r.held_out]
@@ -144,6 +154,35 @@ def test_line_dedup_several_templates_of_a_leaf(spark, more):
     assert {i for i, t in got.items() if t} == first
 
 
+def random_lines(seed, n):
+    rng = random.Random(seed)
+    word = lambda k: rng.choice(["old", "press", "far", "north", "towns", "42", "x7", "kind", "日本"][:k])
+    shapes = [
+        lambda: f"This text was sent to us by {word(9)}{rng.randrange(9)} from the {word(5)} {word(5)}", lambda: f"Posted on the {word(6)} of member {word(9)} for {word(4)} sport",
+        lambda: " ".join(word(9) for _ in range(rng.randrange(1, 9))), lambda: f"page {rng.randrange(4)}\tof 9", lambda: rng.choice(["", "  ", "All rights reserved.", "同一个句子没有空格"]),
+        lambda: "Posted on the " + " ".join(f"{word(5)}{word(5)}" for _ in range(6)),
+    ]
+    rows = [(i, "\n".join(rng.choice(shapes)() for _ in range(rng.randrange(9)))) for i in range(n)]
+    return rows + [(None, "All rights reserved.\nold press of the far north"), (n + 1, None), *rows[:3]]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("hot", [500, 0])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(line_dedup, "HOT_DOCS", hot)
+    rows = random_lines(seed, 120)
+    got = [(r.doc_id, r.text) for r in line_dedup.dedup_lines(lines(spark, rows), short=True).select("doc_id", "text").collect()]
+    order = lambda x: (x[0] is not None, x[0] or 0, x[1] or "")
+    assert sorted(got, key=order) == sorted(deduped(rows), key=order)
+    assert sum(a != b for a, b in zip(sorted(rows, key=order), sorted(got, key=order))) > 50
+
+
+def test_line_dedup_of_many_lines(spark):
+    text = "\n".join(f"line {'abcdefghij'[i % 10]}{i}" for i in range(60_000))
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(lines(spark, [(1, text), (2, text + "\nmore of it")]), short=True).collect()}
+    assert got == {1: (text, 0), 2: ("more of it", 60_000)}
+
+
 def test_line_dedup_keeps_columns_and_repeats(spark):
     docs = frame(spark, [(1, "words of a line that two have in common", "en", "s", 1, "c", "c", 1, "k", "x")] * 2 + [(2, "words of a line that two have in common", "en", "s", 1, "c", "c", 1, "k", "x")])
     got = line_dedup.dedup_lines(docs)
@@ -241,8 +280,9 @@ def test_mixing(spark, sf):
     assert len(rows) == docs.count() and max(r.probability for r in rows) == 1.0
     for r in rows:
         assert 0 <= r.probability <= 1
-    words = {r.doc_id: len((r.text or "").split()) for r in docs.collect()}
-    assert all(r.n_tokens == words[r.doc_id] for r in rows)
+    model = encoding.encoder(encoding.default_path()).model
+    sizes = {r.doc_id: len(model.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+    assert all(r.n_tokens == sizes[r.doc_id] for r in rows)
     assert {r.doc_id for r in mixing.mix(docs).collect()} == {r.doc_id for r in rows if r.selected}
 
 
@@ -262,6 +302,33 @@ def test_mixing_scale_follows_from_the_mass(spark, monkeypatch, driver_cells):
     assert kept[1] > 0.95 * kept[0] > 0.5
 
 
+def test_topics_are_clusters_within_languages(spark):
+    themes = ["sea ship sail harbour wave anchor tide", "bread oven flour yeast dough baker loaf", "judge court law trial verdict jury appeal"]
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(themes[i % 3].split()) for _ in range(80)) + (" the of and" if i % 2 else " der die und") * 20, "en" if i % 2 else "de", "s", 1, "c", "c", 1, "k", "x") for i in range(120)]
+    told = {r.doc_id: r.topic for r in mixing.described(frame(spark, rows)).collect()}
+    again = {r.doc_id: r.topic for r in mixing.described(frame(spark, rows[::-1]).repartition(7)).collect()}
+    assert told == again
+    # a topic holds one theme, in both languages
+    by_topic: dict = {}
+    for i, t in told.items():
+        by_topic.setdefault(t, []).append(i)
+    assert 3 <= len(by_topic) <= mixing.TOPICS and all(len({i % 3 for i in m}) == 1 for m in by_topic.values())
+    assert {len({i % 2 for i in m}) for m in by_topic.values()} >= {2}
+
+
+def test_token_weights_of_scripts_without_blanks(spark):
+    rows = [(1, "这是没有空格的中文句子" * 30, "zh", "s", 1, "c", "c", 1, "k", "x"), (2, "a few words", "en", "s", 1, "c", "c", 1, "k", "x")]
+    weights = {r.doc_id: r.n_tokens for r in mixing.described(frame(spark, rows)).collect()}
+    assert weights[1] > 100 and weights[2] == 3
+
+
+def test_rake_says_if_it_misses():
+    codes = [np.array([0, 1]), np.array([0, 1])]
+    with pytest.warns(UserWarning, match="raking stopped"):
+        mixing.rake(np.ones(2), codes, [np.array([0.5, 0.5]), np.array([0.9, 0.1])], 20)
+
+
 def test_mixing_cases(spark):
     out = mixing.probabilities(frame(spark)).collect()
     assert len(out) == len(base_rows()) and {r.probability for r in out if r.n_tokens == 0} == {1.0}
