@@ -4,8 +4,10 @@
 ``parse`` reads frames with palettes, interlacing, timing, transparency and disposal,
 ``composed`` draws them on the canvas as a viewer would, and ``frames`` stores the timed
 frames of a media column as rows with colour-histogram columns. ``store_payloads`` keeps
-arbitrary bytes losslessly as the 8-bit samples of a grey GIF, ``read_payloads`` reads
-them back through the same decoder.
+arbitrary bytes losslessly as the 8-bit samples of a GIF, whose frames leave out what they
+repeat (transparent, disposal 1); ``read_payloads`` reads them back through the same decoder
+and canvas, with the frames' times and colour histograms. The query stores the media before
+it reads them.
 
 Defined cases: a null text is empty (a payload of padding alone); a null medium yields
 no frames; bytes that aren't a whole GIF give one row whose ``error`` says why, and no
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tables
@@ -277,15 +279,31 @@ def build(width: int, height: int, palette: bytes, frames: list[dict]) -> bytes:
     return b"".join(out) + b"\x3b"
 
 
-_GREY = bytes(v for i in range(256) for v in (i, i, i))
+#: A payload's sample is the red of its colour; green and blue differ from it, so that a histogram has three columns.
+_COLOURS = bytes(v for i in range(256) for v in (i, 255 - i, i * 73 % 256))
+#: Says "as before" where a frame repeats what is shown; the byte occurs neither in UTF-8 nor as padding.
+SAME = 254
 
 
 def payload_gif(payload: bytes) -> bytes:
-    """A grey GIF of UNIT columns whose frames hold the payload (whole rows) in turn."""
+    """A GIF of UNIT columns whose frames, drawn over each other, show the payload (whole rows) in turn.
+
+    A frame that repeats at least half of what is on the canvas leaves that out: its place is transparent.
+    """
     rows = len(payload) // UNIT
     step = UNIT * ROWS
-    parts = [payload[i : i + step] for i in range(0, len(payload), step)]
-    return build(UNIT, min(rows, ROWS), _GREY, [{"samples": p, "height": len(p) // UNIT, "delay_cs": DELAY_CS} for p in parts])
+    canvas, frames = np.zeros(0, np.uint8), []
+    for at in range(0, len(payload), step):
+        part = payload[at : at + step]
+        frame = {"samples": part, "height": len(part) // UNIT, "delay_cs": DELAY_CS, "disposal": 1}
+        now = np.frombuffer(part, np.uint8)
+        if at:
+            same = now == canvas[: len(now)]
+            if 2 * same.sum() >= len(now) and bytes([SAME]) not in part:
+                frame |= {"samples": np.where(same, SAME, now).astype(np.uint8).tobytes(), "transparent": SAME}
+        canvas = np.r_[now, canvas[len(now) :]]
+        frames.append(frame)
+    return build(UNIT, min(rows, ROWS), _COLOURS, frames)
 
 
 def padded(data: bytes) -> bytes:
@@ -306,27 +324,30 @@ def store_payloads(docs: DataFrame) -> DataFrame:
     return tables.doc_columns(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+_FRAMES = "array<struct<frame:int,start_ms:bigint,delay_ms:bigint,red:array<bigint>,green:array<bigint>,blue:array<bigint>>>"
+_FRAMES_ARROW = pa.list_(pa.struct([("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("red", "green", "blue"))]))
+
+
 def read_payloads(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media, payload, n_frames, duration_ms, hist): what the frames, drawn on the canvas, hold."""
+    """(doc_id, n_bytes, media, payload, frames): what the frames, drawn on the canvas, hold; frames has their times and
+    16-bin histograms of the rows that each one covers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            payloads, told = [], []
             for data in batch.column("media").to_pylist():
                 width, height, frames = parse(data)
-                parts, bins = [], np.zeros(16, np.int64)
-                for f, canvas in zip(frames, composed(width, height, frames)):
-                    shown = canvas[: f.height, :, 0]
-                    parts.append(shown.tobytes())
-                    bins += np.bincount(shown.reshape(-1) >> 4, minlength=16)
-                rows.append((b"".join(parts), len(frames), sum(f.delay_ms for f in frames), bins.tolist()))
-            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))],
-                [*batch.schema.names, "payload", "n_frames", "duration_ms", "hist"],
-            )
+                parts, timed, start = [], [], 0
+                for i, (f, canvas) in enumerate(zip(frames, composed(width, height, frames))):
+                    shown = canvas[: f.height]
+                    parts.append(shown[..., 0].tobytes())
+                    timed.append((i, start, f.delay_ms, *histogram(shown)))
+                    start += f.delay_ms
+                payloads.append(b"".join(parts))
+                told.append([dict(zip(("frame", "start_ms", "delay_ms", "red", "green", "blue"), t)) for t in timed])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payloads, pa.binary()), pa.array(told, _FRAMES_ARROW)], [*batch.schema.names, "payload", "frames"])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, n_frames int, duration_ms long, hist array<bigint>")
+    return media.mapInArrow(run, f"doc_id long, n_bytes long, media binary, payload binary, frames {_FRAMES}")
 
 
 def frames(media: DataFrame, key: str = "media_id", column: str = "media") -> DataFrame:
@@ -357,11 +378,19 @@ def frames(media: DataFrame, key: str = "media_id", column: str = "media") -> Da
     return media.select(F.col(key).cast("long").alias(key), F.col(column).cast("binary").alias(column)).mapInArrow(run, schema)
 
 
+def _added(name: str) -> Column:
+    """The frames' histograms of a colour, added up, as text."""
+    zero = F.array_repeat(F.lit(0).cast("long"), 16)
+    return F.array_join(F.aggregate("frames", zero, lambda t, f: F.zip_with(t, f[name], lambda a, b: a + b)).cast("array<string>"), ",")
+
+
 def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = read_payloads(store_payloads(tables.read(spark, sf_dir, "documents")))
-    text = F.concat_ws(";", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("ms="), "duration_ms"), F.concat(F.lit("grey="), F.array_join(F.col("hist").cast("array<string>"), ",")))
+    media = tables.store(store_payloads(tables.read(spark, sf_dir, "documents")), "media", codec="uncompressed")
+    back = read_payloads(media)
+    time = F.aggregate("frames", F.lit(0).cast("long"), lambda t, f: t + f["delay_ms"])
+    text = F.concat_ws(";", F.concat(F.lit("frames="), F.size("frames")), F.concat(F.lit("ms="), time), *[F.concat(F.lit(f"{c}="), _added(c)) for c in ("red", "green", "blue")])
     return back.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), text.alias("feature"),
+        F.sha2("media", 256).alias("media_sha256"), text.alias("feature"), "frames",
     )

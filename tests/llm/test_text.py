@@ -64,6 +64,21 @@ def test_payloads(spark):
     assert gif.store_payloads(frame(spark, [])).count() == 0
 
 
+def test_payload_frames_leave_out_what_they_repeat(spark):
+    rng = random.Random(2)
+    page = bytes(rng.randrange(32, 127) for _ in range(gif.UNIT * gif.ROWS))
+    changed = bytes(b if i % 9 else 65 for i, b in enumerate(page))
+    payload = page + changed + bytes([254]) * len(page) + page[: gif.UNIT * 5]
+    data = gif.payload_gif(payload)
+    assert [f.transparent for f in gif.parse(data)[2]] == [None, 254, None, None] and len(gif.payload_gif(page + changed)) < 1.5 * len(gif.payload_gif(page))
+    docs = spark.createDataFrame([(1, len(payload), bytearray(data))], "doc_id long, n_bytes long, media binary")
+    row = gif.read_payloads(docs).first()
+    assert bytes(row.payload) == payload and [(f.frame, f.start_ms, f.delay_ms) for f in row.frames] == [(0, 0, 100), (1, 100, 100), (2, 200, 100), (3, 300, 100)]
+    last = np.frombuffer(page[: gif.UNIT * 5], np.uint8)
+    for name, shown in (("red", last), ("green", 255 - last), ("blue", last.astype(int) * 73 % 256)):
+        assert row.frames[3][name] == np.bincount(shown >> 4, minlength=16).tolist()
+
+
 def test_op1_columns(spark, sf):
     docs = {r.doc_id: gif.padded((r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in gif.op1_gif_media(spark, sf).collect():
