@@ -33,8 +33,8 @@ from . import encoding, tables
 
 BLOCK_TOKENS = 1 << 20
 LEAST_COUNT = 2
-#: A round takes half of the nonterminals that are left, or all if they are at most this many.
-LAST_ROOM = 1024
+#: A round takes two thirds of the nonterminals that are left, or all if they are at most this many.
+LAST_ROOM = 4096
 STORE_SCHEMA = (
     "part int, block int, before long, n_tokens long, doc_id array<bigint>, doc_tokens array<int>, "
     "base int, rules binary, lengths binary, symbols binary"
@@ -63,7 +63,7 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = None, least: int =
         counts = np.diff(np.r_[first, len(ordered)])
         often = np.flatnonzero(counts >= least)
         # later rounds need nonterminals too; when few are left they all go
-        most = room if room <= LAST_ROOM or rounds is not None and turn == rounds - 1 else room // 2
+        most = room if room <= LAST_ROOM or rounds is not None and turn == rounds - 1 else room * 2 // 3
         if len(often) > most:
             often = often[np.argpartition(-counts[often], most - 1)[:most]]
         often = often[np.argsort(-counts[often], kind="stable")]
