@@ -31,4 +31,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         total = now
     tables.drop(both)
-    return labels.withColumnRenamed("label", "component")
+    return tables.renamed(labels, "node", "component")

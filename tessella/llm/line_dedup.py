@@ -133,14 +133,15 @@ def assigned(docs: DataFrame, index: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, short: bool = False) -> DataFrame:
     """(doc_id, th, line_no) of the lines to drop."""
-    index = tables.store(_lines(docs).select("doc_id", "th", "line_no", "leaf", "own", "enough"), "lines")
-    index = index if short else index.where("enough")
-    lines = tables.store(assigned(docs, index), "assigned")
     place = F.struct("doc_id", "th", "line_no")
-    # one row for a document and template first, so that a frequent template is counted in parts
-    each = lines.groupBy("template_id", "doc_id", "th").agg(F.min("line_no").alias("line_no"))
-    again = each.groupBy("template_id").agg(F.count("*").alias("n_docs"), F.min(place).alias("first")).where(F.col("n_docs") >= min_docs)
-    again = tables.store(again, "again")
+    with tables.scratch() as keep:
+        index = tables.store(_lines(docs).select("doc_id", "th", "line_no", "leaf", "own", "enough"), "lines")
+        index = index if short else index.where("enough")
+        lines = keep(tables.store(assigned(docs, index), "assigned"))
+        # one row for a document and template first, so that a frequent template is counted in parts
+        each = lines.groupBy("template_id", "doc_id", "th").agg(F.min("line_no").alias("line_no"))
+        again = each.groupBy("template_id").agg(F.count("*").alias("n_docs"), F.min(place).alias("first")).where(F.col("n_docs") >= min_docs)
+        again = keep(tables.store(again, "again"))
     # a template with more than a share of all memberships needs no shuffle: there are at most 1 / HOT_SHARE of them
     total = again.agg(F.sum("n_docs")).first()[0] or 0
     hot = F.col("n_docs") > max(HOT_DOCS, total * HOT_SHARE)

@@ -405,23 +405,25 @@ def search(graph: DataFrame, base: DataFrame, starts: DataFrame, n: int, size: i
             tables.drop(t)
         beam = new
         tables.release(spark)
-    tables.drop(qvec)
-    return beam.select("query", "node", "score")
+    return tables.store(beam.select("query", "node", "score"), "found")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query (vec_id, one of vectors), its own row excepted."""
-    base, members, ids_of, named, size = nodes(vectors, k + 1)
-    n = base.count()
-    if not n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # an id that isn't among its node's smallest has the same neighbours as those
-    asked = tables.store(queries.select(F.col("vec_id").alias("query_id")).distinct().join(ids_of, F.col("query_id") == F.col("vec_id")).select("query_id", "node"), "asked")
-    graph = build_graph(base, n, size)
-    ways = tables.store(_ways(graph, REVERSE // 2), "ways")
-    tables.drop(graph)
-    found = search(ways, base, asked.select(F.col("node").alias("query")).distinct(), n, size, ef)
-    tables.drop(ways)
+    with tables.scratch() as keep:
+        base, members, ids_of, named, size = nodes(vectors, k + 1)
+        n = base.count()
+        if not n:
+            return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        # an id that isn't among its node's smallest has the same neighbours as those
+        asked = queries.select(F.col("vec_id").alias("query_id")).distinct().join(ids_of, F.col("query_id") == F.col("vec_id")).select("query_id", "node")
+        asked = keep(tables.store(asked, "asked"))
+        graph = build_graph(base, n, size)
+        ways = tables.store(_ways(graph, REVERSE // 2), "ways")
+        tables.drop(graph)
+        found = keep(search(ways, base, asked.select(F.col("node").alias("query")).distinct(), n, size, ef))
+        for t in (members, named):
+            keep(t)
     # the score proper: from the original vectors, added up from the first component on
     zero = F.lit(0.0)
     product = F.aggregate(F.zip_with("q", "v", lambda a, b: F.coalesce(a * b, zero)), zero, lambda a, x: a + x)

@@ -420,19 +420,20 @@ def _joined(run):
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, class, key) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    sketched = sketch(docs)
-    tables.release(spark)
-    sets = token_sets(docs, sketched)
-    cells = frequencies(sets)
-    near = tables.store(verified(_leaders(sets, cells), sets), "links")
-    tables.release(spark)
-    labels = components.connected_components(near)
-    pairs, links = _across(sets, cells, labels)
-    more = tables.store(verified(pairs, sets), "links")
-    links = tables.store(links, "links")
-    tables.release(spark)
-    labels = components.connected_components(near.union(more).union(links))
-    tables.drop(sets)
+    with tables.scratch() as keep:
+        sketched = keep(sketch(docs))
+        tables.release(spark)
+        sets = token_sets(docs, sketched)
+        cells = frequencies(sets)
+        near = tables.store(verified(_leaders(sets, cells), sets), "links")
+        tables.release(spark)
+        labels = components.connected_components(near)
+        pairs, links = _across(sets, cells, labels)
+        more = tables.store(verified(pairs, sets), "links")
+        links = tables.store(links, "links")
+        tables.release(spark)
+        labels = components.connected_components(near.union(more).union(links))
+        keep(labels)
     about = sketched.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), F.col("c").alias("n_shingles"), F.col("d").alias("key"))
     rows = about.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     # what a component's name needs is summed in each task first

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +36,34 @@ def store(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessella_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored within are deleted at the end, but for those given to the function that it yields."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        for df in _scopes.pop():
+            if not any(df is k for k in kept):
+                drop(df)
+            elif _scopes:
+                _scopes[-1].append(df)
+
+
 def drop(df: DataFrame | None) -> None:
     """Deletes a table made by store() that no later plan reads."""
     path = getattr(df, "_tessella_path", None)
@@ -46,8 +73,21 @@ def drop(df: DataFrame | None) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def renamed(stored: DataFrame, *names: str) -> DataFrame:
+    """A stored table with other column names; it remains one that can be kept or dropped."""
+    out = stored.toDF(*names)
+    out._tessella_path = stored._tessella_path
+    for scope in _scopes:
+        scope[:] = [out if x is stored else x for x in scope]
+    return out
+
+
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files of plans that are no longer referenced."""
+    """Lets Spark's cleaner remove shuffle files of plans that are no longer referenced.
+
+    The cleaner learns of them only when the JVM collects garbage. Without this, the files of every
+    round of an iterative operator stay on the executors' disks until the job ends.
+    """
     import gc
 
     gc.collect()
