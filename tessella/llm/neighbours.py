@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import tables
+from . import tables, workers
 
 K = 40
 REVERSE = 40
@@ -47,14 +47,14 @@ SAMPLE = 8192
 #: Levels of a tree whose planes go through the sample; its leaves then hold about 16 sampled vectors.
 SAMPLED_LEVELS = 9
 #: A round that improves fewer than this share of all neighbour lists' entries is the last.
-DELTA = 0.002
-EF = 192
+DELTA = 0.004
+EF = 160
 #: Nodes of a query that are expanded in a step, and the longest vectors that every query starts from.
 EXPANDED, ENTRIES = 32, 16
 #: Bytes of vectors that may be broadcast; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 48 << 20
 #: Rows that the local join takes together, and scores it has at a time.
-TOGETHER, SCORES = 60_000, 2_000_000
+TOGETHER, SCORES = 40_000, 800_000
 
 
 def _kind(size: int, bits: str) -> np.dtype:
@@ -205,7 +205,7 @@ def _merge(k: int):
                 continue
             held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "other", "score", "fresh")])
             size += batch.num_rows
-            if size > 400_000:
+            if size > 200_000:
                 node, other, score, fresh = (np.concatenate(c) for c in zip(*held))
                 # the last node may go on
                 cut = int(np.searchsorted(node, node[-1]))
@@ -214,7 +214,7 @@ def _merge(k: int):
                 node, other, score, fresh = node[cut:], other[cut:], score[cut:], fresh[cut:]
                 if len(node) > 8 * k:
                     # one node with very many offers: only its best matter
-                    best = np.lexsort((other, -score))[: 400_000]
+                    best = np.lexsort((other, -score))[:200_000]
                     node, other, score, fresh = node[best], other[best], score[best], fresh[best]
                 held, size = [[node, other, score, fresh]], len(node)
         if held:
@@ -237,8 +237,7 @@ def _meetings(graph: DataFrame, reverse: int) -> DataFrame:
 
 def _new_meetings(graph: DataFrame, reverse: int) -> DataFrame:
     """Those meetings where somebody is new."""
-    new = F.col("fresh")
-    mine = graph.where(F.exists(new, lambda f: f)).select(F.col("node").alias("centre"))
+    mine = graph.where(F.exists("fresh", lambda f: f)).select(F.col("node").alias("centre"))
     theirs = graph.select(F.explode(F.arrays_zip("others", "fresh")).alias("e")).where("e.fresh").select(F.col("e.others").alias("centre"))
     return _meetings(graph, reverse).join(mine.union(theirs).distinct(), "centre", "left_semi")
 
@@ -252,7 +251,7 @@ def _local_join(size: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         unit, norm, pad = x["unit"][at].astype(np.float32), x["norm"][at], x["pad"][at]
         square = norm * norm
         s = (unit @ unit.transpose(0, 2, 1)) * norm[:, :, None] * norm[:, None, :]
-        s -= (square[:, :, None] + square[:, None, :]) / 2 + (pad[:, :, None] - pad[:, None, :]) ** 2 / 2
+        s -= (square[:, :, None] + square[:, None, :] + (pad[:, :, None] - pad[:, None, :]) ** 2) / 2
         s = s.astype(np.float32)
         ok = s > worst[at][:, :, None]
         ok &= (fresh[at][:, :, None] | fresh[at][:, None, :]) & there[:, :, None] & there[:, None, :]
@@ -309,6 +308,7 @@ def _local_join(size: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 held, count = rest.to_batches(), rest.num_rows
         if held:
             yield from offers(pa.Table.from_batches(held))
+        workers.trim()
 
     return run
 
