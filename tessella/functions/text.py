@@ -63,6 +63,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def first_tokens(text: Column, n: int) -> Column:
+    """The first n tokens; looks no further into a text than they reach."""
+    return tokens(F.regexp_extract(text, rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]++){{1,{n}}}", 0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements of two arrays; null if either is empty."""
     common = F.size(F.array_intersect(a, b)).cast("double")

@@ -1,8 +1,8 @@
 """Hybrid retrieval: vector and lexical candidates, one pool, filters, BM25, rank fusion.
 
 Each step is a DataFrame; nothing is collected. Query terms are plan-time constants, so
-BM25 needs no inverted index: term counts are expressions over a record's tokens, and
-the statistics of a term are one aggregate of the profile.
+BM25 needs no inverted index: one pass over the texts writes what a query needs of each
+record, and the statistics of a term are one aggregate of the profile.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..functions.time import recency
 from ..functions.vector import cosine
+from ..sources.scratch import store
 from .filters import status, unexpired
 
 
@@ -42,40 +43,44 @@ def record_tokens() -> Column:
 
 
 def _count(array: str, word: str) -> Column:
-    # compiled, unlike a filter with a lambda
     return F.size(array) - F.size(F.array_remove(array, word))
 
 
+def matches(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """(profile, uuid, len, hits) of every record: how many tokens it has and those that are terms. Written, so that a text is split once."""
+    # through an array of one, so that the tokens are worked out once
+    one = F.transform(F.array(record_tokens()), lambda t: F.struct(F.size(t).alias("len"), F.filter(t, lambda x: x.isin(*terms) if terms else F.lit(False)).alias("hits")))
+    return store(rows.select("profile", "uuid", one[0].alias("m")).select("profile", "uuid", "m.len", "m.hits"), "matches")
+
+
+def statistics(matched: DataFrame, terms: list[str]) -> DataFrame:
+    """(profile, n, mean, n0, n1, ...): records, mean length, and records that hold each term, of each profile."""
+    return matched.groupBy("profile").agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.array_contains("hits", x)).alias(f"n{i}") for i, x in enumerate(terms)])
+
+
 def bm25(rows: DataFrame, terms: list[str]) -> DataFrame:
     """(profile, uuid, score, matched): BM25 of every record of every status, terms counted as often as they are given.
 
     The inverse document frequency of a term in more than half of a profile's records is LEAST_IDF, not negative.
     """
     distinct = list(dict.fromkeys(terms))
-    counted = rows.select("profile", "uuid", record_tokens().alias("tokens"))
-    tf = [_count("tokens", x).alias(f"f{i}") for i, x in enumerate(distinct)]
-    counted = counted.select("profile", "uuid", F.size("tokens").alias("len"), *tf)
-    stats = counted.groupBy("profile").agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(distinct))])
-    both = counted.join(F.broadcast(stats), "profile")  # one row for each profile
-    parts = []
+    matched = matches(rows, distinct)
+    both = matched.join(F.broadcast(statistics(matched, distinct)), "profile")  # one row for each profile
+    score = F.lit(0.0)
     for i, x in enumerate(distinct):
         n = F.col(f"n{i}")
         idf = F.greatest(F.log((F.col("n") - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
-        f = F.col(f"f{i}").cast("double")
-        parts.append(F.lit(float(terms.count(x))) * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("mean"))))
-    score, hits = F.lit(0.0), F.lit(0)
-    for i, p in enumerate(parts):
-        score, hits = score + p, hits + F.col(f"f{i}")
-    return both.select("profile", "uuid", F.round(score, 9).alias("score"), (hits > 0).alias("matched"))
+        f = _count("hits", x).cast("double")
+        score += F.lit(float(terms.count(x))) * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    return both.select("profile", "uuid", F.round(score, 9).alias("score"), (F.size("hits") > 0).alias("matched"))
 
 
 def normalised(scores: DataFrame) -> DataFrame:
     """Adds bm25: 0..1 by minimum and maximum over all matches of the profile; 1 if all are equal, 0 without a match."""
-    w = W.partitionBy("profile")
-    hit = F.when(F.col("matched"), F.col("score"))
-    lo, hi = F.min(hit).over(w), F.max(hit).over(w)
-    value = F.when(~F.col("matched"), 0.0).when(hi == lo, 1.0).otherwise((F.col("score") - lo) / (hi - lo))
-    return scores.withColumn("bm25", F.round(value, 6))
+    range_ = scores.where("matched").groupBy("profile").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    both = scores.join(F.broadcast(range_), "profile", "left")  # one row for each profile
+    value = F.when(~F.col("matched"), 0.0).when(F.col("_hi") == F.col("_lo"), 1.0).otherwise((F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    return both.withColumn("bm25", F.round(value, 6)).drop("_lo", "_hi")
 
 
 def vector_scores(rows: DataFrame, query: DataFrame) -> DataFrame:

@@ -18,9 +18,9 @@ FRESH = "(ttl IS NULL OR ttl > TIMESTAMP '2026-01-01 00:00:00')"
 
 
 def terms(spark: SparkSession, d: str) -> list[str]:
-    """The first eight tokens of the first benchmark text: the query, one row read when the plan is made."""
+    """The tokens of the first benchmark text: the query, one row read when the plan is made."""
     text = table(spark, d, "benchmark").where("item_id = 0").select("text").first()[0]
-    return re.findall(r"[^\W_]+", text.lower())[:8]
+    return re.findall(r"[^\W_]+", text.lower())
 
 
 def vector(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +28,7 @@ def vector(spark: SparkSession, d: str) -> DataFrame:
 
 
 BM = r"""
-qt AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:8]) AS term FROM benchmark WHERE item_id = 0),
+qt AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark WHERE item_id = 0),
 rt AS (SELECT profile, uuid, list_concat(list_concat(regexp_extract_all(lower(content), '[\p{L}\p{N}]+'), regexp_extract_all(lower(summary), '[\p{L}\p{N}]+')),
  list_concat(list_concat(regexp_extract_all(lower(array_to_string(keywords, ' ')), '[\p{L}\p{N}]+'), regexp_extract_all(lower(topic), '[\p{L}\p{N}]+')), regexp_extract_all(lower(data_id), '[\p{L}\p{N}]+'))) AS tk FROM mem),
 st AS (SELECT profile, count(*) AS n, avg(len(tk)) AS mean FROM rt GROUP BY 1),
@@ -66,10 +66,11 @@ OWN = "profile = 'alpha'"
 
 def candidates(spark: SparkSession, d: str, own: str = OWN) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
     """(pool, records, scores, terms) of the profile's query."""
-    rows, words = records(spark, d), terms(spark, d)
+    # statistics are those of a profile, so other profiles' records needn't be read
+    rows, words = records(spark, d).where(own), terms(spark, d)
     scores = R.bm25(rows, words)
-    near = R.vector_topk(rows.where(own), vector(spark, d), 30)
-    return R.pool(near, R.lexical_topk(rows.where(own), scores, 15)), rows, scores, words
+    near = R.vector_topk(rows, vector(spark, d), 30)
+    return R.pool(near, R.lexical_topk(rows, scores, 15)), rows, scores, words
 
 
 def layer1(spark: SparkSession, d: str) -> DataFrame:
@@ -90,12 +91,9 @@ def bm25_raw(spark: SparkSession, d: str) -> DataFrame:
 @query("bm25_stats", f"WITH {BM} SELECT profile, term, nt AS n_docs, n, round(mean, 6) AS mean FROM df JOIN st USING (profile)")
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     words = list(dict.fromkeys(terms(spark, d)))
-    rows = records(spark, d).select("profile", "uuid", R.record_tokens().alias("tk"))
-    size = rows.groupBy("profile").agg(F.count("*").alias("n"), F.round(F.avg(F.size("tk")), 6).alias("mean"))
-    # partial counts first: a term in most records is summed within each task
-    hits = rows.select("profile", F.explode(F.array_intersect("tk", F.array(*map(F.lit, words)))).alias("term")).groupBy("profile", "term").agg(F.count("*").alias("n_docs"))
-    every = size.select("profile", "n", "mean", F.explode(F.array(*map(F.lit, words))).alias("term"))
-    return every.join(hits, ["profile", "term"], "left").fillna(0, ["n_docs"])
+    stats = R.statistics(R.matches(records(spark, d), words), words)
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("term"), F.col(f"n{i}").alias("n_docs")) for i, x in enumerate(words)])).alias("t")
+    return stats.select("profile", "n", F.round("mean", 6).alias("mean"), each).select("profile", "t.term", "t.n_docs", "n", "mean")
 
 
 @query("bm25_normalised", f"WITH {BM} SELECT profile, uuid, bm25 FROM bn")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import first_tokens
 
 NOW = "2026-01-01 00:00:00"
 now = lambda: F.lit(NOW).cast("timestamp_ntz")
@@ -25,8 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores if their files have fewer parts than there are cores (so small tables only), else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    d, e = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     rows = d.join(e, d.doc_id == e.vec_id, "left")
     days = lambda expr: f"make_dt_interval(cast({expr} as int))"
     at = f"timestamp_ntz'{NOW}'"
@@ -45,9 +51,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "round(0.05D + ((doc_id * 17) % 90) / 100.0D, 4) as trust_score", "doc_id % 15 as reference_count",
         "case when doc_id % 31 = 0 then doc_id + 1 end as superseded_by", "embedding",
     )
-    words = tokens(F.col("content"))
-    out = out.withColumn("topic", F.concat(F.col("lang"), F.lit(" "), F.coalesce(F.get(words, F.lit(0)), F.lit(""))))
-    out = out.withColumn("keywords", F.array_sort(F.array_distinct(F.slice(words, 1, 5))))
+    out = out.withColumn("words", first_tokens(F.col("content"), 5))
+    out = out.withColumn("topic", F.concat(F.col("lang"), F.lit(" "), F.coalesce(F.get("words", F.lit(0)), F.lit(""))))
+    out = out.withColumn("keywords", F.array_sort(F.array_distinct("words")))
     return out.select(*[c.split()[0] for c in RECORD.split(", ")])
 
 
