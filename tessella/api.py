@@ -85,8 +85,7 @@ class Store:
         return aggregates.sync(filters.status(self.own), index, size)
 
     def graph_health(self, threshold: float = 0.5, limit: int = 200) -> DataFrame:
-        rows = filters.status(self.own).where("embedding is not null").select("uuid", F.col("data_type").alias("block"), "embedding")
-        near = graph.nearest_in_block(graph.similar_pairs(rows, -1.0), rows)
+        near = graph.nearest(filters.status(self.own).where("embedding is not null").select("uuid", "data_type", "embedding"))
         return near.where(F.col("sim") < threshold).orderBy("sim", "uuid").limit(filters.clamp(limit, 200, 5000))
 
     # changes

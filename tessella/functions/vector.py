@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,21 +20,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unpacked(blob: Column) -> Column:
-    """array<float> from little-endian float32 bytes, a JSON list, or the word null."""
-    import struct
-
-    @F.udf("array<float>")
-    def read(b):
-        if b is None or bytes(b) == b"null":
-            return None
-        b = bytes(b)
-        if b[:1] == b"[":
-            import json
-
-            try:
-                return [float(x) for x in json.loads(b)]
-            except ValueError:
-                return None
-        return list(struct.unpack(f"<{len(b) // 4}f", b)) if b and len(b) % 4 == 0 else None
-
-    return read(blob)
+    """array<float> from little-endian float32 bytes, a JSON list, or the word null; null if it is none of them."""
+
+    @F.pandas_udf("array<float>")
+    def read(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: np.frombuffer(b, "<f4") if b and len(b) % 4 == 0 else None)
+
+    text = F.when(F.substring(blob, 1, 1) == F.lit(b"["), blob.cast("string"))
+    packed = F.when((F.substring(blob, 1, 1) != F.lit(b"[")) & (blob != F.lit(b"null")), blob)
+    return F.coalesce(F.from_json(text, "array<float>"), read(packed))

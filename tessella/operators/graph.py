@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
 from ..functions.time import age_seconds
-from ..functions.vector import cosine
+from ..sources import scratch
 
 BLOCK_ROWS = 512
+Allowed = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], np.ndarray]
 
 
 def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
@@ -27,8 +30,6 @@ def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
     dealt = dealt.select("block", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "uuid", "embedding")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         block, lo, hi = key
         x = np.array(pdf["embedding"].tolist(), float)
         norm = np.sqrt((x * x).sum(1))
@@ -42,33 +43,32 @@ def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
     return dealt.groupBy("block", "lo", "hi").applyInPandas(compare, f"a long, b long, sim double, block {kind}")
 
 
-def nearest_in_block(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(uuid, sim): each row's best similarity among the pairs; null if it has none."""
-    both = pairs.select(F.col("a").alias("uuid"), "sim").union(pairs.select("b", "sim"))
-    return rows.select("uuid").join(both.groupBy("uuid").agg(F.max("sim").alias("sim")), "uuid", "left")
+def nearest(rows: DataFrame) -> DataFrame:
+    """(uuid, sim): each row's best similarity to another of its data_type; null if there is none."""
+    return rows.select("uuid").join(best_matches(rows, rows).select("uuid", "sim"), "uuid", "left")
 
 
-def best_matches(incoming: DataFrame, store: DataFrame) -> DataFrame:
-    """(uuid, match, sim): each incoming row's most similar other row of its data_type in the store, ties to the smaller match.
+def best_matches(incoming: DataFrame, store: DataFrame, by: str | None = "data_type", extra: tuple[str, ...] = (), allowed: Allowed | None = None) -> DataFrame:
+    """(uuid, match, sim): each incoming row's most similar other row of its type in the store, ties to the smaller match.
 
-    Both sides are dealt out in parts within a type; a task compares one part of each as matrices and returns one row
-    for each incoming row, so what is shuffled grows with the rows and parts, not with the pairs.
+    Both sides are dealt out in parts within a type (``by``; None: all are of one); a task compares one part of each as
+    matrices and returns one row for each incoming row, so what is shuffled grows with the rows and parts, not with the
+    pairs. ``allowed`` says which pairs count, from the two parts (with the columns ``extra``) and their similarities.
     """
 
     def dealt(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.where("embedding is not null").select("uuid", "data_type", "embedding")
-        sizes = rows.groupBy("data_type").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(f"{name}s"))
-        return rows.join(sizes, "data_type").withColumn(name, F.pmod(F.xxhash64("uuid"), F.col(f"{name}s")).cast("int"))
+        rows = rows.where("embedding is not null").select("uuid", (F.col(by) if by else F.lit(0)).alias("grp"), "embedding", *extra)
+        sizes = rows.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(f"{name}s"))
+        return rows.join(sizes, "grp").withColumn(name, F.pmod(F.xxhash64("uuid"), F.col(f"{name}s")).cast("int"))
 
     a, b = dealt(incoming, "x"), dealt(store, "y")
-    xs, ys = a.select("data_type", "xs").distinct(), b.select("data_type", "ys").distinct()
+    xs, ys = a.select("grp", "xs").distinct(), b.select("grp", "ys").distinct()
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = a.join(ys, "data_type").withColumn("y", every("ys")).select("data_type", "x", "y", "uuid", "embedding", F.lit(True).alias("new"))
-    right = b.join(xs, "data_type").withColumn("x", every("xs")).select("data_type", "x", "y", "uuid", "embedding", F.lit(False).alias("new"))
+    columns = ("grp", "x", "y", "uuid", "embedding", *extra)
+    left = a.join(ys, "grp").withColumn("y", every("ys")).select(*columns, F.lit(True).alias("new"))
+    right = b.join(xs, "grp").withColumn("x", every("xs")).select(*columns, F.lit(False).alias("new"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         def unit(rows: pd.DataFrame) -> np.ndarray:
             m = np.array(rows["embedding"].tolist(), float)
             norm = np.sqrt((m * m).sum(1))
@@ -79,12 +79,14 @@ def best_matches(incoming: DataFrame, store: DataFrame) -> DataFrame:
             return pd.DataFrame({"uuid": [], "match": [], "sim": []})
         sim = np.round(np.clip(unit(new) @ unit(old).T, -1, 1), 6)
         ids, others = new["uuid"].to_numpy(), old["uuid"].to_numpy()
+        if allowed is not None:
+            sim[~allowed(new, old, sim)] = -2
         sim[ids[:, None] == others[None, :]] = -2
         at = sim.argmax(1)  # the first of equal ones, so the smaller uuid
         out = pd.DataFrame({"uuid": ids, "match": others[at], "sim": sim[np.arange(len(ids)), at]})
         return out[out["sim"] >= -1]
 
-    each = left.union(right).groupBy("data_type", "x", "y").applyInPandas(compare, "uuid long, match long, sim double")
+    each = left.union(right).groupBy("grp", "x", "y").applyInPandas(compare, "uuid long, match long, sim double")
     best = each.groupBy("uuid").agg(F.max(F.struct("sim", (-F.col("match")).alias("m"))).alias("best"))
     return best.select("uuid", (-F.col("best.m")).alias("match"), F.col("best.sim").alias("sim"))
 
@@ -114,6 +116,7 @@ def conflict_pairs(rows: DataFrame, cosine_min: float, jaccard_min: float, jacca
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node reachable over edges (a, b), by label propagation with pointer jumping, checkpointed each round."""
+    scratch.checkpoints(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().checkpoint()
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")).checkpoint()
     last = None
@@ -137,7 +140,8 @@ def winners(members: DataFrame) -> DataFrame:
 def greedy_groups(edges: DataFrame, rows: DataFrame, key: str, most_neighbours: int = 10) -> DataFrame:
     """(group, uuid): newest-updated seeds take their nearest free neighbours; groups of two or more, within each key.
 
-    Greedy passes depend on their order, so a key's edges are one task's; keys should be selective.
+    Greedy passes depend on their order, but what isn't connected can't compete: each connected part of a key's edges
+    is a task's group.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -159,12 +163,14 @@ def greedy_groups(edges: DataFrame, rows: DataFrame, key: str, most_neighbours:
         return pd.DataFrame(out, columns=["grp", "uuid"])
 
     u = rows.select("uuid", "updated_at", key)
-    full = edges.join(u.toDF("a", "ua", "ka"), "a").join(u.toDF("b", "ub", "kb"), "b").where("ka = kb")
-    return full.groupBy("ka").applyInPandas(run, "grp long, uuid long")
+    full = scratch.store(edges.join(u.toDF("a", "ua", "ka"), "a").join(u.toDF("b", "ub", "kb"), "b").where("ka = kb"), "edges")
+    parts = components(full).select(F.col("node").alias("a"), "component")
+    return full.join(parts, "a").groupBy("component").applyInPandas(run, "grp long, uuid long")
 
 
 def chain_roots(parents: DataFrame) -> DataFrame:
     """(node, root, depth) of rows (node, parent), by doubling the pointers until all stand at a root."""
+    scratch.checkpoints(parents.sparkSession)
     now = parents.select("node", F.coalesce("parent", F.col("node")).alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")).checkpoint()
     while True:
         up = now.select(F.col("node").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
@@ -174,24 +180,45 @@ def chain_roots(parents: DataFrame) -> DataFrame:
         now = new
 
 
+def _may_conflict(least: float, duplicate: float, jaccard_min: float) -> Allowed:
+    """guarded() and the limits of contradictions(), for two parts at once."""
+
+    def words(rows: pd.DataFrame, number: dict) -> np.ndarray:
+        out = np.zeros((len(rows), len(number)), np.float32)
+        for i, ks in enumerate(rows["keywords"]):
+            out[i, [number[k] for k in (ks if ks is not None else ())]] = 1
+        return out
+
+    def allowed(new: pd.DataFrame, old: pd.DataFrame, sim: np.ndarray) -> np.ndarray:
+        both = lambda c: (new[c].to_numpy(object)[:, None], old[c].to_numpy(object)[None, :])
+        none = lambda x: pd.isna(x)
+        a, b = both("data_id")
+        same_id = (a == b) | none(a) & none(b)
+        x, y = both("source")
+        same_source = (x == y) | none(x) & none(y)
+        days = np.abs(new["created_at"].to_numpy("datetime64[us]")[:, None] - old["created_at"].to_numpy("datetime64[us]")[None, :]) / np.timedelta64(1, "D")
+        ok = (sim >= least) & (sim < duplicate) & (same_id | none(a) | none(b)) & (days >= 1) & ~(same_source & same_id & (days <= 30))
+        number: dict = {}
+        for rows in (new, old):
+            for ks in rows["keywords"]:
+                for k in ks if ks is not None else ():
+                    number.setdefault(k, len(number))
+        p, q = words(new, number), words(old, number)
+        common, m, n = p @ q.T, p.sum(1)[:, None], q.sum(1)[None, :]
+        overlap = np.divide(common, m + n - common, out=np.zeros_like(common), where=m + n > common)
+        return ok & ((m == 0) | (n == 0) | (overlap >= jaccard_min) & (overlap < 1.0))
+
+    return allowed
 
 
 def contradictions(incoming: DataFrame, store: DataFrame, least: float, duplicate: float, jaccard_min: float) -> DataFrame:
     """(uuid, match, sim): the nearest stored record that an incoming one may contradict; a missing keyword overlap passes."""
-    side = lambda rows, n: rows.select(F.col("uuid").alias(n), "data_type", F.struct("created_at", "data_id", "source", "keywords", "embedding").alias(f"r{n}"))
-    both = side(incoming, "u").join(side(store, "m"), "data_type").where("u <> m and ru.embedding is not null and rm.embedding is not null")
-    both = both.withColumn("sim", F.round(cosine(F.col("ru.embedding"), F.col("rm.embedding")), 6)).where((F.col("sim") >= least) & (F.col("sim") < duplicate) & guarded("ru", "rm"))
-    j = jaccard(F.col("ru.keywords"), F.col("rm.keywords"))
-    kept = both.where(j.isNull() | ((j >= jaccard_min) & (j < 1.0)))
-    best = kept.groupBy("u").agg(F.max(F.struct("sim", (-F.col("m")).alias("m"))).alias("best"))
-    return best.select(F.col("u").alias("uuid"), (-F.col("best.m")).alias("match"), F.col("best.sim").alias("sim"))
+    return best_matches(incoming, store, extra=("created_at", "data_id", "source", "keywords"), allowed=_may_conflict(least, duplicate, jaccard_min))
 
 
 def echoes(rows: DataFrame, surfaced: DataFrame, limit: float) -> DataFrame:
-    """(uuid, sim, echo): how near each row is to what a session has shown (a few records)."""
-    shown = surfaced.select(F.col("uuid").alias("s"), F.col("embedding").alias("e"))
-    both = rows.select("uuid", "embedding").join(shown, F.col("uuid") != F.col("s"))
-    return both.groupBy("uuid").agg(F.max(F.round(cosine(F.col("embedding"), F.col("e")), 6)).alias("sim")).withColumn("echo", F.col("sim") >= limit)
+    """(uuid, sim, echo): how near each row is to what a session has shown."""
+    return best_matches(rows, surfaced, by=None).select("uuid", "sim").withColumn("echo", F.col("sim") >= limit)
 
 
 def duplicate_edges(live: DataFrame, least: float) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+Step = Callable[[Any], tuple | None]
+
+
 def current_state(events: DataFrame) -> DataFrame:
     """(user_id, event_id, event_type): each key's last event."""
     last = F.max(F.struct("ts", "event_id", "event_type")).alias("last")
@@ -21,40 +27,66 @@ def rolling_calls(events: DataFrame, budget: int, seconds: int = 3600) -> DataFr
     return events.withColumn("calls", F.count("*").over(w)).select("event_id", "calls", (F.col("calls") > budget).alias("over"))
 
 
+def _folded(events: DataFrame, schema: str, start: Callable[[], Step]) -> DataFrame:
+    """Rows that a fold over each user's events in order (ts, event_id) gives; start() makes a user's step, from an event to a row or None.
+
+    A task goes through sorted batches with one user's state at a time, so a long history is never held whole.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, step = None, None
+        for pdf in parts:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if step is None or row.user_id != user:
+                    user, step = row.user_id, start()
+                made = step(row)
+                if made is not None:
+                    out.append(made)
+            yield pd.DataFrame(out, columns=names)
+
+    return events.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(run, schema)
+
+
 def throttled(turns: DataFrame, every: int = 5, seconds: float = 30.0) -> DataFrame:
     """(key, event_id): events of a key that pass a throttle: every n-th one, if enough time has gone by since the last that passed."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, out = None, []
-        for n, row in enumerate(pdf.sort_values(["ts", "event_id"]).itertuples(), 1):
+    def start() -> Step:
+        n, last = 0, None
+
+        def step(row):
+            nonlocal n, last
+            n += 1
             if n % every == 0 and (last is None or (row.ts - last).total_seconds() >= seconds):
                 last = row.ts
-                out.append((row.user_id, row.event_id))
-        return pd.DataFrame(out, columns=["user_id", "event_id"])
+                return row.user_id, row.event_id
 
-    return turns.groupBy("user_id").applyInPandas(run, "user_id long, event_id long")
+        return step
+
+    return _folded(turns.select("user_id", "event_id", "ts"), "user_id long, event_id long", start)
 
 
 def breaker_states(events: DataFrame, failures: int = 5, open_seconds: float = 120.0) -> DataFrame:
     """(user_id, event_id, state) after each event: closed, open after that many failures in a row, half_open when the time is up."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bad, since, out = 0, None, []
-        for row in pdf.sort_values(["ts", "event_id"]).itertuples():
+    def start() -> Step:
+        bad, since = 0, None
+
+        def step(row):
+            nonlocal bad, since
             half = since is not None and (row.ts - since).total_seconds() >= open_seconds
             if row.event_type == "error":
                 bad += 1
                 if half or bad >= failures:
                     since = row.ts
-                state = "open" if since is not None else "closed"
             elif since is None or half:
-                bad, since, state = 0, None, "closed"
-            else:
-                state = "open"
-            out.append((row.user_id, row.event_id, state))
-        return pd.DataFrame(out, columns=["user_id", "event_id", "state"])
+                bad, since = 0, None
+            return row.user_id, row.event_id, "closed" if since is None else "open"
+
+        return step
 
-    return events.groupBy("user_id").applyInPandas(run, "user_id long, event_id long, state string")
+    return _folded(events.select("user_id", "event_id", "ts", "event_type"), "user_id long, event_id long, state string", start)
 
 
 def session_tail(messages: DataFrame, last: int = 40, chars: int = 2000) -> DataFrame:

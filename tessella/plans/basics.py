@@ -225,9 +225,9 @@ def ingest_md_parse(spark: SparkSession, d: str) -> DataFrame:
     return exchange.parse_markdown(pages).select("path", "title", F.size("links").alias("n_links"), F.length("text").alias("chars"))
 
 
-@query("unpack_vectors")
+@query("unpack_vectors", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 4) AS norm FROM embeddings", mem=False)
 def unpack_vectors(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.vector import unpacked
 
     rows = table(spark, d, "embeddings").select("vec_id", F.to_json("embedding").cast("binary").alias("blob"), "embedding")
-    return rows.select("vec_id", dot(unpacked(F.col("blob")), F.col("embedding")).alias("norm"))
+    return rows.select("vec_id", F.round(dot(unpacked(F.col("blob")), F.col("embedding")), 4).alias("norm"))

@@ -28,15 +28,6 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return G.conflict_pairs(filters.status(records(spark, d), "active"), COS, JACC - 1e-9)
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """components() cuts its lineage in the shared folder; tests without one get a folder of their own."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-"))
-
-
 @query("conflict_pairs", f"WITH {PAIRS} SELECT a, b, sim FROM cp")
 def conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d)
@@ -51,38 +42,36 @@ def conflict_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("conflict_components", f"WITH {PAIRS}, {CC} SELECT node, component FROM cc")
 def conflict_components(spark: SparkSession, d: str) -> DataFrame:
-    _checkpoints(spark)
     return G.components(_pairs(spark, d))
 
 
 @query("conflict_winners", f"WITH {PAIRS}, {CC} SELECT node AS uuid, component, row_number() OVER (PARTITION BY component ORDER BY trust_score DESC, created_at DESC, node) = 1 AS won FROM cc JOIN mem ON uuid = node")
 def conflict_winners(spark: SparkSession, d: str) -> DataFrame:
-    _checkpoints(spark)
     members = G.components(_pairs(spark, d)).withColumnRenamed("node", "uuid").join(records(spark, d).select("uuid", "trust_score", "created_at"), "uuid")
     return G.winners(members).select("uuid", "component", "won")
 
 
-_NEAR = f"SELECT a.uuid AS uuid, b.uuid AS match, {_SIM} AS sim FROM mem a JOIN mem b ON a.data_type = b.data_type AND a.uuid <> b.uuid WHERE a.uuid % 10 = 0 AND b.uuid % 10 <> 0 AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND b.status = 'active' AND b.superseded_by IS NULL"
+_NEAR = f"SELECT a.uuid AS uuid, b.uuid AS match, {_SIM} AS sim FROM mem a JOIN mem b ON a.data_type = b.data_type AND a.uuid <> b.uuid WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND b.status = 'active' AND b.superseded_by IS NULL"
 
 
-@query("dedup_verdict", f"WITH n AS ({_NEAR}), b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY sim DESC, match) = 1) SELECT m.uuid, match, sim, CASE WHEN sim >= {DUP} THEN 'duplicate' WHEN sim >= {POSSIBLE} THEN 'possible_duplicate' ELSE 'new' END AS verdict FROM mem m LEFT JOIN b ON b.uuid = m.uuid WHERE m.uuid % 10 = 0")
+@query("dedup_verdict", f"WITH n AS ({_NEAR}), b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY sim DESC, match) = 1) SELECT m.uuid, match, sim, CASE WHEN sim >= {DUP} THEN 'duplicate' WHEN sim >= {POSSIBLE} THEN 'possible_duplicate' ELSE 'new' END AS verdict FROM mem m LEFT JOIN b ON b.uuid = m.uuid")
 def dedup_verdict(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d)
-    return G.dedup_verdict(rows.where("uuid % 10 = 0"), filters.status(rows, "active").where("uuid % 10 <> 0"), DUP, POSSIBLE)
+    return G.dedup_verdict(rows, filters.status(rows, "active"), DUP, POSSIBLE)
 
 
 @query("contradiction_verdict", f"""WITH n AS (SELECT a.uuid AS uuid, b.uuid AS match, {_SIM} AS sim, {_J} AS j FROM mem a JOIN mem b ON a.data_type = b.data_type AND a.uuid <> b.uuid
- WHERE a.uuid % 10 = 0 AND b.uuid % 10 <> 0 AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND b.status = 'active' AND b.superseded_by IS NULL AND {_SIM} >= -0.5 AND {_SIM} < {DUP} AND {_GUARD})
+ WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND b.status = 'active' AND b.superseded_by IS NULL AND {_SIM} >= -0.5 AND {_SIM} < {DUP} AND {_GUARD})
 SELECT uuid, match, sim FROM n WHERE j IS NULL OR (j >= 0 AND j < 1) QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY sim DESC, match) = 1""")
 def contradiction_verdict(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d)
-    return G.contradictions(rows.where("uuid % 10 = 0"), filters.status(rows, "active").where("uuid % 10 <> 0"), -0.5, DUP, 0.0)
+    return G.contradictions(rows, filters.status(rows, "active"), -0.5, DUP, 0.0)
 
 
-@query("echo_shield", f"SELECT a.uuid, max({_SIM}) AS sim, max({_SIM}) >= 0.3 AS echo FROM mem a, mem b WHERE a.uuid % 10 = 1 AND b.uuid % 25 = 0 AND a.uuid <> b.uuid AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL GROUP BY 1")
+@query("echo_shield", f"SELECT a.uuid, max({_SIM}) AS sim, max({_SIM}) >= 0.3 AS echo FROM mem a, mem b WHERE b.uuid % 100 = 0 AND a.uuid <> b.uuid AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL GROUP BY 1")
 def echo_shield(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d).where("embedding is not null")
-    return G.echoes(rows.where("uuid % 10 = 1"), rows.where("uuid % 25 = 0"), 0.3)
+    return G.echoes(rows, rows.where("uuid % 100 = 0"), 0.3)
 
 
 @query("dup_edges", f"SELECT a.uuid AS a, b.uuid AS b, {_SIM} AS sim FROM mem a JOIN mem b ON a.data_type = b.data_type AND a.uuid < b.uuid AND a.source = b.source WHERE a.{LIVE.replace('superseded_by', 'a.superseded_by')} AND b.{LIVE.replace('superseded_by', 'b.superseded_by')} AND NOT a.protected AND NOT b.protected AND a.priority < 2 AND b.priority < 2 AND {_SIM} >= {COS}")
@@ -108,8 +97,8 @@ def dup_groups(spark: SparkSession, d: str) -> DataFrame:
 @query("graph_health", f"""WITH r AS (SELECT * FROM mem WHERE {LIVE} AND embedding IS NOT NULL), n AS (SELECT a.uuid, max({_SIM}) AS sim FROM r a JOIN r b ON a.data_type = b.data_type AND a.uuid <> b.uuid GROUP BY 1)
 SELECT uuid, sim FROM n WHERE sim < 0.25 ORDER BY sim, uuid LIMIT 200""")
 def graph_health(spark: SparkSession, d: str) -> DataFrame:
-    rows = filters.status(records(spark, d), "active").where("embedding is not null").select("uuid", F.col("data_type").alias("block"), "embedding")
-    near = G.nearest_in_block(G.similar_pairs(rows, -1.0), rows)
+    rows = filters.status(records(spark, d), "active").where("embedding is not null").select("uuid", "data_type", "embedding")
+    near = G.nearest(rows)
     return near.where("sim < 0.25").orderBy("sim", "uuid").limit(200)
 
 
@@ -117,7 +106,6 @@ def graph_health(spark: SparkSession, d: str) -> DataFrame:
 c(node, cur, depth) AS (SELECT node, node, 0 FROM p UNION ALL SELECT c.node, p.parent, depth + 1 FROM c JOIN p ON p.node = c.cur WHERE p.parent IS NOT NULL)
 SELECT node, arg_max(cur, depth) AS root, max(depth) AS depth FROM c GROUP BY node""", mem=False)
 def session_chain(spark: SparkSession, d: str) -> DataFrame:
-    _checkpoints(spark)
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("node")).distinct()
     return G.chain_roots(rows.withColumn("parent", F.expr("case when node % 4 <> 0 then node - 1 end")))
 

@@ -46,10 +46,10 @@ def purge_survivors(spark: SparkSession, d: str) -> DataFrame:
     return L.purge_survivors(records(spark, d), now()).select("uuid", "status")
 
 
-@query("update_batch", """SELECT m.uuid, CASE WHEN l.doc_id IS NOT NULL AND l.quality = 1 THEN 'edited' ELSE left(content, 20) END AS content, CASE WHEN l.doc_id IS NOT NULL THEN l.toxic ELSE sensitivity END AS sensitivity,
+@query("update_batch", """SELECT m.uuid, CASE WHEN l.doc_id IS NOT NULL AND l.quality = 1 THEN 'edited' ELSE content END AS content, CASE WHEN l.doc_id IS NOT NULL THEN l.toxic ELSE sensitivity END AS sensitivity,
  CASE WHEN l.doc_id IS NOT NULL AND l.quality = 1 AND source = 'user-stated' THEN 'agent' ELSE source END AS source, CASE WHEN l.doc_id IS NOT NULL THEN TIMESTAMP '2026-01-01 00:00:00' ELSE updated_at END AS updated_at FROM mem m LEFT JOIN labels l ON l.doc_id = m.uuid""")
 def update_batch(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d).withColumn("content", F.substring("content", 1, 20))
+    rows = records(spark, d)
     changes = table(spark, d, "labels").selectExpr("doc_id as uuid", "case when quality = 1 then 'edited' end as content", "cast(toxic as bigint) as sensitivity")
     return L.updated(rows, changes, ("content", "sensitivity"), now()).select("uuid", "content", "sensitivity", "source", "updated_at")
 
@@ -101,7 +101,7 @@ def merge_group_fields(spark: SparkSession, d: str) -> DataFrame:
     return L.merged_fields(rows)
 
 
-_IN = "inc AS (SELECT uuid + CASE WHEN uuid % 3 = 0 THEN 100000 ELSE 0 END AS uuid, 'new' AS content, source FROM mem WHERE uuid % 4 <> 1), clm AS (SELECT uuid, content, CASE WHEN source IN ('agent', 'consolidated', 'user-stated') THEN 'import' ELSE source END AS source FROM inc), old AS (SELECT uuid, left(content, 10) AS content, source FROM mem)"
+_IN = "inc AS (SELECT uuid + CASE WHEN uuid % 3 = 0 THEN 100000 ELSE 0 END AS uuid, 'new' AS content, source FROM mem WHERE uuid % 4 <> 1), clm AS (SELECT uuid, content, CASE WHEN source IN ('agent', 'consolidated', 'user-stated') THEN 'import' ELSE source END AS source FROM inc), old AS (SELECT uuid, content, source FROM mem)"
 _MODES = {
     "skip_existing": "SELECT * FROM old UNION ALL SELECT * FROM clm WHERE uuid NOT IN (SELECT uuid FROM old)",
     "overwrite": "SELECT * FROM old WHERE uuid NOT IN (SELECT uuid FROM clm) UNION ALL SELECT * FROM clm",
@@ -113,30 +113,29 @@ for _mode, _sql in _MODES.items():
     def _import(spark: SparkSession, d: str, mode: str = _mode) -> DataFrame:
         rows = records(spark, d)
         incoming = rows.where("uuid % 4 <> 1").selectExpr("uuid + case when uuid % 3 = 0 then 100000 else 0 end as uuid", "'new' as content", "source")
-        return L.imported(rows.withColumn("content", F.substring("content", 1, 10)), incoming, mode, TRUSTED_SOURCES)
+        return L.imported(rows, incoming, mode, TRUSTED_SOURCES)
 
 
 _SIM = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
 
 
-@query("add_batch_verdicts", f"""WITH n AS (SELECT a.uuid AS uuid, max({_SIM}) AS sim FROM mem a JOIN mem b ON a.data_type = b.data_type AND a.uuid <> b.uuid WHERE a.uuid % 10 = 0 AND b.uuid % 10 <> 0 AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND b.{LIVE.replace('superseded_by', 'b.superseded_by')} GROUP BY 1)
-SELECT m.uuid, CASE WHEN length(content) > 5000 THEN 'rejected' WHEN sim >= {DUP} THEN 'duplicate' WHEN sim >= {POSSIBLE} THEN 'possible_duplicate' ELSE 'added' END AS verdict FROM mem m LEFT JOIN n ON n.uuid = m.uuid WHERE m.uuid % 10 = 0""")
+@query("add_batch_verdicts", f"""WITH n AS (SELECT a.uuid AS uuid, max({_SIM}) AS sim FROM mem a JOIN mem b ON a.data_type = b.data_type AND a.uuid <> b.uuid WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND b.{LIVE.replace('superseded_by', 'b.superseded_by')} GROUP BY 1)
+SELECT m.uuid, CASE WHEN length(content) > 5000 THEN 'rejected' WHEN sim >= {DUP} THEN 'duplicate' WHEN sim >= {POSSIBLE} THEN 'possible_duplicate' ELSE 'added' END AS verdict FROM mem m LEFT JOIN n ON n.uuid = m.uuid""")
 def add_batch_verdicts(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d)
-    incoming = rows.where("uuid % 10 = 0").withColumn("reason", V.reject_reason(most_content=5000))
-    near = G.dedup_verdict(incoming, filters.status(rows, "active").where("uuid % 10 <> 0"), DUP, POSSIBLE).select("uuid", "verdict")
+    incoming = rows.withColumn("reason", V.reject_reason(most_content=5000))
+    near = G.dedup_verdict(incoming, filters.status(rows, "active"), DUP, POSSIBLE).select("uuid", "verdict")
     verdict = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("verdict") == "new", "added").otherwise(F.col("verdict"))
     return incoming.join(near, "uuid").select("uuid", verdict.alias("verdict"))
 
 
-@query("extraction_routing", f"""WITH n AS (SELECT a.uuid AS uuid, max({_SIM}) AS sim FROM mem a JOIN mem b ON a.data_type = b.data_type AND a.uuid <> b.uuid WHERE a.uuid % 10 = 0 AND b.uuid % 10 <> 0 AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND b.{LIVE.replace('superseded_by', 'b.superseded_by')} GROUP BY 1),
-e AS (SELECT a.uuid, max({_SIM}) >= 0.3 AS echo FROM mem a, mem b WHERE a.uuid % 10 = 0 AND b.uuid % 25 = 0 AND a.uuid <> b.uuid AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL GROUP BY 1)
-SELECT m.uuid, CASE WHEN echo THEN 'echo' WHEN sim >= {DUP} THEN 'reject' ELSE 'store' END AS route FROM mem m LEFT JOIN n ON n.uuid = m.uuid LEFT JOIN e ON e.uuid = m.uuid WHERE m.uuid % 10 = 0""")
+@query("extraction_routing", f"""WITH n AS (SELECT a.uuid AS uuid, max({_SIM}) AS sim FROM mem a JOIN mem b ON a.data_type = b.data_type AND a.uuid <> b.uuid WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND b.{LIVE.replace('superseded_by', 'b.superseded_by')} GROUP BY 1),
+e AS (SELECT a.uuid, max({_SIM}) >= 0.3 AS echo FROM mem a, mem b WHERE b.uuid % 100 = 0 AND a.uuid <> b.uuid AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL GROUP BY 1)
+SELECT m.uuid, CASE WHEN echo THEN 'echo' WHEN sim >= {DUP} THEN 'reject' ELSE 'store' END AS route FROM mem m LEFT JOIN n ON n.uuid = m.uuid LEFT JOIN e ON e.uuid = m.uuid""")
 def extraction_routing(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d)
-    facts = rows.where("uuid % 10 = 0")
-    near = G.dedup_verdict(facts, filters.status(rows, "active").where("uuid % 10 <> 0"), DUP, POSSIBLE).select("uuid", "verdict")
-    heard = G.echoes(facts.where("embedding is not null"), rows.where("uuid % 25 = 0 and embedding is not null"), COS).select("uuid", "echo")
+    near = G.dedup_verdict(rows, filters.status(rows, "active"), DUP, POSSIBLE).select("uuid", "verdict")
+    heard = G.echoes(rows.where("embedding is not null"), rows.where("uuid % 100 = 0 and embedding is not null"), COS).select("uuid", "echo")
     route = F.when(F.col("echo"), "echo").when(F.col("verdict") == "duplicate", "reject").otherwise("store")
     return near.join(heard, "uuid", "left").select("uuid", route.alias("route"))
 
@@ -154,17 +153,16 @@ def reenrich_worklist(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).where("status = 'active' and source = 'import'").orderBy("created_at", "uuid").limit(100).select("uuid")
 
 
-@query("surfaced_inventory", f"SELECT uuid, left(summary, 120) AS line FROM mem WHERE uuid % 25 = 0 AND {LIVE} ORDER BY uuid LIMIT 40")
+@query("surfaced_inventory", f"SELECT uuid, left(summary, 120) AS line FROM mem WHERE {LIVE} ORDER BY uuid LIMIT 40")
 def surfaced_inventory(spark: SparkSession, d: str) -> DataFrame:
-    return filters.status(records(spark, d), "active").where("uuid % 25 = 0").orderBy("uuid").limit(40).select("uuid", F.substring("summary", 1, 120).alias("line"))
+    return filters.status(records(spark, d), "active").orderBy("uuid").limit(40).select("uuid", F.substring("summary", 1, 120).alias("line"))
 
 
-@query("classify_join")
+@query("classify_join", "SELECT uuid, data_type FROM mem WHERE uuid % 2 = 0")
 def classify_join(spark: SparkSession, d: str) -> DataFrame:
-    # results of a batch classifier, some for ids that weren't asked for
-    asked = records(spark, d).where("uuid % 2 = 0").select("uuid")
-    results = records(spark, d).select("uuid", "data_type")
-    return asked.join(results, "uuid")
+    # results of a batch classifier, every second one for an id that nobody asked for
+    results = records(spark, d).selectExpr("case when uuid % 2 = 0 then uuid else -1 - uuid end as uuid", "data_type")
+    return records(spark, d).select("uuid").join(results, "uuid")
 
 
 @query("migrate_backlinks", "SELECT uuid, list_sort(list_distinct(list_concat([data_id], list_concat(regexp_extract_all(concat('[[', topic, ']]'), '\\[\\[([^\\]]+)\\]\\]', 1), [])))) AS backlinks FROM mem")

@@ -75,7 +75,9 @@ def extract_entities(spark: SparkSession, d: str) -> DataFrame:
     return _phrased(spark, d).select("uuid", T.entities(F.col("said")).alias("entities"))
 
 
-@query("merge_entities")
+@query("merge_entities", f"""WITH s AS (SELECT uuid, keywords, concat(summary, ' ', {_PHRASE_SQL}) AS said FROM mem), e AS (SELECT uuid, keywords, {_entity_sql()} AS x FROM s),
+m AS (SELECT uuid, list_concat(keywords, list_filter(x, lambda v, i: list_position(x, v) = i)[1:15]) AS w FROM e), l AS (SELECT uuid, w, list_transform(w, lambda v: lower(v)) AS low FROM m)
+SELECT uuid, list_filter(w, lambda v, i: list_position(low, lower(v)) = i) AS keywords FROM l""")
 def merge_entities(spark: SparkSession, d: str) -> DataFrame:
     return _phrased(spark, d).select("uuid", T.merge_folded(F.col("keywords"), T.entities(F.col("said"))).alias("keywords"))
 
@@ -118,9 +120,9 @@ def canonical_url(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", U.canonical(F.col("url")).alias("url"))
 
 
-@query("tags_normalise", r"SELECT page_id, regexp_replace(lower(trim(concat(' ', left(regexp_extract(html, '<title>([^<]*)', 1), 20), ' '))), '\s+', '-', 'g') AS tag FROM pages", mem=False)
+@query("tags_normalise", r"SELECT page_id, regexp_replace(lower(trim(concat(' ', regexp_extract(html, '<title>([^<]*)', 1), ' '))), '\s+', '-', 'g') AS tag FROM pages", mem=False)
 def tags_normalise(spark: SparkSession, d: str) -> DataFrame:
-    title = F.substring(F.regexp_extract("html", "<title>([^<]*)", 1), 1, 20)
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
     return table(spark, d, "pages").select("page_id", T.tag(title).alias("tag"))
 
 
@@ -142,7 +144,7 @@ def wikilinks(spark: SparkSession, d: str) -> DataFrame:
 
 
 ASKED = ("what are we missing", "last week", "postgres port", "compare redis versus memcached latency figures", "which decisions about deployment changed this summer")
-_ASKED_SQL = f"concat({_list(ASKED)}[CAST(item_id % 5 AS INTEGER) + 1], CASE WHEN item_id % 2 = 0 THEN concat(' ', left(text, 60)) ELSE '' END)"
+_ASKED_SQL = f"concat({_list(ASKED)}[CAST(item_id % 5 AS INTEGER) + 1], CASE WHEN item_id % 2 = 0 THEN concat(' ', text) ELSE '' END)"
 
 
 @query("suggest_layer", rf"""WITH q AS (SELECT item_id, lower({_ASKED_SQL}) AS q FROM benchmark)
@@ -151,7 +153,7 @@ SELECT item_id, CASE WHEN regexp_matches(q, '\b(missing|gap|what else|what are w
  WHEN regexp_matches(q, '\b(last|this|recent|next)\s+(week|month|year|quarter|spring|summer|fall|winter)\b') THEN 2 ELSE 3 END AS depth FROM q""", mem=False)
 def suggest_layer(spark: SparkSession, d: str) -> DataFrame:
     asked = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("item_id") % 5).cast("int") + 1)
-    text = F.when(F.col("item_id") % 2 == 0, F.concat(asked, F.lit(" "), F.substring("text", 1, 60))).otherwise(asked)
+    text = F.when(F.col("item_id") % 2 == 0, F.concat(asked, F.lit(" "), F.col("text"))).otherwise(asked)
     return table(spark, d, "benchmark").select("item_id", T.suggested_depth(text).alias("depth"))
 
 
@@ -217,10 +219,10 @@ def classify_session(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", V.session_class(F.col("m"), F.col("t"), F.col("o"), reason).alias("class"))
 
 
-@query("session_name", "SELECT conv_id, CASE WHEN any_value(text) IS NULL THEN CAST(conv_id AS VARCHAR) ELSE concat(conv_id, ' :: ', replace(concat(left(arg_min(text, turn), 10), ' :: x'), ' :: ', ' : ')) END AS name FROM conversations GROUP BY conv_id", mem=False)
+@query("session_name", "SELECT conv_id, CASE WHEN any_value(text) IS NULL THEN CAST(conv_id AS VARCHAR) ELSE concat(conv_id, ' :: ', replace(concat(arg_min(text, turn), ' :: x'), ' :: ', ' : ')) END AS name FROM conversations GROUP BY conv_id", mem=False)
 def session_name(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("t"))
-    title = F.concat(F.substring("t", 1, 10), F.lit(" :: x"))
+    title = F.concat("t", F.lit(" :: x"))
     return rows.select("conv_id", V.session_name(F.col("conv_id"), title).alias("name"))
 
 
@@ -229,9 +231,9 @@ def redact_url(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.redacted(F.replace(F.concat("url", F.lit("&token=abc")), F.lit("://"), F.lit("://u:pw@"))).alias("url"))
 
 
-@query("fixture_classify", r"""SELECT uuid, CASE WHEN lower(trim(regexp_replace(summary, '\s+', ' ', 'g'))) IN (SELECT lower(trim(regexp_replace(left(text, 100), '\s+', ' ', 'g'))) FROM benchmark) THEN 'exact'
- WHEN regexp_matches(lower(trim(regexp_replace(summary, '\s+', ' ', 'g'))), '^the .* and .*$') THEN 'pattern' ELSE 'other' END AS kind FROM mem""")
+@query("fixture_classify", r"""SELECT uuid, CASE WHEN lower(trim(regexp_replace(content, '\s+', ' ', 'g'))) IN (SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) FROM benchmark) THEN 'exact'
+ WHEN regexp_matches(lower(trim(regexp_replace(content, '\s+', ' ', 'g'))), '^the .* and .*$') THEN 'pattern' ELSE 'other' END AS kind FROM mem""")
 def fixture_classify(spark: SparkSession, d: str) -> DataFrame:
-    exact = table(spark, d, "benchmark").select(T.normalised(F.substring("text", 1, 100)).alias("n"), F.lit(True).alias("hit")).distinct()
-    rows = records(spark, d).select("uuid", T.normalised(F.col("summary")).alias("n")).join(exact, "n", "left")
+    exact = table(spark, d, "benchmark").select(T.normalised(F.col("text")).alias("n"), F.lit(True).alias("hit")).distinct()
+    rows = records(spark, d).select("uuid", T.normalised(F.col("content")).alias("n")).join(exact, "n", "left")
     return rows.select("uuid", F.when(F.col("hit"), "exact").when(F.col("n").rlike("^the .* and .*$"), "pattern").otherwise("other").alias("kind"))
