@@ -9,11 +9,11 @@ from __future__ import annotations
 import re
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import aggregates, enrich, filters, graph, lifecycle, retrieval
+from .operators import aggregates, enrich, filters, graph, lifecycle, passes, retrieval
 from .sources import exchange
 
 
@@ -31,9 +31,10 @@ class Store:
     # reads
     def retrieve(
         self, query: str, vector: list[float] | None = None, depth: int = 2, limit: int = 5, status: str = "active", across: bool = False,
-        scores: DataFrame | None = None, **equals: str | None,
+        scores: DataFrame | None = None, gap: enrich.Model | None = None, **equals: str | None,
     ) -> DataFrame:
-        """The best records: depth 0 and 1 in pool order, 2 fused, 3 reranked by scores (uuid, model_score), 4 as 2 with annotations.
+        """The best records, without their vectors: depth 0 and 1 in pool order, 2 fused, 3 reranked by scores (uuid, model_score),
+        4 as 2 with annotations, and with what the model ``gap`` says is missing on the first row.
 
         Without a vector only the lexical arm is used; without a term that means something nothing is found.
         """
@@ -52,13 +53,24 @@ class Store:
         pool = retrieval.pool_across(near, words) if across else retrieval.pool(near, words)
         kept = filters.temporal(filters.equal(rows, **equals), query, self.clock)
         found = retrieval.hydrated(pool, kept, bm, self.now, status)
+        found = filters.stripped(found)
         if depth <= 1:
             return found.orderBy("rank").limit(limit)
         out = retrieval.fused(found, terms, self.now)
         if depth == 3 and scores is not None:
             return retrieval.reranked(out, scores).orderBy("position").limit(limit)
         top = out.orderBy(F.desc("fusion"), "rank").limit(limit)
-        return retrieval.annotated(top) if depth == 4 else top
+        if depth < 4:
+            return top
+        told = retrieval.annotated(top)
+        if gap is None:
+            return told
+        # one prompt for the whole answer, on its first row
+        texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", T.fence(F.col("content"), F.col("source")).alias("text")))), lambda x: x["text"]), "\n")
+        prompt = told.agg(F.concat(F.lit(f"What does this answer to {query!r} leave out?\n"), texts).alias("prompt"))
+        asked = enrich.ask(prompt, "prompt", "gap", gap).select("gap")
+        first = F.row_number().over(Window.partitionBy().orderBy("rank")) == 1  # at most limit rows
+        return told.join(F.broadcast(asked), F.lit(True)).withColumn("gap", F.when(first, F.col("gap")))
 
     def peek(self, query: str, vector: list[float] | None = None, depth: int = 1) -> DataFrame:
         return self.retrieve(query, vector, depth, 30)
@@ -89,15 +101,15 @@ class Store:
         return near.where(F.col("sim") < threshold).orderBy("sim", "uuid").limit(filters.clamp(limit, 200, 5000))
 
     # changes
-    def add(self, incoming: DataFrame, duplicate: float = 0.97, possible: float = 0.95, force: bool = False) -> tuple[DataFrame, DataFrame]:
-        """(new table, verdicts): of a batch, what the store doesn't hold yet; the smallest uuid of equal contents goes first."""
+    def add(self, incoming: DataFrame, duplicate: float = 0.97, possible: float = 0.95, force: bool = False, contradiction: float = 0.85) -> tuple[DataFrame, DataFrame]:
+        """(new table, verdicts): of a batch, what is usable and not yet in the store; the smallest uuid of equal contents goes
+        first. What a row contradicts is superseded by it; rows without a type are classified."""
         once = incoming.withColumn("_first", F.min("uuid").over(_by("content"))).where(F.col("uuid") == F.col("_first")).drop("_first")
         if force:
-            verdicts = once.select("uuid", F.lit("added").alias("verdict"))
+            verdicts = once.select("uuid", F.lit("added").alias("verdict"), F.lit(None).cast("long").alias("match"), F.lit(None).cast("long").alias("contradicts"))
         else:
-            verdicts = graph.dedup_verdict(once, filters.status(self.own), duplicate, possible).select("uuid", F.when(F.col("verdict") == "new", "added").otherwise(F.col("verdict")).alias("verdict"))
-        new = once.join(verdicts.where("verdict = 'added'").select("uuid"), "uuid", "left_semi")
-        return self.rows.unionByName(new.select(*self.rows.columns)), verdicts
+            verdicts = passes.verdicts(once, self.own, duplicate, possible, contradiction)
+        return passes.added(self.rows, once, verdicts), verdicts
 
     def update(self, changes: DataFrame, columns: tuple[str, ...]) -> DataFrame:
         return lifecycle.updated(self.rows, changes, columns, self.now)
@@ -130,7 +142,12 @@ class Store:
         return lifecycle.decayed(self.own, self.now, **settings)
 
     def purge(self, **hours: float) -> DataFrame:
-        return lifecycle.purge_survivors(self.rows, self.now, **hours)
+        return passes.purged(self.rows, self.now, **hours)
+
+    def put_to_sleep(self) -> DataFrame:
+        """The new table: what sleep() names is archived, what it superseded released."""
+        others = self.rows.where(~F.col("profile").eqNullSafe(self.profile))
+        return passes.asleep(self.own, self.now).unionByName(others)
 
     def resolve_conflicts(self, cosine: float = 0.85, jaccard: float = 0.7) -> DataFrame:
         """(uuid, component, won) of records in conflict groups."""
@@ -153,6 +170,9 @@ class Store:
         return {"json": exchange.json_lines, "markdown": exchange.markdown}[fmt](rows)
 
     def import_records(self, incoming: DataFrame, mode: str = "skip_existing") -> DataFrame:
+        """The new table; incoming has all columns of a record, or at least uuid, content and source."""
+        if set(self.rows.columns) <= set(incoming.columns):
+            return passes.imported(self.rows, incoming, self.now, mode)
         return lifecycle.imported(self.rows, incoming, mode, T.TRUSTED_SOURCES)
 
     @staticmethod
@@ -161,8 +181,6 @@ class Store:
 
 
 def _by(column: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(column)
 
 

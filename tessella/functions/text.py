@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,6 +145,34 @@ def user_share(content: Column, message: Column) -> Column:
     return F.when((F.size(own) > 0) & (F.size(said) > 0), F.size(F.filter(own, lambda t: F.array_contains(said, t))) / F.size(own))
 
 
+def fuzzy_user_share(content: Column, message: Column, ratio: float = 0.8) -> Column:
+    """user_share() where a word without digits also counts if one of the message is spelled alike to that ratio."""
+
+    @F.pandas_udf("double")
+    def share(own: pd.Series, said: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(own, said):
+            if a is None or b is None or not len(a) or not len(b):
+                out.append(None)
+                continue
+            exact, plain = set(b), sorted({w for w in b if not any(c.isdigit() for c in w)})
+            hits = 0
+            for w in a:
+                hits += w in exact or not any(c.isdigit() for c in w) and any(_alike(w, x, ratio) for x in plain)
+            out.append(hits / len(a))
+        return pd.Series(out, dtype="float64")
+
+    return share(user_tokens(content), user_tokens(message))
+
+
+def _alike(a: str, b: str, ratio: float) -> bool:
+    # 2 m / (len a + len b), where m can't exceed the shorter word
+    if 2 * min(len(a), len(b)) < ratio * (len(a) + len(b)):
+        return False
+    s = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    return s.quick_ratio() >= ratio and s.ratio() >= ratio
+
+
 def suggested_depth(query: Column) -> Column:
     """4 for gap words, 2 for few concepts or a temporal phrase, else 3."""
     q = F.lower(query)

@@ -33,6 +33,11 @@ def status(rows: DataFrame, wanted: str = "active", heads_only: bool = True) ->
     return live.where("superseded_by is null") if heads_only else live
 
 
+def stripped(rows: DataFrame) -> DataFrame:
+    """rows as they are answered: without vectors and full texts of summaries."""
+    return rows.drop("embedding", "full_text")
+
+
 def unexpired(rows: DataFrame, now: Column) -> DataFrame:
     return rows.where(F.col("ttl").isNull() | (F.col("ttl") > now))
 

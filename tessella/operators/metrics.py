@@ -35,3 +35,16 @@ def pair_quality(rows: DataFrame) -> DataFrame:
 def gate(new: DataFrame, old: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """(metric, old, new, passed): a metric may fall by the tolerance, relatively."""
     return old.withColumnRenamed("value", "old").join(new.withColumnRenamed("value", "new"), "metric").withColumn("passed", F.col("new") >= F.col("old") * (1 - tolerance))
+
+
+def headroom(results: DataFrame, truth: DataFrame, forbidden: DataFrame, k: int) -> DataFrame:
+    """(n, headroom, forbidden): queries whose best expected record is found, but only beyond k; forbidden records among the first k."""
+    best = truth.join(results, ["q", "uuid"], "left").groupBy("q").agg(F.min("rank").alias("rank"))
+    bad = results.where(F.col("rank") <= k).join(forbidden.select("q", "uuid").distinct(), ["q", "uuid"]).agg(F.count("*").alias("forbidden"), F.lit(1).alias("one"))
+    out = best.agg(F.count("*").alias("n"), F.count_if(F.col("rank") > k).alias("headroom"), F.lit(1).alias("one"))
+    return out.join(F.broadcast(bad), "one").drop("one")  # one row
+
+
+def latency(times: DataFrame) -> DataFrame:
+    """(n, p50, longest) of seconds."""
+    return times.agg(F.count("*").alias("n"), F.round(F.percentile("seconds", 0.5), 6).alias("p50"), F.round(F.max("seconds"), 6).alias("longest"))

@@ -172,3 +172,12 @@ def expanded_terms(top: DataFrame, terms: list[str], n: int = 5) -> DataFrame:
     more = near.select(F.explode(F.array_union(F.transform("keywords", lambda k: F.lower(k)), tokens(F.col("topic")))).alias("term"))
     own = top.sparkSession.createDataFrame([(t,) for t in terms], "term string")
     return own.union(more).distinct()
+
+
+def alert(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(alert): one line for each conflict (a, b) between results (uuid, rank from 0), by their places from 1; null without one."""
+    place = rows.select("uuid", (F.col("rank") + 1).alias("n"))
+    met = conflicts.join(place.toDF("a", "i"), "a").join(place.toDF("b", "j"), "b")
+    pair = F.struct(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    lines = F.transform(F.sort_array(F.collect_list(pair)), lambda p: F.concat(F.lit("results "), p["i"].cast("string"), F.lit(" and "), p["j"].cast("string"), F.lit(" disagree")))
+    return met.agg(F.when(F.count("*") > 0, F.array_join(lines, "\n")).alias("alert"))  # the results are a top-k

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
+from . import retrieval
 from .filters import clamp
 
 
@@ -48,3 +50,33 @@ def batch_delete(rows: DataFrame, asked: DataFrame, profile: str) -> DataFrame:
         F.count_if(own).alias("deleted"), F.count_if(F.col("profile_name").isNotNull() & ~own).alias("foreign"), F.count_if(F.col("profile_name").isNull()).alias("missing"),
         F.sum(F.col("n") - 1).alias("repeated"),
     )
+
+
+def search(rows: DataFrame, terms: list[str], limit: int = 10, by: str = "relevance") -> DataFrame:
+    """The summaries that hold a term: score (BM25 over title and full text), snippet; best first, or newest first."""
+    docs = rows.select(F.lit("all").alias("profile"), F.col("page_id").alias("uuid"), F.lit("").alias("summary"), F.array().cast("array<string>").alias("keywords"), F.lit("").alias("data_id"),
+                       F.col("title").alias("topic"), F.col("full_text").alias("content"))
+    found = rows.join(retrieval.bm25(docs, terms).where("matched").select(F.col("uuid").alias("page_id"), F.round("score", 6).alias("score")), "page_id")
+    order = (F.desc("created_at"),) if by == "date" else (F.desc("score"),)
+    top = found.orderBy(*order, "page_id").limit(clamp(limit, 10, 200))
+    return top.withColumn("snippet", snippet(F.col("full_text"), terms))
+
+
+def snippet(text: Column, terms: list[str], size: int = 48, before: int = 8) -> Column:
+    """So many words of a text, from shortly before the first one that is a term (from the start without one)."""
+    words = tokens(text)
+    # through an array of one, so that a text is split once
+    at = lambda w: F.coalesce(F.array_min(F.filter(F.array(*[F.array_position(w, t) for t in terms]), lambda p: p > 0)), F.lit(1))
+    return F.transform(F.array(words), lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), at(w) - before).cast("int"), F.lit(size)), " "))[0]
+
+
+def get(rows: DataFrame, page_id: int, scope: str = "own", profile: str | None = None) -> DataFrame:
+    return in_scope(rows, scope, profile).where(F.col("page_id") == page_id)
+
+
+def updated(rows: DataFrame, changes: DataFrame, profile: str) -> DataFrame:
+    """rows with the non-null values of changes (page_id, title, full_text) where they belong to the profile."""
+    c = changes.select("page_id", F.col("title").alias("_title"), F.col("full_text").alias("_text"))
+    both = rows.join(c, "page_id", "left")
+    own = F.col("profile_name") == profile
+    return both.withColumn("title", F.when(own, F.coalesce("_title", "title")).otherwise(F.col("title"))).withColumn("full_text", F.when(own, F.coalesce("_text", "full_text")).otherwise(F.col("full_text"))).select(*rows.columns)

@@ -65,3 +65,24 @@ def session_class(messages: Column, tools: Column, tokens: Column, end_reason: C
 
 def session_name(session: Column, title: Column) -> Column:
     return F.when(title.isNull(), session.cast("string")).otherwise(F.concat(session.cast("string"), F.lit(" :: "), F.replace(title, F.lit(" :: "), F.lit(" : "))))
+
+
+# Fixed value: the namespace of ids that imports make of foreign ones.
+IMPORT_NAMESPACE = "6f1c2b4e-9a3d-5e7f-8b21-4c6d0e9f3a57"
+
+
+def is_uuid(text: Column) -> Column:
+    """Whether a text is a UUID, of 32 hex digits or dashed."""
+    return text.rlike("^([0-9a-f]{32}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$")
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The name-based UUID (version 5) of a name in a namespace, as 32 hex digits."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(F.substring(h, 1, 12), F.lit("5"), F.substring(h, 14, 3), variant, F.substring(h, 18, 15))
+
+
+def import_id(text: Column) -> Column:
+    """A UUID as 32 digits; any other id by its name in the import namespace."""
+    return F.when(is_uuid(text), F.lower(F.replace(text, F.lit("-"), F.lit("")))).otherwise(uuid5(IMPORT_NAMESPACE, text))

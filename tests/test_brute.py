@@ -89,3 +89,111 @@ def test_dup_groups(spark, sf, least):
             taken.update([seed, *free])
             want.update((seed, u) for u in [seed, *free])
     assert {(r.grp, r.uuid) for r in graph.greedy_groups(edges, rows, "source").collect()} == want
+
+
+def test_user_stated_fuzzy(spark, sf):
+    import difflib
+
+    from pyspark.sql import functions as F
+
+    from tessella.functions import text as T
+
+    rows = [("deployed postgres 16 cluster", "we have deploid the postgress 16 clusters"), ("deployed postgres 16 cluster", "deployed postgres 17 cluster"), ("", "words here"), ("alpha beta", None), ("kitchen table", "kitten stable table")]
+    df = spark.createDataFrame(rows, "content string, message string")
+    words = df.select(T.user_tokens(F.col("content")), T.user_tokens(F.col("message")), T.fuzzy_user_share(F.col("content"), F.col("message"))).collect()
+    digits = lambda w: any(c.isdigit() for c in w)
+    for own, said, share in words:
+        if not own or not said:
+            assert share is None
+            continue
+        hits = [w in said or not digits(w) and any(not digits(x) and difflib.SequenceMatcher(None, w, x, autojunk=False).ratio() >= 0.8 for x in said) for w in own]
+        assert share == pytest.approx(sum(hits) / len(own))
+    exact = {r.uuid for r in QUERIES["user_stated_exact"](spark, sf).collect() if r.stated}
+    assert exact <= {r.uuid for r in QUERIES["user_stated_fuzzy"](spark, sf).collect() if r.stated}
+
+
+def test_import_ids_are_uuid5(spark):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from tessella.operators import validation as V
+
+    given = ["note 1", "é", str(uuid.uuid4()), uuid.uuid4().hex, "", "0" * 31]
+    space = uuid.UUID(V.IMPORT_NAMESPACE)
+    got = {r.t: r.i for r in spark.createDataFrame([(t,) for t in given], "t string").select("t", V.import_id(F.col("t")).alias("i")).collect()}
+    assert got == {t: uuid.UUID(t).hex if len(t.replace("-", "")) == 32 else uuid.uuid5(space, t).hex for t in given}
+
+
+def test_logs_rotate_prune_and_back_up(spark, sf, tmp_path):
+    from tessella.sources import logs
+    from tessella.sources.records import records
+
+    events, path = spark.read.parquet(f"{sf}/events.parquet"), str(tmp_path / "log")
+    logs.append(events, path)
+    logs.append(events.limit(5), path)
+    assert logs.read(spark, path).count() == events.count() + 5
+    days = sorted(str(r.day) for r in logs.read(spark, path).select("day").distinct().collect())
+    assert logs.prune(spark, path, days[1]) == [f"day={days[0]}"] and logs.rotate(spark, path, 1) == [f"day={x}" for x in days[1:-1]]
+    assert logs.rotate(spark, path, 1 << 40) == [] and logs.prune(spark, str(tmp_path / "none"), "2020-01-01") == []
+    rows = records(spark, sf)
+    for name in ("b1", "b2", "b3"):
+        logs.backup(rows, str(tmp_path / "backups"), name, keep=2)
+    assert sorted(p.name for p in (tmp_path / "backups").iterdir()) == ["b2", "b3"] and spark.read.parquet(str(tmp_path / "backups/b3")).count() == rows.count()
+    for name in ("../x", "", ".hidden", "a/b"):
+        with pytest.raises(ValueError):
+            logs.backup(rows, str(tmp_path / "backups"), name)
+    logs.write_index(rows, str(tmp_path / "index"), "Hash v1")
+    assert logs.read_index(spark, str(tmp_path / "index"), "Hash v1", 64).count() == rows.where("embedding is not null").count()
+    assert logs.read_index(spark, str(tmp_path / "index"), "Hash v1", 32).count() == 0
+
+
+def test_coercions():
+    from tessella.operators import coerce
+
+    assert [coerce.truth(x) for x in ("Yes", "0", None, 1, "off ", True)] == [True, False, False, True, False, True]
+    with pytest.raises(ValueError):
+        coerce.truth("maybe")
+    assert [coerce.whole(x, 7, 0, 10) for x in ("3", "3.9", 99, "x", None, True, -4, float("inf"))] == [3, 3, 10, 7, 7, 7, 0, 7]
+    assert coerce.structure('{"a": [1]}') == {"a": [1]} and coerce.structure("[1,") == "[1," and coerce.structure(5) == 5
+    assert [coerce.like(d, v) for d, v in ((True, "no"), (3, "4"), (0.5, "x"), ([], "[1]"), ("a", 2))] == [False, 4, 0.5, [1], "2"]
+
+
+def test_add_and_compact_passes(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tessella.operators import filters, graph, passes
+    from tessella.sources.records import records
+
+    rows = records(spark, sf)
+    told = passes.verdicts(rows, rows, 0.45, 0.4, -0.5, most_content=5000)
+    new = rows.withColumn("uuid", F.col("uuid") + 50_000)
+    moved = told.withColumn("uuid", F.col("uuid") + 50_000)
+    out = passes.added(rows, new, moved)
+    kept = {r.uuid: r for r in moved.collect() if r.verdict in ("added", "supersedes")}
+    after = {r.uuid: r for r in out.collect()}
+    assert set(after) == {r.uuid for r in rows.collect()} | set(kept) and len(after) == out.count()
+    for r in kept.values():
+        if r.contradicts is not None:
+            assert after[r.contradicts].superseded_by is not None
+    live = filters.status(rows)
+    groups = graph.greedy_groups(graph.duplicate_edges(live, 0.2).select("a", "b", "sim"), live, "source")
+    members: dict = {}
+    for r in groups.collect():
+        members.setdefault(r.grp, []).append(r.uuid)
+    texts = {r.uuid: r.content for r in rows.collect()}
+    merged = passes.compacted(rows, groups).collect()
+    assert {r.grp: r.compacted_from for r in merged} == {g: sorted(m) for g, m in members.items()} and merged
+    assert all(r.content == "\n\n".join(texts[u] for u in r.compacted_from) and r.n == len(r.compacted_from) for r in merged)
+
+
+def test_gap_is_asked_once(spark, sf):
+    from datetime import datetime
+
+    from tessella.api import Store
+    from tessella.sources.records import records
+
+    store = Store(records(spark, sf), "alpha", datetime(2026, 1, 1))
+    words = store.own.where("status = 'active'").orderBy("uuid").first().content[:60]
+    rows = store.retrieve(words, depth=4, limit=3, gap=lambda prompts: [f"{len(p)} characters" for p in prompts]).orderBy("rank").collect()
+    assert rows[0].gap.endswith(" characters") and all(r.gap is None for r in rows[1:]) and "embedding" not in rows[0].asDict()
