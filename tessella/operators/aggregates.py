@@ -12,7 +12,7 @@ TYPES = ("USER-DATA", "ENV-DATA", "SESSION-DATA", "SYSTEM", "CUSTOM", "OBSIDIAN"
 def overview(rows: DataFrame, limit: int) -> DataFrame:
     """The largest (data_type, data_id) groups with mean trust and their sources."""
     out = rows.groupBy("data_type", "data_id").agg(
-        F.count("*").alias("n"), F.round(F.avg("trust_score"), 2).alias("trust"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")
+        F.count("*").alias("n"), F.round(F.avg(F.col("trust_score").cast("decimal(18,4)")), 2).cast("double").alias("trust"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")
     )
     return out.orderBy(F.desc("n"), "data_type", "data_id").limit(limit)
 
