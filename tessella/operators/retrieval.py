@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..functions.time import recency
 from ..functions.vector import cosine
-from ..sources.scratch import store
+from ..sources.scratch import spread, store
 from .filters import status, unexpired
 
 
@@ -50,7 +50,7 @@ def matches(rows: DataFrame, terms: list[str]) -> DataFrame:
     """(profile, uuid, len, hits) of every record: how many tokens it has and those that are terms. Written, so that a text is split once."""
     # through an array of one, so that the tokens are worked out once
     one = F.transform(F.array(record_tokens()), lambda t: F.struct(F.size(t).alias("len"), F.filter(t, lambda x: x.isin(*terms) if terms else F.lit(False)).alias("hits")))
-    return store(rows.select("profile", "uuid", one[0].alias("m")).select("profile", "uuid", "m.len", "m.hits"), "matches")
+    return store(spread(rows.select("profile", "uuid", "content", "summary", "keywords", "topic", "data_id")).select("profile", "uuid", one[0].alias("m")).select("profile", "uuid", "m.len", "m.hits"), "matches")
 
 
 def statistics(matched: DataFrame, terms: list[str]) -> DataFrame:
