@@ -42,10 +42,6 @@ def record_tokens() -> Column:
     return F.concat(tokens(F.col("content")), tokens(F.col("summary")), tokens(F.array_join("keywords", " ")), tokens(F.col("topic")), tokens(F.col("data_id")))
 
 
-def _count(array: str, word: str) -> Column:
-    return F.size(array) - F.size(F.array_remove(array, word))
-
-
 def matches(rows: DataFrame, terms: list[str]) -> DataFrame:
     """(profile, uuid, len, hits) of every record: how many tokens it has and those that are terms. Written, so that a text is split once."""
     # through an array of one, so that the tokens are worked out once
@@ -54,8 +50,12 @@ def matches(rows: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def statistics(matched: DataFrame, terms: list[str]) -> DataFrame:
-    """(profile, n, mean, n0, n1, ...): records, mean length, and records that hold each term, of each profile."""
-    return matched.groupBy("profile").agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.array_contains("hits", x)).alias(f"n{i}") for i, x in enumerate(terms)])
+    """(profile, n, mean, term, n_docs): records and their mean length in each profile, and how many hold each term."""
+    size = matched.groupBy("profile").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    # partial counts first: a term in most records is summed within each task
+    held = matched.select("profile", F.explode(F.array_distinct("hits")).alias("term")).groupBy("profile", "term").agg(F.count("*").alias("n_docs"))
+    every = size.select("*", F.explode(F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")).alias("term"))
+    return every.join(held, ["profile", "term"], "left").fillna(0, ["n_docs"])
 
 
 def bm25(rows: DataFrame, terms: list[str]) -> DataFrame:
@@ -65,13 +65,15 @@ def bm25(rows: DataFrame, terms: list[str]) -> DataFrame:
     """
     distinct = list(dict.fromkeys(terms))
     matched = matches(rows, distinct)
-    both = matched.join(F.broadcast(statistics(matched, distinct)), "profile")  # one row for each profile
-    score = F.lit(0.0)
-    for i, x in enumerate(distinct):
-        n = F.col(f"n{i}")
-        idf = F.greatest(F.log((F.col("n") - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
-        f = _count("hits", x).cast("double")
-        score += F.lit(float(terms.count(x))) * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    n, nt = F.col("n"), F.col("n_docs")
+    times = F.element_at(F.create_map(*[x for t in distinct for x in (F.lit(t), F.lit(float(terms.count(t))))]), F.col("term")) if distinct else F.lit(0.0)
+    weight = times * F.greatest(F.log((n - nt + 0.5) / (nt + 0.5)), F.lit(LEAST_IDF)) * (K1 + 1)
+    weights = statistics(matched, distinct).groupBy("profile").agg(F.first("mean").alias("mean"), F.map_from_entries(F.collect_list(F.struct("term", weight.alias("w")))).alias("weights"))
+    both = matched.join(F.broadcast(weights), "profile", "left")  # one row for each profile, of the query's terms
+    damped = K1 * (1 - B + B * F.col("len") / F.col("mean"))
+    # a record's few hits, each term once
+    each = F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("t"), F.size(F.filter("hits", lambda x: x == t)).cast("double").alias("f")))
+    score = F.aggregate(each, F.lit(0.0), lambda s, x: s + F.element_at("weights", x["t"]) * x["f"] / (x["f"] + damped))
     return both.select("profile", "uuid", F.round(score, 9).alias("score"), (F.size("hits") > 0).alias("matched"))
 
 

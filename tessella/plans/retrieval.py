@@ -91,9 +91,7 @@ def bm25_raw(spark: SparkSession, d: str) -> DataFrame:
 @query("bm25_stats", f"WITH {BM} SELECT profile, term, nt AS n_docs, n, round(mean, 6) AS mean FROM df JOIN st USING (profile)")
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     words = list(dict.fromkeys(terms(spark, d)))
-    stats = R.statistics(R.matches(records(spark, d), words), words)
-    each = F.explode(F.array(*[F.struct(F.lit(x).alias("term"), F.col(f"n{i}").alias("n_docs")) for i, x in enumerate(words)])).alias("t")
-    return stats.select("profile", "n", F.round("mean", 6).alias("mean"), each).select("profile", "t.term", "t.n_docs", "n", "mean")
+    return R.statistics(R.matches(records(spark, d), words), words).withColumn("mean", F.round("mean", 6))
 
 
 @query("bm25_normalised", f"WITH {BM} SELECT profile, uuid, bm25 FROM bn")
