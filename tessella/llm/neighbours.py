@@ -50,7 +50,7 @@ SAMPLED_LEVELS = 9
 DELTA = 0.004
 EF = 160
 #: Nodes of a query that are expanded in a step, and the longest vectors that every query starts from.
-EXPANDED, ENTRIES = 32, 16
+EXPANDED, ENTRIES = 80, 16
 #: Bytes of vectors that may be broadcast; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 48 << 20
 #: Rows that the local join takes together, and scores it has at a time.
@@ -390,19 +390,21 @@ def search(graph: DataFrame, base: DataFrame, starts: DataFrame, n: int, size: i
     entries = base.select(F.col("node").alias("entry"), "norm").orderBy(F.desc("norm"), F.xxhash64("node"), "node").limit(ENTRIES).agg(F.collect_list("entry").alias("entries"))
     # the entries are one row of a fixed size
     from_all = qvec.select("query").join(F.broadcast(entries), F.size("entries") > 0).select("query", F.explode(F.array_union("entries", F.array("query"))).alias("node"))
-    beam = tables.store(scored(from_all).withColumn("seen", F.lit(False)), "beam")
     order = (F.desc("score"), F.col("node"))
     best = F.row_number().over(W.partitionBy("query").orderBy(*order))
     turn = F.row_number().over(W.partitionBy("query").orderBy("seen", *order))
-    while not beam.where(~F.col("seen")).isEmpty():
-        # the unvisited ones come first
-        chosen = beam.withColumn("r", turn).withColumn("now", ~F.col("seen") & (F.col("r") <= EXPANDED))
-        chosen = tables.store(chosen.select("query", "node", "score", (F.col("seen") | F.col("now")).alias("seen"), "now"), "chosen")
-        near = chosen.where("now").select("query", "node").join(graph.select("node", "others"), "node").select("query", F.explode("others").alias("node")).distinct()
-        found = scored(near.join(chosen.select("query", "node"), ["query", "node"], "left_anti")).withColumn("seen", F.lit(False))
-        new = tables.store(chosen.select("query", "node", "score", "seen").union(found).withColumn("r", best).where(F.col("r") <= ef).drop("r"), "beam")
-        for t in (beam, chosen):
-            tables.drop(t)
+
+    def kept(rows: DataFrame) -> DataFrame:
+        """The best ef of each query; now: those that the next step expands."""
+        rows = rows.withColumn("r", best).where(F.col("r") <= ef).withColumn("r", turn)
+        return tables.store(rows.select("query", "node", "score", "seen", (~F.col("seen") & (F.col("r") <= EXPANDED)).alias("now")), "beam")
+
+    beam = kept(scored(from_all).withColumn("seen", F.lit(False)))
+    while not beam.where("now").isEmpty():
+        near = beam.where("now").select("query", "node").join(graph.select("node", "others"), "node").select("query", F.explode("others").alias("node")).distinct()
+        found = scored(near.join(beam.select("query", "node"), ["query", "node"], "left_anti")).withColumn("seen", F.lit(False))
+        new = kept(beam.select("query", "node", "score", (F.col("seen") | F.col("now")).alias("seen")).union(found))
+        tables.drop(beam)
         beam = new
         tables.release(spark)
     return tables.store(beam.select("query", "node", "score"), "found")
