@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import filters
 from ..operators import graph as G
 from ..sources.records import records, table
+from ..sources.scratch import checkpoints as _checkpoints  # noqa: F401
 from .registry import query
 
 LIVE = "status = 'active' AND superseded_by IS NULL"
