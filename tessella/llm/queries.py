@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, gif, language, line_dedup, mixing, neighbours, ngram_join, packing, token_counts, token_store
+from . import centroids, chat, gif, language, line_dedup, mixing, neighbours, ngram_join, packing, pieces, spelling, token_counts, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_nn_descent": neighbours.op10_nn_descent,
+        "op11_centroids": centroids.op11_centroids,
+        "op12_sentencepiece": pieces.op12_sentencepiece,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return centroids.ORACLE_SQL | spelling.ORACLE_SQL
