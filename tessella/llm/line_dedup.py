@@ -11,7 +11,11 @@ recurs if it is in at least ``min_docs`` documents. A line with fewer than
 ``LEAST_CONSTANT`` constant tokens (short ones, mostly numbers, scripts without blanks)
 isn't generalised: its template is its verbatim text, which counts as any other with
 ``short``, as in the query and the pipeline, and never recurs without. Of a recurring template, the first line in order of (doc_id, text hash, line)
-stays, all others are dropped, so whatever was said is still said once.
+stays, all others are dropped: what a template's lines have in common is still said once, the words at its
+wildcards are kept in that one line only.
+
+Tokens are runs of characters other than blanks, tabs and carriage returns, so indentation and runs of
+blanks are no tokens; verbatim text keeps them.
 
 Only hashes and counts of lines are shuffled; token positions are looked at only for
 lines in leaves that hold differing lines of different documents. Frequent lines are
@@ -42,8 +46,10 @@ WILD = "<*>"
 
 
 def masked(text: Column) -> Column:
-    """A text whose tokens with a digit are wildcards; tokens are separated by single blanks, lines by line feeds."""
+    """A text whose tokens are separated by single blanks, none at the ends of lines, and those with a digit are wildcards; lines by line feeds."""
     flat = F.when(F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")), F.translate(text, "\t\r", "  ")).otherwise(text)
+    wide = F.contains(flat, F.lit("  ")) | F.contains(flat, F.lit("\n ")) | F.contains(flat, F.lit(" \n")) | F.startswith(flat, F.lit(" ")) | F.endswith(flat, F.lit(" "))
+    flat = F.when(wide, F.regexp_replace(flat, r"(?md)^ ++| ++$|(?<= ) ++", "")).otherwise(flat)
     # looks only at the starts of tokens and never goes back
     return F.when(text.rlike("[0-9]"), F.regexp_replace(flat, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", WILD)).otherwise(flat)
 
@@ -59,7 +65,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.arrays_zip(F.split(masked(F.col("text")), "\n", -1).alias("masked"), F.split("text", "\n", -1).alias("line")).alias("all"))
     # the outer form, as for the other one Spark splits each text once more to see whether it has lines
-    rows = rows.select("doc_id", "th", F.posexplode_outer("all").alias("line_no", "x")).select("doc_id", "th", "line_no", "x.masked", "x.line").where(F.length(F.trim(F.col("masked"))) > 0)
+    rows = rows.select("doc_id", "th", F.posexplode_outer("all").alias("line_no", "x")).select("doc_id", "th", "line_no", "x.masked", "x.line").where(F.length("masked") > 0)
     n = _count(F.col("masked"), " ") + 1
     leaf = F.xxhash64(n, F.substring_index("masked", " ", LEADING))
     enough = n - _count(F.col("masked"), WILD) >= LEAST_CONSTANT

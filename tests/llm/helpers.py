@@ -64,10 +64,9 @@ def jaccard_components(rows: list[tuple]) -> list[tuple]:
 def line_keys(text) -> list[tuple]:
     """(line number, masked line, the line's own key) of each line that isn't blank, the key of the tree's way."""
     out = []
-    plain = re.sub("[\t\r]", " ", text or "")
-    for i, (shown, line) in enumerate(zip(plain.split("\n"), (text or "").split("\n"))):
-        tokens = ["<*>" if re.search("[0-9]", t) else t for t in shown.split(" ")]
-        if any(tokens):
+    for i, line in enumerate((text or "").split("\n")):
+        tokens = ["<*>" if re.search("[0-9]", t) else t for t in re.findall("[^ \t\r]+", line)]
+        if tokens:
             constant = len(tokens) - " ".join(tokens).count("<*>")
             out.append((i, tuple(tokens), constant >= 4, ("masked", *tokens) if constant >= 4 else ("verbatim", line)))
     return out

@@ -169,6 +169,15 @@ def test_line_dedup_several_templates_of_a_leaf(spark, more):
     assert {i for i, t in got.items() if t} == first
 
 
+def test_line_dedup_keeps_indented_lines_that_occur_once(spark):
+    texts = ["def f():\n    alpha\n        three four", "def g():\n    beta\n        five six", "class h:\n    gamma\n    return 1", "x\n    return 2\n  \n    \n \t "]
+    got = line_dedup.dedup_lines(lines(spark, enumerate(texts)), short=True)
+    assert {r.doc_id: r.text for r in got.collect()} == dict(enumerate(texts))
+    same = "the  old press of the\tfar north printed this"
+    texts = [same, "    " + same.replace("\t", " "), " ".join(same.split()) + "  "]
+    assert [r.text for r in line_dedup.dedup_lines(lines(spark, enumerate(texts))).orderBy("doc_id").collect()] == [same, "", ""]
+
+
 def random_lines(seed, n):
     rng = random.Random(seed)
     word = lambda k: rng.choice(["old", "press", "far", "north", "towns", "42", "x7", "kind", "日本"][:k])
@@ -177,7 +186,8 @@ def random_lines(seed, n):
         lambda: " ".join(word(9) for _ in range(rng.randrange(1, 9))), lambda: f"page {rng.randrange(4)}\tof 9", lambda: rng.choice(["", "  ", "All rights reserved.", "同一个句子没有空格"]),
         lambda: "Posted on the " + " ".join(f"{word(5)}{word(5)}" for _ in range(6)),
     ]
-    rows = [(i, "\n".join(rng.choice(shapes)() for _ in range(rng.randrange(9)))) for i in range(n)]
+    blanks = lambda line: rng.choice(["", "", "    ", "\t", "        "]) + (line.replace(" ", rng.choice(["  ", "\t \r"])) if rng.random() < 0.2 else line) + rng.choice(["", "", "  "])
+    rows = [(i, "\n".join(blanks(rng.choice(shapes)()) for _ in range(rng.randrange(9)))) for i in range(n)]
     return rows + [(None, "All rights reserved.\nold press of the far north"), (n + 1, None), *rows[:3]]
 
 
