@@ -1,8 +1,8 @@
 """Hybrid retrieval: vector and lexical candidates, one pool, filters, BM25, rank fusion.
 
-Each step is a DataFrame; nothing is collected. Query terms are plan-time constants, so
-BM25 needs no inverted index: one pass over the texts writes what a query needs of each
-record, and the statistics of a term are one aggregate of the profile.
+Each step is a DataFrame; nothing is collected. BM25 scores come of the persisted index
+(sources/postings.py), which reads what a query's terms need, or of ``bm25``, which goes
+through texts that have no index.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..functions.time import recency
 from ..functions.vector import cosine
+from ..sources.postings import K1, LEAST_IDF, B, record_tokens
 from ..sources.scratch import spread, store
 from .filters import status, unexpired
 
@@ -33,15 +34,6 @@ class Weights:
     rank: int = 60
 
 
-K1, B = 1.2, 0.75
-LEAST_IDF = 1e-6
-
-
-def record_tokens() -> Column:
-    """Tokens of all indexed columns together."""
-    return F.concat(tokens(F.col("content")), tokens(F.col("summary")), tokens(F.array_join("keywords", " ")), tokens(F.col("topic")), tokens(F.col("data_id")))
-
-
 def matches(rows: DataFrame, terms: list[str]) -> DataFrame:
     """(profile, uuid, len, hits) of every record: how many tokens it has and those that are terms. Written, so that a text is split once."""
     # through an array of one, so that the tokens are worked out once

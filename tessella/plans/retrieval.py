@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import filters
 from ..operators import retrieval as R
+from ..sources import postings
 from ..sources.records import now, records, table
+from ..sources.scratch import checkpoints
 from .registry import query
 from .scalars import RECENCY_SQL
 
@@ -23,6 +25,11 @@ def terms(spark: SparkSession, d: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
+def index(spark: SparkSession, d: str) -> postings.Postings:
+    """The inverted index of the records; built by the first query that needs it."""
+    return postings.of_tables(records(spark, d), d)
+
+
 def vector(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("q"))
 
@@ -64,11 +71,11 @@ RRF = "(61.0::DOUBLE / (60.0::DOUBLE + rank + 1.0::DOUBLE))"
 OWN = "profile = 'alpha'"
 
 
-def candidates(spark: SparkSession, d: str, own: str = OWN) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+def candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
     """(pool, records, scores, terms) of the profile's query."""
     # statistics are those of a profile, so other profiles' records needn't be read
-    rows, words = records(spark, d).where(own), terms(spark, d)
-    scores = R.bm25(rows, words)
+    rows, words = records(spark, d).where(OWN), terms(spark, d)
+    scores = index(spark, d).scores(words, ["alpha"])
     near = R.vector_topk(rows, vector(spark, d), 30)
     return R.pool(near, R.lexical_topk(rows, scores, 15)), rows, scores, words
 
@@ -88,6 +95,41 @@ def bm25_raw(spark: SparkSession, d: str) -> DataFrame:
     return R.bm25(records(spark, d), terms(spark, d)).where("matched").select("profile", "uuid", F.round("score", 6).alias("score"))
 
 
+@query("bm25_indexed", f"WITH {BM} SELECT profile, uuid, round(score, 6) AS score FROM bm WHERE matched")
+def bm25_indexed(spark: SparkSession, d: str) -> DataFrame:
+    return index(spark, d).scores(terms(spark, d)).select("profile", "uuid", F.round("score", 6).alias("score"))
+
+
+@query("postings_lexicon", f"""WITH {BM}, w AS (SELECT profile, uuid, unnest(tk) AS term FROM rt)
+SELECT profile, term, count(DISTINCT uuid) AS n_docs, count(*) AS occurrences FROM w GROUP BY 1, 2""")
+def postings_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    return index(spark, d).lexicon()
+
+
+def changed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(updated, deleted): records whose texts become their summaries and change profile, and records that go."""
+    rows = records(spark, d)
+    updated = rows.where("uuid % 3 = 0").withColumn("content", F.col("summary")).withColumn("profile", F.when(F.col("uuid") % 2 == 0, "beta").otherwise(F.col("profile")))
+    return updated, rows.where("uuid % 7 = 0").select("uuid")
+
+
+_CHANGED = BM.replace("list_concat(list_concat(regexp_extract_all(lower(content)", "list_concat(list_concat(regexp_extract_all(lower(CASE WHEN uuid % 3 = 0 THEN summary ELSE content END)").replace(
+    "rt AS (SELECT profile, uuid,", "rt AS (SELECT CASE WHEN uuid % 6 = 0 THEN 'beta' ELSE profile END AS profile, uuid,").replace("AS tk FROM mem)", "AS tk FROM mem WHERE uuid % 7 <> 0)")
+
+
+@query("bm25_after_changes", f"WITH {_CHANGED} SELECT profile, uuid, round(score, 6) AS score FROM bm WHERE matched")
+def bm25_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of an index that has had an update and a delete, each delivered twice, and a compaction."""
+    own = postings.Postings(spark, f"{checkpoints(spark)}/tessella-changed-{postings.fingerprint(spark, f'{d}/documents.parquet', f'{d}/embeddings.parquet')}")
+    updated, deleted = changed(spark, d)
+    own.write(records(spark, d), 0)
+    for _ in range(2):
+        own.write(updated, 1)
+    for _ in range(2):
+        own.delete(deleted, 2)
+    own.compact(3)
+    return own.scores(terms(spark, d)).select("profile", "uuid", F.round("score", 6).alias("score"))
+
 @query("bm25_stats", f"WITH {BM} SELECT profile, term, nt AS n_docs, n, round(mean, 6) AS mean FROM df JOIN st USING (profile)")
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     words = list(dict.fromkeys(terms(spark, d)))
@@ -96,13 +138,15 @@ def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bm25_normalised", f"WITH {BM} SELECT profile, uuid, bm25 FROM bn")
 def bm25_normalised(spark: SparkSession, d: str) -> DataFrame:
-    return R.normalised(R.bm25(records(spark, d), terms(spark, d))).select("profile", "uuid", "bm25")
+    # records without a term are in no posting and have 0
+    found = R.normalised(index(spark, d).scores(terms(spark, d))).select("uuid", "bm25")
+    return records(spark, d).select("profile", "uuid").join(found, "uuid", "left").select("profile", "uuid", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
 
 
 @query("lexical_topk", f"WITH {BM}, {VS}, {_pool('true')} SELECT profile, uuid, rn FROM lx")
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d)
-    return R.lexical_topk(rows, R.bm25(rows, terms(spark, d)), 15).select("profile", "uuid", F.col("rn").cast("long").alias("rn"))
+    return R.lexical_topk(rows, index(spark, d).scores(terms(spark, d)), 15).select("profile", "uuid", F.col("rn").cast("long").alias("rn"))
 
 
 @query("vector_topk", f"WITH {VS} SELECT uuid, sim FROM vs ORDER BY sim DESC, uuid LIMIT 30")
@@ -126,7 +170,7 @@ f AS (SELECT uuid, min({{'pos': pos, 'arm': arm}}) AS p FROM a GROUP BY 1), i AS
 SELECT uuid, round(0.1::DOUBLE + 0.4::DOUBLE * (i - 1) / greatest(n - 1, 1), 6) AS distance FROM i""")
 def candidate_pool_cross(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d)
-    return R.pool_across(R.vector_topk(rows, vector(spark, d), 90), R.lexical_topk(rows, R.bm25(rows, terms(spark, d)), 15))
+    return R.pool_across(R.vector_topk(rows, vector(spark, d), 90), R.lexical_topk(rows, index(spark, d).scores(terms(spark, d)), 15))
 
 
 @query("layer1_filter", f"{_layer1(OWN)} SELECT uuid, distance, bm25 FROM l1")
@@ -169,7 +213,8 @@ SELECT vt.profile, vt.uuid, sim, bm25 FROM vt JOIN bn ON bn.uuid = vt.uuid JOIN
 def cross_profile_retrieve(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d)
     near = filters.unexpired(R.vector_topk_by(rows, vector(spark, d), 30, "profile"), now()).select("profile", "uuid", "sim")
-    return near.join(R.normalised(R.bm25(rows, terms(spark, d))).select("uuid", "bm25"), "uuid").select("profile", "uuid", "sim", "bm25")
+    found = R.normalised(index(spark, d).scores(terms(spark, d))).select("uuid", "bm25")
+    return near.join(found, "uuid", "left").select("profile", "uuid", "sim", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
 
 
 @query("discover", f"WITH {VS} SELECT uuid, profile, data_type, topic, sim FROM vs WHERE profile <> 'alpha' AND sim >= 0 ORDER BY sim DESC, uuid LIMIT 10")

@@ -29,6 +29,6 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows over all cores if their files have fewer parts than there are cores (so small tables only), else as they are."""
+    """rows over all cores if they come of fewer files than there are cores (so small tables only), else as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
