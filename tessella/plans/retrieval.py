@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import filters
 from ..operators import retrieval as R
-from ..sources import postings
+from ..sources import exchange, ivf, postings
 from ..sources.records import now, records, table
-from ..sources.scratch import checkpoints
+from ..sources.scratch import checkpoints, store
 from .registry import query
 from .scalars import RECENCY_SQL
 
@@ -75,9 +75,11 @@ def candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
     """(pool, records, scores, terms) of the profile's query."""
     # statistics are those of a profile, so other profiles' records needn't be read
     rows, words = records(spark, d).where(OWN), terms(spark, d)
-    scores = index(spark, d).scores(words, ["alpha"])
+    # the arms, the range and the join all read the scores
+    scores = store(index(spark, d).scores(words, ["alpha"]), "scores")
     near = R.vector_topk(rows, vector(spark, d), 30)
-    return R.pool(near, R.lexical_topk(rows, scores, 15)), rows, scores, words
+    pool = store(R.pool(near, R.lexical_topk(rows, scores, 15)), "pool")
+    return pool, records(spark, d, pool).where(OWN), scores, words
 
 
 def layer1(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +122,7 @@ _CHANGED = BM.replace("list_concat(list_concat(regexp_extract_all(lower(content)
 @query("bm25_after_changes", f"WITH {_CHANGED} SELECT profile, uuid, round(score, 6) AS score FROM bm WHERE matched")
 def bm25_after_changes(spark: SparkSession, d: str) -> DataFrame:
     """Scores of an index that has had an update and a delete, each delivered twice, and a compaction."""
-    own = postings.Postings(spark, f"{checkpoints(spark)}/tessella-changed-{postings.fingerprint(spark, f'{d}/documents.parquet', f'{d}/embeddings.parquet')}")
+    own = postings.Postings(spark, f"{checkpoints(spark)}/tessella-changed-{postings.LAYOUT}-{postings.fingerprint(spark, f'{d}/documents.parquet', f'{d}/embeddings.parquet')}")
     updated, deleted = changed(spark, d)
     own.write(records(spark, d), 0)
     for _ in range(2):
@@ -159,6 +161,33 @@ def vector_topk_by_collection(spark: SparkSession, d: str) -> DataFrame:
     return R.vector_topk_by(records(spark, d), vector(spark, d), 10, "data_type").select("data_type", "uuid", "sim")
 
 
+def vector_index(spark: SparkSession, d: str) -> ivf.VectorIndex:
+    """The vectors of live records, by type; built by the first query that needs them."""
+    out = ivf.VectorIndex(spark, f"{checkpoints(spark)}/tessella-vectors-{postings.LAYOUT}-{postings.fingerprint(spark, f'{d}/documents.parquet', f'{d}/embeddings.parquet')}", 64)
+    if out.commits.last() is None:
+        out.build(filters.status(records(spark, d)).select("uuid", F.col("data_type").alias("collection"), "embedding"))
+    return out
+
+
+@query("vector_topk_ivf", f"WITH {VS} SELECT data_type, uuid, sim FROM vs QUALIFY row_number() OVER (PARTITION BY data_type ORDER BY sim DESC, uuid) <= 10")
+def vector_topk_ivf(spark: SparkSession, d: str) -> DataFrame:
+    """The k nearest of each type by the lists that can hold them."""
+    near, _ = vector_index(spark, d).nearest([float(x) for x in vector(spark, d).first()["q"]], 10, by=True)
+    return near.select(F.col("collection").alias("data_type"), "uuid", "sim")
+
+
+@query("index_rebuilt", f"WITH {VS} SELECT uuid, 64::BIGINT AS size, embedding IS NULL OR uuid % 9 = 0 AS renewed FROM mem WHERE {LIVE}")
+def index_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """An index of some of the records, with retired ones among them, brought in line with all; vectors of another size are embedded anew."""
+    rows = records(spark, d).withColumn("embedding", F.when(F.col("uuid") % 9 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))).withColumn("collection", F.col("data_type"))
+    index = ivf.VectorIndex(spark, f"{checkpoints(spark)}/tessella-rebuilt-{postings.LAYOUT}-{postings.fingerprint(spark, f'{d}/documents.parquet', f'{d}/embeddings.parquet')}", 64)
+    index.build(rows.where("uuid % 4 <> 0").select("uuid", "collection", "embedding"), 0)
+    for _ in range(2):
+        ivf.rebuild(index, rows, lambda some: exchange.hashed_embedding(some, 64), 1)
+    kept = index.rows().join(rows.select("uuid", ivf.unit(F.col("embedding")).alias("own")), "uuid")
+    return kept.select("uuid", F.size("v").cast("long").alias("size"), (~F.col("own").eqNullSafe(F.col("v"))).alias("renewed"))
+
+
 @query("candidate_pool", f"WITH {BM}, {VS}, {_pool(OWN)} SELECT uuid, distance FROM pool")
 def candidate_pool(spark: SparkSession, d: str) -> DataFrame:
     return candidates(spark, d)[0]

@@ -87,3 +87,36 @@ class Commits:
                     remove(self.spark, posixpath.join(self.path, part, name))
                     gone.append(f"{part}/{name}")
         return gone
+
+
+class Versions(Commits):
+    """Batches of rows with a uuid, of which the newest version counts.
+
+    ``ids`` is the part that has each batch's uuids; ``gone`` has the uuids whose earlier versions a batch replaces or deletes.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, ids: str, schema: str):
+        super().__init__(spark, path)
+        self.ids, self.schema = ids, schema
+
+    def alive(self, rows: DataFrame, batches: list[int] | None = None) -> DataFrame:
+        """rows (uuid, batch) whose record no later batch has replaced or deleted."""
+        batches = self.batches() if batches is None else batches
+        if len(batches) < 2:
+            return rows
+        later = self.read("gone", "uuid long", batches[1:]).groupBy("uuid").agg(F.max("batch").alias("through"))
+        return rows.join(later, "uuid", "left").where("through is null or batch >= through").drop("through")
+
+    def living(self, batches: list[int] | None = None) -> DataFrame:
+        """The ids part's rows that count."""
+        batches = self.batches() if batches is None else batches
+        return self.alive(self.read(self.ids, self.schema, batches), batches)
+
+    def replace(self, touched: DataFrame, batch: int, before: list[int]) -> DataFrame:
+        """Writes and returns which of these uuids count before the batch."""
+        self.write(self.living(before).join(touched.select("uuid").distinct(), "uuid", "left_semi").select("uuid"), "gone", batch)
+        return self.spark.read.schema("uuid long").parquet(posixpath.join(self.path, "gone", f"batch={batch}"))
+
+    def batch_rows(self, part: str, schema: str, batch: int) -> DataFrame:
+        """A part of one batch, committed or not."""
+        return self.spark.read.schema(schema).parquet(posixpath.join(self.path, part, f"batch={batch}"))

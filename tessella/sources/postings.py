@@ -15,16 +15,18 @@ as a new base and drops what it replaces.
 from __future__ import annotations
 
 import hashlib
-import posixpath
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .commits import Commits, folder
+from .commits import Versions, folder
 from .scratch import checkpoints, spread
 
 BUCKETS = 32
+#: Changes with the layout or the way records are derived, so that an index of another layout isn't read.
+LAYOUT = 2
 #: BM25's constants and the weight of a term that is in more than half of the records.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Profiles up to which a query's statistics are sent to all tasks.
@@ -47,14 +49,15 @@ def term_counts(words: Column) -> Column:
 
 
 def bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    """The folder of a term, which the driver can tell as well."""
+    return (F.crc32(term.cast("binary")) % buckets).cast("int")
 
 
 class Postings:
     """The index in a folder."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets, self.commits = spark, path, buckets, Commits(spark, path)
+        self.spark, self.path, self.buckets, self.commits = spark, path, buckets, Versions(spark, path, "records", PARTS["records"])
 
     def read(self, part: str, batches: list[int] | None = None) -> DataFrame:
         return self.commits.read(part, PARTS[part], batches)
@@ -70,9 +73,9 @@ class Postings:
         # folders with a frequent term are split over several tasks, small ones share one
         self.commits.write(each.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), "postings", batch, ("bucket",))
         # a record without words has no postings but counts; lengths are read back, texts aren't split again
-        lengths = self.spark.read.schema(PARTS["postings"]).parquet(posixpath.join(self.path, "postings", f"batch={batch}")).select("uuid", "len").distinct()
+        lengths = self.commits.batch_rows("postings", PARTS["postings"], batch).select("uuid", "len").distinct()
         self.commits.write(rows.select("profile", "uuid").join(lengths, "uuid", "left").select("profile", "uuid", F.coalesce("len", F.lit(0)).alias("len")), "records", batch)
-        self._close(batch, before, self.spark.read.schema(PARTS["records"]).parquet(posixpath.join(self.path, "records", f"batch={batch}")))
+        self._close(batch, before, self.commits.batch_rows("records", PARTS["records"], batch))
         return True
 
     def delete(self, uuids: DataFrame, batch: int) -> bool:
@@ -85,33 +88,22 @@ class Postings:
 
     def _close(self, batch: int, before: list[int], new: DataFrame, also: DataFrame | None = None) -> None:
         """Writes what the batch takes out and the statistics after it, and commits."""
-        touched = (new.select("uuid") if also is None else also).distinct()
-        removed = self.alive(self.read("records", before), before).join(touched, "uuid", "left_semi")
-        self.commits.write(removed.select("uuid"), "gone", batch)
+        gone = self.commits.replace(new if also is None else also, batch, before)
         sums = lambda df, sign: df.groupBy("profile").agg((sign * F.count("*")).alias("n"), (sign * F.sum("len")).alias("total"))
-        gone = self.spark.read.schema(PARTS["gone"]).parquet(posixpath.join(self.path, "gone", f"batch={batch}"))
-        was = self.alive(self.read("records", before), before).join(gone, "uuid", "left_semi")
+        was = self.commits.living(before).join(gone, "uuid", "left_semi")
         stats = self.read("stats", before[-1:]).select("profile", "n", "total").union(sums(new, 1)).union(sums(was, -1))
         self.commits.write(stats.groupBy("profile").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0"), "stats", batch)
         self.commits.commit(batch)
 
-    def alive(self, rows: DataFrame, batches: list[int] | None = None) -> DataFrame:
-        """rows (uuid, batch) whose record no later batch has replaced or deleted."""
-        batches = self.commits.batches() if batches is None else batches
-        if len(batches) < 2:
-            return rows
-        later = self.read("gone", batches[1:]).groupBy("uuid").agg(F.max("batch").alias("through"))
-        return rows.join(later, "uuid", "left").where("through is null or batch >= through").drop("through")
-
     def postings(self, terms: list[str] | None = None, profiles: list[str] | None = None) -> DataFrame:
         """(profile, term, uuid, tf, len) that count, of all terms or of these: only their folders are read."""
         rows = self.read("postings")
         if terms is not None:
-            places = self.spark.range(1).select(F.array_distinct(F.array(*[bucket(F.lit(t), self.buckets) for t in terms])) if terms else F.array().cast("array<int>")).first()[0]
+            places = {zlib.crc32(t.encode()) % self.buckets for t in terms}
             rows = rows.where(F.col("bucket").isin(*places) & F.col("term").isin(*terms)) if terms else rows.limit(0)
         if profiles is not None:
             rows = rows.where(F.col("profile").isin(*profiles))
-        return self.alive(rows).select("profile", "term", "uuid", "tf", "len")
+        return self.commits.alive(rows).select("profile", "term", "uuid", "tf", "len")
 
     def statistics(self) -> DataFrame:
         """(profile, n, mean): records and their mean length."""
@@ -129,7 +121,7 @@ class Postings:
         weight = times * F.greatest(F.log((n - nt + 0.5) / (nt + 0.5)), F.lit(LEAST_IDF)) * (K1 + 1)
         weights = held.groupBy("profile", "term").agg(F.count("*").alias("n_docs")).join(stats, "profile").select("profile", "term", "mean", weight.alias("w"))
         # as many rows as the query has terms, for each profile
-        if stats.count() <= BROADCAST_PROFILES:
+        if (len(profiles) if profiles is not None else stats.count()) <= BROADCAST_PROFILES:
             weights = F.broadcast(weights)
         damped = K1 * (1 - B + B * F.col("len") / F.col("mean"))
         each = held.join(weights, ["profile", "term"]).select("profile", "uuid", (F.col("w") * F.col("tf") / (F.col("tf") + damped)).alias("s"))
@@ -144,9 +136,9 @@ class Postings:
         if not self.commits.isnew(batch):
             return False
         names = lambda part: [c.split()[0] for c in PARTS[part].split(", ")]
-        live = self.alive(self.read("postings")).select(*names("postings"))
+        live = self.commits.alive(self.read("postings")).select(*names("postings"))
         self.commits.write(live.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), "postings", batch, ("bucket",))
-        self.commits.write(self.alive(self.read("records")).select(*names("records")), "records", batch)
+        self.commits.write(self.commits.living().select(*names("records")), "records", batch)
         self.commits.write(self.spark.createDataFrame([], PARTS["gone"]), "gone", batch)
         self.commits.write(self.read("stats", self.commits.batches()[-1:]).select(*names("stats")), "stats", batch)
         self.commits.commit(batch, batch)
@@ -169,7 +161,7 @@ def fingerprint(spark: SparkSession, *paths: str) -> str:
 def of_tables(rows: DataFrame, sf_dir: str, tables: tuple[str, ...] = ("documents", "embeddings")) -> Postings:
     """The index of rows that derive from these tables, kept in the shared folder: built when none is there for just these files."""
     spark = rows.sparkSession
-    out = Postings(spark, f"{checkpoints(spark)}/tessella-postings-{fingerprint(spark, *(f'{sf_dir}/{t}.parquet' for t in tables))}")
+    out = Postings(spark, f"{checkpoints(spark)}/tessella-postings-{LAYOUT}-{fingerprint(spark, *(f'{sf_dir}/{t}.parquet' for t in tables))}")
     if out.commits.last() is None:
         out.write(rows, 0)
     return out

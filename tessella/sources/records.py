@@ -25,8 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """The store; of the uuids in ``only`` (a top-k) if given, so that nothing is worked out for the others."""
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    if only is not None:
+        d = d.join(F.broadcast(only.select(F.col("uuid").alias("_only"))), F.col("doc_id") == F.col("_only"), "left_semi")
     rows = d.join(e, d.doc_id == e.vec_id, "left")
     days = lambda expr: f"make_dt_interval(cast({expr} as int))"
     at = f"timestamp_ntz'{NOW}'"
