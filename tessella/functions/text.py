@@ -149,16 +149,16 @@ def fuzzy_user_share(content: Column, message: Column, ratio: float = 0.8) -> Co
     """user_share() where a word without digits also counts if one of the message is spelled alike to that ratio."""
 
     @F.pandas_udf("double")
-    def share(own: pd.Series, said: pd.Series) -> pd.Series:
+    def share(own: pd.Series, message: pd.Series) -> pd.Series:
         out = []
-        for a, b in zip(own, said):
+        for a, b in zip(own, message):
             if a is None or b is None or not len(a) or not len(b):
                 out.append(None)
                 continue
-            exact, plain = set(b), sorted({w for w in b if not any(c.isdigit() for c in w)})
+            said = set(b)
             hits = 0
             for w in a:
-                hits += w in exact or not any(c.isdigit() for c in w) and any(_alike(w, x, ratio) for x in plain)
+                hits += w in said or not any(c.isdigit() for c in w) and any(_alike(w, x, ratio) for x in said)
             out.append(hits / len(a))
         return pd.Series(out, dtype="float64")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,13 +48,14 @@ def nearest(rows: DataFrame) -> DataFrame:
     return rows.select("uuid").join(best_matches(rows, rows).select("uuid", "sim"), "uuid", "left")
 
 
-def best_matches(incoming: DataFrame, store: DataFrame, by: str | None = "data_type", extra: tuple[str, ...] = (), allowed: Allowed | None = None) -> DataFrame:
-    """(uuid, match, sim): each incoming row's most similar other row of its type in the store, ties to the smaller match.
+def _unit(rows: pd.DataFrame) -> np.ndarray:
+    m = np.array(rows["embedding"].tolist(), float)
+    norm = np.sqrt((m * m).sum(1))
+    return np.divide(m, norm[:, None], out=np.zeros_like(m), where=norm[:, None] > 0)
 
-    Both sides are dealt out in parts within a type (``by``; None: all are of one); a task compares one part of each as
-    matrices and returns one row for each incoming row, so what is shuffled grows with the rows and parts, not with the
-    pairs. ``allowed`` says which pairs count, from the two parts (with the columns ``extra``) and their similarities.
-    """
+
+def _grid(incoming: DataFrame, store: DataFrame, by: str | None, extra: tuple[str, ...] = ()) -> GroupedData:
+    """Both sides dealt out in parts within a type; a group holds one part of each (``new`` tells them apart)."""
 
     def dealt(rows: DataFrame, name: str) -> DataFrame:
         rows = rows.where("embedding is not null").select("uuid", (F.col(by) if by else F.lit(0)).alias("grp"), "embedding", *extra)
@@ -67,17 +68,41 @@ def best_matches(incoming: DataFrame, store: DataFrame, by: str | None = "data_t
     columns = ("grp", "x", "y", "uuid", "embedding", *extra)
     left = a.join(ys, "grp").withColumn("y", every("ys")).select(*columns, F.lit(True).alias("new"))
     right = b.join(xs, "grp").withColumn("x", every("xs")).select(*columns, F.lit(False).alias("new"))
+    return left.union(right).groupBy("grp", "x", "y")
+
+
+def top_matches(incoming: DataFrame, store: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """(uuid, match, sim, rank): the k most similar other rows of each incoming row, ties to the smaller; a task returns k rows of a row at most."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        def unit(rows: pd.DataFrame) -> np.ndarray:
-            m = np.array(rows["embedding"].tolist(), float)
-            norm = np.sqrt((m * m).sum(1))
-            return np.divide(m, norm[:, None], out=np.zeros_like(m), where=norm[:, None] > 0)
+        new, old = pdf[pdf["new"]], pdf[~pdf["new"]].sort_values("uuid")
+        if not len(new) or not len(old):
+            return pd.DataFrame({"uuid": [], "match": [], "sim": []})
+        sim = np.round(np.clip(_unit(new) @ _unit(old).T, -1, 1), 6)
+        ids, others = new["uuid"].to_numpy(), old["uuid"].to_numpy()
+        sim[ids[:, None] == others[None, :]] = -2
+        at = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"uuid": np.repeat(ids, at.shape[1]), "match": others[at].ravel(), "sim": np.take_along_axis(sim, at, 1).ravel()})
+        return out[out["sim"] >= -1]
+
+    each = _grid(incoming, store, by).applyInPandas(compare, "uuid long, match long, sim double")
+    w = W.partitionBy("uuid").orderBy(F.desc("sim"), "match")
+    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def best_matches(incoming: DataFrame, store: DataFrame, by: str | None = "data_type", extra: tuple[str, ...] = (), allowed: Allowed | None = None) -> DataFrame:
+    """(uuid, match, sim): each incoming row's most similar other row of its type in the store, ties to the smaller match.
 
+    Both sides are dealt out in parts within a type (``by``; None: all are of one); a task compares one part of each as
+    matrices and returns one row for each incoming row, so what is shuffled grows with the rows and parts, not with the
+    pairs. ``allowed`` says which pairs count, from the two parts (with the columns ``extra``) and their similarities.
+    """
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         new, old = pdf[pdf["new"]], pdf[~pdf["new"]].sort_values("uuid")
         if not len(new) or not len(old):
             return pd.DataFrame({"uuid": [], "match": [], "sim": []})
-        sim = np.round(np.clip(unit(new) @ unit(old).T, -1, 1), 6)
+        sim = np.round(np.clip(_unit(new) @ _unit(old).T, -1, 1), 6)
         ids, others = new["uuid"].to_numpy(), old["uuid"].to_numpy()
         if allowed is not None:
             sim[~allowed(new, old, sim)] = -2
@@ -86,7 +111,7 @@ def best_matches(incoming: DataFrame, store: DataFrame, by: str | None = "data_t
         out = pd.DataFrame({"uuid": ids, "match": others[at], "sim": sim[np.arange(len(ids)), at]})
         return out[out["sim"] >= -1]
 
-    each = left.union(right).groupBy("grp", "x", "y").applyInPandas(compare, "uuid long, match long, sim double")
+    each = _grid(incoming, store, by, extra).applyInPandas(compare, "uuid long, match long, sim double")
     best = each.groupBy("uuid").agg(F.max(F.struct("sim", (-F.col("match")).alias("m"))).alias("best"))
     return best.select("uuid", (-F.col("best.m")).alias("match"), F.col("best.sim").alias("sim"))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.time import age_days, age_seconds
@@ -31,9 +30,13 @@ def sleep_expired(rows: DataFrame, now: Column) -> DataFrame:
 
 def sleep_duplicates(rows: DataFrame, now: Column, grace_hours: float = 24.0, low: float = 0.2) -> DataFrame:
     """Low-trust records beyond the best one of their (data_type, data_id)."""
-    w = W.partitionBy("data_type", "data_id").orderBy(F.desc("trust_score"), F.desc("priority"), "uuid")
-    ranked = rows.where("status = 'active' and not protected").withColumn("rn", F.row_number().over(w))
-    return ranked.where((F.col("rn") > 1) & (F.col("trust_score") < low) & (age_seconds(F.col("created_at"), now) / 3600.0 >= grace_hours)).select("uuid", F.lit("low_trust_duplicate").alias("reason"))
+    own = rows.where("status = 'active' and not protected")
+    # the best of each of a few dozen groups, by partial maxima; a group may hold a large part of the rows
+    best = own.groupBy("data_type", "data_id").agg(F.max(F.struct("trust_score", "priority", (-F.col("uuid")).alias("u"))).alias("b"))
+    best = best.select("data_type", "data_id", (-F.col("b.u")).alias("_best"))
+    found = own.where((F.col("trust_score") < low) & (age_seconds(F.col("created_at"), now) / 3600.0 >= grace_hours)).select("uuid", "data_type", "data_id")
+    held = found.alias("f").join(best.alias("b"), F.col("f.data_type").eqNullSafe(F.col("b.data_type")) & F.col("f.data_id").eqNullSafe(F.col("b.data_id")))
+    return held.where("uuid <> _best").select("uuid", F.lit("low_trust_duplicate").alias("reason"))
 
 
 def sleep_old(rows: DataFrame, now: Column, days: int = 365, low: float = 0.3) -> DataFrame:

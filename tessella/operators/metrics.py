@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 def recall_mrr(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(n, recall, mrr) of results (q, uuid, rank from 1) against truth (q, uuid): a query counts as found if any expected record is in the first k."""
-    hit = truth.join(results, ["q", "uuid"], "left").groupBy("q").agg(F.min("rank").alias("rank"))
+    return of_first_hits(truth.join(results, ["q", "uuid"], "left").groupBy("q").agg(F.min("rank").alias("rank")), k)
+
+
+def of_first_hits(hit: DataFrame, k: int) -> DataFrame:
+    """recall_mrr() of each query's first expected rank, null if there is none."""
     return hit.agg(
         F.count("*").alias("n"), F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr")
     )

@@ -37,8 +37,8 @@ def upserted(store: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def page(rows: DataFrame, limit: int, offset: int) -> DataFrame:
     """One page of rows in order, newest first, with the total."""
-    total = F.count("*").over(W.partitionBy())
-    return rows.withColumn("total", total).orderBy(F.desc("created_at"), "page_id").offset(offset).limit(clamp(limit, 20, 200))
+    top = rows.orderBy(F.desc("created_at"), "page_id").offset(offset).limit(clamp(limit, 20, 200))
+    return top.join(F.broadcast(rows.agg(F.count("*").alias("total"))), F.lit(True))  # one row
 
 
 def batch_delete(rows: DataFrame, asked: DataFrame, profile: str) -> DataFrame:

@@ -52,10 +52,10 @@ def traces_recent(spark: SparkSession, d: str) -> DataFrame:
     return filters.recent_traces(events, "ick", 200)
 
 
-@query("session_first_compaction", "SELECT conv_id, min(turn) AS turn, arg_min(left(text, 40), turn) AS head FROM conversations WHERE role = 'system' GROUP BY conv_id", mem=False)
+@query("session_first_compaction", "SELECT conv_id, min(turn) AS turn, arg_min(text, turn) AS head FROM conversations WHERE role = 'system' GROUP BY conv_id", mem=False)
 def session_first_compaction(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").where("role = 'system'")
-    return rows.groupBy("conv_id").agg(F.min("turn").alias("turn"), F.min_by(F.substring("text", 1, 40), "turn").alias("head"))
+    return rows.groupBy("conv_id").agg(F.min("turn").alias("turn"), F.min_by("text", "turn").alias("head"))
 
 
 for _status, _where in (("active", LIVE), ("deleted", "status = 'deleted'"), ("all", "true")):

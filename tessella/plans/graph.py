@@ -121,14 +121,14 @@ def supersession_release(spark: SparkSession, d: str) -> DataFrame:
     return G.released(records(spark, d)).select("uuid")
 
 
-@query("lineage_parents", "SELECT m.uuid AS merged, p.uuid AS parent, p.source FROM (SELECT uuid, unnest([uuid - 1, uuid - 2, uuid + 5000]) AS k FROM mem WHERE uuid % 50 = 0) m JOIN mem p ON p.uuid = m.k")
+@query("lineage_parents", "SELECT m.uuid AS merged, p.uuid AS parent, p.source FROM (SELECT uuid, unnest([uuid - 1, uuid - 2, uuid + 5000]) AS k FROM mem) m JOIN mem p ON p.uuid = m.k")
 def lineage_parents(spark: SparkSession, d: str) -> DataFrame:
-    merged = records(spark, d).where("uuid % 50 = 0").select("uuid", F.expr("array(uuid - 1, uuid - 2, uuid + 5000) as compacted_from"))
+    merged = records(spark, d).select("uuid", F.expr("array(uuid - 1, uuid - 2, uuid + 5000) as compacted_from"))
     return G.parents(merged, records(spark, d))
 
 
-@query("repair_lineage", """WITH p AS (SELECT m.uuid AS merged, p.source, p.created_at FROM (SELECT uuid, unnest([uuid - 1, uuid - 2]) AS k FROM mem WHERE uuid % 50 = 0) m JOIN mem p ON p.uuid = m.k)
+@query("repair_lineage", """WITH p AS (SELECT m.uuid AS merged, p.source, p.created_at FROM (SELECT uuid, unnest([uuid - 1, uuid - 2]) AS k FROM mem) m JOIN mem p ON p.uuid = m.k)
 SELECT merged AS uuid, CASE WHEN bool_or(source = 'obsidian') THEN 'obsidian' WHEN bool_or(source NOT IN ('agent', 'consolidated', 'user-stated')) THEN min(source) FILTER (source NOT IN ('agent', 'consolidated', 'user-stated')) ELSE 'consolidated' END AS source, min(created_at) AS first_observed_at FROM p GROUP BY 1""")
 def repair_lineage(spark: SparkSession, d: str) -> DataFrame:
-    merged = records(spark, d).where("uuid % 50 = 0").select("uuid", F.expr("array(uuid - 1, uuid - 2) as compacted_from"))
+    merged = records(spark, d).select("uuid", F.expr("array(uuid - 1, uuid - 2) as compacted_from"))
     return G.repaired(merged, records(spark, d))

@@ -101,7 +101,7 @@ def merge_group_fields(spark: SparkSession, d: str) -> DataFrame:
     return L.merged_fields(rows)
 
 
-_IN = "inc AS (SELECT uuid + CASE WHEN uuid % 3 = 0 THEN 100000 ELSE 0 END AS uuid, 'new' AS content, source FROM mem WHERE uuid % 4 <> 1), clm AS (SELECT uuid, content, CASE WHEN source IN ('agent', 'consolidated', 'user-stated') THEN 'import' ELSE source END AS source FROM inc), old AS (SELECT uuid, content, source FROM mem)"
+_IN = "inc AS (SELECT uuid + CASE WHEN uuid % 3 = 0 THEN 100000 ELSE 0 END AS uuid, concat('new ', content) AS content, source FROM mem), clm AS (SELECT uuid, content, CASE WHEN source IN ('agent', 'consolidated', 'user-stated') THEN 'import' ELSE source END AS source FROM inc), old AS (SELECT uuid, content, source FROM mem)"
 _MODES = {
     "skip_existing": "SELECT * FROM old UNION ALL SELECT * FROM clm WHERE uuid NOT IN (SELECT uuid FROM old)",
     "overwrite": "SELECT * FROM old WHERE uuid NOT IN (SELECT uuid FROM clm) UNION ALL SELECT * FROM clm",
@@ -112,7 +112,7 @@ for _mode, _sql in _MODES.items():
     @query(f"import_{_mode}", f"WITH {_IN} {_sql}")
     def _import(spark: SparkSession, d: str, mode: str = _mode) -> DataFrame:
         rows = records(spark, d)
-        incoming = rows.where("uuid % 4 <> 1").selectExpr("uuid + case when uuid % 3 = 0 then 100000 else 0 end as uuid", "'new' as content", "source")
+        incoming = rows.selectExpr("uuid + case when uuid % 3 = 0 then 100000 else 0 end as uuid", "concat('new ', content) as content", "source")
         return L.imported(rows, incoming, mode, TRUSTED_SOURCES)
 
 
@@ -120,10 +120,10 @@ _SIM = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embed
 
 
 @query("add_batch_verdicts", f"""WITH n AS (SELECT a.uuid AS uuid, max({_SIM}) AS sim FROM mem a JOIN mem b ON a.data_type = b.data_type AND a.uuid <> b.uuid WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND b.{LIVE.replace('superseded_by', 'b.superseded_by')} GROUP BY 1)
-SELECT m.uuid, CASE WHEN length(content) > 5000 THEN 'rejected' WHEN sim >= {DUP} THEN 'duplicate' WHEN sim >= {POSSIBLE} THEN 'possible_duplicate' ELSE 'added' END AS verdict FROM mem m LEFT JOIN n ON n.uuid = m.uuid""")
+SELECT m.uuid, CASE WHEN length(content) > 50000 THEN 'rejected' WHEN sim >= {DUP} THEN 'duplicate' WHEN sim >= {POSSIBLE} THEN 'possible_duplicate' ELSE 'added' END AS verdict FROM mem m LEFT JOIN n ON n.uuid = m.uuid""")
 def add_batch_verdicts(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d)
-    incoming = rows.withColumn("reason", V.reject_reason(most_content=5000))
+    incoming = rows.withColumn("reason", V.reject_reason())
     near = G.dedup_verdict(incoming, filters.status(rows, "active"), DUP, POSSIBLE).select("uuid", "verdict")
     verdict = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("verdict") == "new", "added").otherwise(F.col("verdict"))
     return incoming.join(near, "uuid").select("uuid", verdict.alias("verdict"))
@@ -158,10 +158,10 @@ def surfaced_inventory(spark: SparkSession, d: str) -> DataFrame:
     return filters.status(records(spark, d), "active").orderBy("uuid").limit(40).select("uuid", F.substring("summary", 1, 120).alias("line"))
 
 
-@query("classify_join", "SELECT uuid, data_type FROM mem WHERE uuid % 2 = 0")
+@query("classify_join", "SELECT uuid, data_type FROM mem")
 def classify_join(spark: SparkSession, d: str) -> DataFrame:
-    # results of a batch classifier, every second one for an id that nobody asked for
-    results = records(spark, d).selectExpr("case when uuid % 2 = 0 then uuid else -1 - uuid end as uuid", "data_type")
+    # results of a batch classifier, and as many for ids that nobody asked for
+    results = records(spark, d).select(F.explode(F.array("uuid", -1 - F.col("uuid"))).alias("uuid"), "data_type")
     return records(spark, d).select("uuid").join(results, "uuid")
 
 
@@ -173,16 +173,15 @@ def migrate_backlinks(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).select("uuid", F.array_sort(F.array_union(F.array("data_id"), links)).alias("backlinks"))
 
 
-@query("patterns_merge", "WITH p AS (SELECT unnest(['a', 'b', 'c', 'b', 'd', 'a']) AS name, unnest([1, 2, 3, 4, 5, 6]) AS pos) SELECT name, min(pos) AS place, arg_max(pos, pos) AS version FROM p GROUP BY 1", mem=False)
+@query("patterns_merge", "SELECT event_type AS name, min(event_id) AS place, arg_max(user_id, event_id) AS version FROM events GROUP BY 1", mem=False)
 def patterns_merge(spark: SparkSession, d: str) -> DataFrame:
-    files = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("b", 4), ("d", 5), ("a", 6)], "name string, pos int")
-    return files.groupBy("name").agg(F.min("pos").alias("place"), F.max_by("pos", "pos").alias("version"))
+    """Pattern files by name in their order of arrival: a name keeps its first place and takes its last version."""
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("name")).agg(F.min("event_id").alias("place"), F.max_by("user_id", "event_id").alias("version"))
 
 
-@query("config_effective", "WITH c AS (SELECT unnest(['depth', 'depth', 'limit', 'rate', 'rate', 'rate']) AS key, unnest(['db', 'env', 'file', 'db', 'file', 'env']) AS layer, unnest(['1', '2', '3', '4', '5', '6']) AS value) SELECT key, arg_min(value, CASE layer WHEN 'env' THEN 0 WHEN 'file' THEN 1 ELSE 2 END) AS value FROM c GROUP BY 1", mem=False)
+@query("config_effective", """WITH c AS (SELECT user_id AS key, CASE event_id % 3 WHEN 0 THEN 'env' WHEN 1 THEN 'file' ELSE 'db' END AS layer, event_id, value FROM events),
+l AS (SELECT key, layer, arg_max(value, event_id) AS value FROM c GROUP BY 1, 2) SELECT key, arg_min(value, CASE layer WHEN 'env' THEN 0 WHEN 'file' THEN 1 ELSE 2 END) AS value FROM l GROUP BY 1""", mem=False)
 def config_effective(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([("depth", "db", "1"), ("depth", "env", "2"), ("limit", "file", "3"), ("rate", "db", "4"), ("rate", "file", "5"), ("rate", "env", "6")], "key string, layer string, value string")
-    order = F.when(F.col("layer") == "env", 0).when(F.col("layer") == "file", 1).otherwise(2)
-    return rows.groupBy("key").agg(F.min_by("value", order).alias("value"))
-
-
+    """Settings written by events: the last one of a layer counts, and of the layers environment, file, database the first that has the key."""
+    layer = F.col("event_id") % 3
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg(F.min(F.struct(layer.alias("layer"), (-F.col("event_id")).alias("e"), "value")).alias("s")).select("key", F.col("s.value").alias("value"))

@@ -48,18 +48,18 @@ _NEAR = f"near AS (SELECT a.uuid AS uuid, b.uuid AS match, {graph._SIM} AS sim,
 
 @query("add_pass", f"""WITH {_NEAR}, best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY sim DESC, match) = 1),
 against AS (SELECT * FROM near WHERE sim >= -0.5 AND sim < {graph.POSSIBLE} AND may AND (j IS NULL OR j >= 0 AND j < 1) QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY sim DESC, match) = 1),
-v AS (SELECT m.uuid, b.match, g.match AS other, CASE WHEN content = '' OR length(content) > 5000 THEN 'rejected' WHEN b.sim >= {graph.DUP} THEN 'duplicate' WHEN b.sim >= {graph.POSSIBLE} THEN 'possible_duplicate' WHEN g.match IS NOT NULL THEN 'supersedes' ELSE 'added' END AS verdict
+v AS (SELECT m.uuid, b.match, g.match AS other, CASE WHEN content = '' OR length(content) > 50000 THEN 'rejected' WHEN b.sim >= {graph.DUP} THEN 'duplicate' WHEN b.sim >= {graph.POSSIBLE} THEN 'possible_duplicate' WHEN g.match IS NOT NULL THEN 'supersedes' ELSE 'added' END AS verdict
  FROM mem m LEFT JOIN best b ON b.uuid = m.uuid LEFT JOIN against g ON g.uuid = m.uuid)
 SELECT uuid, verdict, CASE WHEN verdict <> 'rejected' THEN match END AS match, CASE WHEN verdict = 'supersedes' THEN other END AS contradicts FROM v""")
 def add_pass(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d)
-    return P.verdicts(rows, rows, graph.DUP, graph.POSSIBLE, -0.5, most_content=5000)
+    return P.verdicts(rows, rows, graph.DUP, graph.POSSIBLE, -0.5)
 
 
 _INCOMING = f"""inc AS (SELECT uuid + CASE WHEN uuid % 3 = 0 THEN 100000 ELSE 0 END AS uuid, CASE WHEN uuid % 11 = 0 THEN '' ELSE content END AS content, source, upper(data_id) AS data_id, round(trust_score * 3 - 1, 4) AS trust_score, uuid % 9 - 2 AS priority,
  uuid % 7 - 1 AS sensitivity, uuid % 5 - 2 AS reference_count, created_at + to_days(CAST(uuid % 3 * 200 AS INTEGER)) AS created_at FROM mem),
 fixed AS (SELECT uuid, content, CASE WHEN source IN ('agent', 'consolidated', 'user-stated') THEN 'import' ELSE source END AS source, lower(data_id) AS data_id, greatest(0, least(1, trust_score)) AS trust_score, greatest(0, least(3, priority)) AS priority,
- greatest(0, least(3, sensitivity)) AS sensitivity, greatest(0, reference_count) AS reference_count, least(created_at, {_NOW}) AS created_at FROM inc WHERE content <> '' AND length(content) <= 5000),
+ greatest(0, least(3, sensitivity)) AS sensitivity, greatest(0, reference_count) AS reference_count, least(created_at, {_NOW}) AS created_at FROM inc WHERE content <> '' AND length(content) <= 50000),
 old AS (SELECT uuid, content, source, data_id, trust_score, priority, sensitivity, reference_count, created_at FROM mem)"""
 _FULL = ("uuid", "content", "source", "data_id", "trust_score", "priority", "sensitivity", "reference_count", "created_at")
 _MODES = {
@@ -76,7 +76,7 @@ for _mode, _sql in _MODES.items():
             "content": F.when(u % 11 == 0, "").otherwise(F.col("content")), "data_id": F.upper("data_id"), "trust_score": F.round(F.col("trust_score") * 3 - 1, 4), "priority": u % 9 - 2, "sensitivity": u % 7 - 1,
             "reference_count": u % 5 - 2, "created_at": F.col("created_at") + F.expr("make_dt_interval(cast(uuid % 3 * 200 as int))"),
         }).withColumn("uuid", u + F.when(u % 3 == 0, 100_000).otherwise(0))
-        return P.imported(rows, incoming, now(), mode, 5000).select(*_FULL)
+        return P.imported(rows, incoming, now(), mode).select(*_FULL)
 
 
 @query("reference_bump", "WITH v AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) SELECT uuid, reference_count + coalesce(n, 0) AS reference_count FROM mem LEFT JOIN v ON user_id = uuid")
@@ -128,13 +128,13 @@ def metric_latency(spark: SparkSession, d: str) -> DataFrame:
     return M.latency(table(spark, d, "events").select(F.col("value").alias("seconds")))
 
 
-@query("gen_cases", "SELECT i, ['update', 'distractor', 'multihop', 'consistency'][i % 4 + 1] AS kind, concat('which port has service ', i // 4, '?') AS question, i // 4 * 10 + i % 4 AS expected, CASE i % 4 WHEN 0 THEN i // 4 * 10 + 7 WHEN 1 THEN i // 4 * 10 + 8 END AS \"forbidden\" FROM range(400) t(i)", mem=False)
+@query("gen_cases", "SELECT item_id AS i, ['update', 'distractor', 'multihop', 'consistency'][item_id % 4 + 1] AS kind, concat('what goes with: ', text, '?') AS question, item_id // 4 * 10 + item_id % 4 AS expected, CASE item_id % 4 WHEN 0 THEN item_id // 4 * 10 + 7 WHEN 1 THEN item_id // 4 * 10 + 8 END AS \"forbidden\" FROM benchmark", mem=False)
 def gen_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled cases: an updated fact forbids its old one, a distractor its twin; multihop and consistency forbid nothing."""
+    """Labelled cases of the benchmark's items: an updated fact forbids its old one, a distractor its twin; multihop and consistency forbid nothing."""
     kinds = F.array(*map(F.lit, ("update", "distractor", "multihop", "consistency")))
-    i, fact = F.col("i"), F.expr("i div 4 * 10")
-    return spark.range(400).toDF("i").select(
-        "i", F.element_at(kinds, (i % 4 + 1).cast("int")).alias("kind"), F.concat(F.lit("which port has service "), F.expr("i div 4"), F.lit("?")).alias("question"),
+    i, fact = F.col("item_id"), F.expr("item_id div 4 * 10")
+    return table(spark, d, "benchmark").select(
+        i.alias("i"), F.element_at(kinds, (i % 4 + 1).cast("int")).alias("kind"), F.concat(F.lit("what goes with: "), "text", F.lit("?")).alias("question"),
         (fact + i % 4).alias("expected"), F.when(i % 4 == 0, fact + 7).when(i % 4 == 1, fact + 8).alias("forbidden"),
     )
 

@@ -24,7 +24,7 @@ _PHRASE_SQL = f"{_list(PHRASES)}[CAST(uuid % {len(PHRASES)} AS INTEGER) + 1]"
 
 def _phrased(spark: SparkSession, d: str) -> DataFrame:
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("uuid") % len(PHRASES)).cast("int") + 1)
-    return records(spark, d).withColumn("said", F.concat(F.col("summary"), F.lit(" "), phrase))
+    return records(spark, d).withColumn("said", F.concat(F.col("content"), F.lit(" "), phrase))
 
 
 @query("tokenize", r"SELECT uuid, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS tokens FROM mem")
@@ -42,7 +42,7 @@ def jaccard_keywords(spark: SparkSession, d: str) -> DataFrame:
 
 
 _UNION = " UNION ALL ".join(f"SELECT uuid, data_type AS given, {i} AS o, {_quoted(k)} AS k, {_quoted(n)} AS n, len(regexp_extract_all(said, {_quoted(p)})) AS c FROM s" for i, (k, n, p) in enumerate(T.HEURISTICS))
-_CLASS = f"WITH s AS (SELECT uuid, data_type, lower(concat(summary, ' ', {_PHRASE_SQL})) AS said FROM mem), h AS ({_UNION}), b AS (SELECT uuid, given, k, n, c FROM h QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY c DESC, o) = 1)"
+_CLASS = f"WITH s AS (SELECT uuid, data_type, lower(concat(content, ' ', {_PHRASE_SQL})) AS said FROM mem), h AS ({_UNION}), b AS (SELECT uuid, given, k, n, c FROM h QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY c DESC, o) = 1)"
 
 
 @query("heuristic_classify", f"{_CLASS} SELECT uuid, CASE WHEN c > 0 THEN k ELSE 'CUSTOM' END AS data_type, CASE WHEN c > 0 THEN n END AS data_id, CASE WHEN c > 0 THEN round(least(c / 3.0::DOUBLE, 1), 6) ELSE 0 END AS confidence FROM b")
@@ -69,13 +69,13 @@ def _entity_sql() -> str:
     return f"list_concat({', '.join(rules)})"
 
 
-@query("extract_entities", f"""WITH s AS (SELECT uuid, concat(summary, ' ', {_PHRASE_SQL}) AS said FROM mem), e AS (SELECT uuid, {_entity_sql()} AS x FROM s)
+@query("extract_entities", f"""WITH s AS (SELECT uuid, concat(content, ' ', {_PHRASE_SQL}) AS said FROM mem), e AS (SELECT uuid, {_entity_sql()} AS x FROM s)
 SELECT uuid, list_filter(x, lambda v, i: list_position(x, v) = i)[1:15] AS entities FROM e""")
 def extract_entities(spark: SparkSession, d: str) -> DataFrame:
     return _phrased(spark, d).select("uuid", T.entities(F.col("said")).alias("entities"))
 
 
-@query("merge_entities", f"""WITH s AS (SELECT uuid, keywords, concat(summary, ' ', {_PHRASE_SQL}) AS said FROM mem), e AS (SELECT uuid, keywords, {_entity_sql()} AS x FROM s),
+@query("merge_entities", f"""WITH s AS (SELECT uuid, keywords, concat(content, ' ', {_PHRASE_SQL}) AS said FROM mem), e AS (SELECT uuid, keywords, {_entity_sql()} AS x FROM s),
 m AS (SELECT uuid, list_concat(keywords, list_filter(x, lambda v, i: list_position(x, v) = i)[1:15]) AS w FROM e), l AS (SELECT uuid, w, list_transform(w, lambda v: lower(v)) AS low FROM m)
 SELECT uuid, list_filter(w, lambda v, i: list_position(low, lower(v)) = i) AS keywords FROM l""")
 def merge_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -205,10 +205,10 @@ def import_clamps(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).select("uuid", V.clamp_trust(trust).alias("trust"), V.clamp_level(u % 9 - 2).alias("priority"), V.clamp_level(u % 7 - 1).alias("sensitivity"), F.greatest(F.lit(0), u % 5 - 2).alias("reference_count"))
 
 
-@query("validate_rows", """SELECT uuid, CASE WHEN coalesce(content, '') = '' THEN 'content is empty' WHEN length(content) > 5000 THEN 'content is longer than 5000' WHEN NOT regexp_matches(data_type, '^[A-Z][A-Z0-9_-]*$') THEN 'data_type is no name'
+@query("validate_rows", """SELECT uuid, CASE WHEN coalesce(content, '') = '' THEN 'content is empty' WHEN length(content) > 50000 THEN 'content is longer than 50000' WHEN NOT regexp_matches(data_type, '^[A-Z][A-Z0-9_-]*$') THEN 'data_type is no name'
  WHEN len(keywords) > 200 THEN 'too many keywords' WHEN trust_score NOT BETWEEN 0 AND 1 THEN 'trust_score is out of range' END AS reason FROM mem""")
 def validate_rows(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).select("uuid", V.reject_reason(most_content=5000).alias("reason"))
+    return records(spark, d).select("uuid", V.reject_reason().alias("reason"))
 
 
 @query("classify_session", """WITH s AS (SELECT conv_id, count(*) AS m, count(*) FILTER (role = 'assistant') AS t, sum(length(text)) // 4 AS o FROM conversations GROUP BY 1)

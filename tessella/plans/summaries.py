@@ -46,11 +46,11 @@ def summaries_expiring(spark: SparkSession, d: str) -> DataFrame:
     return old.orderBy("created_at", "page_id").select("page_id", "created_at")
 
 
-@query("summaries_search", rf"""WITH {SQL}, q AS (SELECT unnest(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+')[1:3]) AS term FROM s WHERE page_id = 0),
+@query("summaries_search", rf"""WITH {SQL}, q AS (SELECT unnest(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+')) AS term FROM s WHERE page_id = 0),
 h AS (SELECT page_id, len(list_filter(regexp_extract_all(lower(concat(title, ' ', full_text)), '[\p{{L}}\p{{N}}]+'), lambda t: list_contains(terms, t))) AS hits FROM s, (SELECT list(term) AS terms FROM q)) SELECT page_id, hits FROM h WHERE hits > 0 ORDER BY hits DESC, page_id LIMIT 20""")
 def summaries_search(spark: SparkSession, d: str) -> DataFrame:
     rows = summaries(spark, d)
-    terms = rows.where("page_id = 0").select(F.slice(tokens(F.col("title")), 1, 3).alias("terms"))  # the query, one row
+    terms = rows.where("page_id = 0").select(tokens(F.col("title")).alias("terms"))  # the query, one row
     words = tokens(F.concat("title", F.lit(" "), "full_text"))
     hits = rows.join(F.broadcast(terms), F.size("terms") > 0).withColumn("hits", F.size(F.filter(words, lambda t: F.array_contains(F.col("terms"), t))))
     return hits.where("hits > 0").orderBy(F.desc("hits"), "page_id").limit(20).select("page_id", "hits")

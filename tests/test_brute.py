@@ -98,7 +98,7 @@ def test_user_stated_fuzzy(spark, sf):
 
     from tessella.functions import text as T
 
-    rows = [("deployed postgres 16 cluster", "we have deploid the postgress 16 clusters"), ("deployed postgres 16 cluster", "deployed postgres 17 cluster"), ("", "words here"), ("alpha beta", None), ("kitchen table", "kitten stable table")]
+    rows = [("deployed postgres 16 cluster", "we have deploid the postgress 16 clusters"), ("deployed postgres 16 cluster", "deployed postgres 17 cluster"), ("", "words here"), ("alpha beta", None), ("kitchen table", "kitten stable table"), ("deployed postgres cluster", "we deployed postgres16 on the cluster")]
     df = spark.createDataFrame(rows, "content string, message string")
     words = df.select(T.user_tokens(F.col("content")), T.user_tokens(F.col("message")), T.fuzzy_user_share(F.col("content"), F.col("message"))).collect()
     digits = lambda w: any(c.isdigit() for c in w)
@@ -106,7 +106,7 @@ def test_user_stated_fuzzy(spark, sf):
         if not own or not said:
             assert share is None
             continue
-        hits = [w in said or not digits(w) and any(not digits(x) and difflib.SequenceMatcher(None, w, x, autojunk=False).ratio() >= 0.8 for x in said) for w in own]
+        hits = [w in said or not digits(w) and any(difflib.SequenceMatcher(None, w, x, autojunk=False).ratio() >= 0.8 for x in said) for w in own]
         assert share == pytest.approx(sum(hits) / len(own))
     exact = {r.uuid for r in QUERIES["user_stated_exact"](spark, sf).collect() if r.stated}
     assert exact <= {r.uuid for r in QUERIES["user_stated_fuzzy"](spark, sf).collect() if r.stated}
@@ -166,7 +166,7 @@ def test_add_and_compact_passes(spark, sf):
     from tessella.sources.records import records
 
     rows = records(spark, sf)
-    told = passes.verdicts(rows, rows, 0.45, 0.4, -0.5, most_content=5000)
+    told = passes.verdicts(rows, rows, 0.45, 0.4, -0.5)
     new = rows.withColumn("uuid", F.col("uuid") + 50_000)
     moved = told.withColumn("uuid", F.col("uuid") + 50_000)
     out = passes.added(rows, new, moved)
