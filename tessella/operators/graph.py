@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,32 +15,83 @@ from ..functions.time import age_seconds
 from ..sources import scratch
 
 BLOCK_ROWS = 512
+#: Cells of similar_pairs(): fewer aren't worth it, more don't fit a worker's matrices; cells beyond are cut into parts.
+LEAST_PIVOTS, MOST_PIVOTS = 4, 2048
+#: Claims that are left when greedy_groups() ends in one task.
+FEW_CLAIMS = 200_000
 Allowed = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], np.ndarray]
 
 
+def _celled(rows: DataFrame, least: float) -> DataFrame:
+    """rows with cell and home: each stands at home in the cell of its nearest pivot, and visits the earlier cells that may hold a match.
+
+    By the triangle inequality of angles, a row within the limit's angle t of a member of cell j, whose widest member is r from
+    its pivot, is within t + r of that pivot, and no further from it than from its own pivot plus 2 t; so no pair is missed.
+    Pivots are rows, as many as there are blocks' worth of rows, at most MOST_PIVOTS; with few rows there is one cell.
+    """
+    plain = lambda: rows.withColumn("cell", F.lit(0)).withColumn("home", F.lit(True))
+    if least <= 0:  # vectors without a direction have similarity 0 to all
+        return plain()
+    n = min(MOST_PIVOTS, rows.count() // BLOCK_ROWS)
+    if n < LEAST_PIVOTS:
+        return plain()
+    directed = F.exists("embedding", lambda x: x != 0)
+    some = rows.where(directed).select("uuid", "embedding").orderBy(F.xxhash64("uuid"), "uuid").limit(n).collect()
+    pivots = np.array([r["embedding"] for r in some], float)
+    pivots /= np.sqrt((pivots * pivots).sum(1))[:, None]
+    reach = float(np.arccos(max(-1.0, least - 1e-6))) + 1e-6
+    fields = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
+
+    def angles(pdf: pd.DataFrame) -> np.ndarray:
+        return np.arccos(np.clip(_unit(pdf) @ pivots.T, -1, 1))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                a = angles(pdf)
+                yield pdf.assign(cell=a.argmin(1).astype("int32"), apart=a.min(1))
+
+    settled = scratch.store(rows.where(directed).mapInPandas(settle, f"{fields}, cell int, apart double"), "cells")
+    radius = np.full(len(pivots), -9.0)
+    for r in settled.groupBy("cell").agg(F.max("apart").alias("r")).collect():  # one row a pivot
+        radius[r["cell"]] = r["r"]
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                a, cell = angles(pdf), pdf["cell"].to_numpy()
+                near = (a <= reach + radius + 1e-9) & (a <= pdf["apart"].to_numpy()[:, None] + 2 * reach + 1e-9) & (np.arange(len(pivots)) < cell[:, None])
+                i, j = np.nonzero(near)
+                yield pd.concat([pdf.assign(home=True), pdf.iloc[i].assign(cell=j.astype("int32"), home=False)])
+
+    return settled.mapInPandas(visit, f"{fields}, cell int, apart double, home boolean").drop("apart")
+
+
 def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
     """(a, b, sim, block) with a < b and cosine at least ``least``, of rows (uuid, block, embedding) within a block.
 
-    Large blocks are cut into parts by a hash of uuid, and two parts meet in one task as
-    matrices; only pairs at or above the limit leave it.
+    Rows meet in the cells around pivots that can hold a match, so where vectors lie in clusters what is shuffled grows
+    with the rows; where they don't, a row visits all earlier cells. Large cells are cut into parts by a hash of uuid, and two
+    parts meet in one task as matrices; only pairs at or above the limit leave it.
     """
-    sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
-    dealt = rows.where("embedding is not null").join(sizes, "block").withColumn("own", F.pmod(F.xxhash64("uuid"), F.col("parts")).cast("int"))
+    held = _celled(rows.where("embedding is not null").select("uuid", "block", "embedding"), least)
+    sizes = held.groupBy("block", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    dealt = held.join(sizes, ["block", "cell"]).withColumn("own", F.pmod(F.xxhash64("uuid"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("block", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "uuid", "embedding")
+    dealt = dealt.select("block", "cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "home", "uuid", "embedding")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        block, lo, hi = key
-        x = np.array(pdf["embedding"].tolist(), float)
-        norm = np.sqrt((x * x).sum(1))
-        x = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
-        ids, own = pdf["uuid"].to_numpy(), pdf["own"].to_numpy()
+        block, _, lo, hi = key
+        x = _unit(pdf)
+        ids, own, home = pdf["uuid"].to_numpy(), pdf["own"].to_numpy(), pdf["home"].to_numpy()
         sim = np.round(np.clip(x @ x.T, -1, 1), 6)
-        i, j = np.nonzero((sim >= least) & (ids[:, None] < ids[None, :]) & ((own[:, None] != own[None, :]) | (lo == hi)))
+        met = (own[:, None] != own[None, :]) | (lo == hi)
+        # visitors meet in the cell where one of them is at home
+        i, j = np.nonzero((sim >= least) & (ids[:, None] < ids[None, :]) & met & (home[:, None] | home[None, :]))
         return pd.DataFrame({"a": ids[i], "b": ids[j], "sim": sim[i, j], "block": block})
 
     kind = dict(rows.dtypes)["block"]
-    return dealt.groupBy("block", "lo", "hi").applyInPandas(compare, f"a long, b long, sim double, block {kind}")
+    return dealt.groupBy("block", "cell", "lo", "hi").applyInPandas(compare, f"a long, b long, sim double, block {kind}")
 
 
 def nearest(rows: DataFrame) -> DataFrame:
@@ -162,35 +213,64 @@ def winners(members: DataFrame) -> DataFrame:
     return members.withColumn("won", F.row_number().over(w) == 1)
 
 
-def greedy_groups(edges: DataFrame, rows: DataFrame, key: str, most_neighbours: int = 10) -> DataFrame:
-    """(group, uuid): newest-updated seeds take their nearest free neighbours; groups of two or more, within each key.
+def greedy_groups(edges: DataFrame, rows: DataFrame, key: str, most_neighbours: int = 10, most_seeds: int | None = None, most_groups: int | None = None) -> DataFrame:
+    """(grp, uuid): newest-updated seeds take those of their nearest neighbours that are free; groups of two or more, within each key.
 
-    Greedy passes depend on their order, but what isn't connected can't compete: each connected part of a key's edges
-    is a task's group.
+    The groups of a pass over the seeds in that order, found in rounds: a seed claims itself and its nearest neighbours,
+    and acts when it comes first among all open seeds that claim one of them, for then no earlier one can change what it
+    finds. Seeds that are taken, or whose neighbours all are, are closed. A round costs joins of at most
+    ``most_neighbours`` + 1 claims a seed; when at most FEW_CLAIMS are left, one task ends the pass.
+    ``most_seeds`` and ``most_groups`` stop the pass after so many seeds and groups.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[tuple[float, int]]] = {}
-        seeds: dict[int, object] = {}
-        for a, b, sim, ua, ub in pdf[["a", "b", "sim", "ua", "ub"]].itertuples(index=False):
-            near.setdefault(a, []).append((-sim, b))
-            near.setdefault(b, []).append((-sim, a))
-            seeds[a], seeds[b] = ua, ub
+    u = rows.select("uuid", "updated_at", key)
+    full = edges.join(u.select(F.col("uuid").alias("a"), F.col(key).alias("ka")), "a").join(u.select(F.col("uuid").alias("b"), F.col(key).alias("kb")), "b").where("ka = kb")
+    both = full.select(F.col("a").alias("seed"), F.col("b").alias("node"), "sim").union(full.select("b", "a", "sim"))
+    w = W.partitionBy("seed").orderBy(F.desc("sim"), "node")
+    near = both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most_neighbours).select("seed", "node")
+    order = F.struct((-F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("t"), F.col("uuid").alias("u"))
+    seeds = both.select(F.col("seed").alias("uuid")).distinct().join(u, "uuid").select(F.col("uuid").alias("seed"), order.alias("place"))
+    if most_seeds is not None:
+        seeds = seeds.orderBy("place").limit(most_seeds)
+    claims = near.join(seeds, "seed").union(seeds.select("seed", F.col("seed").alias("node"), "place"))
+    claims = scratch.store(claims, "claims")
+    made: list[DataFrame] = []
+
+    def act(seed_claims: DataFrame) -> DataFrame:
+        """The free neighbours of seeds that act: claims hold nothing that is taken."""
+        return seed_claims.where("seed <> node").select(F.col("seed").alias("grp"), F.col("node").alias("uuid"), "place")
+
+    def rest(pdf: pd.DataFrame) -> pd.DataFrame:
         taken: set[int] = set()
         out = []
-        for seed in sorted(seeds, key=lambda u: (-pd.Timestamp(seeds[u]).value, u)):
-            if seed in taken:
-                continue
-            free = [n for _, n in sorted(near[seed])[:most_neighbours] if n not in taken]
-            if free:
+        for seed, nodes in sorted(((k, g) for k, g in pdf.groupby("seed")), key=lambda x: (x[1]["t"].iloc[0], x[0])):
+            free = [n for n in nodes["node"] if n not in taken and n != seed]
+            if seed not in taken and free:
                 taken.update([seed, *free])
-                out += [(seed, u) for u in [seed, *free]]
-        return pd.DataFrame(out, columns=["grp", "uuid"])
+                out += [(seed, n, nodes["t"].iloc[0]) for n in free]
+        return pd.DataFrame(out, columns=["grp", "uuid", "t"])
 
-    u = rows.select("uuid", "updated_at", key)
-    full = scratch.store(edges.join(u.toDF("a", "ua", "ka"), "a").join(u.toDF("b", "ub", "kb"), "b").where("ka = kb"), "edges")
-    parts = components(full).select(F.col("node").alias("a"), "component")
-    return full.join(parts, "a").groupBy("component").applyInPandas(run, "grp long, uuid long")
+    while True:
+        if claims.count() <= FEW_CLAIMS:
+            last = claims.select("seed", "node", F.col("place.t").alias("t"), F.lit(0).alias("all")).groupBy("all").applyInPandas(rest, "grp long, uuid long, t long")
+            made.append(last.select("grp", "uuid", F.struct("t", F.col("grp").alias("u")).alias("place")))
+            break
+        first = claims.groupBy("node").agg(F.min("place").alias("first"))
+        acting = claims.join(first, "node").groupBy("seed").agg(F.bool_and(F.col("place") == F.col("first")).alias("acts")).where("acts").select("seed")
+        acts = scratch.store(claims.join(acting, "seed", "left_semi"), "acts")
+        groups = scratch.store(act(acts), "groups")
+        made.append(groups)
+        taken = groups.select("grp").union(groups.select("uuid")).toDF("node").distinct()
+        open_ = claims.join(acting, "seed", "left_anti").join(taken.toDF("seed"), "seed", "left_anti").join(taken, "node", "left_anti")
+        # a seed that only claims itself finds nothing any more
+        alone = open_.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+        claims = scratch.store(open_.join(alone, "seed", "left_semi").select("seed", "node", "place"), "claims")
+    out = made[0]
+    for more in made[1:]:
+        out = out.union(more)
+    if most_groups is not None:
+        kept = out.select("grp", "place").distinct().orderBy("place").limit(most_groups)
+        out = out.join(kept.select("grp"), "grp", "left_semi")
+    return out.select("grp", "uuid").union(out.select("grp", F.col("grp").alias("uuid")).distinct())
 
 
 def chain_roots(parents: DataFrame) -> DataFrame:

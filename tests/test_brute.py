@@ -69,11 +69,13 @@ def test_ingest_md_parse(spark, sf):
         assert (r.title, r.chars, r.n_links) == (f"t{page.page_id}", len(page.html), len(links - {""}))
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
 @pytest.mark.parametrize("least", [0.2, 0.35])
-def test_dup_groups(spark, sf, least):
+def test_dup_groups(spark, sf, least, few, monkeypatch):
     from tessella.operators import filters, graph
     from tessella.sources.records import records
 
+    monkeypatch.setattr(graph, "FEW_CLAIMS", few)
     rows = filters.status(records(spark, sf), "active")
     edges = graph.duplicate_edges(rows, least).select("a", "b", "sim")
     at = {r.uuid: (r.updated_at, r.source) for r in rows.collect()}
@@ -89,6 +91,46 @@ def test_dup_groups(spark, sf, least):
             taken.update([seed, *free])
             want.update((seed, u) for u in [seed, *free])
     assert {(r.grp, r.uuid) for r in graph.greedy_groups(edges, rows, "source").collect()} == want
+    if few:
+        order = sorted({g for g, _ in want}, key=lambda u: (-at[u][0].timestamp(), u))
+        kept = graph.greedy_groups(edges, rows, "source", most_groups=3).collect()
+        assert {(r.grp, r.uuid) for r in kept} == {x for x in want if x[0] in order[:3]}
+        seeds = sorted(near, key=lambda u: (-at[u][0].timestamp(), u))[:5]
+        assert {r.grp for r in graph.greedy_groups(edges, rows, "source", most_seeds=5).collect()} == {g for g, _ in want if g in seeds}
+
+
+def clustered(n, spread, seed=0):
+    """Unit vectors around one centre for each 60 rows."""
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(max(1, n // 60), 16))
+    x = c[rng.integers(0, len(c), n)] + rng.normal(size=(n, 16)) * spread
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def vectors(spark, x):
+    rows = [(i, "ab"[i % 2], [float(y) for y in v]) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows + [(-1, "a", None), (-2, "a", [0.0] * 16)], "uuid long, block string, embedding array<double>")
+
+
+@pytest.mark.parametrize("spread, least", [(0.1, 0.9), (0.02, 0.999), (1.0, 0.6), (0.1, 0.0)])
+def test_similar_pairs_in_cells(spark, monkeypatch, spread, least):
+    from tessella.operators import graph
+
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 40)
+    x = clustered(900, spread)
+    x[800:850] = x[:50]
+    sim = np.round(np.clip(x @ x.T, -1, 1), 6)
+    want = {(i, j) for i, j in zip(*np.nonzero(sim >= least)) if i < j and i % 2 == j % 2}
+    got = graph.similar_pairs(vectors(spark, x), least).where("a >= 0").collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
+def test_cells_grow_with_the_rows(spark, monkeypatch):
+    from tessella.operators import graph
+
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 40)
+    visits = [graph._celled(vectors(spark, clustered(n, 0.02)).where("embedding is not null"), 0.97).count() / n for n in (800, 8000)]
+    assert visits[1] < 1.5 * visits[0] < 8
 
 
 def test_user_stated_fuzzy(spark, sf):
