@@ -67,21 +67,24 @@ def throttled(turns: DataFrame, every: int = 5, seconds: float = 30.0) -> DataFr
     return _folded(turns.select("user_id", "event_id", "ts"), "user_id long, event_id long", start)
 
 
+def breaker_step(bad: int, since: int | None, at: int, failed: bool, failures: int, open_micros: int) -> tuple[int, int | None]:
+    """(failures in a row, microseconds since which it is open) after a call at a time; a failed call after the open time opens it anew, a good one closes it."""
+    half = since is not None and at - since >= open_micros
+    if failed:
+        bad += 1
+        return bad, at if half or bad >= failures else since
+    return (0, None) if since is None or half else (bad, since)
+
+
 def breaker_states(events: DataFrame, failures: int = 5, open_seconds: float = 120.0) -> DataFrame:
-    """(user_id, event_id, state) after each event: closed, open after that many failures in a row, half_open when the time is up."""
+    """(user_id, event_id, state) after each event: closed, or open after that many failures in a row; the stream tells half_open as well."""
 
     def start() -> Step:
         bad, since = 0, None
 
         def step(row):
             nonlocal bad, since
-            half = since is not None and (row.ts - since).total_seconds() >= open_seconds
-            if row.event_type == "error":
-                bad += 1
-                if half or bad >= failures:
-                    since = row.ts
-            elif since is None or half:
-                bad, since = 0, None
+            bad, since = breaker_step(bad, since, row.ts.value // 1000, row.event_type == "error", failures, round(open_seconds * 1e6))
             return row.user_id, row.event_id, "closed" if since is None else "open"
 
         return step

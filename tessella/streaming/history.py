@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.history import breaker_step
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -57,11 +59,86 @@ def throttled(events: DataFrame, every: int = 5, seconds: float = 30.0) -> DataF
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long", "n long, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over all there is and stops; complete and update results replace the table at path each batch."""
-    if mode == "append":
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)
-    else:
-        write = lambda df, _: df.write.mode("overwrite").parquet(path)
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+#: Milliseconds after which the state of a key that is no longer heard of expires.
+IDLE = 24 * 3600 * 1000
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(batches)).sort_values(["ts", "event_id"])
+
+
+def breaker(events: DataFrame, failures: int = 5, open_seconds: float = 120.0, idle: int = IDLE) -> DataFrame:
+    """(user_id, event_id, state): breaker_states() of a stream, in micro-batches that come in order.
+
+    While a breaker is open a timer of processing time waits for the end of the open time, and then tells half_open (with no
+    event); the state of a key that is idle for longer is dropped.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+        bad, since, told, heard = state.get if state.exists else (0, None, False, now)
+        if state.hasTimedOut:
+            if since is None or told:
+                state.remove()
+                return
+            state.update((bad, since, True, heard))
+            state.setTimeoutDuration(idle)
+            yield pd.DataFrame({"user_id": [key[0]], "event_id": pd.array([None], "Int64"), "state": ["half_open"]})
+            return
+        if now - heard > idle:  # a key that is heard of again doesn't time out
+            bad, since = 0, None
+        out = []
+        for r in _in_order(batches).itertuples():
+            bad, since = breaker_step(bad, since, r.ts.value // 1000, r.event_type == "error", failures, round(open_seconds * 1e6))
+            out.append((key[0], r.event_id, "closed" if since is None else "open"))
+        state.update((bad, since, False, now))
+        state.setTimeoutDuration(idle if since is None else min(idle, max(1, round(open_seconds * 1000))))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "state"])
+
+    rows = events.select("user_id", "event_id", "ts", "event_type")
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, state string", "bad int, since long, told boolean, heard long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def ledger(events: DataFrame, runs: int = 200, idle: int = IDLE) -> DataFrame:
+    """(user_id, hook, runs, stored, as_of): each owner's newest runs by hook after each micro-batch; as_of is the last run's id.
+
+    A run that is delivered twice counts once while it is among the newest; an idle owner's state is dropped.
+    """
+    rows = events.select("user_id", "event_id", "ts", "event_type", F.get_json_object("props", "$.k").cast("long").alias("stored"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = list(zip(*state.get)) if state.exists else []
+        new = [(r.ts.value // 1000, r.event_id, r.event_type, 0 if pd.isna(r.stored) else int(r.stored)) for r in _in_order(batches).itertuples()]
+        kept = sorted({*held, *new}, key=lambda x: x[:2], reverse=True)[:runs]
+        state.update(tuple(map(list, zip(*kept))))
+        state.setTimeoutDuration(idle)
+        out = pd.DataFrame(kept, columns=["at", "event_id", "hook", "stored"]).groupby("hook", as_index=False).agg(runs=("event_id", "size"), stored=("stored", "sum"))
+        yield out.assign(user_id=key[0], as_of=kept[0][1])[["user_id", "hook", "runs", "stored", "as_of"]]
+
+    schema = "user_id long, hook string, runs long, stored long, as_of long"
+    return rows.groupBy("user_id").applyInPandasWithState(step, schema, "at array<long>, ids array<long>, hooks array<string>, stored array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", timers: bool = False) -> None:
+    """Runs a stream over all there is and stops; complete and update results replace the table at path each batch.
+
+    A stream with timers of processing time would go on for their sake; with ``timers`` they are looked at only with the batches.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(NO_DATA)
+    conf.set(NO_DATA, "false" if timers else before)
+    try:
+        out = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        if mode == "append":
+            query = out.format("parquet").start(path)
+        else:
+            query = out.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
+        query.awaitTermination()
+    finally:
+        conf.set(NO_DATA, before)
