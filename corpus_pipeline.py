@@ -81,5 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Language ID, MinHash order and packing go beyond SQL; tests/llm hold the stages against brute force.
+#: Language ID, raking and packing go beyond SQL. tests/llm hold language ID against held-out labels, line dedup and the
+#: n-gram join against brute force, and the chain of stages against brute force on a small table.
 ORACLE_SQL = None
