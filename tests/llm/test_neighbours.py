@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessella.llm import neighbours, tables
+from tessella.llm import encoding, neighbours, tables
 
-from .helpers import frame
+from .helpers import deduped, frame, jaccard_components, prose
 
 
 def brute(rows, queries, k):
@@ -107,3 +107,36 @@ def test_pipeline_on_nothing_and_odd_rows(spark, sf):
         after = {r.doc_id for r in docs.collect()}
         # texts without a letter and copies go; of the others mixing takes its share
         assert after <= before and not after & {1, 2, 3, 8, 15} and bool(after) == (rows is None)
+
+
+def test_pipeline_equals_brute_force_where_its_stages_decide(spark, tmp_path):
+    """Which documents and texts each stage keeps, by the definitions; the pieces hold the ids of what mixing kept, once each."""
+    names = ["the old press of the far north", "a page about cold rivers and tall hills", "All rights reserved.", "    indented once"]
+    rows = []
+    for i in range(40):
+        own = prose(100 + i, 60)
+        text = "\n".join([own, names[i % 3], f"Printed on the {i} of May by the old press of the town"] if i % 2 else [own])
+        rows.append((i, text, "en", "rare" if i == 7 else f"s{i % 2}", 0))
+    rows += [(60, prose(100, 60) + " tail", "en", "s0", 0), (61, prose(103, 60) + " other end", "en", "s1", 0), (62, "12 34", "en", "s0", 0), (63, None, None, None, 0)]
+    rows += [(64, "def f():\n    alpha", "en", "s0", 0), (65, "def g():\n    beta", "en", "s0", 0), rows[3], rows[3]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    pair = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    docs = tables.read(spark, str(tmp_path), "documents")
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    told = tables.store(stages[0](spark, docs, str(tmp_path)), "stage")
+    want = [(i, t) for i, t, *_ in rows if t and any(c.isalpha() for c in t)]
+    assert pair(told) == sorted(want)
+    deduped_ = tables.store(stages[1](spark, told, str(tmp_path)), "stage")
+    want = [(i, t) for i, t in deduped(want) if t.strip(" ")]
+    assert pair(deduped_) == sorted(want)
+    apart = tables.store(stages[2](spark, deduped_, str(tmp_path)), "stage")
+    want = sorted({(i, t) for (i, t), (_, n, c) in zip(want, jaccard_components(want)) if not n or c is None or c == i})
+    assert pair(apart) == want and not {60, 61} & {i for i, _ in want}
+    mixed = tables.store(stages[3](spark, apart, str(tmp_path)), "stage")
+    assert mixed.columns == docs.columns and set(pair(mixed)) <= set(want) and mixed.count() > len(want) / 4
+    enc = encoding.encoder(encoding.default_path())
+    got: dict = {}
+    for r in stages[4](spark, mixed, str(tmp_path)).orderBy("doc_id", "start").collect():
+        got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
+    ids = {i: np.array([*enc.model.encode(t, add_special_tokens=False).ids, 2]) for i, t in pair(mixed)}
+    assert {i: len(b) // 4 for i, b in got.items()} == {i: len(x) for i, x in ids.items()} and all(np.frombuffer(b, "<u4").tolist() == ids[i].tolist() for i, b in got.items())
