@@ -71,15 +71,15 @@ RRF = "(61.0::DOUBLE / (60.0::DOUBLE + rank + 1.0::DOUBLE))"
 OWN = "profile = 'alpha'"
 
 
-def candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+def candidates(spark: SparkSession, d: str, own: str = OWN) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
     """(pool, records, scores, terms) of the profile's query."""
     # statistics are those of a profile, so other profiles' records needn't be read
-    rows, words = records(spark, d).where(OWN), terms(spark, d)
+    rows, words = records(spark, d).where(own), terms(spark, d)
     # the arms, the range and the join all read the scores
-    scores = store(index(spark, d).scores(words, ["alpha"]), "scores")
+    scores = store(index(spark, d).scores(words, ["alpha"] if own == OWN else None), "scores")
     near = R.vector_topk(rows, vector(spark, d), 30)
     pool = store(R.pool(near, R.lexical_topk(rows, scores, 15)), "pool")
-    return pool, records(spark, d, pool).where(OWN), scores, words
+    return pool, records(spark, d, pool).where(own), scores, words
 
 
 def layer1(spark: SparkSession, d: str) -> DataFrame:
