@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "mc_eid")
 
 
+def ascii_host(host: Column) -> Column:
+    """A host with its non-ASCII labels in Punycode (IDNA), user and port left alone; as it is if a label can't be told so."""
+    part = lambda i: F.regexp_extract(host, r"^([^@]*@)?([^:]*)(.*)$", i)
+    told = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), part(2))
+    return F.when(host.rlike(r"[^\x00-\x7F]"), F.coalesce(F.concat(part(1), F.lower(told), part(3)), host)).otherwise(host)
+
+
 def canonical(url: Column) -> Column:
-    """Lower-case scheme and host, no tracking parameters, fragment or closing slash; video and code hosts by their own rules.
+    """Lower-case scheme and host (in its ASCII form), no tracking parameters, fragment or closing slash; video and code hosts by their own rules.
 
     A blank is null; what has no scheme and no dot before its first slash is kept as it is.
     """
@@ -19,7 +26,7 @@ def canonical(url: Column) -> Column:
     host_like = ~raw.startswith("/") & F.substring_index(raw, "/", 1).contains(".")
     full = F.when(bare & host_like, F.concat(F.lit("https://"), raw)).otherwise(raw)
     part = lambda i: F.regexp_extract(full, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", i)
-    scheme, host, path, query = F.lower(part(1)), F.lower(part(2)), part(3), part(4)
+    scheme, host, path, query = F.lower(part(1)), ascii_host(F.lower(part(2))), part(3), part(4)
     pairs = F.filter(F.split(query, "&"), lambda p: p.contains("=") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING) & (F.substring_index(p, "=", -1) != ""))
     kept = F.array_join(pairs, "&")
     plain = F.regexp_replace(path, "/+$", "")

@@ -83,3 +83,16 @@ def test_streams_equal_batch(spark, sf, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(batch)
     stream.drain(stream.throttled(stream.read_events(spark, str(tmp_path / "in"), 9)), str(tmp_path / "t"), str(tmp_path / "tcp"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == history.throttled(events.select("user_id", "event_id", "ts")).count()
+
+
+def test_hosts_in_punycode(spark):
+    # samples of RFC 3492, section 7.1, and hosts with more to them
+    samples = {
+        "ليهمابتكلموشعربي؟": "xn--egbpdaj6bu4bxfgehfvwxn", "他们为什么不说中文": "xn--ihqwcrb4cv8a8dqg056pqjye", "למההםפשוטלאמדבריםעברית": "xn--4dbcagdahymbxekheh6e0a7fei0b",
+        "3年b組金八先生": "xn--3b-ww4c5e180e575a65lsy2b", "bücher": "xn--bcher-kva", "plain": "plain",
+    }
+    rows = [(f"{a}.Example", f"{b}.example") for a, b in samples.items()] + [("me@bücher.de:8080", "me@xn--bcher-kva.de:8080"), ("é" * 80 + ".de", "é" * 80 + ".de"), ("", ""), (None, None)]
+    df = spark.createDataFrame(rows, "given string, wanted string")
+    assert [r.h for r in df.select(U.ascii_host(F.lower("given")).alias("h")).collect()] == [b for _, b in rows]
+    url = spark.createDataFrame([("https://Bücher.example/a/",)], "u string").select(U.canonical(F.col("u"))).first()[0]
+    assert url == "https://xn--bcher-kva.example/a"
