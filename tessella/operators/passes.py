@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import TRUSTED_SOURCES, heuristic_class, resolved_type
-from . import filters, graph, lifecycle, validation
+from ..sources.scratch import store
+from . import enrich, filters, graph, lifecycle, validation
 
 
 def released(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -89,6 +90,48 @@ def compacted(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return lifecycle.merged_fields(members).join(texts, "grp")
 
 
+#: Fixed value: records that one merge takes at most.
+MOST_MERGED = 10
+
+
+def compaction_preview(groups: DataFrame, most: int = MOST_MERGED) -> DataFrame:
+    """(grp, n, would_merge): what compaction() would do with groups (grp, uuid); nothing is changed."""
+    return _capped(groups, most).groupBy("grp").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("uuid")).alias("would_merge")).where("n > 1")
+
+
+def _capped(groups: DataFrame, most: int) -> DataFrame:
+    return groups.withColumn("_rn", F.row_number().over(W.partitionBy("grp").orderBy("uuid"))).where(F.col("_rn") <= most).select("grp", "uuid")
+
+
+def compaction(rows: DataFrame, groups: DataFrame, now: Column, model: enrich.Model | None = None, most: int = MOST_MERGED) -> tuple[DataFrame, DataFrame]:
+    """(new table, (grp, uuid, compacted_from)): each group (grp is one of its uuids) becomes one new record, its members are deleted.
+
+    At most ``most`` members of a group are merged, in order of uuid. The new record has merged_fields' values, the highest
+    priority, provenance from its parents, the seed's other columns, and no vector, so that a rebuild embeds it. Its text is the
+    model's answer to the joined texts, or these without a model; a group for which the model says nothing stays as it is.
+    What a deleted member superseded is released. New uuids lie above all others, in order of grp.
+    """
+    capped = _capped(groups, most)
+    several = capped.groupBy("grp").agg(F.count("*").alias("_n")).where("_n > 1").select("grp")
+    capped = capped.join(several, "grp", "left_semi")
+    merged = compacted(rows, capped)
+    if model is not None:
+        merged = enrich.ask(merged.withColumnRenamed("content", "_prompt"), "_prompt", "content", model).drop("_prompt")
+        merged = store(merged.where(F.length(F.trim("content")) > 0), "merged")
+    origin = graph.repaired(merged.select(F.col("grp").alias("uuid"), "compacted_from"), rows).select(F.col("uuid").alias("grp"), "source")
+    level = rows.join(capped, "uuid").groupBy("grp").agg(F.max("priority").alias("priority"))
+    top = rows.agg(F.max("uuid").alias("_top"))
+    new = merged.join(origin, "grp").join(level, "grp").join(F.broadcast(top), F.lit(True))  # one row
+    new = new.withColumn("uuid", F.col("_top") + 1 + F.col("grp")).withColumns({"summary": F.substring("content", 1, 100), "status": F.lit("active"), "created_at": now, "updated_at": now})
+    own = {"uuid", "content", "summary", "status", "created_at", "updated_at", "source", "priority", "trust_score", "sensitivity", "protected", "ttl", "data_type", "data_id"}
+    seed = rows.select(F.col("uuid").alias("grp"), *[c for c in rows.columns if c not in own])
+    full = new.join(seed, "grp").withColumns({"embedding": F.lit(None).cast(rows.schema["embedding"].dataType), "superseded_by": F.lit(None).cast("long")}).select(*rows.columns)
+    gone = capped.join(merged.select("grp"), "grp", "left_semi").select("uuid")
+    hit = rows.join(gone.withColumn("_gone", F.lit(True)), "uuid", "left")
+    hit = hit.withColumns({"status": F.when(F.col("_gone"), "deleted").otherwise(F.col("status")), "updated_at": F.when(F.col("_gone"), now).otherwise(F.col("updated_at"))})
+    return released(hit.select(*rows.columns), gone).unionByName(full), new.select("grp", "uuid", "compacted_from")
+
+
 def bumped(rows: DataFrame, reads: DataFrame) -> DataFrame:
     """rows whose reference_count has grown by the explicit reads (uuid) of each."""
     n = reads.groupBy("uuid").agg(F.count("*").alias("_n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import filters
 from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import passes as P
@@ -172,3 +173,20 @@ def user_stated_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     a = records(spark, d).select("uuid", "summary", (F.col("uuid") - F.col("uuid") % 2).alias("k"))
     b = records(spark, d).select(F.col("uuid").alias("k"), F.col("content").alias("message"))
     return a.join(b, "k").select("uuid", F.coalesce(T.fuzzy_user_share(F.col("summary"), F.col("message")) >= 0.75, F.lit(False)).alias("stated"))
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """(grp, uuid) of live records of a profile with the same text; grp is the smallest uuid."""
+    live = filters.status(rows).select("profile", F.sha2("content", 256).alias("h"), "uuid")
+    first = live.groupBy("profile", "h").agg(F.min("uuid").alias("grp"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return live.join(first, ["profile", "h"]).select("grp", "uuid")
+
+
+@query("compact_pass", """WITH g AS (SELECT uuid, min(uuid) OVER w AS grp, count(*) OVER w AS c, row_number() OVER (PARTITION BY profile, content ORDER BY uuid) AS rn FROM mem WHERE status = 'active' AND superseded_by IS NULL WINDOW w AS (PARTITION BY profile, content)),
+j AS (SELECT g.grp, r.* FROM g JOIN mem r ON r.uuid = g.uuid WHERE c > 1 AND rn <= 10),
+n AS (SELECT (SELECT max(uuid) FROM mem) + 1 + grp AS uuid, 'active' AS status, CASE WHEN bool_or(source = 'obsidian') THEN 'obsidian' WHEN bool_or(source NOT IN ('agent', 'consolidated', 'user-stated')) THEN min(source) FILTER (source NOT IN ('agent', 'consolidated', 'user-stated')) ELSE 'consolidated' END AS source,
+ round(least(1, max(trust_score) + 0.05::DOUBLE), 4) AS trust_score, max(sensitivity) AS sensitivity, max(priority) AS priority, string_agg(content, chr(10) || chr(10) ORDER BY uuid) AS content, NULL::BIGINT AS superseded_by FROM j GROUP BY grp)
+SELECT m.uuid, CASE WHEN m.uuid IN (SELECT uuid FROM j) THEN 'deleted' ELSE status END AS status, source, trust_score, sensitivity, priority, content, CASE WHEN superseded_by IN (SELECT uuid FROM j) THEN NULL ELSE superseded_by END AS superseded_by FROM mem m UNION ALL SELECT * FROM n""")
+def compact_pass(spark: SparkSession, d: str) -> DataFrame:
+    rows = records(spark, d)
+    return P.compaction(rows, _copies(rows), now())[0].select("uuid", "status", "source", "trust_score", "sensitivity", "priority", "content", "superseded_by")

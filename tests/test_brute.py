@@ -239,3 +239,27 @@ def test_gap_is_asked_once(spark, sf):
     words = store.own.where("status = 'active'").orderBy("uuid").first().content[:60]
     rows = store.retrieve(words, depth=4, limit=3, gap=lambda prompts: [f"{len(p)} characters" for p in prompts]).orderBy("rank").collect()
     assert rows[0].gap.endswith(" characters") and all(r.gap is None for r in rows[1:]) and "embedding" not in rows[0].asDict()
+
+
+def test_compaction_asks_a_model_and_previews(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tessella.operators import passes
+    from tessella.sources.records import now, records
+
+    rows = records(spark, sf).where("status = 'active'")
+    ids = sorted(r.uuid for r in rows.select("uuid").collect())
+    parts = {0: ids[:14], 1: ids[14:17], 2: ids[17:19], 3: ids[19:20]}
+    groups = spark.createDataFrame([(m[0], u) for m in parts.values() for u in m], "grp long, uuid long")
+    seen = {r.grp: r.would_merge for r in passes.compaction_preview(groups).collect()}
+    assert seen == {ids[0]: ids[:10], ids[14]: ids[14:17], ids[17]: ids[17:19]}
+    # nothing is said about two of the texts
+    table, made = passes.compaction(rows, groups, now(), lambda texts: [None if t.count("\n\n") == 1 else f"merged {len(t)}" for t in texts])
+    told = {r.grp: (r.uuid, r.compacted_from) for r in made.collect()}
+    some = {g: (ids[-1] + 1 + g, m) for g, m in seen.items()}
+    out = {r.uuid: r for r in table.collect()}
+    assert told and told.items() <= some.items() and len(out) == len(ids) + len(told)
+    gone = {u for _, m in told.values() for u in m}
+    assert {u for u in ids if out[u].status == "deleted"} == gone and not {r.superseded_by for r in out.values()} & gone
+    assert all(out[u].content.startswith("merged ") and out[u].embedding is None and out[u].status == "active" for u, _ in told.values())
+    assert passes.compaction(rows, groups.limit(0), now())[0].count() == len(ids)
