@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stem import folded, search_terms, search_tokens, stems
 from ..functions.text import tokens
+from ..sources import postings
 from . import retrieval
 from .filters import clamp
 
@@ -62,6 +64,47 @@ def search(rows: DataFrame, terms: list[str], limit: int = 10, by: str = "releva
     return top.withColumn("snippet", snippet(F.col("full_text"), terms))
 
 
+def indexed(rows: DataFrame) -> DataFrame:
+    """Summaries as the inverted index takes them. All are one profile: a term weighs the same for everyone, who sees what is decided by scope."""
+    return rows.select(F.lit("all").alias("profile"), F.col("page_id").alias("uuid"), F.col("full_text").alias("content"), F.lit("").alias("summary"),
+                       F.array().cast("array<string>").alias("keywords"), F.col("title").alias("topic"), F.lit("").alias("data_id"))
+
+
+def stemmed_words() -> Column:
+    """The terms of a row of indexed(): stems of title and full text."""
+    return F.coalesce(search_tokens(F.concat_ws(" ", "topic", "content")), F.array().cast("array<string>"))
+
+
+def search_stems(rows: DataFrame, index: postings.Postings, query: str, limit: int = 10, by: str = "relevance") -> DataFrame:
+    """The summaries among rows that hold an inflected form of a word of the query: score (BM25 over stems), snippet with hits in <b>, no full text.
+
+    Best first, or newest first. A query without words finds nothing; a word counts as often as it is given; accents and case don't matter.
+    The index is one of indexed() rows by stemmed_words(). Texts are fetched for what is returned only.
+    """
+    terms = search_terms(query)
+    scores = index.scores(terms).select(F.col("uuid").alias("page_id"), F.round("score", 6).alias("score"))
+    order = (F.desc("created_at"),) if by == "date" else (F.desc("score"),)
+    top = rows.select("page_id", "created_at").join(scores, "page_id").orderBy(*order, "page_id").limit(clamp(limit, 10, 200)).select("page_id", "score")
+    found = rows.join(F.broadcast(top), "page_id")  # at most 200 rows
+    return found.withColumn("snippet", marked(F.col("full_text"), terms)).drop("full_text").orderBy(*order, "page_id")
+
+
+def marked(text: Column, terms: list[str], size: int = 48, before: int = 8) -> Column:
+    """So many words of a text as they are written, from shortly before the first one whose stem is a term, these in <b>; dots where it is cut."""
+    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\x{300}-\x{36f}]*"), F.lit(0))
+    both = F.arrays_zip(words.alias("word"), stems(F.transform(words, folded)).alias("stem"))
+    hit = lambda x: x["stem"].isin(*terms) if terms else F.lit(False)
+    shown = lambda x: F.when(hit(x), F.concat(F.lit("<b>"), x["word"], F.lit("</b>"))).otherwise(x["word"])
+
+    def cut(w: Column) -> Column:
+        first = F.coalesce(F.array_position(F.transform(w, hit), True), F.lit(0))
+        start = F.greatest(F.lit(1), first - before).cast("int")
+        part = F.array_join(F.transform(F.slice(w, start, F.lit(size)), shown), " ")
+        return F.concat(F.when(start > 1, "...").otherwise(""), part, F.when(start + size <= F.size(w), "...").otherwise(""))
+
+    return F.transform(F.array(both), cut)[0]
+
+
 def snippet(text: Column, terms: list[str], size: int = 48, before: int = 8) -> Column:
     """So many words of a text, from shortly before the first one that is a term (from the start without one)."""
     words = tokens(text)

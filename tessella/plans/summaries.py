@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import summaries as S
+from ..sources import postings
 from ..sources.records import NOW, now, table
 from .registry import query
 
@@ -56,6 +57,15 @@ def summaries_search(spark: SparkSession, d: str) -> DataFrame:
     return hits.where("hits > 0").orderBy(F.desc("hits"), "page_id").limit(20).select("page_id", "hits")
 
 
+@query("summaries_stemmed")
+def summaries_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """The best summaries for the title of the first one; no SQL, as that knows no stems. Tests hold it against an embedded database's search."""
+    rows = summaries(spark, d)
+    index = postings.of_tables(S.indexed(rows), d, ("pages",), S.stemmed_words, "stems")
+    asked = rows.where("page_id = 0").select("title").first()
+    return S.search_stems(rows, index, asked.title if asked else "", 20).select("page_id", "score", "snippet")
+
+
 @query("summaries_upsert", f"WITH {SQL}, o AS (SELECT source_url, min(page_id) AS old FROM s WHERE page_id < 100 GROUP BY 1), n AS (SELECT source_url, min(page_id) AS page_id FROM s WHERE page_id >= 100 GROUP BY 1) SELECT n.source_url, coalesce(old, page_id) AS page_id, CASE WHEN old IS NULL THEN 'added' ELSE 'already_exists' END AS outcome FROM n LEFT JOIN o ON o.source_url = n.source_url")
 def summaries_upsert(spark: SparkSession, d: str) -> DataFrame:
     rows = summaries(spark, d)

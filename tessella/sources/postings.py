@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,10 +55,10 @@ def bucket(term: Column, buckets: int) -> Column:
 
 
 class Postings:
-    """The index in a folder."""
+    """The index in a folder; ``words`` gives the terms of a record, an array."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets, self.commits = spark, path, buckets, Versions(spark, path, "records", PARTS["records"])
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, words: Callable[[], Column] = record_tokens):
+        self.spark, self.path, self.buckets, self.words, self.commits = spark, path, buckets, words, Versions(spark, path, "records", PARTS["records"])
 
     def read(self, part: str, batches: list[int] | None = None) -> DataFrame:
         return self.commits.read(part, PARTS[part], batches)
@@ -68,7 +69,7 @@ class Postings:
             return False
         before = self.commits.batches()
         columns = ("profile", "uuid", "content", "summary", "keywords", "topic", "data_id")
-        split = spread(rows.select(*columns)).select("profile", "uuid", F.transform(F.array(record_tokens()), lambda t: F.struct(F.size(t).alias("len"), term_counts(t).alias("terms")))[0].alias("m"))
+        split = spread(rows.select(*columns)).select("profile", "uuid", F.transform(F.array(self.words()), lambda t: F.struct(F.size(t).alias("len"), term_counts(t).alias("terms")))[0].alias("m"))
         each = split.select("profile", "uuid", F.col("m.len").alias("len"), F.explode("m.terms").alias("t")).select("profile", "t.term", "uuid", "t.tf", "len", bucket(F.col("t.term"), self.buckets).alias("bucket"))
         # folders with a frequent term are split over several tasks, small ones share one
         self.commits.write(each.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), "postings", batch, ("bucket",))
@@ -158,10 +159,10 @@ def fingerprint(spark: SparkSession, *paths: str) -> str:
     return hashlib.sha256("\n".join(sorted(told)).encode()).hexdigest()[:24]
 
 
-def of_tables(rows: DataFrame, sf_dir: str, tables: tuple[str, ...] = ("documents", "embeddings")) -> Postings:
-    """The index of rows that derive from these tables, kept in the shared folder: built when none is there for just these files."""
+def of_tables(rows: DataFrame, sf_dir: str, tables: tuple[str, ...] = ("documents", "embeddings"), words: Callable[[], Column] = record_tokens, kind: str = "postings") -> Postings:
+    """The index of rows that derive from these tables, kept in the shared folder: built when none is there for just these files and this kind."""
     spark = rows.sparkSession
-    out = Postings(spark, f"{checkpoints(spark)}/tessella-postings-{LAYOUT}-{fingerprint(spark, *(f'{sf_dir}/{t}.parquet' for t in tables))}")
+    out = Postings(spark, f"{checkpoints(spark)}/tessella-{kind}-{LAYOUT}-{fingerprint(spark, *(f'{sf_dir}/{t}.parquet' for t in tables))}", words=words)
     if out.commits.last() is None:
         out.write(rows, 0)
     return out

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ORACLES = entry.oracle_sql()
 QUERIES = entry.queries()
-NO_SQL = {"embed_hash", "ingest_md_parse", "dup_groups", "throttle_turns", "breaker_states", "user_stated_fuzzy"}
+NO_SQL = {"embed_hash", "ingest_md_parse", "dup_groups", "throttle_turns", "breaker_states", "user_stated_fuzzy", "summaries_stemmed"}
 
 
 def plain(v):
