@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, wikilinks
+from . import vault
 from .records import RECORD
 
 EXPORTED = ("uuid", "data_type", "data_id", "priority", "status", "trust_score")
-MOST_BYTES = 2_000_000
 
 
 def json_lines(rows: DataFrame) -> DataFrame:
@@ -30,12 +31,20 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
-def read_vault(spark: SparkSession, path: str, exclude: tuple[str, ...] = (".obsidian", ".trash", ".git")) -> DataFrame:
-    """(path, body) of the Markdown files below a folder, without excluded folders and over-large files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(path).where(F.col("length") <= MOST_BYTES)
-    for d in exclude:
-        files = files.where(~F.col("path").contains(f"/{d}/"))
-    return files.select("path", F.decode("content", "UTF-8").alias("body"))
+def read_vault(spark: SparkSession, path: str, exclude: tuple[str, ...] = (), roots: tuple[str, ...] = ()) -> DataFrame:
+    """(path, source_url, data_id, topic, body) of a vault's notes (see sources.vault); exclude adds to the folders that are left out."""
+    vault.register(spark)
+    read = spark.read.format("vault").option("exclude", ",".join(exclude)).option("roots", os.pathsep.join(roots))
+    return read.load(path).where("outcome = 'note'").drop("outcome")
+
+
+def vault_records(notes: DataFrame) -> DataFrame:
+    """Columns of a record, as far as a vault's notes tell them; the title of the head, else the name, is the summary."""
+    both = parse_markdown(notes).withColumnsRenamed({"text": "content", "tags": "keywords", "links": "backlinks"})
+    return both.where(F.trim("content") != "").select(
+        "source_url", "content", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("topic")).alias("summary"), "topic",
+        F.lit("OBSIDIAN").alias("data_type"), "data_id", F.lit("obsidian").alias("source"), "keywords", "backlinks",
+    )
 
 
 def front_matter(body: Column) -> tuple[Column, Column]:
@@ -46,11 +55,11 @@ def front_matter(body: Column) -> tuple[Column, Column]:
 
 
 def parse_markdown(files: DataFrame) -> DataFrame:
-    """(path, text, title, tags, links) of (path, body); title and tags are simple keys of the head."""
+    """The columns beside body, and text, title, tags, links; title and tags are simple keys of the head."""
     text, head = front_matter(F.col("body"))
     key = lambda k: F.trim(F.regexp_extract(head, rf"(?m)^{k}:\s*(.*)$", 1))
     tags = F.filter(F.split(F.regexp_replace(key("tags"), r"[\[\]]", ""), r"\s*,\s*"), lambda t: t != "")
-    return files.select("path", text.alias("text"), key("title").alias("title"), tags.alias("tags"), wikilinks(text).alias("links"))
+    return files.select(*[c for c in files.columns if c != "body"], text.alias("text"), key("title").alias("title"), tags.alias("tags"), wikilinks(text).alias("links"))
 
 
 def hashed_embedding(rows: DataFrame, size: int) -> DataFrame:
