@@ -72,6 +72,13 @@ class Store:
         first = F.row_number().over(Window.partitionBy().orderBy("rank")) == 1  # at most limit rows
         return told.join(F.broadcast(asked), F.lit(True)).withColumn("gap", F.when(first, F.col("gap")))
 
+    def fallback(self, query: str, vector: list[float] | None = None, profile: str | None = None, limit: int = 30) -> DataFrame:
+        """(uuid, distance, mode): what is found while the index is away, by vectors (own profile only), else by words, else by trust."""
+        own = profile is None or profile == self.profile
+        rows = self.own if own else self.rows.where(F.col("profile") == profile)
+        q = rows.sparkSession.createDataFrame([(None if vector is None else list(map(float, vector)),)], "q array<float>")
+        return retrieval.degraded(rows, q, retrieval.bm25(rows, re.findall(r"[^\W_]+", query.lower())), filters.clamp(limit, 30, 200), own)
+
     def peek(self, query: str, vector: list[float] | None = None, depth: int = 1) -> DataFrame:
         return self.retrieve(query, vector, depth, 30)
 

@@ -18,7 +18,7 @@ from ..functions.time import recency
 from ..functions.vector import cosine
 from ..sources.postings import K1, LEAST_IDF, B, record_tokens
 from ..sources.scratch import spread, store
-from .filters import status, unexpired
+from .filters import by_trust, status, unexpired
 
 
 @dataclass(frozen=True)
@@ -100,6 +100,35 @@ def lexical_topk(rows: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     return live.join(scores.where("matched"), ["profile", "uuid"]).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("profile", "uuid", "score", "rn")
 
 
+def degraded(rows: DataFrame, query: DataFrame, scores: DataFrame, k: int, exact: bool = True, indexed: DataFrame | None = None, breaker: DataFrame | None = None) -> DataFrame:
+    """(uuid, distance, mode): candidates by the best way that the data leave open, chosen within one plan.
+
+    vector: the index's hits (uuid, sim), unless the breaker's one row (column open) says that it is open; brute_force: all vectors of the
+    query's size (column q of at most one row, which may be null), if ``exact``, as a profile's vectors answer for itself only; lexical: the
+    best matches of scores; scan: the most trusted records of each profile. The first that finds anything gives all rows, at most k (scan: k
+    for each profile); the last two spread their distances over 0.1..0.5 by place.
+    """
+    arm = lambda df, i, mode: df.select("uuid", "distance", F.lit(i).alias("arm"), F.lit(mode).alias("mode"))
+    near = F.round(1 - F.col("sim"), 6).alias("distance")
+    arms = []
+    if indexed is not None:
+        hits = indexed if breaker is None else indexed.join(F.broadcast(breaker.select("open").limit(1)), ~F.col("open"))  # one row
+        arms.append(arm(status(rows).select("uuid").join(hits.select("uuid", "sim"), "uuid").orderBy(F.desc("sim"), "uuid").limit(k).select("uuid", near), 0, "vector"))
+    if exact:
+        arms.append(arm(vector_topk(rows, query.where("q is not null"), k).select("uuid", near), 1, "brute_force"))
+    found = status(rows).select("profile", "uuid").join(scores.where("matched").select("profile", "uuid", "score"), ["profile", "uuid"]).orderBy(F.desc("score"), "uuid").limit(k)
+    # at most k rows
+    place, n = F.row_number().over(W.orderBy(F.desc("score"), "uuid")), F.count("*").over(W.partitionBy())
+    spread_out = F.round(0.1 + 0.4 * (F.col("i") - 1) / F.greatest(F.col("n") - 1, F.lit(1)), 6).alias("distance")
+    arms.append(arm(found.select("uuid", place.alias("i"), n.alias("n")).select("uuid", spread_out), 2, "lexical"))
+    arms.append(arm(by_trust(rows, k), 3, "scan"))
+    every = arms[0]
+    for a in arms[1:]:
+        every = every.union(a)
+    # top rows of each way
+    return every.withColumn("first", F.min("arm").over(W.partitionBy())).where("arm = first").select("uuid", "distance", "mode")
+
+
 def pool(vector: DataFrame, lexical: DataFrame) -> DataFrame:
     """(uuid, distance): vector hits by 1 - sim; lexical hits that aren't among them follow the worst one."""
     hits = vector.select("uuid", F.round(1 - F.col("sim"), 6).alias("distance"))

@@ -108,6 +108,27 @@ def postings_lexicon(spark: SparkSession, d: str) -> DataFrame:
     return index(spark, d).lexicon()
 
 
+_SPREAD = "round(0.1::DOUBLE + 0.4::DOUBLE * (rn - 1) / greatest(count(*) OVER () - 1, 1), 6)"
+
+
+@query("degraded_chain", f"""WITH {BM}, {VS},
+v AS (SELECT 'brute_force' AS mode, uuid, round(1 - sim, 6) AS distance FROM vs WHERE profile = 'alpha' ORDER BY sim DESC, uuid LIMIT 30),
+l AS (SELECT uuid, row_number() OVER (ORDER BY score DESC, uuid) AS rn FROM bm JOIN mem USING (profile, uuid) WHERE matched AND {LIVE} AND profile = 'beta' QUALIFY rn <= 30),
+t AS (SELECT uuid, row_number() OVER (ORDER BY trust_score DESC, uuid) AS rn FROM mem WHERE {LIVE} AND profile = 'gamma' QUALIFY rn <= 30)
+SELECT * FROM v UNION ALL SELECT 'lexical', uuid, {_SPREAD} FROM l UNION ALL SELECT 'scan', uuid, {_SPREAD} FROM t""")
+def degraded_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Without an index: the own profile by its vectors, another one by its words, a third one that has none of the words by trust."""
+    rows, q = records(spark, d), vector(spark, d)
+    of = lambda p: rows.where(F.col("profile") == p)
+    scores = lambda words, p: index(spark, d).scores(words, [p])
+    words = terms(spark, d)
+    own = R.degraded(of("alpha"), q, scores(words, "alpha"), 30)
+    other = R.degraded(of("beta"), q, scores(words, "beta"), 30, exact=False)
+    # a vector of another size is as good as none
+    third = R.degraded(of("gamma"), q.select(F.slice("q", 1, 3).alias("q")), scores([], "gamma"), 30)
+    return own.union(other).union(third).select("mode", "uuid", "distance")
+
+
 def changed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(updated, deleted): records whose texts become their summaries and change profile, and records that go."""
     rows = records(spark, d)
