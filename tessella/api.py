@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import aggregates, enrich, filters, graph, lifecycle, passes, retrieval
 from .sources import exchange
+from .sources.postings import K1, LEAST_IDF, B, Postings
 
 
 class Store:
@@ -204,4 +205,33 @@ def register(spark: SparkSession) -> None:
     )
 
 
-__all__ = ["Store", "register"]
+def register_search(spark: SparkSession, rows: DataFrame, index: Postings) -> None:
+    """SQL table functions over a store and its inverted index, as temporary functions with SQL bodies:
+
+    search_words(asked, who): (uuid, score), BM25 of a profile's records that hold a word, whatever their status;
+    search_near(v, who): (uuid, sim), cosine of a profile's live records whose vectors have the size of v.
+
+    Add ORDER BY and LIMIT for the best ones. Null or blank arguments find nothing. The records are the view tessella_records.
+    """
+    register(spark)
+    rows.createOrReplaceTempView("tessella_records")
+    # with their folders, so that only those of the words are opened
+    index.commits.alive(index.read("postings")).createOrReplaceTempView("tessella_postings")
+    index.statistics().createOrReplaceTempView("tessella_statistics")
+    spark.sql(
+        f"""create or replace temporary function search_words(asked string, who string) returns table(uuid long, score double) return
+        with words as (select term, count(*) as times from (select explode(regexp_extract_all(lower(asked), '[\\\\p{{L}}\\\\p{{N}}]+', 0)) as term) group by term),
+        held as (select p.term, p.uuid, p.tf, p.len, w.times from tessella_postings p join words w on p.term = w.term where p.profile = who
+            and array_contains(transform(regexp_extract_all(lower(asked), '[\\\\p{{L}}\\\\p{{N}}]+', 0), t -> cast(crc32(cast(t as binary)) % {index.buckets} as int)), p.bucket)),
+        weights as (select h.term, first(h.times) * greatest(ln((first(s.n) - count(*) + 0.5D) / (count(*) + 0.5D)), {LEAST_IDF}D) * {K1 + 1}D as w, first(s.mean) as mean
+            from held h join tessella_statistics s on s.profile = who group by h.term)
+        select h.uuid, round(sum(w.w * h.tf / (h.tf + {K1}D * ({1 - B}D + {B}D * h.len / w.mean))), 9) as score from held h join weights w on h.term = w.term group by h.uuid"""
+    )
+    spark.sql(
+        """create or replace temporary function search_near(v array<double>, who string) returns table(uuid long, sim double) return
+        select uuid, round(greatest(-1D, least(1D, coalesce(cosine(cast(embedding as array<double>), v), 0D))), 6) as sim from tessella_records
+        where profile = who and status = 'active' and superseded_by is null and size(embedding) = size(v)"""
+    )
+
+
+__all__ = ["Store", "register", "register_search"]

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..api import register_search
 from ..operators import filters
 from ..operators import retrieval as R
 from ..sources import exchange, ivf, postings
@@ -129,6 +130,18 @@ def degraded_chain(spark: SparkSession, d: str) -> DataFrame:
     return own.union(other).union(third).select("mode", "uuid", "distance")
 
 
+@query("sql_search", f"WITH {BM}, {VS} SELECT bm.uuid, round(score, 6) AS score, sim FROM bm LEFT JOIN vs ON vs.uuid = bm.uuid WHERE matched AND bm.profile = 'alpha'")
+def sql_search(spark: SparkSession, d: str) -> DataFrame:
+    """Both table functions within one statement: the matches of the first benchmark text, with their nearness to the first vector."""
+    rows = records(spark, d)
+    register_search(spark, rows, index(spark, d))
+    q = vector(spark, d).first().q
+    args = {"asked": " ".join(terms(spark, d)), "v": [float(x) for x in q]}
+    return spark.sql(
+        "select w.uuid, round(w.score, 6) as score, n.sim from search_words(:asked, 'alpha') w left join search_near(cast(:v as array<double>), 'alpha') n on n.uuid = w.uuid", args
+    )
+
+
 def changed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(updated, deleted): records whose texts become their summaries and change profile, and records that go."""
     rows = records(spark, d)

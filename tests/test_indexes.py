@@ -177,3 +177,28 @@ def test_rebuilt_index_equals_one_from_scratch(spark, sf):
         ivf.rebuild(index, rows, embed, first)
     same = [sorted((r.uuid, r.collection, r.v) for r in index.rows().collect()) for index in (a, b)]
     assert same[0] == same[1] and len(same[0]) == rows.where("status = 'active' and superseded_by is null").count()
+
+
+def test_table_functions(spark, place):
+    from tessella.api import register_search
+
+    texts = {i: ("ab"[i % 2], t) for i, t in enumerate(["the cat sat", "The dog", "cat cat cat dog", None, "", "vital", "dog days of the cat"])}
+    index = postings.Postings(spark, place, buckets=8)
+    index.write(rows_of(spark, texts), 0)
+    index.delete(spark.createDataFrame([(2,)], "uuid long"), 1)
+    live = F.when(F.col("uuid") == 4, "deleted").otherwise("active")
+    rows = rows_of(spark, texts).select("*", live.alias("status"), F.lit(None).cast("long").alias("superseded_by"), F.array(F.lit(1.0), F.col("uuid") / 2).cast("array<float>").alias("embedding"))
+    register_search(spark, rows, index)
+    for asked in ("Cat the THE dog", "vital", "nowhere", "?!"):
+        words = re.findall(r"[^\W_]+", asked.lower())
+        for who in "ab":
+            got = {r.uuid: round(r.score, 6) for r in spark.sql("select * from search_words(:asked, :who)", {"asked": asked, "who": who}).collect()}
+            assert got == {u: s for (p, u), s in told(index, words).items() if p == who}
+    assert spark.sql("select * from search_words(null, 'a')").count() == 0 and spark.sql("select * from search_near(null, 'a')").count() == 0
+    near = {r.uuid: r.sim for r in spark.sql("select * from search_near(array(1D, 0D), 'a')").collect()}
+    assert near == {u: round(1 / math.hypot(1, u / 2), 6) for u in (0, 2, 6)}
+    assert spark.sql("select * from search_near(array(1D), 'a')").count() == 0
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    plan = spark.sql("select * from search_words('dog', 'a')")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert re.search(r"PartitionFilters: \[[^\n]*bucket[^\n]*PushedFilters", plan)
