@@ -78,6 +78,11 @@ class Commits:
             return self.spark.createDataFrame([], f"{schema}, batch long")
         return self.spark.read.schema(f"{schema}, batch long").parquet(path).where(F.col("batch").isin(*wanted))
 
+    def whole(self, part: str, batch: int) -> bool:
+        """Whether a part of a batch is written to its end, committed or not."""
+        where, fs = folder(self.spark, posixpath.join(self.path, part, f"batch={batch}", "_SUCCESS"))
+        return fs.exists(where)
+
     def sweep(self) -> list[str]:
         """Removes the folders of batches that no reader needs; returns them."""
         wanted, gone = set(self.batches()), []

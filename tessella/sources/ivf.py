@@ -54,6 +54,7 @@ class VectorIndex:
             return False
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
+        from pyspark.ml.stat import Summarizer
 
         good = self._good(rows)
         n = good.count()
@@ -61,7 +62,11 @@ class VectorIndex:
         # a sample of the rows, by hash, bounds the training and not what is indexed
         part = F.pmod(F.xxhash64("uuid"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, TRAINED / max(n, 1)))
         train = good.where(part).select(array_to_vector("v").alias("features"))
-        if n:
+        if n and lists == 1:
+            # k-means takes no single list
+            mean = train.select(Summarizer.mean(F.col("features"))).first()[0].toArray()
+            centers = np.array([mean / (np.linalg.norm(mean) or 1)])
+        elif n:
             model = KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine").fit(train)
             centers = np.array([c / (np.linalg.norm(c) or 1) for c in model.clusterCenters()])
         else:
