@@ -35,7 +35,7 @@ class Store:
         scores: DataFrame | None = None, gap: enrich.Model | None = None, **equals: str | None,
     ) -> DataFrame:
         """The best records, without their vectors: depth 0 and 1 in pool order, 2 fused, 3 reranked by scores (uuid, model_score),
-        4 as 2 with annotations, and with what the model ``gap`` says is missing on the first row.
+        4 as 2 with annotations (unresolved_conflict among them), and with what the model ``gap`` says is missing on the first row.
 
         Without a vector only the lexical arm is used; without a term that means something nothing is found.
         """
@@ -63,7 +63,10 @@ class Store:
         top = out.orderBy(F.desc("fusion"), "rank").limit(limit)
         if depth < 4:
             return top
-        told = retrieval.annotated(top)
+        # contradictions among the 20 best, returned or not
+        best = out.orderBy(F.desc("fusion"), "rank").limit(20)
+        whole = filters.status(rows).join(F.broadcast(best.select("uuid")), "uuid", "left_semi")
+        told = retrieval.conflict_noted(retrieval.annotated(top), best, graph.conflict_pairs(whole, 0.85, 0.7))
         if gap is None:
             return told
         # one prompt for the whole answer, on its first row

@@ -189,6 +189,15 @@ def annotated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("low_relevance", F.when(first, F.max("bm25").over(w) == 0)).withColumn("pool_range", F.when(first, note))
 
 
+def conflict_noted(top: DataFrame, scored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """top with unresolved_conflict: true on its first row (by fusion) if a pair (a, b) of contradicting records is among all that were
+    scored (uuid), whether returned or not; null elsewhere."""
+    ids = scored.select("uuid")
+    met = pairs.join(F.broadcast(ids.toDF("a")), "a", "left_semi").join(F.broadcast(ids.toDF("b")), "b", "left_semi")  # a top-k
+    first = F.row_number().over(W.orderBy(F.desc("fusion"), "rank")) == 1
+    return top.join(F.broadcast(met.agg((F.count("*") > 0).alias("_any"))), F.lit(True)).withColumn("unresolved_conflict", F.when(first & F.col("_any"), True)).drop("_any")  # one row
+
+
 def expanded_terms(top: DataFrame, terms: list[str], n: int = 5) -> DataFrame:
     """(term): the query's terms and those of keywords and topics of the n nearest records."""
     near = top.orderBy(F.desc("sim"), "uuid").limit(n)

@@ -54,6 +54,33 @@ def batch_delete(rows: DataFrame, asked: DataFrame, profile: str) -> DataFrame:
     )
 
 
+def deleted(rows: DataFrame, asked: DataFrame, scope: str = "own", profile: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows without the asked ids (page_id) in scope, (page_id, outcome) of each asked id once: deleted, foreign or missing)."""
+    mine = in_scope(rows, scope, profile).select("page_id", F.lit(True).alias("_mine"))
+    once = asked.select("page_id").where("page_id is not null").distinct()
+    both = once.join(rows.select("page_id", F.lit(True).alias("_there")), "page_id", "left").join(mine, "page_id", "left")
+    told = both.select("page_id", F.when(F.col("_mine"), "deleted").when(F.col("_there"), "foreign").otherwise("missing").alias("outcome"))
+    return rows.join(told.where("outcome = 'deleted'").select("page_id"), "page_id", "left_anti").select(*rows.columns), told
+
+
+def sync_outcomes(rows: DataFrame, files: DataFrame, scope: str = "own", profile: str | None = None) -> DataFrame:
+    """(page_id, outcome) of rows that name a file (summary_path), against the files (path) that are there.
+
+    kept; preserved: the file is gone, but the row has its text; orphaned: neither is left; foreign: another profile's, whose files lie elsewhere.
+    """
+    checked = in_scope(rows, scope, profile).where("summary_path is not null")
+    there = files.select(F.col("path").alias("summary_path"), F.lit(True).alias("_there")).distinct()
+    own = F.coalesce(F.col("profile_name") == profile, F.lit(False)) if profile else F.lit(False)
+    outcome = F.when(~own, "foreign").when(F.col("_there"), "kept").when(F.coalesce(F.col("full_text"), F.lit("")) != "", "preserved").otherwise("orphaned")
+    return checked.join(there, "summary_path", "left").select("page_id", outcome.alias("outcome"))
+
+
+def synced(rows: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """rows as sync_outcomes() leaves them: orphaned ones go, preserved ones name no file any more."""
+    both = rows.join(outcomes, "page_id", "left").where("outcome is null or outcome <> 'orphaned'")
+    return both.withColumn("summary_path", F.when(F.coalesce(F.col("outcome") != "preserved", F.lit(True)), F.col("summary_path"))).select(*rows.columns)
+
+
 def search(rows: DataFrame, terms: list[str], limit: int = 10, by: str = "relevance") -> DataFrame:
     """The summaries that hold a term: score (BM25 over title and full text), snippet; best first, or newest first."""
     docs = rows.select(F.lit("all").alias("profile"), F.col("page_id").alias("uuid"), F.lit("").alias("summary"), F.array().cast("array<string>").alias("keywords"), F.lit("").alias("data_id"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from ..operators import retrieval as R
 from ..operators import summaries as S
 from ..operators import validation as V
 from ..sources import logs
+from ..sources.intake import Intake
 from ..sources.records import now, records, table
+from ..sources.scratch import checkpoints, store
 from . import graph, history, retrieval
 from . import summaries as pages
 from .registry import query
@@ -57,6 +61,23 @@ def add_pass(spark: SparkSession, d: str) -> DataFrame:
     return P.verdicts(rows, rows, graph.DUP, graph.POSSIBLE, -0.5)
 
 
+@query("intake_batches", f"""WITH inc AS (SELECT uuid, content, created_at, data_id, source, NULL::VARCHAR[] AS keywords, embedding, CASE WHEN data_type = 'CUSTOM' THEN 'NOTE' ELSE data_type END AS data_type, uuid % 2 AS half FROM mem),
+f AS (SELECT *, min(uuid) OVER (PARTITION BY half, coalesce(content, '')) AS first, coalesce(content, '') = '' OR length(content) > 50000 AS bad FROM inc), acc AS (SELECT * FROM f WHERE half = 0 AND uuid = first AND NOT bad),
+near AS (SELECT a.uuid AS uuid, b.uuid AS match, {graph._SIM} AS sim, {graph._GUARD} AS may FROM f a JOIN acc b ON a.data_type = b.data_type WHERE a.half = 1 AND a.uuid = a.first AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL),
+best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY sim DESC, match) = 1),
+against AS (SELECT * FROM near WHERE sim >= 0.2 AND sim < {graph.POSSIBLE} AND may QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY sim DESC, match) = 1),
+v AS (SELECT f.uuid, first, b.match, g.match AS other, CASE WHEN f.uuid <> first THEN 'repeated' WHEN bad THEN 'rejected' WHEN b.sim >= {graph.DUP} THEN 'duplicate' WHEN b.sim >= {graph.POSSIBLE} THEN 'possible_duplicate' WHEN g.match IS NOT NULL THEN 'supersedes' ELSE 'added' END AS verdict
+ FROM f LEFT JOIN best b ON b.uuid = f.uuid LEFT JOIN against g ON g.uuid = f.uuid)
+SELECT uuid, verdict, CASE verdict WHEN 'repeated' THEN first WHEN 'rejected' THEN NULL ELSE match END AS match, CASE WHEN verdict = 'supersedes' THEN other END AS contradicts FROM v""")
+def intake_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The records as an empty store takes them in, even uuids before odd ones; a new store in the folder for intermediate tables."""
+    given = records(spark, d).select("uuid", "content", "created_at", "data_id", "source", "embedding", F.when(F.col("data_type") == "CUSTOM", "NOTE").otherwise(F.col("data_type")).alias("data_type"))
+    intake = Intake(spark, f"{checkpoints(spark)}/tessella-intake-{uuid4().hex}", "all", 64)
+    for half in (0, 1):
+        intake.add(given.where(F.col("uuid") % 2 == half), half, now(), graph.DUP, graph.POSSIBLE, 0.2)
+    return intake.verdicts().select("uuid", "verdict", "match", "contradicts")
+
+
 _INCOMING = f"""inc AS (SELECT uuid + CASE WHEN uuid % 3 = 0 THEN 100000 ELSE 0 END AS uuid, CASE WHEN uuid % 11 = 0 THEN '' ELSE content END AS content, source, upper(data_id) AS data_id, round(trust_score * 3 - 1, 4) AS trust_score, uuid % 9 - 2 AS priority,
  uuid % 7 - 1 AS sensitivity, uuid % 5 - 2 AS reference_count, created_at + to_days(CAST(uuid % 3 * 200 AS INTEGER)) AS created_at FROM mem),
 fixed AS (SELECT uuid, content, CASE WHEN source IN ('agent', 'consolidated', 'user-stated') THEN 'import' ELSE source END AS source, lower(data_id) AS data_id, greatest(0, least(1, trust_score)) AS trust_score, greatest(0, least(3, priority)) AS priority,
@@ -115,6 +136,16 @@ def conflict_alert(spark: SparkSession, d: str) -> DataFrame:
     return R.alert(R.hydrated(pool, rows, scores, now()), G.conflict_pairs(rows.where("status = 'active' and superseded_by is null"), graph.COS, graph.JACC - 1e-9))
 
 
+@query("annotate_conflicts", f"""{retrieval._fused(retrieval.OWN, retrieval.RRF)}, {graph.PAIRS}, o AS (SELECT uuid, row_number() OVER (ORDER BY fusion DESC, rank) AS n FROM fu)
+SELECT uuid, CASE WHEN n = 1 AND (SELECT count(*) FROM cp JOIN fu x ON x.uuid = cp.a JOIN fu y ON y.uuid = cp.b) > 0 THEN true END AS unresolved_conflict FROM o WHERE n <= 5""")
+def annotate_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """The five best records; the first one tells if records that were scored for the query contradict each other."""
+    scored = store(retrieval.retrieved(spark, d), "scored")
+    own = records(spark, d, scored.select("uuid"))  # a top-k
+    pairs = G.conflict_pairs(filters.status(own), graph.COS, graph.JACC - 1e-9)
+    return R.conflict_noted(scored.orderBy(F.desc("fusion"), "rank").limit(5), scored, pairs).select("uuid", "unresolved_conflict")
+
+
 @query("metric_headroom", f"""WITH {history._RANKED}, t AS (SELECT q, min(rank) FILTER (label = ql) AS rank FROM r GROUP BY 1)
 SELECT count(*) AS n, count(*) FILTER (rank > 5) AS headroom, (SELECT count(*) FROM r WHERE rank <= 5 AND label = ql + 1) AS "forbidden" FROM t""", mem=False)
 def metric_headroom(spark: SparkSession, d: str) -> DataFrame:

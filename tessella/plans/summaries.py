@@ -83,3 +83,31 @@ def summaries_batch_delete(spark: SparkSession, d: str) -> DataFrame:
 def summaries_sync(spark: SparkSession, d: str) -> DataFrame:
     rows = summaries(spark, d).groupBy("profile_name")
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("title") == "").alias("untitled"), (F.count_distinct("source_url") < F.count("*")).alias("repeated"))
+
+
+@query("summaries_deleted", f"WITH {SQL}, a AS (SELECT page_id FROM s WHERE page_id % 4 = 0) SELECT page_id, source_url FROM s WHERE NOT (profile_name = 'beta' AND page_id IN (SELECT page_id FROM a))")
+def summaries_deleted(spark: SparkSession, d: str) -> DataFrame:
+    rows = summaries(spark, d)
+    asked = rows.where("page_id % 4 = 0").select(F.explode(F.expr("array(page_id, page_id, -1 - page_id)")).alias("page_id"))
+    return S.deleted(rows, asked, "own", "beta")[0].select("page_id", "source_url")
+
+
+#: Every fifth file is gone, and every tenth row has no text of its own.
+_FILES = "t AS (SELECT page_id, profile_name, CASE WHEN page_id % 3 = 1 AND page_id % 7 = 0 THEN NULL ELSE concat('s/', page_id, '.md') END AS summary_path, page_id % 5 <> 0 AS there, CASE WHEN page_id % 10 = 0 THEN '' ELSE full_text END AS full_text FROM s)"
+
+
+def _with_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    named = F.concat(F.lit("s/"), "page_id", F.lit(".md"))
+    rows = summaries(spark, d).withColumn("summary_path", F.when(~F.expr("page_id % 3 = 1 and page_id % 7 = 0"), named)).withColumn("full_text", F.when(F.col("page_id") % 10 == 0, "").otherwise(F.col("full_text")))
+    return rows, rows.where("page_id % 5 <> 0").select(named.alias("path"))
+
+
+@query("summaries_sync_outcomes", f"WITH {SQL}, {_FILES} SELECT page_id, CASE WHEN profile_name <> 'beta' THEN 'foreign' WHEN there THEN 'kept' WHEN full_text <> '' THEN 'preserved' ELSE 'orphaned' END AS outcome FROM t WHERE summary_path IS NOT NULL")
+def summaries_sync_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return S.sync_outcomes(*_with_files(spark, d), "all", "beta")
+
+
+@query("summaries_synced", f"WITH {SQL}, {_FILES} SELECT page_id, CASE WHEN profile_name <> 'beta' OR there THEN summary_path END AS summary_path FROM t WHERE NOT coalesce(profile_name = 'beta' AND summary_path IS NOT NULL AND NOT there AND full_text = '', false)")
+def summaries_synced(spark: SparkSession, d: str) -> DataFrame:
+    rows, files = _with_files(spark, d)
+    return S.synced(rows, S.sync_outcomes(rows, files, "own", "beta")).select("page_id", "summary_path")
