@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import aggregates, enrich, filters, graph, lifecycle, passes, retrieval
-from .sources import exchange
+from .sources import exchange, logs
 from .sources.postings import K1, LEAST_IDF, B, Postings
 
 
@@ -76,6 +76,11 @@ class Store:
         first = F.row_number().over(Window.partitionBy().orderBy("rank")) == 1  # at most limit rows
         return told.join(F.broadcast(asked), F.lit(True)).withColumn("gap", F.when(first, F.col("gap")))
 
+    def left_behind(self, query: str, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(a row for the log of traces, the new table) after an explicit retrieve: its results of the own profile count as read once more."""
+        own = found.where(F.col("profile") == self.profile).select("uuid").distinct()
+        return logs.trace(found, query, self.profile, self.now), passes.bumped(self.rows, own)
+
     def fallback(self, query: str, vector: list[float] | None = None, profile: str | None = None, limit: int = 30) -> DataFrame:
         """(uuid, distance, mode): what is found while the index is away, by vectors (own profile only), else by words, else by trust."""
         own = profile is None or profile == self.profile

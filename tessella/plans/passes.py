@@ -136,6 +136,16 @@ def conflict_alert(spark: SparkSession, d: str) -> DataFrame:
     return R.alert(R.hydrated(pool, rows, scores, now()), G.conflict_pairs(rows.where("status = 'active' and superseded_by is null"), graph.COS, graph.JACC - 1e-9))
 
 
+@query("log_batches", "SELECT CAST(ts AS DATE) AS day, event_id % 3 AS batch, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2", mem=False)
+def log_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a log takes them in, in three batches of which one is delivered twice."""
+    events = table(spark, d, "events").select(F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "value")
+    log = logs.Log(spark, f"{checkpoints(spark)}/tessella-log-{uuid4().hex}", "ts timestamp_ntz, event_id long, value double")
+    for batch in (0, 1, 1, 2):
+        log.write(events.where(F.col("event_id") % 3 == batch), batch)
+    return log.read().groupBy("day", "batch").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18, 4)")), 2).cast("double").alias("total"))
+
+
 @query("annotate_conflicts", f"""{retrieval._fused(retrieval.OWN, retrieval.RRF)}, {graph.PAIRS}, o AS (SELECT uuid, row_number() OVER (ORDER BY fusion DESC, rank) AS n FROM fu)
 SELECT uuid, CASE WHEN n = 1 AND (SELECT count(*) FROM cp JOIN fu x ON x.uuid = cp.a JOIN fu y ON y.uuid = cp.b) > 0 THEN true END AS unresolved_conflict FROM o WHERE n <= 5""")
 def annotate_conflicts(spark: SparkSession, d: str) -> DataFrame:

@@ -52,6 +52,11 @@ class Intake:
         """(uuid, verdict, match, contradicts, batch) of all batches: added, supersedes, duplicate, possible_duplicate, repeated, known, rejected; match is the nearest record, or the row repeated."""
         return self.commits.read("verdicts", VERDICT, [b for b, _ in self.commits.log()])
 
+    def ledger(self) -> DataFrame:
+        """(batch, n, and how many got each verdict): one line for each batch that had rows."""
+        names = ("added", "supersedes", "duplicate", "possible_duplicate", "repeated", "known", "rejected")
+        return self.verdicts().groupBy("batch").agg(F.count("*").alias("n"), *[F.count_if(F.col("verdict") == v).alias(v) for v in names])
+
     def history(self) -> DataFrame:
         return self.commits.read("history", HISTORY, [b for b, _ in self.commits.log()])
 

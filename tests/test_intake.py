@@ -57,6 +57,7 @@ def test_a_batch_is_checked_stored_indexed_and_recorded(spark, place):
     before = sorted(map(str, intake.rows().collect())), sorted(map(str, intake.find(["the", "dog", "bird"]).collect())), sorted(map(str, intake.near([0.3, 1, 0.2], 4).collect()))
     assert intake.compact(2) and not intake.compact(2)
     assert before == (sorted(map(str, intake.rows().collect())), sorted(map(str, intake.find(["the", "dog", "bird"]).collect())), sorted(map(str, intake.near([0.3, 1, 0.2], 4).collect())))
+    assert [(r.batch, r.n, r.added, r.supersedes, r.known) for r in intake.ledger().orderBy("batch").collect()] == [(0, 5, 3, 0, 0), (1, 4, 1, 1, 1)]
     assert intake.history().count() == 6 and len(told(intake, 0)) == 5
     with pytest.raises(ValueError):
         intake.add(first, 1 - 2, now())
@@ -109,3 +110,36 @@ def test_the_store_of_the_tables_taken_in_by_batches(spark, sf, place):
     want = retrieval.vector_scores(kept, spark.createDataFrame([(q,)], "q array<float>")).orderBy(F.desc("sim"), "uuid").limit(5).collect()
     assert [r.uuid for r in intake.near(q, 5).collect()] == [r.uuid for r in want]
     assert [c.name for c in kept.schema] == [c.split()[0] for c in RECORD.split(", ")]
+
+
+def test_a_log_takes_a_batch_once(spark, place):
+    from datetime import datetime
+
+    from tessella.sources.logs import Log
+
+    log = Log(spark, place, "ts timestamp_ntz, query string")
+    day = lambda n, *texts: spark.createDataFrame([(datetime(2026, 1, n, i), t, 1) for i, t in enumerate(texts)] + [(None, "no time", 1)], "ts timestamp_ntz, query string, other int")
+    assert log.read().count() == 0 and log.recent("query").count() == 0
+    assert log.write(day(1, "Old cat"), 0) and log.write(day(9, "a Cat", "dog", None), 1) and not log.write(day(9, "again"), 1) and log.write(day(10, "cats"), 2)
+    assert log.read().count() == 8
+    assert [r.query for r in log.recent("query", "cat").collect()] == ["cats", "a Cat"] and log.recent("query", limit=0).count() == 1
+    assert log.prune("2026-01-09") == ["batch=0/day=2026-01-01"] and log.read().count() == 7 and not log.write(day(1, "Old cat"), 0)
+
+
+def test_what_a_retrieve_leaves_behind(spark, sf):
+    from datetime import datetime
+
+    from tessella.api import Store
+
+    rows = records(spark, sf).cache()
+    store = Store(rows, "alpha", datetime(2026, 1, 1))
+    words = store.own.where("status = 'active'").orderBy("uuid").first().content[:60]
+    found = store.retrieve(words, limit=3)
+    told, new = store.left_behind(words, found)
+    ids = {r.uuid for r in found.collect()}
+    line = told.first()
+    assert set(line.uuids) == ids and line.n == len(ids) and line.query == words and line.low_relevance is False
+    grown = new.select("uuid", F.col("reference_count").alias("n")).join(rows.select("uuid", "reference_count"), "uuid").where("n > reference_count")
+    assert {(r.uuid, r.n - r.reference_count) for r in grown.collect()} == {(i, 1) for i in ids} and new.count() == rows.count()
+    none = store.left_behind("nothing", found.limit(0))[0].first()
+    assert none.n == 0 and none.uuids == [] and none.low_relevance
