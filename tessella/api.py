@@ -120,7 +120,10 @@ class Store:
     def add(self, incoming: DataFrame, duplicate: float = 0.97, possible: float = 0.95, force: bool = False, contradiction: float = 0.85) -> tuple[DataFrame, DataFrame]:
         """(new table, verdicts): of a batch, what is usable and not yet in the store; the smallest uuid of equal contents goes
         first. What a row contradicts is superseded by it; rows without a type are classified."""
-        once = incoming.withColumn("_first", F.min("uuid").over(_by("content"))).where(F.col("uuid") == F.col("_first")).drop("_first")
+        # by a digest, so that copies are counted before they move
+        digest = F.sha2(F.coalesce("content", F.lit("")), 256)
+        firsts = incoming.groupBy(digest.alias("_d")).agg(F.min("uuid").alias("_first"))
+        once = incoming.withColumn("_d", digest).join(firsts, "_d").where("uuid = _first").drop("_d", "_first")
         if force:
             verdicts = once.select("uuid", F.lit("added").alias("verdict"), F.lit(None).cast("long").alias("match"), F.lit(None).cast("long").alias("contradicts"))
         else:
@@ -161,7 +164,7 @@ class Store:
         return passes.purged(self.rows, self.now, **hours)
 
     def put_to_sleep(self) -> DataFrame:
-        """The new table: what sleep() names is archived, what it superseded released."""
+        """The new table: all that is due is archived, also beyond sleep()'s limit, and what it superseded released."""
         others = self.rows.where(~F.col("profile").eqNullSafe(self.profile))
         return passes.asleep(self.own, self.now).unionByName(others)
 
@@ -196,10 +199,6 @@ class Store:
         rows.write.partitionBy("profile").parquet(path)
 
 
-def _by(column: str):
-    return Window.partitionBy(column)
-
-
 def register(spark: SparkSession) -> None:
     """SQL functions text_tokens, cosine and fence_untrusted, with SQL bodies that Catalyst sees through."""
     spark.sql("create or replace temporary function text_tokens(t string) returns array<string> return regexp_extract_all(lower(t), '[\\\\p{L}\\\\p{N}]+', 0)")
