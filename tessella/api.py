@@ -170,13 +170,13 @@ class Store:
 
     def resolve_conflicts(self, cosine: float = 0.85, jaccard: float = 0.7) -> DataFrame:
         """(uuid, component, won) of records in conflict groups."""
-        parts = graph.components(graph.conflict_pairs(filters.status(self.own), cosine, jaccard)).withColumnRenamed("node", "uuid")
+        parts = graph.components(graph.conflict_pairs(filters.status(self.own), cosine, jaccard, forest=True)).withColumnRenamed("node", "uuid")
         return graph.winners(parts.join(self.own.select("uuid", "trust_score", "created_at"), "uuid"))
 
     def compact(self, least: float = 0.9) -> DataFrame:
         """(grp, uuid) of duplicate groups to merge."""
         live = filters.status(self.own)
-        return graph.greedy_groups(graph.duplicate_edges(live, least).select("a", "b", "sim"), live, "source")
+        return graph.greedy_groups(graph.duplicate_edges(live, least, 10).select("a", "b", "sim"), live, "source")
 
     def review(self, model: enrich.Model = enrich.offline, limit: int = 200) -> DataFrame:
         """The oldest records with a model's verdict; untrusted text is fenced."""

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,12 +15,18 @@ from ..functions.text import jaccard
 from ..functions.time import age_seconds
 from ..sources import scratch
 
-BLOCK_ROWS = 512
+#: Rows of a part that meets another in one task, and rows of it that are compared at once (so a matrix has 2 million cells).
+#: A row is copied once for each part of its block: the larger the parts, the less is shuffled.
+BLOCK_ROWS, STEP_ROWS = 8192, 256
+#: Pairs that leave a task in one batch.
+BATCH_PAIRS = 100_000
 #: Cells of similar_pairs(): fewer aren't worth it, more don't fit a worker's matrices; cells beyond are cut into parts.
 LEAST_PIVOTS, MOST_PIVOTS = 4, 2048
 #: Claims that are left when greedy_groups() ends in one task.
 FEW_CLAIMS = 200_000
-Allowed = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], np.ndarray]
+Check = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+May = Callable[[pd.DataFrame], Check]
+Allowed = Callable[[pd.DataFrame, pd.DataFrame], Callable[[slice, np.ndarray], np.ndarray]]
 
 
 def _celled(rows: DataFrame, least: float) -> DataFrame:
@@ -27,7 +34,8 @@ def _celled(rows: DataFrame, least: float) -> DataFrame:
 
     By the triangle inequality of angles, a row within the limit's angle t of a member of cell j, whose widest member is r from
     its pivot, is within t + r of that pivot, and no further from it than from its own pivot plus 2 t; so no pair is missed.
-    Pivots are rows, as many as there are blocks' worth of rows, at most MOST_PIVOTS; with few rows there is one cell.
+    Pivots are rows, as many as there are blocks' worth of rows, at most MOST_PIVOTS; with few rows, or where the cells would be
+    visited as often as parts of all rows, there is one cell.
     """
     plain = lambda: rows.withColumn("cell", F.lit(0)).withColumn("home", F.lit(True))
     if least <= 0:  # vectors without a direction have similarity 0 to all
@@ -56,42 +64,124 @@ def _celled(rows: DataFrame, least: float) -> DataFrame:
     for r in settled.groupBy("cell").agg(F.max("apart").alias("r")).collect():  # one row a pivot
         radius[r["cell"]] = r["r"]
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visited(pdf: pd.DataFrame) -> np.ndarray:
+        a, cell = angles(pdf), pdf["cell"].to_numpy()
+        return (a <= reach + radius + 1e-9) & (a <= pdf["apart"].to_numpy()[:, None] + 2 * reach + 1e-9) & (np.arange(len(pivots)) < cell[:, None])
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                a, cell = angles(pdf), pdf["cell"].to_numpy()
-                near = (a <= reach + radius + 1e-9) & (a <= pdf["apart"].to_numpy()[:, None] + 2 * reach + 1e-9) & (np.arange(len(pivots)) < cell[:, None])
-                i, j = np.nonzero(near)
-                yield pd.concat([pdf.assign(home=True), pdf.iloc[i].assign(cell=j.astype("int32"), home=False)])
+                i, j = np.nonzero(visited(pdf))
+                met = pd.DataFrame({"block": pd.concat([pdf["block"], pdf["block"].iloc[i]]), "cell": np.concatenate([pdf["cell"], j])})
+                yield met.groupby(["block", "cell"], dropna=False).size().reset_index(name="n")
+
+    # copies of rows that the parts of cells make, against those that the parts of whole blocks make
+    copies = lambda sizes: sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK_ROWS))).first()[0] or 0
+    sizes = settled.select("block", "embedding", "cell", "apart").mapInPandas(number, f"block {dict(rows.dtypes)['block']}, cell int, n long")
+    if copies(sizes.groupBy("block", "cell").agg(F.sum("n").alias("n"))) >= copies(settled.groupBy("block").agg(F.count("*").alias("n"))):
+        return plain()
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), STEP_ROWS):
+                some = pdf.iloc[at : at + STEP_ROWS]
+                i, j = np.nonzero(visited(some))
+                yield pd.concat([some.assign(home=True), some.iloc[i].assign(cell=j.astype("int32"), home=False)])
 
     return settled.mapInPandas(visit, f"{fields}, cell int, apart double, home boolean").drop("apart")
 
 
-def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
+def similar_pairs(rows: DataFrame, least: float, most: int | None = None, extra: tuple[str, ...] = (), may: May | None = None, forest: bool = False) -> DataFrame:
     """(a, b, sim, block) with a < b and cosine at least ``least``, of rows (uuid, block, embedding) within a block.
 
     Rows meet in the cells around pivots that can hold a match, so where vectors lie in clusters what is shuffled grows
-    with the rows; where they don't, a row visits all earlier cells. Large cells are cut into parts by a hash of uuid, and two
-    parts meet in one task as matrices; only pairs at or above the limit leave it.
+    with the rows; where they don't, all rows of a block are one cell. Large cells are cut into parts by a hash of uuid, and two
+    parts meet in one task as matrices of STEP_ROWS by a part; only pairs at or above the limit leave it, in batches.
+    ``may`` says which of a task's pairs count, from its rows (with the columns ``extra``), two arrays of places and the similarities.
+    With ``most``, only the pairs that are among the ``most`` best of either row in their task are returned, ties to the smaller uuid:
+    the ``most`` best of each row are all there. With ``forest``, a task returns (smallest, other, NaN) for the sets that its pairs
+    connect: fewer rows than it has been given, with the components that all pairs have.
     """
-    held = _celled(rows.where("embedding is not null").select("uuid", "block", "embedding"), least)
+    kept = scratch.store(rows.where("embedding is not null").select("uuid", "block", "embedding", *extra), "rows")
+    held = _celled(kept, least)
     sizes = held.groupBy("block", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
     dealt = held.join(sizes, ["block", "cell"]).withColumn("own", F.pmod(F.xxhash64("uuid"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("block", "cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "home", "uuid", "embedding")
+    dealt = dealt.select("block", "cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "home", "uuid", "embedding", *extra)
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, _, lo, hi = key
-        x = _unit(pdf)
-        ids, own, home = pdf["uuid"].to_numpy(), pdf["own"].to_numpy(), pdf["home"].to_numpy()
-        sim = np.round(np.clip(x @ x.T, -1, 1), 6)
-        met = (own[:, None] != own[None, :]) | (lo == hi)
-        # visitors meet in the cell where one of them is at home
-        i, j = np.nonzero((sim >= least) & (ids[:, None] < ids[None, :]) & met & (home[:, None] | home[None, :]))
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "sim": sim[i, j], "block": block})
+        t = pa.Table.from_batches(list(batches)).sort_by("uuid")
+        x = _unit(t.select(["embedding"]).to_pandas())
+        ids, own, home = t["uuid"].to_numpy(), t["own"].to_numpy(), t["home"].to_numpy()
+        left, right = np.nonzero(own == lo.as_py())[0], np.nonzero(own == hi.as_py())[0]
+        same = lo.as_py() == hi.as_py()
+        check = may(t.select(list(extra)).to_pandas()) if may else None
+        root = np.arange(len(ids))
+
+        def found(some: np.ndarray, others: np.ndarray, once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            sim = x[some] @ x[others].T
+            i, j = np.nonzero(sim >= least - 1e-6)
+            sim, i, j = np.round(np.clip(sim[i, j], -1, 1), 6), some[i], others[j]
+            # visitors meet in the cell where one of them is at home
+            ok = (sim >= least) & (home[i] | home[j]) & ((ids[i] < ids[j]) if once else (ids[i] != ids[j]))
+            i, j, sim = i[ok], j[ok], sim[ok]
+            if check is not None:
+                ok = check(i, j, sim)
+                i, j, sim = i[ok], j[ok], sim[ok]
+            return i, j, sim
+
+        def out(i: np.ndarray, j: np.ndarray, sim: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            for at in range(0, len(a), BATCH_PAIRS):
+                n = len(a[at : at + BATCH_PAIRS])
+                cut = [pa.array(c[at : at + BATCH_PAIRS]) for c in (a, b, sim)]
+                yield pa.RecordBatch.from_arrays([*cut, pa.repeat(block, n)], ["a", "b", "sim", "block"])
+
+        steps = lambda of: (of[at : at + STEP_ROWS] for at in range(0, len(of), STEP_ROWS))
+        if most is not None:
+            best = []
+            for mine, others in [(left, right)] if same else [(left, right), (right, left)]:
+                for some in steps(mine):
+                    i, j, sim = found(some, others, False)
+                    order = np.lexsort((ids[j], -sim, i))
+                    i, j, sim = i[order], j[order], sim[order]
+                    top = np.arange(len(i)) - np.searchsorted(i, i) < most
+                    best.append((np.minimum(i[top], j[top]), np.maximum(i[top], j[top]), sim[top]))
+            i, j, sim = (np.concatenate(c) for c in zip(*best)) if best else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+            _, at = np.unique(i * len(ids) + j, return_index=True)
+            yield from out(i[at], j[at], sim[at])
+            return
+        for some in steps(left):
+            i, j, sim = found(some, right, same)
+            if forest:
+                _connect(root, i, j)
+            else:
+                yield from out(i, j, sim)
+        if forest:
+            j = np.nonzero(root != np.arange(len(ids)))[0]
+            yield from out(root[j], j, np.full(len(j), np.nan))
 
     kind = dict(rows.dtypes)["block"]
-    return dealt.groupBy("block", "cell", "lo", "hi").applyInPandas(compare, f"a long, b long, sim double, block {kind}")
+    return dealt.groupBy("block", "cell", "lo", "hi").applyInArrow(compare, f"a long, b long, sim double, block {kind}")
+
+
+def _connect(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the sets of rows i and j in ``root``, each row's smallest row of its set."""
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for at in range(0, len(i), 4096):
+        apart = at + np.nonzero(root[i[at : at + 4096]] != root[j[at : at + 4096]])[0]
+        for k in apart:
+            p, q = top(i[k]), top(j[k])
+            root[max(p, q)] = min(p, q)
+        while len(apart) and (root[root] != root).any():
+            root[:] = root[root]
 
 
 def nearest(rows: DataFrame) -> DataFrame:
@@ -129,11 +219,15 @@ def top_matches(incoming: DataFrame, store: DataFrame, k: int, by: str | None =
         new, old = pdf[pdf["new"]], pdf[~pdf["new"]].sort_values("uuid")
         if not len(new) or not len(old):
             return pd.DataFrame({"uuid": [], "match": [], "sim": []})
-        sim = np.round(np.clip(_unit(new) @ _unit(old).T, -1, 1), 6)
         ids, others = new["uuid"].to_numpy(), old["uuid"].to_numpy()
-        sim[ids[:, None] == others[None, :]] = -2
-        at = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"uuid": np.repeat(ids, at.shape[1]), "match": others[at].ravel(), "sim": np.take_along_axis(sim, at, 1).ravel()})
+        x, y, made = _unit(new), _unit(old), []
+        for at in range(0, len(ids), STEP_ROWS):
+            own = ids[at : at + STEP_ROWS]
+            sim = np.round(np.clip(x[at : at + STEP_ROWS] @ y.T, -1, 1), 6)
+            sim[own[:, None] == others[None, :]] = -2
+            best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            made.append(pd.DataFrame({"uuid": np.repeat(own, best.shape[1]), "match": others[best].ravel(), "sim": np.take_along_axis(sim, best, 1).ravel()}))
+        out = pd.concat(made)
         return out[out["sim"] >= -1]
 
     each = _grid(incoming, store, by).applyInPandas(compare, "uuid long, match long, sim double")
@@ -145,21 +239,26 @@ def best_matches(incoming: DataFrame, store: DataFrame, by: str | None = "data_t
     """(uuid, match, sim): each incoming row's most similar other row of its type in the store, ties to the smaller match.
 
     Both sides are dealt out in parts within a type (``by``; None: all are of one); a task compares one part of each as
-    matrices and returns one row for each incoming row, so what is shuffled grows with the rows and parts, not with the
-    pairs. ``allowed`` says which pairs count, from the two parts (with the columns ``extra``) and their similarities.
+    matrices, STEP_ROWS rows at once, and returns one row for each incoming row, so what is shuffled grows with the rows and
+    parts, not with the pairs. ``allowed`` says, from the two parts (with the columns ``extra``), which pairs count.
     """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         new, old = pdf[pdf["new"]], pdf[~pdf["new"]].sort_values("uuid")
         if not len(new) or not len(old):
             return pd.DataFrame({"uuid": [], "match": [], "sim": []})
-        sim = np.round(np.clip(_unit(new) @ _unit(old).T, -1, 1), 6)
         ids, others = new["uuid"].to_numpy(), old["uuid"].to_numpy()
-        if allowed is not None:
-            sim[~allowed(new, old, sim)] = -2
-        sim[ids[:, None] == others[None, :]] = -2
-        at = sim.argmax(1)  # the first of equal ones, so the smaller uuid
-        out = pd.DataFrame({"uuid": ids, "match": others[at], "sim": sim[np.arange(len(ids)), at]})
+        x, y, made = _unit(new), _unit(old), []
+        ok = allowed(new, old) if allowed is not None else None
+        for at in range(0, len(ids), STEP_ROWS):
+            some = slice(at, at + STEP_ROWS)
+            sim = np.round(np.clip(x[some] @ y.T, -1, 1), 6)
+            if ok is not None:
+                sim[~ok(some, sim)] = -2
+            sim[ids[some, None] == others[None, :]] = -2
+            best = sim.argmax(1)  # the first of equal ones, so the smaller uuid
+            made.append(pd.DataFrame({"uuid": ids[some], "match": others[best], "sim": sim[np.arange(len(best)), best]}))
+        out = pd.concat(made)
         return out[out["sim"] >= -1]
 
     each = _grid(incoming, store, by, extra).applyInPandas(compare, "uuid long, match long, sim double")
@@ -181,20 +280,37 @@ def guarded(a: str, b: str, days: float = 1, source_days: float = 30) -> Column:
     return one_id & (apart >= days) & ~(same & (apart <= source_days))
 
 
-def conflict_pairs(rows: DataFrame, cosine_min: float, jaccard_min: float, jaccard_max: float = 1.0, without_keywords: float = 0.95) -> DataFrame:
-    """(a, b, sim) of live records of one type that say nearly, not exactly, the same."""
-    near = similar_pairs(rows.select("uuid", F.col("data_type").alias("block"), "embedding"), cosine_min)
-    left, right = (rows.select(F.col("uuid").alias(n), F.struct("created_at", "data_id", "source", "keywords").alias(f"r{n}")) for n in "ab")
-    both = near.join(left, "a").join(right, "b").where(guarded("ra", "rb"))
-    j = jaccard(F.col("ra.keywords"), F.col("rb.keywords"))
-    return both.where(F.when(j.isNull(), F.col("sim") >= without_keywords).otherwise((j > jaccard_min) & (j < jaccard_max))).select("a", "b", "sim")
+def conflict_pairs(rows: DataFrame, cosine_min: float, jaccard_min: float, jaccard_max: float = 1.0, without_keywords: float = 0.95, forest: bool = False) -> DataFrame:
+    """(a, b, sim) of live records of one type that say nearly, not exactly, the same; what can't be in conflict (guarded()) doesn't leave its task.
+
+    ``forest``: see similar_pairs()."""
+
+    def may(part: pd.DataFrame) -> Check:
+        guard, overlap = _guard(part, part), _Overlap(part["keywords"])
+
+        def check(i: np.ndarray, j: np.ndarray, sim: np.ndarray) -> np.ndarray:
+            ok = guard(i, j)
+            o = overlap.of(i[ok], j[ok])
+            ok[ok] = np.where(np.isnan(o), sim[ok] >= without_keywords, (o > jaccard_min) & (o < jaccard_max))
+            return ok
+
+        return check
+
+    extra = ("created_at", "data_id", "source", "keywords")
+    return similar_pairs(rows.select("uuid", F.col("data_type").alias("block"), "embedding", *extra), cosine_min, extra=extra, may=may, forest=forest).select("a", "b", "sim")
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """edges (a, b, ...) and the same from b to a; they are worked out once."""
+    rest = [c for c in edges.columns if c not in "ab"]
+    ways = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return edges.select(*rest, F.inline(ways)).select("a", "b", *rest)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): smallest node reachable over edges (a, b), by label propagation with pointer jumping, checkpointed each round."""
-    scratch.checkpoints(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")).checkpoint()
+    """(node, component): smallest node reachable over edges (a, b), by label propagation with pointer jumping; each round is stored, so its plan stays small."""
+    both = scratch.store(both_ways(edges.where("a <> b").select("a", "b")).distinct(), "edges")
+    labels = scratch.store(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     last = None
     while True:
         total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
@@ -204,7 +320,7 @@ def components(edges: DataFrame) -> DataFrame:
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label")
         near = labels.union(heard).groupBy("node").agg(F.min("label").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        labels = near.join(up, "label", "left").select("node", F.least("label", "above").alias("label")).checkpoint()
+        labels = scratch.store(near.join(up, "label", "left").select("node", F.least("label", "above").alias("label")), "labels")
 
 
 def winners(members: DataFrame) -> DataFrame:
@@ -224,7 +340,7 @@ def greedy_groups(edges: DataFrame, rows: DataFrame, key: str, most_neighbours:
     """
     u = rows.select("uuid", "updated_at", key)
     full = edges.join(u.select(F.col("uuid").alias("a"), F.col(key).alias("ka")), "a").join(u.select(F.col("uuid").alias("b"), F.col(key).alias("kb")), "b").where("ka = kb")
-    both = full.select(F.col("a").alias("seed"), F.col("b").alias("node"), "sim").union(full.select("b", "a", "sim"))
+    both = scratch.store(both_ways(full.select("a", "b", "sim")).toDF("seed", "node", "sim"), "both")
     w = W.partitionBy("seed").orderBy(F.desc("sim"), "node")
     near = both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most_neighbours).select("seed", "node")
     order = F.struct((-F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("t"), F.col("uuid").alias("u"))
@@ -285,33 +401,79 @@ def chain_roots(parents: DataFrame) -> DataFrame:
         now = new
 
 
-def _may_conflict(least: float, duplicate: float, jaccard_min: float) -> Allowed:
-    """guarded() and the limits of contradictions(), for two parts at once."""
-
-    def words(rows: pd.DataFrame, number: dict) -> np.ndarray:
-        out = np.zeros((len(rows), len(number)), np.float32)
-        for i, ks in enumerate(rows["keywords"]):
-            out[i, [number[k] for k in (ks if ks is not None else ())]] = 1
-        return out
-
-    def allowed(new: pd.DataFrame, old: pd.DataFrame, sim: np.ndarray) -> np.ndarray:
-        both = lambda c: (new[c].to_numpy(object)[:, None], old[c].to_numpy(object)[None, :])
-        none = lambda x: pd.isna(x)
-        a, b = both("data_id")
-        same_id = (a == b) | none(a) & none(b)
-        x, y = both("source")
-        same_source = (x == y) | none(x) & none(y)
-        days = np.abs(new["created_at"].to_numpy("datetime64[us]")[:, None] - old["created_at"].to_numpy("datetime64[us]")[None, :]) / np.timedelta64(1, "D")
-        ok = (sim >= least) & (sim < duplicate) & (same_id | none(a) | none(b)) & (days >= 1) & ~(same_source & same_id & (days <= 30))
+def _guard(new: pd.DataFrame, old: pd.DataFrame) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """guarded() for places in two parts, which may be given as a column and a row."""
+
+    def codes(c: str) -> tuple[np.ndarray, np.ndarray]:
+        number = pd.factorize(pd.concat([new[c], old[c]], ignore_index=True))[0].astype("int32")  # null: -1
+        return number[: len(new)], number[len(new) :]
+
+    (a, b), (x, y) = codes("data_id"), codes("source")
+    s, t = ((rows["created_at"].to_numpy("datetime64[us]") - np.datetime64(0, "us")) / np.timedelta64(1, "us") for rows in (new, old))  # null: NaN
+    day = 86_400_000_000
+
+    def guard(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        apart = np.abs(s[i] - t[j])
+        p, q = a[i], b[j]
+        same_id = p == q
+        return (same_id | (p < 0) | (q < 0)) & (apart >= day) & ~(same_id & (apart <= 30 * day) & (x[i] == y[j]))
+
+    return guard
+
+
+class _Overlap:
+    """Keyword overlaps of rows: all words by number, a row's own ones once each."""
+
+    def __init__(self, keywords: pd.Series):
+        sets = [set(k) if k is not None else set() for k in keywords]
         number: dict = {}
-        for rows in (new, old):
-            for ks in rows["keywords"]:
-                for k in ks if ks is not None else ():
-                    number.setdefault(k, len(number))
-        p, q = words(new, number), words(old, number)
-        common, m, n = p @ q.T, p.sum(1)[:, None], q.sum(1)[None, :]
-        overlap = np.divide(common, m + n - common, out=np.zeros_like(common), where=m + n > common)
-        return ok & ((m == 0) | (n == 0) | (overlap >= jaccard_min) & (overlap < 1.0))
+        self.size = np.array([len(s) for s in sets], int)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.words = np.array([number.setdefault(w, len(number)) for s in sets for w in s], int)
+        self.row = np.repeat(np.arange(len(sets)), self.size)
+        self.n_words = max(1, len(number))
+        self.keys = np.sort(self.row * self.n_words + self.words)
+
+    def of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """jaccard() of rows i and j, NaN where one has no words."""
+        common = np.zeros(len(i), int)
+        for k in range(int(self.size[i].max()) if len(i) else 0):
+            has = np.nonzero(self.size[i] > k)[0]
+            key = j[has] * self.n_words + self.words[self.at[i[has]] + k]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            common[has] += self.keys[at] == key
+        m, n = self.size[i], self.size[j]
+        return np.divide(common, m + n - common, out=np.full(len(i), np.nan), where=(m > 0) & (n > 0))
+
+
+def _may_conflict(least: float, duplicate: float, jaccard_min: float) -> Allowed:
+    """guarded() and the limits of contradictions(), for rows of one part against another."""
+
+    def allowed(new: pd.DataFrame, old: pd.DataFrame) -> Callable[[slice, np.ndarray], np.ndarray]:
+        guard = _guard(new, old)
+        own = [set(k) if k is not None else set() for k in new["keywords"]]
+        known = [set(k) if k is not None else set() for k in old["keywords"]]
+        size = np.array([len(k) for k in known], int)
+        at: dict = {}
+        for j, ks in enumerate(known):
+            for k in ks:
+                at.setdefault(k, []).append(j)
+        at = {k: np.array(js) for k, js in at.items()}
+        everywhere = np.arange(len(old))[None, :]
+
+        def ok(some: slice, sim: np.ndarray) -> np.ndarray:
+            first = some.start
+            out = guard(np.arange(first, first + len(sim))[:, None], everywhere) & (sim >= least) & (sim < duplicate)
+            for r in range(len(sim)):
+                words = own[first + r]
+                if words:
+                    met = [at[w] for w in words if w in at]
+                    common = np.bincount(np.concatenate(met), minlength=len(size)) if met else np.zeros(len(size), int)
+                    overlap = common / (len(words) + size - common)
+                    out[r] &= (size == 0) | (overlap >= jaccard_min) & (overlap < 1.0)
+            return out
+
+        return ok
 
     return allowed
 
@@ -326,10 +488,10 @@ def echoes(rows: DataFrame, surfaced: DataFrame, limit: float) -> DataFrame:
     return best_matches(rows, surfaced, by=None).select("uuid", "sim").withColumn("echo", F.col("sim") >= limit)
 
 
-def duplicate_edges(live: DataFrame, least: float) -> DataFrame:
-    """Similar pairs of one type and source that may be merged."""
+def duplicate_edges(live: DataFrame, least: float, most: int | None = None) -> DataFrame:
+    """Similar pairs of one type and source that may be merged; with ``most``, as few as hold the ``most`` best of each."""
     rows = live.where("not protected and priority < 2").select("uuid", F.concat_ws("|", "data_type", "source").alias("block"), "embedding")
-    return similar_pairs(rows, least)
+    return similar_pairs(rows, least, most)
 
 
 def _with_successor(rows: DataFrame) -> DataFrame:

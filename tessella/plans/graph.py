@@ -25,8 +25,8 @@ PAIRS = f"""cp AS (SELECT a.uuid AS a, b.uuid AS b, {_SIM} AS sim FROM mem a JOI
 CC = """cn AS (SELECT a, b FROM cp UNION SELECT b, a FROM cp), rc(node, r) AS (SELECT a, a FROM cn UNION SELECT cn.b, rc.r FROM rc JOIN cn ON cn.a = rc.node), cc AS (SELECT node, min(r) AS component FROM rc GROUP BY 1)"""
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return G.conflict_pairs(filters.status(records(spark, d), "active"), COS, JACC - 1e-9)
+def _pairs(spark: SparkSession, d: str, forest: bool = False) -> DataFrame:
+    return G.conflict_pairs(filters.status(records(spark, d), "active"), COS, JACC - 1e-9, forest=forest)
 
 
 @query("conflict_pairs", f"WITH {PAIRS} SELECT a, b, sim FROM cp")
@@ -36,19 +36,18 @@ def conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("conflict_edges", f"WITH {PAIRS} SELECT node, string_agg(other, ',' ORDER BY CAST(other AS VARCHAR)) AS partners FROM (SELECT a AS node, b AS other FROM cp UNION SELECT b, a FROM cp) GROUP BY 1")
 def conflict_edges(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d)
-    both = p.selectExpr("a as node", "b as other").union(p.select("b", "a"))
+    both = G.both_ways(_pairs(spark, d).select("a", "b")).toDF("node", "other")
     return both.groupBy("node").agg(F.array_join(F.array_sort(F.collect_set(F.col("other").cast("string"))), ",").alias("partners"))
 
 
 @query("conflict_components", f"WITH {PAIRS}, {CC} SELECT node, component FROM cc")
 def conflict_components(spark: SparkSession, d: str) -> DataFrame:
-    return G.components(_pairs(spark, d))
+    return G.components(_pairs(spark, d, forest=True))
 
 
 @query("conflict_winners", f"WITH {PAIRS}, {CC} SELECT node AS uuid, component, row_number() OVER (PARTITION BY component ORDER BY trust_score DESC, created_at DESC, node) = 1 AS won FROM cc JOIN mem ON uuid = node")
 def conflict_winners(spark: SparkSession, d: str) -> DataFrame:
-    members = G.components(_pairs(spark, d)).withColumnRenamed("node", "uuid").join(records(spark, d).select("uuid", "trust_score", "created_at"), "uuid")
+    members = G.components(_pairs(spark, d, forest=True)).withColumnRenamed("node", "uuid").join(records(spark, d).select("uuid", "trust_score", "created_at"), "uuid")
     return G.winners(members).select("uuid", "component", "won")
 
 
@@ -83,8 +82,8 @@ def dup_edges(spark: SparkSession, d: str) -> DataFrame:
 @query("dup_seed_neighbours", f"""WITH e AS (SELECT a.uuid AS a, b.uuid AS b, {_SIM} AS sim FROM mem a JOIN mem b ON a.data_type = b.data_type AND a.uuid <> b.uuid AND a.source = b.source WHERE a.{LIVE.replace('superseded_by', 'a.superseded_by')} AND b.{LIVE.replace('superseded_by', 'b.superseded_by')} AND NOT a.protected AND NOT b.protected AND a.priority < 2 AND b.priority < 2 AND {_SIM} >= {COS})
 SELECT a AS seed, b AS uuid, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rn FROM e QUALIFY rn <= 10""")
 def dup_seed_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    e = G.duplicate_edges(filters.status(records(spark, d), "active"), COS)
-    both = e.select(F.col("a").alias("seed"), F.col("b").alias("uuid"), "sim").union(e.select("b", "a", "sim"))
+    e = G.duplicate_edges(filters.status(records(spark, d), "active"), COS, 10)
+    both = G.both_ways(e.select("a", "b", "sim")).toDF("seed", "uuid", "sim")
     w = W.partitionBy("seed").orderBy(F.desc("sim"), "uuid")
     return both.withColumn("rn", F.row_number().over(w).cast("long")).where("rn <= 10")
 
@@ -92,7 +91,7 @@ def dup_seed_neighbours(spark: SparkSession, d: str) -> DataFrame:
 @query("dup_groups")
 def dup_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = filters.status(records(spark, d), "active")
-    return G.greedy_groups(G.duplicate_edges(rows, 0.2).select("a", "b", "sim"), rows, "source")
+    return G.greedy_groups(G.duplicate_edges(rows, 0.2, 10).select("a", "b", "sim"), rows, "source")
 
 
 @query("graph_health", f"""WITH r AS (SELECT * FROM mem WHERE {LIVE} AND embedding IS NOT NULL), n AS (SELECT a.uuid, max({_SIM}) AS sim FROM r a JOIN r b ON a.data_type = b.data_type AND a.uuid <> b.uuid GROUP BY 1)

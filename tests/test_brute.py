@@ -263,3 +263,103 @@ def test_compaction_asks_a_model_and_previews(spark, sf):
     assert {u for u in ids if out[u].status == "deleted"} == gone and not {r.superseded_by for r in out.values()} & gone
     assert all(out[u].content.startswith("merged ") and out[u].embedding is None and out[u].status == "active" for u, _ in told.values())
     assert passes.compaction(rows, groups.limit(0), now())[0].count() == len(ids)
+
+
+@pytest.mark.parametrize("most, forest", [(None, False), (3, False), (None, True)])
+def test_similar_pairs_in_parts_that_return_less(spark, monkeypatch, most, forest):
+    """The best of each row, and pairs that connect as all do, from parts of any size."""
+    from tessella.operators import graph
+
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(graph, "STEP_ROWS", 16)
+    monkeypatch.setattr(graph, "BATCH_PAIRS", 7)
+    x = clustered(300, 1.0, 3)
+    x[250:] = x[:50]
+    sim = np.round(np.clip(x @ x.T, -1, 1), 6)
+    pairs = {(i, j): sim[i, j] for i, j in zip(*np.nonzero(sim >= 0.5)) if i < j and i % 2 == j % 2}
+    got = {(r.a, r.b): r.sim for r in graph.similar_pairs(vectors(spark, x), 0.5, most, forest=forest).collect()}
+    assert pairs and (forest or got.items() <= pairs.items())
+    if forest:
+        for edges in (pairs, got):
+            label = {i: i for i in range(300)}
+            for _ in range(300):
+                for a, b in edges:
+                    label[a] = label[b] = min(label[a], label[b])
+            if edges is pairs:
+                want = label
+        assert label == want and len(got) < len(pairs)
+    elif most:
+        near: dict = {}
+        for (a, b), s in pairs.items():
+            near.setdefault(a, []).append((-s, b))
+            near.setdefault(b, []).append((-s, a))
+        for a, all_ in near.items():
+            for _, b in sorted(all_)[:most]:
+                assert (min(a, b), max(a, b)) in got
+        assert len(got) < len(pairs)
+    else:
+        assert got == pairs
+
+
+def test_rows_without_near_cells_are_not_copied_to_all_of_them(spark, monkeypatch):
+    from tessella.operators import graph
+
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 40)
+    x = np.random.default_rng(1).normal(size=(2000, 16))
+    assert graph._celled(vectors(spark, x).where("embedding is not null"), 0.3).count() <= 2001
+
+
+def test_parts_are_large_enough_for_few_copies(spark):
+    """A row of 20,000 of a type is copied three times, not once for each 512 others."""
+    from tessella.operators import graph
+
+    rows = spark.range(20_000).selectExpr("id as uuid", "'x' as data_type", "array(float(id % 7), float(1)) as embedding")
+    copies = graph._grid(rows, rows, "data_type").agg({"uuid": "count"}).agg({"count(uuid)": "sum"}).first()[0]
+    assert copies == 2 * 3 * 20_000
+
+
+@pytest.mark.parametrize("jaccard_min", [0.0, 0.4])
+def test_conflicts_against_brute_force(spark, monkeypatch, jaccard_min):
+    import datetime
+
+    from tessella.operators import graph
+
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(graph, "STEP_ROWS", 16)
+    rng = np.random.default_rng(5)
+    day = datetime.datetime(2025, 1, 1)
+    rows = [
+        (i, "ab"[i % 2], [None, "p", "q"][i % 3], [None, "s", "t"][int(rng.integers(3))], None if i == 7 else day + datetime.timedelta(days=int(rng.integers(60))),
+         None if i % 11 == 0 else [str(w) for w in rng.integers(0, 6, int(rng.integers(0, 5)))], [float(v) for v in rng.normal(size=4)])
+        for i in range(240)
+    ]
+    df = spark.createDataFrame(rows, "uuid long, data_type string, data_id string, source string, created_at timestamp_ntz, keywords array<string>, embedding array<double>")
+
+    def sim(a, b):
+        x, y = np.array(a[6]), np.array(b[6])
+        return round(float(np.clip(x @ y / np.linalg.norm(x) / np.linalg.norm(y), -1, 1)), 6)
+
+    def may(a, b):
+        if a[1] != b[1] or a[4] is None or b[4] is None:
+            return False
+        days = abs((a[4] - b[4]).total_seconds()) / 86400
+        return (a[2] is None or b[2] is None or a[2] == b[2]) and days >= 1 and not (a[2] == b[2] and a[3] == b[3] and days <= 30)
+
+    def overlap(a, b):
+        p, q = set(a[5] or ()), set(b[5] or ())
+        return len(p & q) / len(p | q) if p and q else None
+
+    want, against = {}, {}
+    for a in rows:
+        for b in rows:
+            if a[0] != b[0] and may(a, b):
+                s, j = sim(a, b), overlap(a, b)
+                if a[0] < b[0] and s >= 0.5 and (s >= 0.95 if j is None else jaccard_min - 1e-9 < j < 1):
+                    want[a[0], b[0]] = s
+                if 0.1 <= s < 0.8 and (j is None or jaccard_min <= j < 1):
+                    against[a[0]] = max(against.get(a[0], (-2, 0, 0)), (s, -b[0], b[0]))
+    assert {(r.a, r.b): r.sim for r in graph.conflict_pairs(df, 0.5, jaccard_min - 1e-9).collect()} == want and want
+    got = {r.uuid: (r.sim, r.match) for r in graph.contradictions(df, df, 0.1, 0.8, jaccard_min).collect()}
+    assert got == {u: (s, m) for u, (s, _, m) in against.items()}
+    parts = {r.node: r.component for r in graph.components(graph.conflict_pairs(df, 0.5, jaccard_min - 1e-9, forest=True)).collect()}
+    assert parts == {r.node: r.component for r in graph.components(graph.conflict_pairs(df, 0.5, jaccard_min - 1e-9)).collect()}
