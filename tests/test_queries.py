@@ -57,3 +57,17 @@ def test_every_query_has_sql_or_a_reason():
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["uuid", "distance", "bm25", "base", "trust_score", "fusion"]
+
+
+@pytest.mark.parametrize("name", ["import_pass_overwrite", "import_pass_new_uuid"])
+def test_imports_of_ids_that_repeat(spark, tmp_path, name):
+    """With more than 100,000 ids, shifted ones meet others of the same batch; the SQL keeps both."""
+    con = duckdb.connect()
+    con.sql(f"copy (select * from (values (3::bigint, 'a b', 'en', 'Web', 3::bigint), (99999, 'c', 'en', 'Web', 1), (100003, 'd', 'en', 'Web', 1), (100001, 'e', 'en', 'Web', 1)) t(doc_id, text, lang, source, n_chars)) to '{tmp_path}/documents.parquet'")
+    con.sql(f"copy (select 0::bigint as vec_id, [1.0::float] as embedding, 1 as label) to '{tmp_path}/embeddings.parquet'")
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    want = con.sql(ORACLES[name])
+    order = [want.columns.index(c) for c in df.columns]
+    assert sorted(tuple(plain(v) for v in r) for r in df.collect()) == sorted(tuple(plain(r[i]) for i in order) for r in want.fetchall())
