@@ -96,3 +96,11 @@ def test_hosts_in_punycode(spark):
     assert [r.h for r in df.select(U.ascii_host(F.lower("given")).alias("h")).collect()] == [b for _, b in rows]
     url = spark.createDataFrame([("https://Bücher.example/a/",)], "u string").select(U.canonical(F.col("u"))).first()[0]
     assert url == "https://xn--bcher-kva.example/a"
+
+
+def test_entities_and_classes_end_at_letters_beyond_ascii(spark):
+    """As in the SQL's patterns, é is no part of a word; Java's \\b takes it for one."""
+    from tessella.functions import text as T
+
+    row = spark.sql("select 'ménuéau 78.24.37 réfix' as t").select(T.entities(F.col("t")).alias("e"), T.heuristic_class(F.col("t"))["data_id"].alias("c")).first()
+    assert row.e == ["au 78.24.37"] and row.c == "troubleshooting"
