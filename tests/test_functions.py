@@ -104,3 +104,34 @@ def test_entities_and_classes_end_at_letters_beyond_ascii(spark):
 
     row = spark.sql("select 'ménuéau 78.24.37 réfix' as t").select(T.entities(F.col("t")).alias("e"), T.heuristic_class(F.col("t"))["data_id"].alias("c")).first()
     assert row.e == ["au 78.24.37"] and row.c == "troubleshooting"
+
+
+def test_heuristic_patterns_in_one_pass_each(spark):
+    texts = ["Must not use é-git; gitsé git", "memory\x0bsize memory\tsize memory \n size", "snakexcase snake\ncase snake-case don't like", None, "", "I always PREFER pip, pip PIP", "ſystem system ΣYSTEM", "docker" * 3 + " docker"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
+    made = rows.select("i", T.heuristic_class(F.col("t")).alias("best"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("counts(") and "regexp_count" not in plan
+    low = F.lower("t")
+    counted = rows.select("i", F.array(*[F.regexp_count(low, F.lit(T.ascii_words(p))) for _, _, p in T.HEURISTICS]).alias("n")).collect()
+    want = {}
+    for r in counted:
+        n = [x or 0 for x in r.n]
+        k = max(range(len(n)), key=lambda j: (n[j], -j))
+        want[r.i] = (n[k], *T.HEURISTICS[k][:2]) if n[k] else None
+    assert {r.i: r.best and (r.best.n, r.best.data_type, r.best.data_id) for r in made.collect()} == want
+
+
+def test_words_that_may_be_alike():
+    import itertools
+    import random
+
+    r = random.Random(3)
+    words = {"".join(r.choice("abcdeé") for _ in range(r.randint(1, 9))) for _ in range(300)}
+    others = T._Spelled(words)
+    tried = 0
+    for w in itertools.islice(sorted(words), 60):
+        near = others.near(w, 0.8)
+        tried += len(near)
+        assert {x for x in words if T._alike(w, x, 0.8)} <= set(near)
+    assert tried < 60 * len(words) / 4
