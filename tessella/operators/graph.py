@@ -18,12 +18,16 @@ from ..sources import scratch
 #: Rows of a part that meets another in one task, and rows of it that are compared at once (so a matrix has 2 million cells).
 #: A row is copied once for each part of its block: the larger the parts, the less is shuffled.
 BLOCK_ROWS, STEP_ROWS = 8192, 256
+#: Tasks of _grid() at most, beyond which one takes several pairs of parts; types whose sizes are broadcast.
+MOST_TASKS, FEW_TYPES = 20_000, 10_000
 #: Pairs that leave a task in one batch.
 BATCH_PAIRS = 100_000
 #: Cells of similar_pairs(): fewer aren't worth it, more don't fit a worker's matrices; cells beyond are cut into parts.
 LEAST_PIVOTS, MOST_PIVOTS = 4, 2048
 #: Claims that are left when greedy_groups() ends in one task.
 FEW_CLAIMS = 200_000
+#: Columns of a record that tell whether another can contradict it.
+_CONFLICT = ("created_at", "data_id", "source", "keywords")
 Check = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 May = Callable[[pd.DataFrame], Check]
 Allowed = Callable[[pd.DataFrame, pd.DataFrame], Callable[[slice, np.ndarray], np.ndarray]]
@@ -196,20 +200,33 @@ def _unit(rows: pd.DataFrame) -> np.ndarray:
 
 
 def _grid(incoming: DataFrame, store: DataFrame, by: str | None, extra: tuple[str, ...] = ()) -> GroupedData:
-    """Both sides dealt out in parts within a type; a group holds one part of each (``new`` tells them apart)."""
+    """Both sides dealt out in parts within a type; a group holds one part of each (``new`` tells them apart).
 
-    def dealt(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.where("embedding is not null").select("uuid", (F.col(by) if by else F.lit(0)).alias("grp"), "embedding", *extra)
-        sizes = rows.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(f"{name}s"))
-        return rows.join(sizes, "grp").withColumn(name, F.pmod(F.xxhash64("uuid"), F.col(f"{name}s")).cast("int"))
+    Groups are numbered and each has a task of its own (up to MOST_TASKS of them), however few bytes it holds: a task's time is
+    that of two parts, and it sorts no more than these.
+    """
+
+    def held(rows: DataFrame, name: str) -> DataFrame:
+        kept = rows.select("uuid", (F.col(by) if by else F.lit(0)).alias("grp"), "embedding", *extra).where("embedding is not null and grp is not null")
+        return scratch.store(kept, name)
+
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
 
-    a, b = dealt(incoming, "x"), dealt(store, "y")
-    xs, ys = a.select("grp", "xs").distinct(), b.select("grp", "ys").distinct()
+    a, b = held(incoming, "incoming"), held(store, "known")
+    both = parts(a, "xs").join(parts(b, "ys"), "grp")
+    # one row a type
+    sizes = scratch.store(both.withColumn("first", F.sum(F.col("xs").cast("long") * F.col("ys")).over(W.orderBy("grp")) - F.col("xs").cast("long") * F.col("ys")), "sizes")
+    types, groups = sizes.agg(F.count("*"), F.max(F.col("first") + F.col("xs") * F.col("ys"))).first()
+    sizes = F.broadcast(sizes) if types <= FEW_TYPES else sizes
+    own = lambda n: F.pmod(F.xxhash64("uuid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ("grp", "x", "y", "uuid", "embedding", *extra)
-    left = a.join(ys, "grp").withColumn("y", every("ys")).select(*columns, F.lit(True).alias("new"))
-    right = b.join(xs, "grp").withColumn("x", every("xs")).select(*columns, F.lit(False).alias("new"))
-    return left.union(right).groupBy("grp", "x", "y")
+    pair = (F.col("first") + F.col("x") * F.col("ys").cast("long") + F.col("y")).alias("pair")
+    columns = (pair, "uuid", "embedding", *extra)
+    left = a.join(sizes, "grp").withColumn("x", own("xs")).withColumn("y", every("ys")).select(*columns, F.lit(True).alias("new"))
+    right = b.join(sizes, "grp").withColumn("y", own("ys")).withColumn("x", every("xs")).select(*columns, F.lit(False).alias("new"))
+    tasks = max(1, min(groups or 1, MOST_TASKS))
+    return left.union(right).withColumn("task", F.pmod("pair", F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("task")).groupBy("task", "pair")
 
 
 def top_matches(incoming: DataFrame, store: DataFrame, k: int, by: str | None = None) -> DataFrame:
@@ -242,34 +259,71 @@ def best_matches(incoming: DataFrame, store: DataFrame, by: str | None = "data_t
     matrices, STEP_ROWS rows at once, and returns one row for each incoming row, so what is shuffled grows with the rows and
     parts, not with the pairs. ``allowed`` says, from the two parts (with the columns ``extra``), which pairs count.
     """
+    return _best_each(incoming, store, by, extra, (allowed,)).select("uuid", "best0.match", "best0.sim")
+
+
+def _best_each(incoming: DataFrame, store: DataFrame, by: str | None, extra: tuple[str, ...], checks: tuple[Allowed | None, ...]) -> DataFrame:
+    """(uuid, best0, best1, ...): best_matches() for each of ``checks`` as a struct (match, sim), null if there is none, from one pass over the pairs."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         new, old = pdf[pdf["new"]], pdf[~pdf["new"]].sort_values("uuid")
         if not len(new) or not len(old):
-            return pd.DataFrame({"uuid": [], "match": [], "sim": []})
+            return pd.DataFrame({"uuid": [], "kind": [], "match": [], "sim": []})
         ids, others = new["uuid"].to_numpy(), old["uuid"].to_numpy()
         x, y, made = _unit(new), _unit(old), []
-        ok = allowed(new, old) if allowed is not None else None
+        oks = [allowed(new, old) if allowed is not None else None for allowed in checks]
         for at in range(0, len(ids), STEP_ROWS):
             some = slice(at, at + STEP_ROWS)
-            sim = np.round(np.clip(x[some] @ y.T, -1, 1), 6)
-            if ok is not None:
-                sim[~ok(some, sim)] = -2
-            sim[ids[some, None] == others[None, :]] = -2
-            best = sim.argmax(1)  # the first of equal ones, so the smaller uuid
-            made.append(pd.DataFrame({"uuid": ids[some], "match": others[best], "sim": sim[np.arange(len(best)), best]}))
+            sim = x[some] @ y.T
+            itself = np.searchsorted(others, ids[some])
+            for k in range(int((np.searchsorted(others, ids[some], "right") - itself).max())):
+                row = np.nonzero((itself + k < len(others)) & (others[np.minimum(itself + k, len(others) - 1)] == ids[some]))[0]
+                sim[row, itself[row] + k] = -2
+            for kind, ok in enumerate(oks):
+                if ok is None:
+                    best, top = _first_best(sim)
+                else:
+                    held = np.round(np.maximum(np.minimum(sim, 1), np.where(sim < -1.5, -2, -1)), 6)
+                    held[~ok(some, held)] = -2
+                    best = held.argmax(1)  # the first of equal ones, so the smaller uuid
+                    top = held[np.arange(len(best)), best]
+                made.append(pd.DataFrame({"uuid": ids[some], "kind": kind, "match": others[best], "sim": top}))
         out = pd.concat(made)
         return out[out["sim"] >= -1]
 
-    each = _grid(incoming, store, by, extra).applyInPandas(compare, "uuid long, match long, sim double")
-    best = each.groupBy("uuid").agg(F.max(F.struct("sim", (-F.col("match")).alias("m"))).alias("best"))
-    return best.select("uuid", (-F.col("best.m")).alias("match"), F.col("best.sim").alias("sim"))
+    each = _grid(incoming, store, by, extra).applyInPandas(compare, "uuid long, kind int, match long, sim double")
+    found = F.struct("sim", (-F.col("match")).alias("m"))
+    best = each.groupBy("uuid").agg(*[F.max(F.when(F.col("kind") == k, found)).alias(f"b{k}") for k in range(len(checks))])
+    return best.select("uuid", *[F.when(F.col(f"b{k}").isNotNull(), F.struct((-F.col(f"b{k}.m")).alias("match"), F.col(f"b{k}.sim").alias("sim"))).alias(f"best{k}") for k in range(len(checks))])
+
+
+def _first_best(sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, value) of each row's largest similarity to six places, the first of equal ones; -2 stands for none."""
+    most = sim.max(1)
+    top = np.where(most < -1.5, -2, np.round(np.clip(most, -1, 1), 6))
+    # what rounds to the same lies within a millionth
+    i, j = np.divmod(np.flatnonzero(sim >= most[:, None] - 1.1e-6), sim.shape[1])
+    near = sim[i, j]
+    same = np.where(near < -1.5, -2, np.round(np.clip(near, -1, 1), 6)) == top[i]
+    best, (i, at) = np.zeros(len(sim), int), np.unique(i[same], return_index=True)
+    best[i] = j[same][at]  # a row with a NaN has none
+    return best, top
 
 
 def dedup_verdict(incoming: DataFrame, store: DataFrame, duplicate: float, possible: float) -> DataFrame:
     """(uuid, match, sim, verdict) of each incoming row: its best match of the same type in the store."""
     out = incoming.select("uuid").join(best_matches(incoming, store), "uuid", "left")
-    return out.withColumn("verdict", F.when(F.col("sim") >= duplicate, "duplicate").when(F.col("sim") >= possible, "possible_duplicate").otherwise("new"))
+    return out.withColumn("verdict", near_verdict(F.col("sim"), duplicate, possible))
+
+
+def matched_and_contradicted(incoming: DataFrame, store: DataFrame, least: float, duplicate: float, jaccard_min: float) -> DataFrame:
+    """(uuid, match, sim, contradicts): best_matches() and the match of contradictions(), from one pass over the pairs; rows that have neither are left out."""
+    both = _best_each(incoming, store, "data_type", _CONFLICT, (None, _may_conflict(least, duplicate, jaccard_min)))
+    return both.select("uuid", "best0.match", "best0.sim", F.col("best1.match").alias("contradicts"))
+
+
+def near_verdict(sim: Column, duplicate: float, possible: float) -> Column:
+    return F.when(sim >= duplicate, "duplicate").when(sim >= possible, "possible_duplicate").otherwise("new")
 
 
 def guarded(a: str, b: str, days: float = 1, source_days: float = 30) -> Column:
@@ -296,8 +350,7 @@ def conflict_pairs(rows: DataFrame, cosine_min: float, jaccard_min: float, jacca
 
         return check
 
-    extra = ("created_at", "data_id", "source", "keywords")
-    return similar_pairs(rows.select("uuid", F.col("data_type").alias("block"), "embedding", *extra), cosine_min, extra=extra, may=may, forest=forest).select("a", "b", "sim")
+    return similar_pairs(rows.select("uuid", F.col("data_type").alias("block"), "embedding", *_CONFLICT), cosine_min, extra=_CONFLICT, may=may, forest=forest).select("a", "b", "sim")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -464,7 +517,7 @@ def _may_conflict(least: float, duplicate: float, jaccard_min: float) -> Allowed
         def ok(some: slice, sim: np.ndarray) -> np.ndarray:
             first = some.start
             out = guard(np.arange(first, first + len(sim))[:, None], everywhere) & (sim >= least) & (sim < duplicate)
-            for r in range(len(sim)):
+            for r in np.nonzero(out.any(1))[0]:
                 words = own[first + r]
                 if words:
                     met = [at[w] for w in words if w in at]
@@ -480,7 +533,7 @@ def _may_conflict(least: float, duplicate: float, jaccard_min: float) -> Allowed
 
 def contradictions(incoming: DataFrame, store: DataFrame, least: float, duplicate: float, jaccard_min: float) -> DataFrame:
     """(uuid, match, sim): the nearest stored record that an incoming one may contradict; a missing keyword overlap passes."""
-    return best_matches(incoming, store, extra=("created_at", "data_id", "source", "keywords"), allowed=_may_conflict(least, duplicate, jaccard_min))
+    return best_matches(incoming, store, extra=_CONFLICT, allowed=_may_conflict(least, duplicate, jaccard_min))
 
 
 def echoes(rows: DataFrame, surfaced: DataFrame, limit: float) -> DataFrame:
