@@ -123,10 +123,10 @@ _SIM = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embed
 SELECT m.uuid, CASE WHEN length(content) > 50000 THEN 'rejected' WHEN sim >= {DUP} THEN 'duplicate' WHEN sim >= {POSSIBLE} THEN 'possible_duplicate' ELSE 'added' END AS verdict FROM mem m LEFT JOIN n ON n.uuid = m.uuid""")
 def add_batch_verdicts(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d)
-    incoming = rows.withColumn("reason", V.reject_reason())
-    near = G.dedup_verdict(incoming, filters.status(rows, "active"), DUP, POSSIBLE).select("uuid", "verdict")
-    verdict = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("verdict") == "new", "added").otherwise(F.col("verdict"))
-    return incoming.join(near, "uuid").select("uuid", verdict.alias("verdict"))
+    reasons = records(spark, d, vectors=False).select("uuid", V.reject_reason().alias("reason"))
+    near = G.near_verdict(F.col("sim"), DUP, POSSIBLE)
+    verdict = F.when(F.col("reason").isNotNull(), "rejected").when(near == "new", "added").otherwise(near)
+    return reasons.join(G.best_matches(rows, filters.status(rows, "active")), "uuid", "left").select("uuid", verdict.alias("verdict"))
 
 
 @query("extraction_routing", f"""WITH n AS (SELECT a.uuid AS uuid, max({_SIM}) AS sim FROM mem a JOIN mem b ON a.data_type = b.data_type AND a.uuid <> b.uuid WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND b.{LIVE.replace('superseded_by', 'b.superseded_by')} GROUP BY 1),
