@@ -54,14 +54,19 @@ def _celled(rows: DataFrame, least: float) -> DataFrame:
     reach = float(np.arccos(max(-1.0, least - 1e-6))) + 1e-6
     fields = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
 
+    def steps(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """A batch in turns: with many pivots, a whole one against all of them would take a worker's memory."""
+        most = max(1, STEP_ROWS * BLOCK_ROWS // len(pivots))
+        return (pdf.iloc[at : at + most] for at in range(0, len(pdf), most))
+
     def angles(pdf: pd.DataFrame) -> np.ndarray:
         return np.arccos(np.clip(_unit(pdf) @ pivots.T, -1, 1))
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                a = angles(pdf)
-                yield pdf.assign(cell=a.argmin(1).astype("int32"), apart=a.min(1))
+            for some in steps(pdf):
+                a = angles(some)
+                yield some.assign(cell=a.argmin(1).astype("int32"), apart=a.min(1))
 
     settled = scratch.store(rows.where(directed).mapInPandas(settle, f"{fields}, cell int, apart double"), "cells")
     radius = np.full(len(pivots), -9.0)
@@ -74,9 +79,9 @@ def _celled(rows: DataFrame, least: float) -> DataFrame:
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                i, j = np.nonzero(visited(pdf))
-                met = pd.DataFrame({"block": pd.concat([pdf["block"], pdf["block"].iloc[i]]), "cell": np.concatenate([pdf["cell"], j])})
+            for some in steps(pdf):
+                i, j = np.nonzero(visited(some))
+                met = pd.DataFrame({"block": pd.concat([some["block"], some["block"].iloc[i]]), "cell": np.concatenate([some["cell"], j])})
                 yield met.groupby(["block", "cell"], dropna=False).size().reset_index(name="n")
 
     # copies of rows that the parts of cells make, against those that the parts of whole blocks make

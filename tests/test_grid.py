@@ -66,3 +66,20 @@ def test_verdicts_of_ids_with_two_vectors(spark, tmp_path, name):
     want = con.sql(entry.oracle_sql()[name])
     order = [want.columns.index(c) for c in df.columns]
     assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(str(tuple(r[i] for i in order)) for r in want.fetchall())
+
+
+def test_rows_meet_pivots_in_steps(spark, monkeypatch):
+    """Vectors in clusters have cells; a worker holds the angles of STEP_ROWS rows at once."""
+    unit, step = graph._unit, 16
+
+    def checked(rows):
+        assert len(rows) <= step, len(rows)
+        return unit(rows)
+
+    for name, value in (("_unit", checked), ("BLOCK_ROWS", 20), ("STEP_ROWS", step)):
+        monkeypatch.setattr(graph, name, value)
+    rng = np.random.default_rng(3)
+    x = np.repeat(np.eye(8), 50, 0) + rng.normal(size=(400, 8)) * 0.01
+    df = spark.createDataFrame([(i, "a", v) for i, v in enumerate(x.tolist())], "uuid long, block string, embedding array<double>")
+    got = graph._celled(df, 0.9).where("home")
+    assert got.count() == 400 and got.select("cell").distinct().count() > 4
