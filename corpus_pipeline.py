@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from tessella.llm import language, line_dedup, mixing, ngram_join, packing, tables
 
 
+#: Rows sent to a Python worker at once: executors that have run all stages before have little memory left for it.
+BATCH_ROWS = 4000
+
+
 def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in like.columns])
 
@@ -26,6 +30,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not samples:  # nothing to learn from: only texts without a letter go
         return rows.where(F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}")).toDF(*docs.columns)
     told = language.identify(rows, samples, rows.columns, text).where(F.col("lang_pred") != language.UNKNOWN)
+    # written here, as batches are small only while an action runs
+    with tables.small_batches(spark, BATCH_ROWS):
+        told = tables.store(told, "told")
     return told.withColumn(lang, F.col("lang_pred")).drop("lang_pred", "score").toDF(*docs.columns)
 
 
@@ -41,7 +48,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that share a doc_id are kept or dropped together, equal rows stay once; documents without words stay.
     """
-    told = tables.store(ngram_join.join(docs).select("doc_id", "n_shingles", "component_id", "key"), "components")
+    with tables.small_batches(spark, BATCH_ROWS):
+        told = tables.store(ngram_join.join(docs).select("doc_id", "n_shingles", "component_id", "key"), "components")
     kept = told.where("n_shingles = 0 or component_id is null or doc_id = component_id").select(F.col("key").alias("_key")).distinct()
     kept = tables.store(kept, "kept")
     if kept.count() <= ngram_join.BROADCAST_ROWS:

@@ -23,6 +23,8 @@ from . import workers
 LONGEST_KEPT = 48
 #: Entries of the chunk dictionary; it is emptied when full, which bounds memory.
 MOST_KEPT = 1_500_000
+#: Cells that tell, by a hash, whether a chunk was met before; two that share one are only kept the earlier.
+MET_CELLS = 1 << 22
 #: Bytes of text encoded at a time (one longer text still goes at once).
 SLICE_BYTES = 8 << 20
 
@@ -51,9 +53,9 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
 
 
 class Encoder:
-    """Encodes texts to unsigned ids; null is an empty text."""
+    """Encodes texts to unsigned ids; null is an empty text. With ``twice`` it keeps only chunks that it meets again."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_KEPT, twice: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -62,6 +64,9 @@ class Encoder:
         special = [(i, t.content) for i, t in self.model.get_added_tokens_decoder().items() if t.special]
         self._mark = special[0] if special else None
         self._kept: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self.most = most
+        self._met = np.zeros(MET_CELLS, bool) if twice else None
         self.by_chunk = True
         self.by_chunk = all(self._whole([p])[0] == self.encode(pa.array([p]))[0].tobytes() for p in _PROBES)
 
@@ -87,18 +92,29 @@ class Encoder:
 
     def _ids_of(self, chunks: list[str]) -> list[bytes]:
         kept = self._kept
-        if len(kept) > MOST_KEPT:
-            kept.clear()
+        if len(kept) > self.most:
+            # with ``twice``, those that were met since the last time stay
+            self._older, self._kept = kept if self._met is not None else {}, {}
+            kept = self._kept
+        older = self._older
+        if older:
+            kept.update((c, older[c]) for c in chunks if c in older and c not in kept)
         new = {c for c in chunks if c not in kept}
         # a letter and a full stop or comma are split by the model: such an end is encoded apart
         ended = [c for c in new if len(c) > 1 and c[-1] in ",." and c[-2].isalpha()]
         plain = [c for c in new.difference(ended).union(c[:-1] for c in ended) | {",", "."} if c not in kept]
-        kept.update(zip(plain, self._apart(plain)))
-        kept.update((c, kept[c[:-1]] + kept[c[-1]]) for c in ended)
-        out = [kept[c] for c in chunks]
-        for c in [*plain, *ended]:
-            if len(c) > LONGEST_KEPT:
-                kept.pop(c, None)
+        made = dict(zip(plain, self._apart(plain)))
+        for c in ended:
+            made[c] = b"".join(made[x] if x in made else kept[x] for x in (c[:-1], c[-1]))
+        out = [kept[c] if c in kept else made[c] for c in chunks]
+        if self._met is None:
+            kept.update((c, ids) for c, ids in made.items() if len(c) <= LONGEST_KEPT)
+        else:
+            # most chunks that are new come only once: one is kept when it is met again
+            names = list(made)
+            places = np.fromiter(map(hash, names), np.int64, len(names)) % len(self._met)
+            kept.update((names[i], made[names[i]]) for i in np.flatnonzero(self._met[places]) if len(names[i]) <= LONGEST_KEPT)
+            self._met[places] = True
         return out
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
@@ -138,6 +154,6 @@ class Encoder:
         return ids, ends[rows - 1]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = MOST_KEPT, twice: bool = False) -> Encoder:
     """One encoder for each worker process, as long as it is in use."""
-    return workers.only(("encoder", path), lambda: Encoder(path))
+    return workers.only(("encoder", path, most, twice), lambda: Encoder(path, most, twice))

@@ -219,6 +219,7 @@ def identify(docs: DataFrame, samples: dict[str, str], keep: list[str], text: st
             langs, scores = model.predict(batch.column(text).cast(pa.string()).to_pylist())
             held = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*held, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+        workers.trim()
 
     return rows.mapInArrow(run, schema)
 

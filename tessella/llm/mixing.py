@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, tables
+from . import encoding, tables, workers
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Target share = observed share to this power, then made to sum to 1.
@@ -49,6 +49,8 @@ NONE, OTHERS = "(none)", "(others)"
 #: Components of a token vector and their scale, topics, rounds that fit them, languages with a mean of their own.
 DIMS, UNIT, TOPICS, TOPIC_ROUNDS, CENTRED = 32, 10_000, 12, 5, 256
 SEED = 20260
+#: Bytes of text encoded at a time, chunks kept and rows sent at once by mix(): in a pipeline its workers stand beside a JVM that has grown.
+SLICE_BYTES, FEW_KEPT, FEW_ROWS = 1 << 20, 150_000, 1000
 
 
 def _directions(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,21 +72,24 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return np.round(np.divide(x, norm, out=np.zeros_like(x), where=norm > 0) * UNIT).astype("<i2")
 
 
-def with_tokens(rows: DataFrame, text: str, keep: list[str], tokenizer: str | None = None) -> DataFrame:
-    """The columns ``keep`` of rows with n_tokens and vec (a token vector's bytes) of the whole text."""
+def with_tokens(rows: DataFrame, text: str, keep: list[str], tokenizer: str | None = None, little: bool = False) -> DataFrame:
+    """The columns ``keep`` of rows with n_tokens and vec (a token vector's bytes) of the whole text; ``little``: in less memory, with more time."""
+    bounds = (FEW_KEPT, True) if little else ()
+    most = SLICE_BYTES if little else encoding.SLICE_BYTES
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema] + ["n_tokens long", "vec binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding.encoder(tokenizer or encoding.default_path())
+        enc = encoding.encoder(tokenizer or encoding.default_path(), *bounds)
         component, weight = _directions(enc.model.get_vocab_size())
         for batch in batches:
             sizes, vectors = [], []
-            for _, part in encoding.slices(batch.column(text).cast(pa.string())):
+            for _, part in encoding.slices(batch.column(text).cast(pa.string()), most):
                 ids = enc.encode(part)
                 sizes += [len(x) for x in ids]
                 vectors += [v.tobytes() for v in token_vectors(ids, component, weight)]
             made = [pa.array(sizes, pa.int64()), pa.array(vectors, pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, "n_tokens", "vec"])
+        workers.trim()
 
     return rows.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
 
@@ -310,12 +315,18 @@ def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, scale: float | None = None) -> DataFrame:
-    """The sampled rows of docs, with their columns. Texts are encoded once, and not shuffled as long as the cells are few."""
+    """The sampled rows of docs, with their columns. Texts are encoded once, pass to a worker once, and aren't shuffled as long as the cells are few."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
     at = {c: F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text", "source", "lang")}
-    rows = rows.select(*names, _name(at["source"]).alias("source"), _name(at["lang"]).alias("lang"), place_of(at["doc_id"], at["text"]).alias("place"), at["text"].cast("string").alias("text"))
-    rows = tables.store(with_tokens(rows, "text", [*names, "source", "lang", "place"]), "tokens")
+    own = [_name(at["source"]).alias("source"), _name(at["lang"]).alias("lang"), place_of(at["doc_id"], at["text"]).alias("place")]
+    text = f"c{docs.columns.index('text')}"
+    if dict(rows.dtypes)[text] != "string":  # else the column that is kept is the one that is encoded
+        own.append(at["text"].cast("string").alias("text"))
+        text = "text"
+    rows = rows.select(*names, *own)
+    with tables.small_batches(docs.sparkSession, FEW_ROWS):
+        rows = tables.store(with_tokens(rows, text, [*names, "source", "lang", "place"], little=True), "tokens")
     told = with_topic(rows)
     ratio, few = cell_probabilities(told, targets, scale)
     ratio = ratio.select(*DIMENSIONS, "probability")

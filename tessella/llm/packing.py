@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, tables
+from . import encoding, tables, workers
 
 WINDOW = 4096
 OPEN_WINDOWS = 64
@@ -156,6 +156,7 @@ def pack(
         for full in packer.rest():
             rows.add(full, True)
         yield from rows.batches()
+        workers.trim()
 
     def merge(level: int, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +178,8 @@ def pack(
 
         return run
 
-    made = [tables.store(tables.doc_columns(docs).mapInArrow(first, _SCHEMA), "packed")]
+    with tables.small_batches(spark, 4000):
+        made = [tables.store(tables.doc_columns(docs).mapInArrow(first, _SCHEMA), "packed")]
     parts = max(1, (made[0].agg(F.max("part")).first()[0] or 0) + 1)
     level = 0
     while True:

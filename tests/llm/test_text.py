@@ -360,3 +360,37 @@ def test_mixing_cases(spark):
     mixed = mixing.mix(frame(spark))
     assert mixed.columns == frame(spark).columns and mixed.count() == sum(r.selected for r in out)
     assert mixing.probabilities(frame(spark, [])).count() == 0 and mixing.mix(frame(spark, [])).count() == 0
+
+
+def test_mixing_sends_texts_once_in_small_batches(spark, monkeypatch):
+    name, sent = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    plain, write = mixing.with_tokens, tables.store
+
+    def with_tokens(rows, text, keep, **more):
+        sent.append(text in keep)
+        return plain(rows, text, keep, **more)
+
+    def store(df, table, **more):
+        if table == "tokens":
+            sent.append(int(spark.conf.get(name)))
+        return write(df, table, **more)
+
+    monkeypatch.setattr(mixing, "with_tokens", with_tokens)
+    monkeypatch.setattr(tables, "store", store)
+    before = spark.conf.get(name)
+    assert 0 < mixing.mix(frame(spark)).count() <= len(base_rows())
+    assert sent == [True, mixing.FEW_ROWS] and spark.conf.get(name) == before
+    # a text that is no string is cast, and kept as it was
+    sent.clear()
+    out = mixing.mix(frame(spark).drop("Text").withColumn("text", F.col("doc_id")))
+    assert sent[0] is False and dict(out.dtypes)["text"] == "bigint"
+
+
+def test_encoder_that_keeps_few_chunks_gives_the_same_ids():
+    import pyarrow as pa
+
+    few, all_ = encoding.Encoder(encoding.default_path(), 20, True), encoding.Encoder(encoding.default_path())
+    for seed in range(12):
+        texts = pa.array([prose(seed % 5, 40), "so, it ends. so, it ends, here.", None, "x" * 60 + ", " + prose(seed, 9)])
+        assert [x.tolist() for x in few.encode(texts)] == [x.tolist() for x in all_.encode(texts)]
+        assert len(few._kept) <= 20 + 100 and len(few._older) <= 20 + 100
