@@ -62,8 +62,11 @@ def parse_markdown(files: DataFrame) -> DataFrame:
     return files.select(*[c for c in files.columns if c != "body"], text.alias("text"), key("title").alias("title"), tags.alias("tags"), wikilinks(text).alias("links"))
 
 
-def hashed_embedding(rows: DataFrame, size: int) -> DataFrame:
-    """(uuid, embedding): signed token hashes, normalised. A stand-in for a model that works offline."""
+def hashed_embedding(rows: DataFrame, size: int, directed: bool = False) -> DataFrame:
+    """(uuid, embedding): signed token hashes, normalised. A stand-in for a model that works offline.
+
+    A text without words, or whose words cancel out, has a zero vector; with ``directed`` it points along one axis, by a hash of its words.
+    """
 
     @F.pandas_udf("array<float>")
     def embed(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -79,6 +82,8 @@ def hashed_embedding(rows: DataFrame, size: int) -> DataFrame:
                     h = zlib.crc32(w.encode())
                     v[h % size] += 1 if h & 0x10000 else -1
                 n = np.linalg.norm(v)
+                if directed and not n:
+                    v[zlib.crc32(" ".join(ws if ws is not None else []).encode()) % size] = n = 1.0
                 out.append((v / n if n else v).astype("float32"))
             yield pd.Series(out)
 

@@ -198,7 +198,7 @@ class VectorIndex:
 
 
 def rebuild(index: VectorIndex, rows: DataFrame, embed, batch: int) -> bool:
-    """Brings the index in line with rows (uuid, collection, embedding, status, superseded_by): vectors that lack or have another size
+    """Brings the index in line with rows (uuid, collection, embedding, status, superseded_by): vectors that lack, have another size or no direction
     are embedded anew and put in with those that the index lacks, and those of records that no longer live are swept.
 
     ``embed`` takes rows and returns (uuid, embedding). Two batches, ``batch`` and the next; either may be delivered twice.
@@ -207,7 +207,7 @@ def rebuild(index: VectorIndex, rows: DataFrame, embed, batch: int) -> bool:
 
     live = status(rows)
     held = index.rows().select("uuid") if index.commits.last() is not None else rows.select("uuid").limit(0)
-    wrong = live.where(F.col("embedding").isNull() | (F.size("embedding") != index.size))
+    wrong = live.where((F.size("embedding") != index.size) | unit(F.col("embedding")).isNull())
     new = wrong.drop("embedding").join(embed(wrong).select("uuid", "embedding"), "uuid").select("uuid", "collection", "embedding")
     lacking = live.join(wrong.select("uuid"), "uuid", "left_anti").join(held, "uuid", "left_anti").select("uuid", "collection", "embedding")
     todo = new.union(lacking)

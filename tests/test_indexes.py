@@ -225,3 +225,28 @@ def test_postings_are_listed_in_bounded_chunks(spark, place, monkeypatch):
     index.write(rows_of(spark, {i: ("a", "the same words") for i in range(400)}), 0)
     stored = spark.read.parquet(f"{place}/postings")
     assert index.read("postings").count() > 1200 and stored.count() <= 100
+
+
+def test_index_rebuilt_keeps_records_without_a_direction(spark, tmp_path):
+    import zlib
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spot = lambda w: (zlib.crc32(w.encode()) % 64, bool(zlib.crc32(w.encode()) & 0x10000))
+    first = {spot(f"w{i}"): f"w{i}" for i in range(2000)}
+    cancels = next(f"{w} {first[at, not sign]}" for (at, sign), w in first.items() if (at, not sign) in first)
+    texts = ["", None, cancels, "!!! ---", "plain words", f"{cancels} {cancels}"]
+    docs = [(i, texts[i % 6], "en", "web", len(texts[i % 6] or "")) for i in range(1, 61)]
+    none, odd = [0.0] * 64, [1.0] * 63 + [float("nan")]
+    vectors = [(i, 0, none if i % 7 == 1 else odd if i % 7 == 2 else [float((i * k) % 11 - 5) for k in range(1, 65)]) for i in range(1, 61) if i % 5]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    con.sql("create view benchmark as select 0 as item_id, 'a' as text")
+    want = sorted(con.sql(entry.oracle_sql()["index_rebuilt"]).fetchall())
+    for _ in range(2):  # built, and found built
+        assert sorted(tuple(r) for r in entry.queries()["index_rebuilt"](spark, str(tmp_path)).select("uuid", "size", "renewed").collect()) == want
